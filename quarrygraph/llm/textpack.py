@@ -117,9 +117,10 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.nda
     mixed = np.zeros(n, dtype=np.uint64)
     for k in range(width):
         mixed[: n - k] += hashes[k:] * MIX[1 + k] if k else hashes * MIX[1]
-    for d in np.flatnonzero((counts > 0) & (counts < width)):
-        at = first[d]
-        mixed[at] = MIX[40] * np.uint64(counts[d]) + (hashes[at : at + counts[d]] * MIX[1 : 1 + counts[d]]).sum(dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for d in np.flatnonzero((counts > 0) & (counts < width)):
+            at = first[d]
+            mixed[at] = MIX[40] * np.uint64(counts[d]) + (hashes[at : at + counts[d]] * MIX[1 : 1 + counts[d]]).sum(dtype=np.uint64)
     within = np.arange(n) - np.repeat(first, counts)
     keep = within < np.repeat(per, counts)
     return finish(mixed[keep]), per
