@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join
+from . import decontaminate, jaccard_join, line_dedup, mixing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,13 +16,27 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "text", "n_removed", F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), " ").alias("removed")
+    )
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 OP3_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 3, 1) + 1), i -> array_to_string(w[i:i + 3], ' ')) END) AS t FROM w),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS t FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
@@ -31,13 +46,32 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.x = d.doc_i
 """
 
 
+OP2_SQL = f"""
+WITH lines AS (SELECT doc_id, hash(text) AS h, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+starts AS (SELECT *, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lines),
+units AS (SELECT doc_id, i, start, start + length(l) AS stop, regexp_extract_all(lower(l), '{WORD}') AS w FROM starts),
+kept AS (SELECT *, array_to_string(w, ' ') AS t, len(w) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS u FROM units WHERE len(w) > 0),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k, first_value(doc_id) OVER (PARTITION BY t ORDER BY doc_id, i) AS first_doc FROM kept),
+again AS (SELECT *, u - row_number() OVER (PARTITION BY doc_id ORDER BY u) AS run FROM firsts WHERE k > 1),
+gone AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, run) AS total FROM again) WHERE total >= {line_dedup.MIN_WORDS}),
+per AS (SELECT doc_id, count(*) AS n, string_agg(start || '-' || stop, ' ' ORDER BY start) AS removed FROM gone GROUP BY doc_id),
+rest AS (SELECT l.doc_id, string_agg(l.l, chr(10) ORDER BY l.i) AS text FROM lines l ANTI JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(rest.text, '') END AS text, coalesce(per.n, 0) AS n_removed, coalesce(per.removed, '') AS removed
+FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontamination": op1_decontamination,
+        "op2_line_dedup": op2_line_dedup,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_mixing": op4_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_dedup": OP2_SQL,
         "op3_jaccard_join": OP3_SQL,
     }
