@@ -6,9 +6,10 @@ How the work is laid out:
 
 1. Documents with equal sets form one class; only classes are compared.
 2. Shingle hashes are shuffled once, as packed arrays dealt by hash bucket, to find how many
-   classes hold each shingle. The number of buckets follows the number of shingles, so a bucket
-   stays small at any size. A shingle held by one class only can match nothing, so every order
-   puts those first; a class whose prefix ends within them has no partner and leaves here.
+   documents hold each shingle (copies within a chunk count once). The number of buckets follows
+   the number of shingles, so a bucket stays small at any size. A shingle held once can match
+   nothing, so every order puts those first; a set whose prefix ends within them has no partner
+   and leaves here.
 3. What is left of each remaining class is its profile: the shared shingles, and its prefix under
    each of three orders (rarest first with two different tie-breaks, and one that ignores
    frequency). A pair must share a prefix token under every order before it is verified.
@@ -17,8 +18,8 @@ How the work is laid out:
    Blocks return a spanning forest of their links, never all pairs. Once components are known,
    only pairs of blocks that still hold different components are compared.
 
-Shingles that are frequent within one chunk of documents are marked hot and are never listed
-document by document; all orders put them last.
+Shingles that are frequent within one chunk of documents are marked hot: their bucket learns of
+them once a chunk and never lists their documents. Orders by frequency put them last.
 
 Defined cases: null or blank text has an empty set, n_shingles 0 and links with nothing; fewer
 words than the width give the whole sequence as one shingle; repeated rows (and rows that share a
@@ -45,6 +46,7 @@ TOKENS_PER_CHUNK = 1_000_000
 HOT_IN_CHUNK = 64
 GROUP = 256
 HOT_CLASS = 255
+ORDERS = 3
 LOW = 0xFFFFFFFFFF  # 40 bits of a hash are kept beside its bucket
 SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -80,20 +82,23 @@ def _pack(array: np.ndarray) -> bytes:
 def _postings(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """Packed rows of one chunk of documents, its copies left out.
 
-    kind 0: the classes that hold tokens of one bucket, with those tokens. kind 1: the tokens of a
-    bucket that are hot in the chunk. kind 2: for the classes of one home, their hot tokens.
+    kind 0: the tokens of one bucket and how many each of the chunk's documents has of them.
+    kind 1: the tokens of a bucket that are hot in the chunk. kind 2: the chunk's hot tokens,
+    counted by document. kind 3: the chunk's documents.
     """
-    schema = "kind int, bucket int, ids binary, keys binary, sizes binary, counts binary, low binary, high binary"
-    none = b""
+    schema = "kind int, bucket int, chunk long, counts binary, low binary, high binary"
 
     def emit(rows):
-        unique: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        unique: dict[int, tuple[int, np.ndarray]] = {}
         for doc, tokens in rows:
-            name = (_digest(tokens), len(tokens))
-            if name not in unique or doc < unique[name][0]:
-                unique[name] = (doc, tokens)
+            key = _digest(tokens)
+            if key not in unique or doc < unique[key][0]:
+                unique[key] = (doc, tokens)
         ids = np.array([v[0] for v in unique.values()], dtype=np.int64)
-        keys, sizes = np.array([k[0] for k in unique], dtype=np.int64), np.array([k[1] for k in unique], dtype=np.int32)
+        keys, sizes = np.array(list(unique), dtype=np.int64), np.array([len(v[1]) for v in unique.values()], dtype=np.int64)
+        chunk = _digest(np.concatenate([ids, keys]))
+        home = int(chunk % buckets)
+        yield (3, home, chunk, _pack(ids), _pack(keys), _pack(sizes))
         tokens = np.concatenate([v[1] for v in unique.values()])
         owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
         order = np.argsort(tokens, kind="stable")
@@ -101,24 +106,16 @@ def _postings(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         n = np.diff(np.concatenate((start, [len(tokens)])))
         hot = np.repeat(n >= HOT_IN_CHUNK, n)
-        hot_tokens, hot_owner = tokens[hot], owner[hot]
-        tokens, owner = tokens[~hot], owner[~hot]
-        for b, part, own in _dealt((tokens % np.uint64(buckets)).astype(np.int32), owner, tokens):
-            held = np.bincount(own, minlength=len(ids))
-            at = np.flatnonzero(held)
-            rest = (part // np.uint64(buckets)) & np.uint64(LOW)
-            yield (0, b, _pack(ids[at]), _pack(keys[at]), _pack(sizes[at]), _pack(held[at].astype(np.int32)), _pack(rest.astype(np.uint32)), _pack((rest >> np.uint64(32)).astype(np.uint8)))
-        if not len(hot_tokens):
+        for b, part, own in _dealt((tokens[~hot] % np.uint64(buckets)).astype(np.int32), owner[~hot], tokens[~hot]):
+            yield (0, b, chunk, _counts(own, len(ids)), *_split(_rest(part, buckets)))
+        if not hot.any():
             return
-        distinct = np.unique(hot_tokens)
+        distinct = np.unique(tokens[hot])
         for b, part, _ in _dealt((distinct % np.uint64(buckets)).astype(np.int32), np.zeros(len(distinct), np.int32), distinct):
-            rest = (part // np.uint64(buckets)) & np.uint64(LOW)
-            yield (1, b, none, none, none, none, _pack(rest.astype(np.uint32)), _pack((rest >> np.uint64(32)).astype(np.uint8)))
-        for b, part, own in _dealt(_home(keys[hot_owner], buckets), hot_owner, hot_tokens):
-            held = np.bincount(own, minlength=len(ids))
-            at = np.flatnonzero(held)
-            whole = ((part // np.uint64(buckets)) & np.uint64(LOW)) * np.uint64(buckets) + part % np.uint64(buckets)
-            yield (2, b, _pack(ids[at]), _pack(keys[at]), _pack(sizes[at]), _pack(held[at].astype(np.int32)), _pack(whole), none)
+            yield (1, b, chunk, b"", *_split(_rest(part, buckets)))
+        order = np.argsort(owner[hot], kind="stable")
+        part = tokens[hot][order]
+        yield (2, home, chunk, _counts(owner[hot], len(ids)), _pack(_rest(part, buckets) * np.uint64(buckets) + part % np.uint64(buckets)), b"")
 
     def run(batches):
         def chunks():
@@ -128,14 +125,14 @@ def _postings(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                     continue
                 rows.append((doc, tokens))
                 total += len(tokens)
-                if total >= TOKENS_PER_CHUNK:
+                if total >= TOKENS_PER_CHUNK or len(rows) >= 50_000:
                     yield rows
                     rows, total = [], 0
             if rows:
                 yield rows
 
-        names = ["kind", "bucket", "ids", "keys", "sizes", "counts", "low", "high"]
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        names = ["kind", "bucket", "chunk", "counts", "low", "high"]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3]
         for rows in chunks():
             for row in emit(rows):
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
@@ -143,10 +140,6 @@ def _postings(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def _home(keys: np.ndarray, homes: int) -> np.ndarray:
-    return (finish(keys.astype(np.uint64)) % np.uint64(homes)).astype(np.int32)
-
-
 def _dealt(target: np.ndarray, owner: np.ndarray, tokens: np.ndarray):
     """(target, tokens, owner) for each target, in the order of owners."""
     order = np.lexsort((owner, target))
@@ -156,93 +149,97 @@ def _dealt(target: np.ndarray, owner: np.ndarray, tokens: np.ndarray):
         yield int(target[a]), tokens[a:b], owner[a:b]
 
 
-def _open(row) -> tuple[np.ndarray, ...]:
-    ids, keys = np.frombuffer(row.ids, np.int64), np.frombuffer(row.keys, np.int64)
-    sizes, counts = np.frombuffer(row.sizes, np.int32), np.frombuffer(row.counts, np.int32)
-    return ids, keys, sizes, counts, _forty(row)
+def _counts(owner: np.ndarray, n: int) -> bytes:
+    return _pack(np.bincount(owner, minlength=n).astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+
+
+def _owners(counts: bytes) -> np.ndarray:
+    n = np.ascontiguousarray(np.frombuffer(counts, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+    return np.repeat(np.arange(len(n), dtype=np.int32), n)
+
 
+def _rest(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """What is kept of a token beside its bucket."""
+    return (tokens // np.uint64(buckets)) & np.uint64(LOW)
 
-def _forty(row) -> np.ndarray:
-    return np.frombuffer(row.low, np.uint32).astype(np.uint64) | (np.frombuffer(row.high, np.uint8).astype(np.uint64) << np.uint64(32))
+
+def _split(rest: np.ndarray) -> tuple[bytes, bytes]:
+    return _pack(rest.astype(np.uint32)), _pack((rest >> np.uint64(32)).astype(np.uint8))
+
+
+def _joined(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32))
 
 
 def _shared(postings: DataFrame, buckets: int) -> DataFrame:
-    """Per bucket, the tokens that several classes hold, dealt back to the homes of those classes."""
-    schema = "home int, ids binary, keys binary, sizes binary, counts binary, tokens binary, ranks binary"
+    """Per bucket, the tokens that several documents hold, sent back to their chunks with a rank by frequency."""
+    schema = "kind int, bucket int, chunk long, counts binary, low binary, high binary, ranks binary"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(pdf.bucket.iloc[0])
-        out = []
-        for row in pdf[pdf.kind == 2].itertuples():
-            out.append((bucket, row.ids, row.keys, row.sizes, row.counts, row.low, bytes([HOT_CLASS]) * (len(row.low) // 8)))
-        hot = [_forty(row) for row in pdf[pdf.kind == 1].itertuples()]
+        out = [(r.kind, r.bucket, r.chunk, r.counts, r.low, r.high, b"") for r in pdf[pdf.kind >= 2].itertuples()]
+        hot = [_joined(r.low, r.high) for r in pdf[pdf.kind == 1].itertuples()]
         hot = np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
-        opened = [_open(row) for row in pdf[pdf.kind == 0].itertuples()]
-        if opened:
-            ids, keys, sizes, counts, tokens = (np.concatenate([x[k] for x in opened]) for k in range(5))
-            # a class stands under its smallest id
-            order = np.lexsort((ids, sizes, keys))
-            new = np.concatenate(([True], (keys[order][1:] != keys[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])))
-            cls = np.empty(len(ids), dtype=np.int64)
-            cls[order] = np.cumsum(new) - 1
-            low, key, size = ids[order][new], keys[order][new], sizes[order][new]
-            c = np.repeat(cls, counts)
-            order = np.lexsort((c, tokens))
-            tokens, c = tokens[order], c[order]
-            keep = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (c[1:] != c[:-1])))
-            tokens, c = tokens[keep], c[keep]
-            start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-            df = np.diff(np.concatenate((start, [len(tokens)])))
-            df = np.repeat(df, df)
+        rows = list(pdf[pdf.kind == 0].itertuples())
+        if rows:
+            parts = [_joined(r.low, r.high) for r in rows]
+            distinct, back, df = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
             rank = np.minimum(HOT_CLASS - 1, np.floor(4 * np.log2(df))).astype(np.uint8)
             if len(hot):
-                at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-                rank[hot[at] == tokens] = HOT_CLASS
-            several = (df > 1) | (rank == HOT_CLASS)
-            tokens, c, rank = tokens[several], c[several], rank[several]
-            home = _home(key[c], buckets)
-            order = np.lexsort((c, home))
-            tokens, c, rank, home = tokens[order], c[order], rank[order], home[order]
-            whole = tokens * np.uint64(buckets) + np.uint64(bucket)
-            start = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1]))) if len(home) else []
-            for a, b in zip(start, [*start[1:], len(home)], strict=True):
-                held, n = np.unique(c[a:b], return_counts=True)
-                out.append((int(home[a]), _pack(low[held]), _pack(key[held]), _pack(size[held]), _pack(n.astype(np.int32)), _pack(whole[a:b]), _pack(rank[a:b])))
-        return pd.DataFrame(out, columns=["home", "ids", "keys", "sizes", "counts", "tokens", "ranks"])
+                at = np.minimum(np.searchsorted(hot, distinct), len(hot) - 1)
+                rank[hot[at] == distinct] = HOT_CLASS
+            several, ranks = ((df > 1) | (rank == HOT_CLASS))[back], rank[back]
+            at = 0
+            for r, part in zip(rows, parts, strict=True):
+                keep = several[at : at + len(part)]
+                if keep.any():
+                    owner = _owners(r.counts)
+                    out.append((0, r.bucket, r.chunk, _counts(owner[keep], len(r.counts) // 4), *_split(part[keep]), _pack(ranks[at : at + len(part)][keep])))
+                at += len(part)
+        return pd.DataFrame(out, columns=["kind", "bucket", "chunk", "counts", "low", "high", "ranks"])
 
     return postings.groupBy("bucket").applyInPandas(run, schema)
 
 
-def _profiles(shared: DataFrame, percent: int) -> DataFrame:
-    """One row for each class that can have a partner: its shared tokens and three prefixes."""
-    schema = "doc_id long, n int, unshared int, tokens binary, first binary, second binary, third binary"
+def _profiles(shared: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """One row for each set of a chunk that can have a partner: its shared tokens and their ranks."""
+    schema = "doc_id long, set_key long, n int, unshared int, tokens binary, ranks binary"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [(np.frombuffer(r.ids, np.int64), np.frombuffer(r.keys, np.int64), np.frombuffer(r.sizes, np.int32), np.frombuffer(r.counts, np.int32), np.frombuffer(r.tokens, np.uint64), np.frombuffer(r.ranks, np.uint8)) for r in pdf.itertuples()]
-        ids, keys, sizes, counts, tokens, ranks = (np.concatenate([p[k] for p in parts]) for k in range(6))
-        key, size, doc = np.repeat(keys, counts), np.repeat(sizes, counts), np.repeat(ids, counts)
-        order = np.lexsort((tokens, size, key))
-        key, size, doc, tokens, ranks = key[order], size[order], doc[order], tokens[order], ranks[order]
-        other = np.concatenate(([True], (key[1:] != key[:-1]) | (size[1:] != size[:-1])))
-        low = np.minimum.reduceat(doc, np.flatnonzero(other))  # before repeated tokens go
-        group = np.cumsum(other) - 1
-        keep = other | np.concatenate(([True], tokens[1:] != tokens[:-1]))
-        size, tokens, ranks, group = size[keep], tokens[keep], ranks[keep], group[keep]
-        _, at, n = np.unique(group, return_index=True, return_counts=True)
-        held = low
+        own = pdf[pdf.kind == 3].iloc[0]
+        ids, keys, sizes = (np.frombuffer(x, np.int64) for x in (own.counts, own.low, own.high))
+        owner, tokens, ranks = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+        for r in pdf[pdf.kind != 3].itertuples():
+            owner.append(_owners(r.counts))
+            if r.kind == 2:
+                tokens.append(np.frombuffer(r.low, np.uint64))
+                ranks.append(np.full(len(tokens[-1]), HOT_CLASS, np.uint8))
+            else:
+                tokens.append(_joined(r.low, r.high) * np.uint64(buckets) + np.uint64(r.bucket))
+                ranks.append(np.frombuffer(r.ranks, np.uint8))
+        owner, tokens, ranks = np.concatenate(owner), np.concatenate(tokens), np.concatenate(ranks)
+        order = np.lexsort((tokens, owner))
+        tokens, ranks = tokens[order], ranks[order]
+        n = np.bincount(owner, minlength=len(ids))
+        ends = np.cumsum(n)
         out = []
-        for d, a, shared in zip(held, at, n, strict=True):
-            total = int(size[a])
-            least = (percent * total + 99) // 100
-            room = total - least + 1 - (total - shared)  # of the prefix, beyond the unshared tokens
-            if room <= 0:
-                continue
-            mine, rank = tokens[a : a + shared], ranks[a : a + shared]
-            one, two = finish(mine ^ np.uint64(SALTS[0])), finish(mine ^ np.uint64(SALTS[1]))
-            out.append((int(d), total, total - int(shared), _pack(mine), _pack(mine[np.lexsort((one, rank))[:room]]), _pack(mine[np.lexsort((two, rank))[:room]]), _pack(mine[np.argsort(two)[:room]])))
-        return pd.DataFrame(out, columns=["doc_id", "n", "unshared", "tokens", "first", "second", "third"])
+        for d in np.flatnonzero(n):
+            if _room(int(sizes[d]), int(n[d]), percent) > 0:
+                out.append((int(ids[d]), int(keys[d]), int(sizes[d]), int(sizes[d] - n[d]), _pack(tokens[ends[d] - n[d] : ends[d]]), _pack(ranks[ends[d] - n[d] : ends[d]])))
+        return pd.DataFrame(out, columns=["doc_id", "set_key", "n", "unshared", "tokens", "ranks"])
 
-    return shared.groupBy("home").applyInPandas(run, schema)
+    return shared.groupBy("chunk").applyInPandas(run, schema)
+
+
+def _room(size: int, shared: int, percent: int) -> int:
+    """How many shared tokens the prefix of a set holds, after the unshared ones."""
+    return size - (percent * size + 99) // 100 + 1 - (size - shared)
+
+
+def _prefix(tokens: np.ndarray, ranks: np.ndarray, size: int, percent: int, order: int) -> np.ndarray:
+    """The shared part of a set's prefix: rarest first with either tie-break, or by hash alone."""
+    room = _room(size, len(tokens), percent)
+    salted = finish(tokens ^ np.uint64(SALTS[order % 2]))
+    return tokens[(np.lexsort((salted, ranks)) if order < 2 else np.argsort(salted))[:room]]
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -266,21 +263,21 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _links(left: pd.DataFrame, right: pd.DataFrame, percent: int, same: bool) -> list[tuple[int, int]]:
     """A spanning forest of the links between two blocks, or within one; pairs known to be connected are left out."""
     n_left, n_right = left.n.to_numpy(np.int64)[:, None], right.n.to_numpy(np.int64)[None, :]
-    view = {k: ([np.frombuffer(x, np.uint64) for x in left[k]], [np.frombuffer(x, np.uint64) for x in right[k]]) for k in ("first", "second", "third", "tokens")}
+    sides = [[(np.frombuffer(r.tokens, np.uint64), np.frombuffer(r.ranks, np.uint8), int(r.n)) for r in x.itertuples()] for x in (left, right)]
     small, large = np.minimum(n_left, n_right), np.maximum(n_left, n_right)
     candidate = 100 * small >= percent * large
     if same:
         candidate &= np.arange(len(left))[:, None] > np.arange(len(right))[None, :]
     if "component" in left:
         candidate &= left.component.to_numpy()[:, None] != right.component.to_numpy()[None, :]
-    for order in ("first", "second", "third"):
+    for order in range(ORDERS):
         if not candidate.any():
             return []
-        candidate &= _overlaps(*view[order]) > 0
+        candidate &= _overlaps(*([_prefix(*x, percent, order) for x in side] for side in sides)) > 0
     rows = np.flatnonzero(candidate.any(axis=1))
     if not len(rows):
         return []
-    common = _overlaps([view["tokens"][0][i] for i in rows], view["tokens"][1]).astype(np.int64)
+    common = _overlaps([sides[0][i][0] for i in rows], [x[0] for x in sides[1]]).astype(np.int64)
     linked = candidate[rows] & (100 * common >= percent * (n_left[rows] + n_right - common))
     ids_left, ids_right = left.doc_id.to_numpy(), right.doc_id.to_numpy()
     parent: dict[int, int] = {}
@@ -308,10 +305,17 @@ def _frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
 def similar_classes(docs: DataFrame, width: int, percent: int, buckets: int, stash: Stash) -> DataFrame:
     """(node, component) of the classes, named by their smallest doc_id, that link with another class."""
     spark = docs.sparkSession
-    shared = _shared(_postings(docs, width, buckets), buckets)
-    profiles = stash.put(_profiles(shared, percent))
-    tokens = profiles.mapInPandas(_prefix_rows, "token long, doc_id long, unshared int")
-    tokens = stash.put(tokens)
+    profiles = stash.put(_profiles(_shared(_postings(docs, width, buckets), buckets), percent, buckets))
+    # a set that stands in several chunks goes on under its smallest id
+    standing = profiles.groupBy("set_key", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+
+    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = [_prefix(np.frombuffer(r.tokens, np.uint64), np.frombuffer(r.ranks, np.uint8), int(r.n), percent, 0).view(np.int64) for r in pdf.itertuples()]
+            n = [len(x) for x in found]
+            yield pd.DataFrame({"token": np.concatenate([np.zeros(0, np.int64), *found]), "doc_id": np.repeat(pdf.doc_id.to_numpy(), n), "unshared": np.repeat(pdf.unshared.to_numpy(), n)})
+
+    tokens = stash.put(profiles.mapInPandas(prefixes, "token long, doc_id long, unshared int").join(standing, "doc_id", "left_semi"))
     pivots = tokens.groupBy("token").agg(F.min_by("doc_id", F.struct("unshared", "doc_id")).alias("pivot"), F.count(F.lit(1)).alias("held")).filter("held > 1")
     members = stash.put(tokens.join(pivots, "token").select("pivot", "doc_id").distinct())
     stash.drop(tokens)
@@ -339,13 +343,6 @@ def similar_classes(docs: DataFrame, width: int, percent: int, buckets: int, sta
     return connected_components(stars.union(second), stash)
 
 
-def _prefix_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        prefix = [np.frombuffer(x, np.int64) for x in pdf["first"]]
-        n = [len(x) for x in prefix]
-        yield pd.DataFrame({"token": np.concatenate(prefix) if prefix else np.zeros(0, np.int64), "doc_id": np.repeat(pdf.doc_id.to_numpy(), n), "unshared": np.repeat(pdf.unshared.to_numpy(), n)})
-
-
 def _across(known: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """Links between different blocks of one large group, blocks cut by component.
 
