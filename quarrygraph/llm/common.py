@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,13 @@ class Stash:
             fs.delete(path, True)
 
 
+def task_place() -> Iterator[tuple[int, int]]:
+    """Within a task, names for its chunks that no other task gives: (partition, running number)."""
+    context = TaskContext.get()
+    partition = context.partitionId() if context else 0
+    return ((partition, k) for k in itertools.count())
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, connected_components, partitions
+from .common import Stash, connected_components, partitions, task_place
 from .textpack import finish, shingle_sets, slices
 
 TOKENS_PER_BUCKET = 4_000_000
@@ -88,7 +88,7 @@ def _postings(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """
     schema = "kind int, bucket int, chunk long, counts binary, low binary, high binary"
 
-    def emit(rows):
+    def emit(rows, place):
         unique: dict[int, tuple[int, np.ndarray]] = {}
         for doc, tokens in rows:
             key = _digest(tokens)
@@ -96,7 +96,7 @@ def _postings(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 unique[key] = (doc, tokens)
         ids = np.array([v[0] for v in unique.values()], dtype=np.int64)
         keys, sizes = np.array(list(unique), dtype=np.int64), np.array([len(v[1]) for v in unique.values()], dtype=np.int64)
-        chunk = _digest(np.concatenate([ids, keys]))
+        chunk = _digest(np.concatenate([ids, keys, next(place)]))
         home = int(chunk % buckets)
         yield (3, home, chunk, _pack(ids), _pack(keys), _pack(sizes))
         tokens = np.concatenate([v[1] for v in unique.values()])
@@ -118,6 +118,8 @@ def _postings(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         yield (2, home, chunk, _counts(owner[hot], len(ids)), _pack(_rest(part, buckets) * np.uint64(buckets) + part % np.uint64(buckets)), b"")
 
     def run(batches):
+        place = task_place()
+
         def chunks():
             rows, total = [], 0
             for doc, tokens in _sets(batches, width):
@@ -134,7 +136,7 @@ def _postings(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         names = ["kind", "bucket", "chunk", "counts", "low", "high"]
         kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3]
         for rows in chunks():
-            for row in emit(rows):
+            for row in emit(rows, place):
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
