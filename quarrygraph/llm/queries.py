@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, jaccard_join, line_dedup, lm_scoring, mixing, token_counts, toxicity, url_filter
+from . import decontaminate, embedding_dedup, jaccard_join, line_dedup, lm_scoring, mixing, quality, token_counts, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.backoff_scores(table(spark, sf_dir, "documents"))
 
@@ -96,6 +101,7 @@ def queries() -> dict[str, Query]:
         "op4_mixing": op4_mixing,
         "op5_token_counts": op5_token_counts,
         "op6_embedding_dedup": op6_embedding_dedup,
+        "op7_quality": op7_quality,
         "op8_lm_scoring": op8_lm_scoring,
         "op9_toxicity": op9_toxicity,
         "op10_url_filter": op10_url_filter,
