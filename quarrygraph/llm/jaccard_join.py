@@ -44,7 +44,7 @@ from .textpack import finish, shingle_sets, slices
 TOKENS_PER_BUCKET = 4_000_000
 TOKENS_PER_CHUNK = 1_000_000
 HOT_IN_CHUNK = 64
-GROUP = 256
+GROUP = 1024
 HOT_CLASS = 255
 ORDERS = 3
 LOW = 0xFFFFFFFFFF  # 40 bits of a hash are kept beside its bucket
