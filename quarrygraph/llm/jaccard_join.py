@@ -146,7 +146,9 @@ def _dealt(target: np.ndarray, owner: np.ndarray, tokens: np.ndarray):
     """(target, tokens, owner) for each target, in the order of owners."""
     order = np.lexsort((owner, target))
     target, owner, tokens = target[order], owner[order], tokens[order]
-    start = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1]))) if len(target) else []
+    if not len(target):
+        return
+    start = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1])))
     for a, b in zip(start, [*start[1:], len(target)], strict=True):
         yield int(target[a]), tokens[a:b], owner[a:b]
 

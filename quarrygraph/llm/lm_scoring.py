@@ -62,7 +62,9 @@ def _values(planes: bytes, width: int = 4) -> np.ndarray:
 def _by(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each value of target with the places where it stands, in order."""
     order = np.argsort(target, kind="stable")
-    start = np.flatnonzero(np.concatenate(([True], target[order][1:] != target[order][:-1]))) if len(order) else []
+    if not len(order):
+        return
+    start = np.flatnonzero(np.concatenate(([True], target[order][1:] != target[order][:-1])))
     for a, b in zip(start, [*start[1:], len(order)], strict=True):
         yield int(target[order[a]]), order[a:b]
 

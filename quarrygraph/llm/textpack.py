@@ -115,8 +115,8 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.nda
     first = np.concatenate(([0], np.cumsum(counts)))[:-1]
     per = np.where(counts >= width, counts - width + 1, (counts > 0).astype(counts.dtype))
     mixed = np.zeros(n, dtype=np.uint64)
-    for k in range(width):
-        mixed[: n - k] += hashes[k:] * MIX[1 + k] if k else hashes * MIX[1]
+    for k in range(min(width, n)):
+        mixed[: n - k] += hashes[k:] * MIX[1 + k]
     with np.errstate(over="ignore"):
         for d in np.flatnonzero((counts > 0) & (counts < width)):
             at = first[d]

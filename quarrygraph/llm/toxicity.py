@@ -134,7 +134,10 @@ def context_weight(tokens: list[str], at: int) -> float:
     before, after = tokens[:at], tokens[at + 1 :]
     opened = next((i for i in range(at, -1, -1) if tokens[i][:1] in OPENING and tokens[i]), None)
     closed = next((i for i in range(at, len(tokens)) if tokens[i].rstrip(".,;:!?")[-1:] in CLOSING and tokens[i].rstrip(".,;:!?")), None)
-    shut = opened is not None and any(t.rstrip(".,;:!?")[-1:] in CLOSING and t.rstrip(".,;:!?") for t in tokens[opened:at])
+    ended = [t.rstrip(".,;:!?") for t in tokens[opened or 0 : at]]
+    if ended and len(ended[0]) == 1:
+        ended[0] = ""  # the opening mark itself
+    shut = opened is not None and any(t and t[-1] in CLOSING for t in ended)
     weight = 1.0
     if opened is not None and closed is not None and not shut:
         weight *= 0.3

@@ -75,7 +75,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, **options) -> DataFr
         domain, _, start = rule.partition("/")
         fits = ((F.col("host") == domain) | F.col("host").endswith("." + domain)) & F.col("path").startswith("/" + start)
         fitting.append(F.when(fits, F.struct(F.lit(len(rule)).alias("length"), F.lit(len(domain)).alias("host_length"), F.lit(verdict == "allow").alias("allow"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
-    best = F.array_max(F.array(*fitting))
+    best = F.array_max(F.array(*fitting)) if fitting else F.lit(None).cast("struct<rule:string,verdict:string>")
     own = F.when(F.col("mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], own).alias("verdict"), "mined")
 
