@@ -35,8 +35,8 @@ from .common import partitions, task_place
 from .textpack import LOWER, MIX, buffer_of, finish, slices, span_hashes, word_counts, word_spans
 
 BACKOFF = 0.4
-BYTES_PER_BUCKET = 12 << 20
-WORDS_PER_CHUNK = 1_000_000
+BYTES_PER_BUCKET = 8 << 20
+WORDS_PER_CHUNK = 500_000
 FORTY = np.uint64((1 << 40) - 1)
 POSTINGS, SUMS, QUESTIONS, COUNTS, DOCUMENTS = range(5)
 NAMES = ["kind", "bucket", "chunk", "a", "b", "c", "d", "e"]
@@ -59,6 +59,20 @@ def _values(planes: bytes, width: int = 4) -> np.ndarray:
     return out.view(np.int64).reshape(-1)
 
 
+def _steps(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs as differences, the minor ones anew with each major; both stay small where values repeat."""
+    same = np.concatenate(([False], major[1:] == major[:-1]))
+    return np.diff(major, prepend=major[:0].dtype.type(0)), np.where(same, minor - np.concatenate((minor[:1], minor[:-1])), minor)
+
+
+def _walked(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse of _steps."""
+    first = np.flatnonzero(np.concatenate(([True], major[1:] != 0)))
+    total = np.cumsum(minor)
+    before = np.repeat(total[first] - minor[first], np.diff(np.concatenate((first, [len(minor)]))))
+    return np.cumsum(major), total - before
+
+
 def _by(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each value of target with the places where it stands, in order."""
     order = np.argsort(target, kind="stable")
@@ -134,7 +148,9 @@ def _bigrams(docs: DataFrame, buckets: int) -> DataFrame:
         at, times = at[order], times[order]
         words, context, owner, own_context = words[at], context[at], owner[at], own_context[at]
         for b, part in _by(_bucket(words, buckets)):
-            yield (POSTINGS, b, chunk, _planes(np.diff(owner[part], prepend=0)), _planes(words[part], 5), _planes(context[part], 5), _planes(times[part]), _planes(own_context[part]))
+            part = part[np.lexsort((owner[part], context[part], words[part]))]
+            word_steps, context_steps = _steps(words[part], context[part])
+            yield (POSTINGS, b, chunk, _planes(owner[part]), _planes(word_steps, 5), _planes(context_steps, 5), _planes(times[part]), _planes(own_context[part]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
@@ -145,9 +161,9 @@ def _bigrams(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _sums(chunk: int, buckets: int, owner: np.ndarray, logs: np.ndarray, known: np.ndarray, unknown: np.ndarray) -> tuple:
-    n = int(owner.max()) + 1
-    add = lambda v: np.bincount(owner, v, minlength=n)
-    return (SUMS, chunk % buckets, chunk, _pack(add(logs).astype(np.float32)), _planes(add(known)), _planes(add(unknown)), None, None)
+    distinct, back = np.unique(owner, return_inverse=True)
+    add = lambda v: np.bincount(back, v)
+    return (SUMS, chunk % buckets, chunk, _pack(add(logs).astype(np.float32)), _planes(add(known)), _planes(add(unknown)), _planes(np.diff(distinct, prepend=0)), None)
 
 
 def _counted(postings: DataFrame, buckets: int, backoff: float) -> DataFrame:
@@ -157,9 +173,11 @@ def _counted(postings: DataFrame, buckets: int, backoff: float) -> DataFrame:
         out = [tuple(r) for r in pdf[pdf.kind == DOCUMENTS].itertuples(index=False)]
         rows = list(pdf[pdf.kind == POSTINGS].itertuples())
         if rows:
-            parts = [(np.cumsum(_values(r.a)), _values(r.b, 5), _values(r.c, 5), _values(r.d), _values(r.e)) for r in rows]
-            source = np.repeat(np.arange(len(rows)), [len(p[0]) for p in parts])
-            owner, word, context, times, own_context = (np.concatenate([p[k] for p in parts]) for k in range(5))
+            pairs = [_walked(_values(r.b, 5), _values(r.c, 5)) for r in rows]
+            source = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p[0]) for p in pairs])
+            word, context = (np.concatenate([p[k] for p in pairs]) for k in range(2))
+            del pairs
+            owner, times, own_context = (np.concatenate([_values(getattr(r, k)).astype(np.int32) for r in rows]) for k in ("a", "d", "e"))
             distinct, group = np.unique(word, return_inverse=True)
             each = np.bincount(group, times)
             out.append((COUNTS, rows[0].bucket, 0, _planes(distinct, 5), _planes(each, 5), None, None, None))
@@ -176,8 +194,9 @@ def _counted(postings: DataFrame, buckets: int, backoff: float) -> DataFrame:
             ask = np.flatnonzero(found)
             for b, at in _by(_bucket(context[ask], buckets)):
                 at = ask[at]
+                at = at[np.lexsort((owner[at], source[at], context[at]))]
                 here, local = np.unique(source[at], return_inverse=True)
-                out.append((QUESTIONS, b, 0, _pack(chunks[here]), _planes(local), _planes(owner[at]), _planes(context[at], 5), _planes(times[at], 4) + _planes(own_context[at], 4)))
+                out.append((QUESTIONS, b, 0, _pack(chunks[here]), _planes(local), _planes(owner[at]), _planes(np.diff(context[at], prepend=0), 5), _planes(times[at], 4) + _planes(own_context[at], 4)))
         return pd.DataFrame(out, columns=NAMES)
 
     return postings.groupBy("bucket").applyInPandas(run, PACKED)
@@ -193,7 +212,7 @@ def _answered(counted: DataFrame, buckets: int) -> DataFrame:
             own = pdf[pdf.kind == COUNTS].iloc[0]
             names, counts = _values(own.a, 5), _values(own.b, 5)
             chunk = np.concatenate([np.frombuffer(r.a, np.int64)[_values(r.b)] for r in rows])
-            owner, context = np.concatenate([_values(r.c) for r in rows]), np.concatenate([_values(r.d, 5) for r in rows])
+            owner, context = np.concatenate([_values(r.c) for r in rows]), np.concatenate([np.cumsum(_values(r.d, 5)) for r in rows])
             times = np.concatenate([_values(r.e[: len(r.e) // 2]) for r in rows])
             own_context = np.concatenate([_values(r.e[len(r.e) // 2 :]) for r in rows])
             others = np.maximum(counts[np.searchsorted(names, context)] - own_context, 1)
@@ -219,10 +238,10 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, bytes_per_bucket:
         logs, known, unknown = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
         held = pdf[pdf.kind == SUMS]
         for r in sorted(held.itertuples(), key=lambda r: (r.a, r.b)):
-            part = np.frombuffer(r.a, np.float32)
-            logs[: len(part)] += part
-            known[: len(part)] += _values(r.b)
-            unknown[: len(part)] += _values(r.c)
+            at = np.cumsum(_values(r.d))
+            logs[at] += np.frombuffer(r.a, np.float32)
+            known[at] += _values(r.b)
+            unknown[at] += _values(r.c)
         score = logs - known * np.log(np.maximum(words - n, 1)) - unknown * np.log(words - n + 1.0)
         mean = np.divide(score, n, out=np.full(len(n), np.nan), where=n > 0)
         return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64") if present.all() else pd.Series([int(i) if p else None for i, p in zip(ids, present, strict=True)], dtype="Int64"), "n_words": n, "score": score, "mean_log": mean, "perplexity": np.exp(-mean)})
