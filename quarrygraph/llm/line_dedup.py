@@ -1,14 +1,16 @@
 """Substring dedup by line hashing: of each repeated passage, only the earliest occurrence stays.
 
-A unit is a line. It is normalised (lower case, runs of white space as one space, trimmed) and
-hashed to 128 bits. Digests are grouped over the whole corpus with count and min, which are
-combined before the shuffle, so that a line in a third of all documents moves one row a task.
-The earliest occurrence, ranked by (doc_id, text hash, line number), is kept. The other
-occurrences are repeats, and a run of repeats that follow one another in a document, blank lines
-aside, goes if it holds at least `min_words` words: passages are found whether they stand on one
-line or over many, and short common lines in otherwise new text stay.
-
-Offsets are code points of the original text, the line break left out.
+Units are cut within lines at sentence ends, short sentences running on until a unit has UNIT_WORDS
+words, because passages are also pasted into the middle of paragraphs; a unit never crosses a line.
+A unit is normalised (lower case, runs of white space as one space) and hashed. Digests are grouped
+over the whole corpus with count and min, which are combined before the shuffle, so that a line in
+a third of all documents moves one row a task. The earliest occurrence, ranked by (doc_id, text
+hash, place), is kept. The other occurrences are repeats, and a run of repeats that follow one
+another in a document, blank lines aside, goes if it holds at least `min_words` words: passages are
+found whether they stand on one line, over many or within one, and short common sentences in
+otherwise new text stay. A digest has 64 bits; a chance collision is one unit, too short to go.
+
+Offsets are code points of the original text. A line all of whose units go is left out with its break.
 
 Defined cases: a null text stays null and has nothing removed; blank lines are never units; a
 null doc_id ranks last; rows repeated whole are one document given several times and come out
@@ -28,44 +30,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+SENTENCE = re.compile(r"(?<=[.!?])[\x20\x09\x0B-\x0D]+")
+BLANKS = re.compile(r"[\x20\x09]*")
 MIN_WORDS = 25
-UNITS = "doc_id long, rid long, line int, unit int, start long, end long, words int, d1 long, d2 long"
+UNIT_WORDS = 6
+UNITS = "doc_id long, rid long, unit int, words int, digest long"
+
+
+def units_of(text: str) -> Iterator[tuple[int, int, int, list[str]]]:
+    """(line, start, end, normalised words) of each unit of a text, in order."""
+    base = 0
+    for number, line in enumerate(text.split("\n")):
+        start, words = 0, []
+        for gap in [*SENTENCE.finditer(line), None]:
+            end = gap.start() if gap else len(line)
+            words = WORDS.findall(line[start:end].lower())
+            if words and (gap is None or len(words) >= UNIT_WORDS):
+                yield number, base + start, base + end, words
+                start = gap.end() if gap else end
+        base += len(line) + 1
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    names = ["doc_id", "rid", "line", "unit", "start", "end", "words", "d1", "d2"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    names = ["doc_id", "rid", "unit", "words", "digest"]
+
+    def out(columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
     for batch in batches:
         columns: list[list] = [[] for _ in names]
         for doc, rid, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text")), strict=True):
-            start = unit = 0
-            for line, raw in enumerate((text or "").split("\n")):
-                found = WORDS.findall(raw.lower())
-                if found:
-                    digest = hashlib.blake2b(" ".join(found).encode(), digest_size=16).digest()
-                    row = (doc, rid, line, unit, start, start + len(raw), len(found), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))
-                    for column, value in zip(columns, row, strict=True):
-                        column.append(value)
-                    unit += 1
-                start += len(raw) + 1
+            for unit, (_, _, _, words) in enumerate(units_of(text or "")):
+                digest = hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest()
+                for column, value in zip(columns, (doc, rid, unit, len(words), int.from_bytes(digest, "little", signed=True)), strict=True):
+                    column.append(value)
             if len(columns[0]) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                yield out(columns)
                 columns = [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        yield out(columns)
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, rid, gone) with the lines that go as array<struct<line, start, end, first_doc>>."""
+    """(doc_id, rid, gone) with the units that go as array<struct<unit, first_doc>>."""
     units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text")).mapInArrow(_units, UNITS)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "line")
-    first = units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    again = units.join(first, ["d1", "d2"]).filter(~place.eqNullSafe(F.col("first")))
-    per = again.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set(F.struct("unit", "line", "start", "end", "words", F.col("first.doc_id").alias("first_doc")))).alias("u"))
-    return per.mapInArrow(lambda b: _long_runs(b, min_words), "doc_id long, rid long, gone array<struct<line: int, start: long, end: long, first_doc: long>>")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "unit")
+    first = units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = units.join(first, "digest").filter(~place.eqNullSafe(F.col("first")))
+    per = again.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set(F.struct("unit", "words", F.col("first.doc_id").alias("first_doc")))).alias("u"))
+    return per.mapInArrow(lambda b: _long_runs(b, min_words), "doc_id long, rid long, gone array<struct<unit: int, first_doc: long>>")
 
 
 def _long_runs(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("first_doc", pa.int64())]))
+    kind = pa.list_(pa.struct([("unit", pa.int32()), ("first_doc", pa.int64())]))
     for batch in batches:
         gone = []
         for units in batch.column("u").to_pylist():
@@ -78,19 +95,48 @@ def _long_runs(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa
                 if x is not None:
                     run.append(x)
                     words += x["words"]
-            gone.append([{k: x[k] for k in ("line", "start", "end", "first_doc")} for x in kept])
+            gone.append([{k: x[k] for k in ("unit", "first_doc")} for x in kept])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(gone, kind)], ["doc_id", "rid", "gone"])
 
 
-def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
-    """Texts without the lines listed; both are null where nothing goes."""
+def without(text: str, gone: dict[int, int | None]) -> tuple[str, list[tuple[int, int, int | None]]]:
+    """A text without the units given, and (start, end, first_doc) of what went."""
+    lines: list[list | None] = [[line, 0, 0] for line in text.split("\n")]  # text, units, units gone
+    base = [0]
+    for line, _, _ in lines:
+        base.append(base[-1] + len(line) + 1)
+    cuts: dict[int, list[tuple[int, int]]] = {}
+    removed = []
+    for k, (line, start, end, _) in enumerate(units_of(text)):
+        lines[line][1] += 1
+        if k in gone:
+            lines[line][2] += 1
+            cuts.setdefault(line, []).append((start - base[line], end - base[line]))
+            removed.append((start, end, gone[k]))
     out = []
-    for text, lines in zip(texts, gone, strict=True):
-        if text is not None and lines is not None:
-            drop = set(lines)
-            text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
-        out.append(text)
-    return pd.Series(out, dtype=object)
+    for number, (line, units, less) in enumerate(lines):
+        if less and less == units:
+            continue
+        at, parts = 0, []
+        for start, end in cuts.get(number, ()):
+            parts.append(line[at:start])
+            at = BLANKS.match(line, end).end()
+        out.append("".join([*parts, line[at:]]).strip("\x20\x09") if less else line)
+    return "\n".join(out), removed
+
+
+CLEANED = "text string, removed array<struct<start: long, end: long, first_doc: long>>"
+
+
+def _cleaned(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text, units in zip(texts, gone, strict=True):
+        if text is None or units is None or not len(units):
+            rows.append((text, []))
+        else:
+            clean, removed = without(text, {int(u["unit"]): u["first_doc"] for u in units})
+            rows.append((clean, [{"start": a, "end": b, "first_doc": d} for a, b, d in removed]))
+    return pd.DataFrame(rows, columns=["text", "removed"])
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -98,9 +144,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = repeats(docs, min_words).filter(F.size("gone") > 0).select(F.col("doc_id").alias("g_doc"), F.col("rid").alias("g_rid"), "gone")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("j_doc"), F.xxhash64("text").alias("j_rid"))
     joined = rows.join(gone, F.col("j_doc").eqNullSafe(F.col("g_doc")) & (F.col("j_rid") == F.col("g_rid")), "left")
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.pandas_udf(_without, "string")("row.text", F.transform("gone", lambda x: x["line"])))
+    # only texts that lose something go to Python
+    touched = F.when(F.col("gone").isNotNull(), F.col("row.text").cast("string"))
+    cleaned = joined.withColumn("c", F.pandas_udf(_cleaned, CLEANED)(touched, F.col("gone")))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.col("c.text"))
     own = ("text", "removed", "n_removed")
     columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c == "text" or c not in own]
-    removed = F.transform("gone", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["first_doc"].alias("first_doc")))
-    empty = F.expr("cast(array() as array<struct<start: bigint, end: bigint, first_doc: bigint>>)")
-    return joined.select(*columns, F.coalesce(removed, empty).alias("removed"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return cleaned.select(*columns, F.col("c.removed").alias("removed"), F.size("c.removed").cast("long").alias("n_removed"))

@@ -78,21 +78,6 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.x = d.doc_i
 """
 
 
-OP2_SQL = f"""
-WITH lines AS (SELECT doc_id, hash(text) AS h, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
-starts AS (SELECT *, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lines),
-units AS (SELECT doc_id, i, start, start + length(l) AS stop, regexp_extract_all(lower(l), '{WORD}') AS w FROM starts),
-kept AS (SELECT *, array_to_string(w, ' ') AS t, len(w) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS u FROM units WHERE len(w) > 0),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k, first_value(doc_id) OVER (PARTITION BY t ORDER BY doc_id, i) AS first_doc FROM kept),
-again AS (SELECT *, u - row_number() OVER (PARTITION BY doc_id ORDER BY u) AS run FROM firsts WHERE k > 1),
-gone AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, run) AS total FROM again) WHERE total >= {line_dedup.MIN_WORDS}),
-per AS (SELECT doc_id, count(*) AS n, string_agg(start || '-' || stop, ' ' ORDER BY start) AS removed FROM gone GROUP BY doc_id),
-rest AS (SELECT l.doc_id, string_agg(l.l, chr(10) ORDER BY l.i) AS text FROM lines l ANTI JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(rest.text, '') END AS text, coalesce(per.n, 0) AS n_removed, coalesce(per.removed, '') AS removed
-FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN rest USING (doc_id)
-"""
-
-
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -110,6 +95,5 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_line_dedup": OP2_SQL,
         "op3_jaccard_join": OP3_SQL,
     }

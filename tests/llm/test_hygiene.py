@@ -102,10 +102,49 @@ def test_jaccard_join_on_awkward_rows(awkward, none):
 # --- line dedup ---
 
 
+def brute_dedup(docs):
+    """Texts after removal, by one pass over all units in rank order."""
+    first, out = {}, {}
+    for d, text in sorted(docs):
+        units = list(line_dedup.units_of(text))
+        repeat = [first.setdefault(" ".join(w), (d, k)) != (d, k) for k, (_, _, _, w) in enumerate(units)]
+        gone, k = set(), 0
+        while k < len(units):
+            run = []
+            while k < len(units) and repeat[k]:
+                run.append(k)
+                k += 1
+            if sum(len(units[i][3]) for i in run) >= line_dedup.MIN_WORDS:
+                gone |= set(run)
+            k += 1
+        out[d] = (len(gone), [(units[i][1], units[i][2]) for i in sorted(gone)])
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    out = line_dedup.dedup_lines(spark.read.parquet(f"{sf}/documents.parquet").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_removed"], [(x["start"], x["end"]) for x in r["removed"]]) for r in out} == brute_dedup(docs)
+    text = dict(docs)
+    for r in out:
+        if not r["n_removed"]:
+            assert r["text"] == text[r["doc_id"]]
+        else:  # what went stands at its offsets, what stays is all the rest
+            gone = "".join(text[r["doc_id"]][x["start"] : x["end"]] for x in r["removed"])
+            assert collections.Counter((r["text"] + gone).replace(" ", "").replace("\n", "")) == collections.Counter(text[r["doc_id"]].replace(" ", "").replace("\n", ""))
+
+
+def test_units():
+    cut = lambda t: [(a, b, " ".join(w)) for _, a, b, w in line_dedup.units_of(t)]
+    assert cut("") == cut(" \n\t") == []
+    assert cut("One two. three Four five six! Seven.\n x") == [(0, 29, "one two. three four five six!"), (30, 36, "seven."), (37, 39, "x")]
+
+
 def test_line_dedup_keeps_the_first_and_offsets(spark, awkward, none):
     passage = " ".join(f"p{i}" for i in range(60))
     split = "\n".join(" ".join(f"s{k}x{i}" for i in range(10)) for k in range(6))
-    docs = [(3, f"x\n{passage.upper()}\nshort"), (1, f"{passage}\nshort"), (2, f"head\n\n{split}\ntail"), (4, split), (5, f"new  {passage}"), (6, passage), (6, passage)]
+    inline = " ".join(f"I{k} {' '.join(f'i{k}x{i}' for i in range(12))}." for k in range(6))
+    docs = [(3, f"x\n{passage.upper()}\nshort"), (1, f"{passage}\nshort"), (2, f"head\n\n{split}\ntail"), (4, split), (5, f"new  {passage}"), (6, passage), (6, passage), (7, f"A start. {inline} and an end"), (8, f"other words here {inline} more")]
     rows = {}
     for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect():
         rows.setdefault(r["doc_id"], []).append(r)
@@ -113,6 +152,7 @@ def test_line_dedup_keeps_the_first_and_offsets(spark, awkward, none):
     assert [(x["start"], x["end"], x["first_doc"]) for x in rows[3][0]["removed"]] == [(2, 2 + len(passage), 1), (3 + len(passage), 8 + len(passage), 1)]
     assert rows[2][0]["n_removed"] == 0 and rows[4][0]["text"] == "" and rows[4][0]["n_removed"] == 6
     assert rows[5][0]["n_removed"] == 0 and [r["text"] for r in rows[6]] == ["", ""]
+    assert rows[7][0]["n_removed"] == 0 and rows[8][0]["text"] == docs[8][1].split(" I1")[0] + " more"
     out = line_dedup.dedup_lines(awkward)
     assert out.count() == len(AWKWARD) and set(awkward.columns) <= set(out.columns)
     assert out.filter("text is null").count() == 1 and line_dedup.dedup_lines(none).count() == 0
