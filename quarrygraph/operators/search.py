@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 
+#: fixed values: the least name similarity, and the constant of reciprocal rank fusion
 TRIGRAM_FLOOR = 0.3
 FUSION_K = 60
 
