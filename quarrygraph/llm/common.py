@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,13 @@ class Stash:
             fs.delete(path, True)
 
 
+def release_memory() -> None:
+    """Gives memory that a task's arrays have left free back to the machine, which several workers share."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do without
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def task_place() -> Iterator[tuple[int, int]]:
     """Within a task, names for its chunks that no other task gives: (partition, running number)."""
     context = TaskContext.get()

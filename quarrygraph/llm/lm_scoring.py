@@ -7,13 +7,15 @@ of the whole corpus less the document's own. For a word w after context u,
              = backoff * S(w | u')        otherwise, u' being u without its first word
     S(w)     = c(w) / N                   and 1 / (N + 1) for words of no other document
 
-Counting and joining happen in the same place. Each chunk of documents sends its distinct n-grams
-by document, packed and dealt by the hash of their last word, so a bucket
-sees all counts of an n-gram and of its tail. It decides at which level each occurrence is found.
-What is still open, the count of the context, is asked of the bucket that owns it: the questions
-are dealt by hash, joined to the count table there, and answered with sums by document. The order
-is 2: bigrams are dealt by their second word, and questions by their first. Words are told apart
-by 40 bits of a hash. Nothing is gathered on the driver but the number of bytes and of words.
+Counting and joining happen in the same place. Words and word pairs that are frequent within a
+chunk of documents are hot; the counts of the HOT most frequent of either are summed first, one row
+a chunk, and sent to all tasks, so no task ever gathers the documents of a common word or pair.
+Each chunk sends its other distinct pairs by document, packed and dealt by the hash of the pair, so
+a bucket sees all counts of a pair and decides at which level each occurrence is found. What is
+still open, the count of a context found or of a word backed off to, is asked of the bucket that
+owns the word: questions are dealt by hash, joined to the count table there, and answered with sums
+by document. The order is 2. Words are told apart by 40 bits of a hash. Beside the hot counts,
+nothing is gathered on the driver but the number of bytes and of words.
 
 Defined cases: null and empty texts have 0 words, score 0 and a null perplexity; the first word of
 a text is scored as a word alone; rows repeated whole, or of one doc_id, are documents of their
@@ -31,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, task_place
+from .common import partitions, release_memory, task_place
 from .textpack import LOWER, MIX, buffer_of, finish, slices, span_hashes, word_counts, word_spans
 
 BACKOFF = 0.4
 BYTES_PER_BUCKET = 8 << 20
+HOT, HOT_IN_CHUNK = 20_000, 64
 WORDS_PER_CHUNK = 500_000
 FORTY = np.uint64((1 << 40) - 1)
 POSTINGS, SUMS, QUESTIONS, COUNTS, DOCUMENTS = range(5)
@@ -126,8 +129,58 @@ def _bucket(words: np.ndarray, buckets: int) -> np.ndarray:
     return ((words.astype(np.uint64) >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _bigrams(docs: DataFrame, buckets: int) -> DataFrame:
-    """A chunk's distinct (document, context, word) by the bucket of the word, and its documents."""
+def _pair(context: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """40 bits that stand for a pair of words, even so as not to be a word."""
+    return finish(context.astype(np.uint64) * MIX[3] + words.astype(np.uint64) * MIX[4]) & FORTY & ~np.uint64(1)
+
+
+def _contexts(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    context = np.concatenate((np.zeros(1, np.uint64), words[:-1]))
+    context[np.concatenate(([True], owner[1:] != owner[:-1]))] = 0
+    return context
+
+
+class Hot:
+    """Counts of hot words and pairs, by key."""
+
+    def __init__(self, rows):
+        rows = sorted(rows)
+        self.keys = np.array([r[0] for r in rows], dtype=np.int64)
+        self.counts = np.array([r[1] for r in rows], dtype=np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's count, 0 where it isn't hot."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int64)
+        keys = keys.astype(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0)
+
+
+def _hot(texts: DataFrame) -> list[tuple[int, int]]:
+    """(key, count) of the HOT most frequent words and of as many pairs, counted over all documents."""
+
+    def counted(choose):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, _, words, owner in _chunks(batches):
+                if len(words):
+                    context = _contexts(words, owner)
+                    keys, n = np.unique(np.concatenate([words, _pair(context, words)[context != 0]]).astype(np.int64), return_counts=True)
+                    keep = choose(keys, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(n[keep].astype(np.int64))], ["key", "n"])
+
+        return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+    often = counted(lambda _, n: n >= HOT_IN_CHUNK)
+    top = [often.filter(F.col("key") % 2 == odd).orderBy(F.desc("n"), "key").limit(HOT) for odd in (1, 0)]
+    chosen = np.array(sorted(r["key"] for r in top[0].union(top[1]).collect()), dtype=np.int64)
+    if not len(chosen):
+        return []
+    return [(r["key"], r["n"]) for r in counted(lambda keys, _: np.isin(keys, chosen)).collect()]
+
+
+def _bigrams(texts: DataFrame, buckets: int, hot) -> DataFrame:
+    """A chunk's distinct (document, context, word) by the bucket of the pair, its counts of words that aren't hot, and its documents."""
     kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
     def rows(chunk, ids, n, words, owner):
@@ -135,29 +188,40 @@ def _bigrams(docs: DataFrame, buckets: int) -> DataFrame:
         yield (DOCUMENTS, chunk % buckets, chunk, _pack(np.array([i or 0 for i in ids], dtype=np.int64)), _pack(present), _planes(n), None, None)
         if not len(words):
             return
-        context = np.concatenate((np.zeros(1, np.uint64), words[:-1]))
-        first = np.concatenate(([True], owner[1:] != owner[:-1]))
-        context[first] = 0
+        context = _contexts(words, owner)
         group, groups = _grouped(owner, words)
-        own_context = np.concatenate(([0], np.bincount(group, minlength=groups)[group][:-1]))  # the document's count of the context
+        own_word = np.bincount(group, minlength=groups)[group]  # the document's count of the word
+        own_context = np.concatenate(([0], own_word[:-1]))
         group, groups = _grouped(owner, context, words)
         times = np.bincount(group, minlength=groups)
         at = np.full(groups, len(words))
         np.minimum.at(at, group, np.arange(len(words)))
-        order = np.argsort(at)
-        at, times = at[order], times[order]
-        words, context, owner, own_context = words[at], context[at], owner[at], own_context[at]
-        for b, part in _by(_bucket(words, buckets)):
+        distinct, each = np.unique(words, return_counts=True)
+        cold = hot.value.of(distinct) == 0
+        for b, part in _by(_bucket(distinct[cold], buckets)):
+            yield (COUNTS, b, chunk, _planes(np.diff(distinct[cold][part], prepend=np.uint64(0)), 5), _planes(each[cold][part]), None, None, None)
+        words, context, owner, own_word, own_context = words[at], context[at], owner[at], own_word[at], own_context[at]
+        pair = _pair(context, words)
+        of_pair, of_context = hot.value.of(pair), hot.value.of(context)
+        done = (of_pair > times) & (of_context > 0) & (context != 0)  # found, and both counts are at hand
+        if done.any():
+            logs = (np.log(of_pair[done] - times[done]) - np.log(np.maximum(of_context[done] - own_context[done], 1))) * times[done]
+            zero = np.zeros(int(done.sum()))
+            yield _sums(chunk, buckets, owner[done], logs, zero, zero)
+        rest = np.flatnonzero(~done)
+        for b, part in _by(_bucket(pair[rest], buckets)):
+            part = rest[part]
             part = part[np.lexsort((owner[part], context[part], words[part]))]
             word_steps, context_steps = _steps(words[part], context[part])
-            yield (POSTINGS, b, chunk, _planes(owner[part]), _planes(word_steps, 5), _planes(context_steps, 5), _planes(times[part]), _planes(own_context[part]))
+            yield (POSTINGS, b, chunk, _planes(owner[part]), _planes(word_steps, 5), _planes(context_steps, 5), _planes(times[part]), _planes(own_word[part]) + _planes(own_context[part]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
             for row in rows(*chunk):
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], NAMES)
+            release_memory()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PACKED)
+    return texts.mapInArrow(run, PACKED)
 
 
 def _sums(chunk: int, buckets: int, owner: np.ndarray, logs: np.ndarray, known: np.ndarray, unknown: np.ndarray) -> tuple:
@@ -166,37 +230,38 @@ def _sums(chunk: int, buckets: int, owner: np.ndarray, logs: np.ndarray, known:
     return (SUMS, chunk % buckets, chunk, _pack(add(logs).astype(np.float32)), _planes(add(known)), _planes(add(unknown)), _planes(np.diff(distinct, prepend=0)), None)
 
 
-def _counted(postings: DataFrame, buckets: int, backoff: float) -> DataFrame:
-    """Sums of what a bucket can tell, its table of counts, and questions to the buckets of contexts."""
+def _counted(postings: DataFrame, buckets: int, backoff: float, hot) -> DataFrame:
+    """Sums of what a bucket can tell, and questions to the buckets of words that aren't hot."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [tuple(r) for r in pdf[pdf.kind == DOCUMENTS].itertuples(index=False)]
+        out = [tuple(r) for r in pdf[pdf.kind != POSTINGS].itertuples(index=False)]
         rows = list(pdf[pdf.kind == POSTINGS].itertuples())
         if rows:
             pairs = [_walked(_values(r.b, 5), _values(r.c, 5)) for r in rows]
             source = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p[0]) for p in pairs])
             word, context = (np.concatenate([p[k] for p in pairs]) for k in range(2))
             del pairs
-            owner, times, own_context = (np.concatenate([_values(getattr(r, k)).astype(np.int32) for r in rows]) for k in ("a", "d", "e"))
-            distinct, group = np.unique(word, return_inverse=True)
-            each = np.bincount(group, times)
-            out.append((COUNTS, rows[0].bucket, 0, _planes(distinct, 5), _planes(each, 5), None, None, None))
-            other_words = each[group] - _total(*_grouped(source, owner, word), times)
+            owner, times = (np.concatenate([_values(getattr(r, k)).astype(np.int32) for r in rows]) for k in ("a", "d"))
+            own = [np.concatenate([_values(half).astype(np.int32) for r in rows for half in (r.e[: len(r.e) // 2] if k == 0 else r.e[len(r.e) // 2 :],)]) for k in (0, 1)]
             others = _total(*_grouped(context, word), times) - times
-            opening = context == 0
-            found = (others > 0) & ~opening
-            known, unknown = ~found & (other_words > 0), ~found & (other_words <= 0)
-            logs = np.where(found, np.log(np.maximum(others, 1)), np.where(known, np.log(np.maximum(other_words, 1)), 0.0))
-            logs += np.where(found | opening, 0.0, np.log(backoff))
+            found = (others > 0) & (context != 0)
+            # found pairs ask for their context, others for their word
+            asked, less = np.where(found, context, word), np.where(found, own[1], own[0])
+            count = hot.value.of(asked)
+            rest = np.maximum(count - less, 0)
+            known, unknown = ~found & (rest > 0), ~found & (count > 0) & (rest == 0)
+            logs = np.where(found, np.log(np.maximum(others, 1)), np.where(context != 0, np.log(backoff), 0.0))
+            logs += np.where(count > 0, np.where(found, -1.0, 1.0) * np.log(np.maximum(rest, 1)), 0.0)
             for s, at in _by(source):
                 out.append(_sums(rows[s].chunk, buckets, owner[at], logs[at] * times[at], known[at] * times[at], unknown[at] * times[at]))
             chunks = np.array([r.chunk for r in rows], dtype=np.int64)
-            ask = np.flatnonzero(found)
-            for b, at in _by(_bucket(context[ask], buckets)):
+            ask = np.flatnonzero(count == 0)
+            for b, at in _by(_bucket(asked[ask], buckets)):
                 at = ask[at]
-                at = at[np.lexsort((owner[at], source[at], context[at]))]
+                at = at[np.lexsort((owner[at], source[at], asked[at]))]
                 here, local = np.unique(source[at], return_inverse=True)
-                out.append((QUESTIONS, b, 0, _pack(chunks[here]), _planes(local), _planes(owner[at]), _planes(np.diff(context[at], prepend=0), 5), _planes(times[at], 4) + _planes(own_context[at], 4)))
+                out.append((QUESTIONS, b, 0, _pack(chunks[here]), _planes(local), _planes(owner[at]), _planes(np.diff(asked[at], prepend=0), 5), _planes(2 * times[at].astype(np.int64) + found[at]) + _planes(less[at])))
+        release_memory()
         return pd.DataFrame(out, columns=NAMES)
 
     return postings.groupBy("bucket").applyInPandas(run, PACKED)
@@ -209,17 +274,20 @@ def _answered(counted: DataFrame, buckets: int) -> DataFrame:
         out = [tuple(r) for r in pdf[pdf.kind.isin([DOCUMENTS, SUMS])].itertuples(index=False)]
         rows = list(pdf[pdf.kind == QUESTIONS].itertuples())
         if rows:
-            own = pdf[pdf.kind == COUNTS].iloc[0]
-            names, counts = _values(own.a, 5), _values(own.b, 5)
+            tables = list(pdf[pdf.kind == COUNTS].itertuples())
+            names, back = np.unique(np.concatenate([np.cumsum(_values(r.a, 5)) for r in tables]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([_values(r.b) for r in tables])).astype(np.int64)
             chunk = np.concatenate([np.frombuffer(r.a, np.int64)[_values(r.b)] for r in rows])
-            owner, context = np.concatenate([_values(r.c) for r in rows]), np.concatenate([np.cumsum(_values(r.d, 5)) for r in rows])
-            times = np.concatenate([_values(r.e[: len(r.e) // 2]) for r in rows])
-            own_context = np.concatenate([_values(r.e[len(r.e) // 2 :]) for r in rows])
-            others = np.maximum(counts[np.searchsorted(names, context)] - own_context, 1)
-            logs, zero = -np.log(others) * times, np.zeros(len(times))
+            owner, asked = np.concatenate([_values(r.c) for r in rows]), np.concatenate([np.cumsum(_values(r.d, 5)) for r in rows])
+            times, found = np.divmod(np.concatenate([_values(r.e[: len(r.e) // 2]) for r in rows]), 2)
+            less = np.concatenate([_values(r.e[len(r.e) // 2 :]) for r in rows])
+            rest = counts[np.searchsorted(names, asked)] - less
+            logs = np.where(found == 1, -1.0, 1.0) * np.log(np.maximum(rest, 1)) * times
+            known, unknown = (found == 0) & (rest > 0), (found == 0) & (rest <= 0)
             distinct, back = np.unique(chunk, return_inverse=True)
             for k, at in _by(back):
-                out.append(_sums(int(distinct[k]), buckets, owner[at], logs[at], zero[at], zero[at]))
+                out.append(_sums(int(distinct[k]), buckets, owner[at], logs[at], known[at] * times[at], unknown[at] * times[at]))
+        release_memory()
         return pd.DataFrame(out, columns=NAMES)
 
     return counted.groupBy("bucket").applyInPandas(run, PACKED)
@@ -246,5 +314,7 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, bytes_per_bucket:
         mean = np.divide(score, n, out=np.full(len(n), np.nan), where=n > 0)
         return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64") if present.all() else pd.Series([int(i) if p else None for i, p in zip(ids, present, strict=True)], dtype="Int64"), "n_words": n, "score": score, "mean_log": mean, "perplexity": np.exp(-mean)})
 
-    done = _answered(_counted(_bigrams(docs, buckets), buckets, backoff), buckets).groupBy("chunk").applyInPandas(finished, "doc_id long, n_words long, score double, mean_log double, perplexity double")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hot = spark.sparkContext.broadcast(Hot(_hot(texts)))
+    done = _answered(_counted(_bigrams(texts, buckets, hot), buckets, backoff, hot), buckets).groupBy("chunk").applyInPandas(finished, "doc_id long, n_words long, score double, mean_log double, perplexity double")
     return done.select("doc_id", "n_words", "score", *(F.when(F.col("n_words") > 0, F.col(c)).alias(c) for c in ("mean_log", "perplexity")))
