@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,12 +52,12 @@ def _pack(a: np.ndarray) -> bytes:
 
 
 def _planes(values: np.ndarray, width: int = 4) -> bytes:
-    """Unsigned values of `width` bytes, equal bytes next to one another so that they compress."""
-    return _pack(np.ascontiguousarray(values).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    """Unsigned values of `width` bytes, bytes of equal weight next to one another, compressed: most are small counts."""
+    return zstandard.ZstdCompressor(level=1).compress(_pack(np.ascontiguousarray(values).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T))
 
 
 def _values(planes: bytes, width: int = 4) -> np.ndarray:
-    raw = np.frombuffer(planes, np.uint8).reshape(width, -1)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(planes), np.uint8).reshape(width, -1)
     out = np.zeros((raw.shape[1], 8), dtype=np.uint8)
     out[:, :width] = raw.T
     return out.view(np.int64).reshape(-1)
@@ -78,9 +79,9 @@ def _walked(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _by(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each value of target with the places where it stands, in order."""
-    order = np.argsort(target, kind="stable")
-    if not len(order):
+    if not len(target):
         return
+    order = np.argsort(target.astype(np.uint16) if target.max() < 1 << 16 else target, kind="stable")
     start = np.flatnonzero(np.concatenate(([True], target[order][1:] != target[order][:-1])))
     for a, b in zip(start, [*start[1:], len(order)], strict=True):
         yield int(target[order[a]]), order[a:b]
@@ -213,7 +214,7 @@ def _bigrams(texts: DataFrame, buckets: int, hot) -> DataFrame:
             part = rest[part]
             part = part[np.lexsort((owner[part], context[part], words[part]))]
             word_steps, context_steps = _steps(words[part], context[part])
-            yield (POSTINGS, b, chunk, _planes(owner[part]), _planes(word_steps, 5), _planes(context_steps, 5), _planes(times[part]), _planes(own_word[part]) + _planes(own_context[part]))
+            yield (POSTINGS, b, chunk, _planes(owner[part]), _planes(word_steps, 5), _planes(context_steps, 5), _planes(times[part]), _planes(np.concatenate((own_word[part], own_context[part]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
@@ -242,7 +243,9 @@ def _counted(postings: DataFrame, buckets: int, backoff: float, hot) -> DataFram
             word, context = (np.concatenate([p[k] for p in pairs]) for k in range(2))
             del pairs
             owner, times = (np.concatenate([_values(getattr(r, k)).astype(np.int32) for r in rows]) for k in ("a", "d"))
-            own = [np.concatenate([_values(half).astype(np.int32) for r in rows for half in (r.e[: len(r.e) // 2] if k == 0 else r.e[len(r.e) // 2 :],)]) for k in (0, 1)]
+            halves = [_values(r.e).astype(np.int32).reshape(2, -1) for r in rows]
+            own = [np.concatenate([h[k] for h in halves]) for k in (0, 1)]
+            del halves
             others = _total(*_grouped(context, word), times) - times
             found = (others > 0) & (context != 0)
             # found pairs ask for their context, others for their word
@@ -260,7 +263,7 @@ def _counted(postings: DataFrame, buckets: int, backoff: float, hot) -> DataFram
                 at = ask[at]
                 at = at[np.lexsort((owner[at], source[at], asked[at]))]
                 here, local = np.unique(source[at], return_inverse=True)
-                out.append((QUESTIONS, b, 0, _pack(chunks[here]), _planes(local), _planes(owner[at]), _planes(np.diff(asked[at], prepend=0), 5), _planes(2 * times[at].astype(np.int64) + found[at]) + _planes(less[at])))
+                out.append((QUESTIONS, b, 0, _pack(chunks[here]), _planes(local), _planes(owner[at]), _planes(np.diff(asked[at], prepend=0), 5), _planes(np.concatenate((2 * times[at].astype(np.int64) + found[at], less[at])))))
         release_memory()
         return pd.DataFrame(out, columns=NAMES)
 
@@ -279,8 +282,9 @@ def _answered(counted: DataFrame, buckets: int) -> DataFrame:
             counts = np.bincount(back, np.concatenate([_values(r.b) for r in tables])).astype(np.int64)
             chunk = np.concatenate([np.frombuffer(r.a, np.int64)[_values(r.b)] for r in rows])
             owner, asked = np.concatenate([_values(r.c) for r in rows]), np.concatenate([np.cumsum(_values(r.d, 5)) for r in rows])
-            times, found = np.divmod(np.concatenate([_values(r.e[: len(r.e) // 2]) for r in rows]), 2)
-            less = np.concatenate([_values(r.e[len(r.e) // 2 :]) for r in rows])
+            halves = [_values(r.e).reshape(2, -1) for r in rows]
+            times, found = np.divmod(np.concatenate([h[0] for h in halves]), 2)
+            less = np.concatenate([h[1] for h in halves])
             rest = counts[np.searchsorted(names, asked)] - less
             logs = np.where(found == 1, -1.0, 1.0) * np.log(np.maximum(rest, 1)) * times
             known, unknown = (found == 0) & (rest > 0), (found == 0) & (rest <= 0)
