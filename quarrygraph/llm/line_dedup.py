@@ -1,11 +1,13 @@
 """Substring dedup by line hashing: of each repeated passage, only the earliest occurrence stays.
 
-Units are cut within lines at sentence ends, short sentences running on until a unit has UNIT_WORDS
-words, because passages are also pasted into the middle of paragraphs; a unit never crosses a line.
+Units are cut within lines at the ends of clauses, short clauses running on until a unit has
+UNIT_WORDS words, because passages are also pasted into the middle of paragraphs and sentences, and
+a changed word should cost no more than its clause; a unit never crosses a line.
 A unit is normalised (lower case, runs of white space as one space) and hashed. Digests are grouped
 over the whole corpus with count and min, which are combined before the shuffle, so that a line in
-a third of all documents moves one row a task. The earliest occurrence, ranked by (doc_id, text
-hash, place), is kept. The other occurrences are repeats, and a run of repeats that follow one
+a third of all documents moves one row a task. The digests found twice are written before units are
+joined to them: both sides of the join are then plain exchanges, whose hot partitions adaptive
+execution splits. The earliest occurrence, ranked by (doc_id, text hash, place), is kept. The other occurrences are repeats, and a run of repeats that follow one
 another in a document, blank lines aside, goes if it holds at least `min_words` words: passages are
 found whether they stand on one line, over many or within one, and short common sentences in
 otherwise new text stay. A digest has 64 bits; a chance collision is one unit, too short to go.
@@ -29,8 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Stash
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-SENTENCE = re.compile(r"(?<=[.!?])[\x20\x09\x0B-\x0D]+")
+CLAUSE = re.compile(r"(?<=[.!?,;:])[\x20\x09\x0B-\x0D]+")
 BLANKS = re.compile(r"[\x20\x09]*")
 MIN_WORDS = 25
 UNIT_WORDS = 6
@@ -42,7 +46,7 @@ def units_of(text: str) -> Iterator[tuple[int, int, int, list[str]]]:
     base = 0
     for number, line in enumerate(text.split("\n")):
         start, words = 0, []
-        for gap in [*SENTENCE.finditer(line), None]:
+        for gap in [*CLAUSE.finditer(line), None]:
             end = gap.start() if gap else len(line)
             words = WORDS.findall(line[start:end].lower())
             if words and (gap is None or len(words) >= UNIT_WORDS):
@@ -75,7 +79,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, rid, gone) with the units that go as array<struct<unit, first_doc>>."""
     units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text")).mapInArrow(_units, UNITS)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "unit")
-    first = units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    first = Stash(docs.sparkSession).put(units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     again = units.join(first, "digest").filter(~place.eqNullSafe(F.col("first")))
     per = again.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set(F.struct("unit", "words", F.col("first.doc_id").alias("first_doc")))).alias("u"))
     return per.mapInArrow(lambda b: _long_runs(b, min_words), "doc_id long, rid long, gone array<struct<unit: int, first_doc: long>>")
