@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stash
+from .textpack import slices
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 CLAUSE = re.compile(r"(?<=[.!?,;:])[\x20\x09\x0B-\x0D]+")
@@ -62,7 +63,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(columns):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    for batch in batches:
+    for batch in slices(batches, "text"):
         columns: list[list] = [[] for _ in names]
         for doc, rid, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text")), strict=True):
             for unit, (_, _, _, words) in enumerate(units_of(text or "")):
