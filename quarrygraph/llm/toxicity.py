@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, release_memory
 from .textpack import buffer_of, slices, span_hashes, word_counts, word_spans
 
 MAX_LABELLED = 20_000
@@ -42,6 +42,7 @@ MAX_TERMS = 2_000
 MIN_SUPPORT, SUPPORT_SHARE = 3, 0.004  # a term stands in so many toxic texts, and in this share of them
 MIN_ODDS = 2.5
 WINDOW = 5
+KNOWN_WORDS = 200_000  # answers a task keeps at hand
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’‚‹›…–—¡¿"
 OPENING, CLOSING = "\"“„«‘‹", "\"”“»’›"
 REPORT = frozenset("said says say called calls wrote writes word words term quote quoted quotes says dit dito mot sagte wort dijo palabra".split())
@@ -165,7 +166,7 @@ class Matcher:
         long = np.flatnonzero(ends - starts >= self.shortest)
         hashes, first, back = np.unique(span_hashes(data, starts[long], ends[long]), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        if len(self.known) > 1_000_000:
+        if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         hits = {}
         for i, (a, b) in enumerate(zip(starts[long[first]].tolist(), ends[long[first]].tolist(), strict=True)):
@@ -294,6 +295,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches, "text"):
             value = sent.value.score(sent.value.features(matcher, batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value)], ["doc_id", "score"])
+        del matcher
+        release_memory()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -307,5 +310,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         matcher = Matcher(sent.value.terms)
         for batch in slices(batches, "text"):
             yield batch.filter(pa.array(sent.value.score(sent.value.features(matcher, batch.column("text"))) < 0.5))
+        del matcher
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
