@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, connected_components, partitions, task_place
+from .common import Stash, connected_components, partitions, release_memory, task_place
 from .textpack import finish, shingle_sets, slices
 
 TOKENS_PER_BUCKET = 4_000_000
@@ -138,6 +138,7 @@ def _postings(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         for rows in chunks():
             for row in emit(rows, place):
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+            release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -199,6 +200,7 @@ def _shared(postings: DataFrame, buckets: int) -> DataFrame:
                     owner = _owners(r.counts)
                     out.append((0, r.bucket, r.chunk, _counts(owner[keep], len(r.counts) // 4), *_split(part[keep]), _pack(ranks[at : at + len(part)][keep])))
                 at += len(part)
+        release_memory()
         return pd.DataFrame(out, columns=["kind", "bucket", "chunk", "counts", "low", "high", "ranks"])
 
     return postings.groupBy("bucket").applyInPandas(run, schema)
@@ -229,6 +231,7 @@ def _profiles(shared: DataFrame, percent: int, buckets: int) -> DataFrame:
         for d in np.flatnonzero(n):
             if _room(int(sizes[d]), int(n[d]), percent) > 0:
                 out.append((int(ids[d]), int(keys[d]), int(sizes[d]), int(sizes[d] - n[d]), _pack(tokens[ends[d] - n[d] : ends[d]]), _pack(ranks[ends[d] - n[d] : ends[d]])))
+        release_memory()
         return pd.DataFrame(out, columns=["doc_id", "set_key", "n", "unshared", "tokens", "ranks"])
 
     return shared.groupBy("chunk").applyInPandas(run, schema)
