@@ -6,10 +6,14 @@ vectors before it in that order, by cosine in double precision. Links of all pas
 Rows are ranked by a range-partitioned sort and cut into blocks of ranks, each with the window
 that reaches back over its edge, so no label and no group is ever held by one task.
 
-A vector all of whose window neighbours before it are its links in some pass may have more links
-than windows can show. The groups of such vectors are finished exactly: their components are
-compared whole, block by block, and only counts per vector leave a block, so a large group of near
-copies never turns into all of its pairs.
+Windows alone would lose links of crowds, whatever else stands between them. The first bits of a code,
+about as many as leave CROWD vectors a prefix where codes spread evenly, name its bucket in the
+pass. A bucket that a window can't span is compared whole, block by block, so every pair that
+shares a bucket in some pass is compared, however many vectors are near and whether they link. A
+pair is counted in the first such pass only, and those whose first pass is sure to be an earlier
+one are not brought together again where a block can tell. Only counts per vector and a spanning
+forest leave a block, so a large group of near copies never turns into all of its pairs. A label
+of up to CROWD vectors is one bucket, and exact.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite components, and a
 vector whose label is null, links with nothing and is kept; vectors of different lengths do not
@@ -32,6 +36,7 @@ BITS = 48
 WINDOW = 48
 BLOCK = 1024
 GROUP = 512
+CROWD = 1024
 
 
 def planes(dim: int, number: int, seed: int = 11) -> np.ndarray:
@@ -53,7 +58,10 @@ def _unit(v: pd.Series) -> np.ndarray:
 
 
 def _coded(rows: DataFrame, passes: int) -> DataFrame:
-    """A row for each pass with the vector's code in it."""
+    """A row for each pass with the vector's code and bucket in it."""
+    sizes = rows.groupBy("label", F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    depth = F.least(F.greatest(F.ceil(F.log2(F.col("n") / CROWD)), F.lit(0)), F.lit(BITS)).cast("int")
+    sized = rows.withColumn("dim", F.size("v")).join(sizes.select("label", "dim", depth.alias("depth")), ["label", "dim"]).select("vec_id", "label", "v", "depth")
 
     def run(frames):
         for pdf in frames:
@@ -62,33 +70,57 @@ def _coded(rows: DataFrame, passes: int) -> DataFrame:
                 for p in range(passes):
                     bits = unit @ planes(int(dim), p) > 0
                     code = (bits.astype(np.int64) << np.arange(BITS - 1, -1, -1)).sum(axis=1)
-                    yield pd.DataFrame({"pass": p, "label": part.label, "dim": int(dim), "code": code, "vec_id": part.vec_id})
+                    yield pd.DataFrame({"pass": p, "label": part.label, "dim": int(dim), "code": code, "vec_id": part.vec_id, "bucket": code >> (BITS - part.depth.to_numpy(np.int64))})
 
-    return rows.mapInPandas(run, "pass int, label string, dim int, code long, vec_id long")
+    return sized.mapInPandas(run, "pass int, label string, dim int, code long, vec_id long, bucket long")
 
 
-def _ranked(coded: DataFrame, stash: Stash) -> DataFrame:
-    """vec_id, pass, family (of label and length) and rank in the order of the pass, without a global window."""
+def _placed(coded: DataFrame, stash: Stash) -> DataFrame:
+    """The codes in the order of their passes, with partition and place in it."""
     n = partitions(coded.sparkSession)
     order = ["pass", "label", "dim", "code", "vec_id"]
-    placed = coded.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*order, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    placed = stash.put(placed)
+    placed = coded.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*order, "bucket", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    return stash.put(placed)
+
+
+def _ranked(placed: DataFrame) -> DataFrame:
+    """vec_id, pass, family (of label and length) and rank in the order of the pass, without a global window."""
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))  # a row a partition
     sizes = sizes.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     return placed.join(F.broadcast(sizes), "part").select("pass", "label", "dim", "vec_id", (F.col("before") + F.col("at") - F.col("first")).alias("rank"))
 
 
-def similar_pairs(rows: DataFrame, stash: Stash, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """(src, dst, full) of the links that windows show; full says that src's window held links only."""
-    ranked = _ranked(_coded(rows, passes), stash)
+IN = ["pass", "label", "dim", "bucket"]
+
+
+def _crowds(placed: DataFrame, rows: DataFrame, passes: int, window: int, stash: Stash) -> tuple[DataFrame, DataFrame]:
+    """(members of the buckets that windows can't span, vec_id and v with `crowds`, its bucket in each pass or -1)."""
+    crowded = placed.groupBy(*IN).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > window).drop("m")
+    members = stash.put(placed.join(crowded, IN).select(*IN, "vec_id"))
+    of_pass = [F.coalesce(F.max(F.when(F.col("pass") == p, F.col("bucket"))), F.lit(-1).cast("long")) for p in range(passes)]
+    crowds = members.groupBy("vec_id").agg(F.array(*of_pass).alias("crowds"))
+    nowhere = F.array_repeat(F.lit(-1).cast("long"), passes)
+    return members, stash.put(rows.select("vec_id", "v").join(crowds, "vec_id", "left").withColumn("crowds", F.coalesce("crowds", nowhere)))
+
+
+def _shared(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The first pass in which the vectors of each pair are in one crowd, or the number of passes."""
+    same = (one == two) & (one >= 0)
+    return np.where(same.any(axis=1), same.argmax(axis=1), same.shape[1])
+
+
+def window_pairs(placed: DataFrame, rows: DataFrame, threshold: float, window: int) -> DataFrame:
+    """(src, dst) of the links that windows show, but for those within crowds."""
+    ranked = _ranked(placed)
     block = F.floor(F.col("rank") / BLOCK)
     tail = ranked.filter(F.col("rank") % BLOCK >= BLOCK - window)
     cut = ranked.select("*", block.alias("block")).union(tail.select("*", (block + 1).alias("block")))
-    joined = cut.join(rows.select("vec_id", "v"), "vec_id")
+    joined = cut.join(rows, "vec_id")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
         ids, rank = pdf.vec_id.to_numpy(), pdf["rank"].to_numpy()
+        crowds = np.stack(pdf.crowds)
         own = rank // BLOCK == key[0]
         found = []
         for _, at in pd.Series(np.arange(len(pdf))).groupby([pdf[c].to_numpy() for c in ("pass", "label", "dim")], sort=False):
@@ -101,13 +133,69 @@ def similar_pairs(rows: DataFrame, stash: Stash, threshold: float = THRESHOLD, p
                 i, j = np.nonzero(cosine >= threshold)
                 i, j = i + start, j + low
                 near = (j < i) & (i - j <= window) & own[at[i]]
-                i, j = i[near], j[near]
-                n = np.bincount(i, minlength=len(at))
-                found.append(pd.DataFrame({"src": ids[at[i]], "dst": ids[at[j]], "full": n[i] >= window}))
-        return pd.concat(found) if found else pd.DataFrame({"src": [], "dst": [], "full": []})
+                i, j = at[i[near]], at[j[near]]
+                apart = _shared(crowds[i], crowds[j]) == crowds.shape[1]
+                found.append(pd.DataFrame({"src": ids[i[apart]], "dst": ids[j[apart]]}))
+        return pd.concat(found) if found else pd.DataFrame({"src": [], "dst": []})
+
+    pairs = joined.groupBy("block").applyInPandas(compare, "src long, dst long")
+    return pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+
+
+def _forest(linked: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of ids that connect what the links between two blocks, or within one, connect."""
+    out = []
+    left, right = linked.any(axis=1), linked.any(axis=0)  # not reached yet
+    for first in np.flatnonzero(left):
+        if not left[first]:
+            continue
+        left[first] = False
+        front = np.array([first])
+        while len(front):
+            over = np.flatnonzero(linked[front].any(axis=0) & right)
+            right[over] = False
+            front = np.flatnonzero(linked[:, over].any(axis=1) & left)
+            left[front] = False
+            out += [(int(one[first]), int(x)) for x in [*two[over], *one[front]] if x != one[first]]
+    return out
+
+
+def crowd_links(members: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst, n) of what crowds link: the number of links of src where dst is null, and pairs that connect its groups."""
+    crowds = members.join(rows.select("vec_id", F.col("crowds")[0].alias("before")), "vec_id").withColumn("cell", F.when(F.col("pass") > 0, F.col("before")).otherwise(F.lit(-1).cast("long"))).drop("before")
+    # vectors of one crowd of the first pass, a cell, have met there; small cells are mixed
+    cells = crowds.groupBy(*IN, "cell").agg(F.count(F.lit(1)).alias("m")).withColumn("own", F.when(F.col("m") >= GROUP, F.col("cell")).otherwise(F.lit(-1).cast("long")))
+    by = Window.partitionBy(*IN)
+    owns = cells.groupBy(*IN, "own").agg(F.ceil(F.sum("m") / GROUP).cast("int").alias("parts"))
+    owns = owns.select(*IN, "own", "parts", (F.sum("parts").over(by.orderBy("own")) - F.col("parts")).cast("int").alias("first"), F.sum("parts").over(by).cast("int").alias("blocks"))
+    dealt = crowds.join(cells.drop("m").join(owns, [*IN, "own"]), [*IN, "cell"])
+    dealt = dealt.withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+    new = lambda x: (F.col("own") < 0) | (x < F.col("first")) | (x >= F.col("first") + F.col("parts"))
+    # block i meets block j once, for i <= j
+    left = dealt.select("*", F.explode(F.filter(F.sequence("block", F.col("blocks") - 1), new)).alias("j")).select(*IN, F.col("block").alias("i"), "j", F.lit(0).alias("side"), "vec_id")
+    right = dealt.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.col("block")), lambda x: (x < F.col("block")) & new(x))).alias("i")).select(*IN, "i", F.col("block").alias("j"), F.lit(1).alias("side"), "vec_id")
 
-    pairs = joined.groupBy("block").applyInPandas(compare, "src long, dst long, full boolean")
-    return pairs.groupBy(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).agg(F.max("full").alias("full"))
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf[pdf.side == 0]
+        two = one if key[4] == key[5] else pdf[pdf.side == 1]
+        if one.empty or two.empty:
+            return pd.DataFrame({"src": [], "dst": [], "n": []})
+        linked = _unit(one.v) @ _unit(two.v).T >= threshold
+        if two is one:
+            np.fill_diagonal(linked, False)
+        i, j = np.nonzero(linked)
+        of_one, of_two = np.stack(one.crowds), np.stack(two.crowds)
+        for start in range(0, len(i), 1 << 16):
+            a, b = i[start : start + (1 << 16)], j[start : start + (1 << 16)]
+            linked[a, b] = _shared(of_one[a], of_two[b]) == key[0]
+        ids, others = one.vec_id.to_numpy(), two.vec_id.to_numpy()
+        counts = [(ids, linked.sum(axis=1))] + ([] if two is one else [(others, linked.sum(axis=0))])
+        found = pd.DataFrame({"src": np.concatenate([c[0] for c in counts]), "dst": None, "n": np.concatenate([c[1] for c in counts])})
+        pairs = _forest(linked, ids, others)
+        found = pd.concat([found[found.n > 0].astype({"dst": "Int64"}), pd.DataFrame({"src": [x for x, _ in pairs], "dst": pd.array([y for _, y in pairs], dtype="Int64"), "n": 0})])
+        return found.astype({"src": "int64", "n": "int64"})
+
+    return left.union(right).join(rows, "vec_id").groupBy(*IN, "i", "j").applyInPandas(compare, "src long, dst long, n long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, stash: Stash | None = None) -> DataFrame:
@@ -115,31 +203,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     spark = vectors.sparkSession
     stash = stash or Stash(spark)
     rows = stash.put(usable(vectors))
-    pairs = stash.put(similar_pairs(rows, stash, threshold, passes, window))
-    component = stash.put(connected_components(pairs, stash))
-    ends = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id")))
-    counts = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    # components in which some window was full are compared whole
-    full = pairs.filter("full").select(F.col("src").alias("node")).distinct().join(component, "node").select("component").distinct()
-    dense = component.join(full, "component").join(component.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "component")
-    parts = F.ceil(F.col("m") / GROUP).cast("int")
-    dense = dense.select("component", F.col("node").alias("vec_id"), parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    # block i meets block j once, for i <= j
-    left = dense.select("*", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j")).select("component", F.col("part").alias("i"), "j", F.lit(0).alias("side"), "vec_id")
-    right = dense.select("*", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i")).filter("i < part").select("component", "i", F.col("part").alias("j"), F.lit(1).alias("side"), "vec_id")
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        a = _unit(one.v)
-        if two.empty:
-            linked = (a @ a.T >= threshold) & ~np.eye(len(a), dtype=bool) if pdf.i.iloc[0] == pdf.j.iloc[0] else np.zeros((len(a), 0), bool)
-            return pd.DataFrame({"id": one.vec_id, "n": linked.sum(axis=1)})
-        linked = a @ _unit(two.v).T >= threshold
-        return pd.DataFrame({"id": np.concatenate([one.vec_id, two.vec_id]), "n": np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])})
-
-    whole = left.union(right).join(rows.select("vec_id", "v"), "vec_id").groupBy("component", "i", "j").applyInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("whole"))
-    linked = component.join(counts, F.col("node") == F.col("id"), "left").drop("id").join(whole, F.col("node") == F.col("id"), "left")
-    linked = linked.select("node", "component", F.coalesce("whole", "n").alias("n"))
+    placed = _placed(_coded(rows, passes), stash)
+    members, rows = _crowds(placed, rows, passes, window, stash)
+    pairs = stash.put(window_pairs(placed, rows, threshold, window))
+    crowded = stash.put(crowd_links(members, rows, threshold))
+    component = stash.put(connected_components(pairs.union(crowded.filter("dst is not null").select("src", "dst")), stash))
+    one = F.lit(1).cast("long")
+    ends = pairs.select(F.col("src").alias("id"), one.alias("n")).union(pairs.select(F.col("dst"), one)).union(crowded.filter("dst is null").select("src", "n"))
+    counts = ends.groupBy("id").agg(F.sum("n").alias("n"))
+    linked = component.join(counts, F.col("node") == F.col("id"), "left").select("node", "component", "n")
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     out = ids.join(linked, F.col("vec_id") == F.col("node"), "left")
     root = F.coalesce("component", "vec_id")

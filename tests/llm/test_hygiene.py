@@ -324,6 +324,18 @@ def test_embedding_dedup_equals_brute_force(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_embedding_dedup_counts_all_links_of_a_borderline_crowd(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(64)
+    centre *= 8 / np.linalg.norm(centre)
+    points = (centre + 0.16 * rng.standard_normal((2500, 64))).astype(np.float32)
+    unit = points.astype(float) / np.linalg.norm(points.astype(float), axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.98) & ~np.eye(len(unit), dtype=bool)
+    assert 0.05 < linked.mean() < 0.3 and len(points) > 2 * embedding_dedup.WINDOW * embedding_dedup.PASSES
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(points)])).collect()}
+    assert [got[i] for i in range(len(points))] == linked.sum(axis=1).tolist()
+
+
 def test_embedding_dedup_on_awkward_rows(spark):
     v = [1.0, 2.0]
     rows = [(1, v, 0), (2, v, 0), (3, v, 1), (4, None, 0), (5, [], 0), (6, [0.0, 0.0], 0), (7, [1.0, None], 0), (8, [float("nan"), 1.0], 0), (9, [float("inf"), 1.0], 0), (10, v, None), (11, [1.0, 2.0, 3.0], 0), (12, v, 0), (12, v, 0), (13, [1e-30, 2e-30], 0)]
