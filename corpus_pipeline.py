@@ -33,7 +33,7 @@ def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand in an earlier document; texts left blank go."""
-    deduped = line_dedup.dedup_lines(docs)
+    deduped = line_dedup.dedup_lines(docs, spans=True)
     kept = deduped.filter((F.col("n_removed") == 0) | F.col("text").rlike(mixing.WORD))
     return kept.select(docs.columns)
 

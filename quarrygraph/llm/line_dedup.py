@@ -12,6 +12,12 @@ another in a document, blank lines aside, goes if it holds at least `min_words`
 found whether they stand on one line, over many or within one, and short common sentences in
 otherwise new text stay. A digest has 64 bits; a chance collision is one unit, too short to go.
 
+With `spans`, passages are also found whatever surrounds them. Runs of SEED words are hashed, and the
+least hash of each SPAN_WORDS - SEED + 1 runs is a seed, so that any SPAN_WORDS words in a row give the
+same seed wherever they stand. A repeated seed is laid on its first occurrence and the match extended
+word by word on both sides, over clauses and lines; it goes if it reaches SPAN_WORDS
+words. Within one document a span counts if it starts that many words after its first occurrence.
+
 Offsets are code points of the original text. A line all of whose units go is left out with its break.
 
 Defined cases: a null text stays null and has nothing removed; blank lines are never units; a
@@ -26,19 +32,22 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stash
-from .textpack import slices
+from .textpack import MIX, buffer_of, finish, slices, span_hashes, word_counts, word_spans
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 CLAUSE = re.compile(r"(?<=[.!?,;:])[\x20\x09\x0B-\x0D]+")
 BLANKS = re.compile(r"[\x20\x09]*")
 MIN_WORDS = 25
 UNIT_WORDS = 6
+SPAN_WORDS, SEED = 50, 12
 UNITS = "doc_id long, rid long, unit int, words int, digest long"
 
 
@@ -56,34 +65,136 @@ def units_of(text: str) -> Iterator[tuple[int, int, int, list[str]]]:
         base += len(line) + 1
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
+    """The least or greatest of each `width` values in a row."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = best(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def seeds_of(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place of its first word in the text, and digest of each seed, given the words' hashes and their number by text."""
+    window = SPAN_WORDS - SEED + 1
+    n = len(hashes) - SEED + 1
+    if n < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    runs = np.zeros(n, dtype=np.uint64)
+    for k in range(SEED):
+        runs += hashes[k : k + n] * MIX[k]
+    runs = finish(runs)
+    ends = np.cumsum(counts)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    least = _sliding(runs, window, np.minimum)
+    least[np.arange(len(least)) + SPAN_WORDS > ends[owner[: len(least)]]] = 0  # over the end of a text
+    edge = np.zeros(window - 1, dtype=np.uint64)
+    at = np.flatnonzero(_sliding(np.concatenate((edge, least, edge)), window, np.maximum) == runs)
+    return owner[at], at - (ends - counts)[owner[at]], runs[at].view(np.int64)
+
+
+def _units(batches: Iterator[pa.RecordBatch], spans: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows of units; a seed has 0 words, and the place of its first word as its unit."""
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
     names = ["doc_id", "rid", "unit", "words", "digest"]
 
     def out(columns):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     for batch in slices(batches, "text"):
         columns: list[list] = [[] for _ in names]
+        if spans:
+            data, offsets = buffer_of(pc.utf8_lower(batch.column("text")))
+            starts, ends = word_spans(data, offsets)
+            of, at, digests = seeds_of(span_hashes(data, starts, ends), word_counts(starts, offsets))
+            yield out([batch.column("doc_id").take(pa.array(of)), batch.column("rid").take(pa.array(of)), at.astype(np.int32), np.zeros(len(at), np.int32), digests])
         for doc, rid, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text")), strict=True):
-            for unit, (_, _, _, words) in enumerate(units_of(text or "")):
-                digest = hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest()
-                for column, value in zip(columns, (doc, rid, unit, len(words), int.from_bytes(digest, "little", signed=True)), strict=True):
-                    column.append(value)
+            found = [words for _, _, _, words in units_of(text or "")]
+            digests = [hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest() for words in found]
+            n = len(found)
+            for column, values in zip(columns, ([doc] * n, [rid] * n, range(n), map(len, found), np.frombuffer(b"".join(digests), "<i8").tolist()), strict=True):
+                column.extend(values)
             if len(columns[0]) >= 50_000:
                 yield out(columns)
                 columns = [[] for _ in names]
         yield out(columns)
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, rid, gone) with the units that go as array<struct<unit, first_doc>>."""
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text")).mapInArrow(_units, UNITS)
+PIECES = "array<struct<start: long, end: long, first_doc: long>>"
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, spans: bool = False) -> DataFrame:
+    """(doc_id, rid, gone, spans) with the units that go as array<struct<unit, first_doc>>, and spans by code points."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text"))
+    units = texts.mapInArrow(lambda b: _units(b, spans), UNITS)
+    stash = Stash(docs.sparkSession)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "unit")
-    first = Stash(docs.sparkSession).put(units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    again = units.join(first, "digest").filter(~place.eqNullSafe(F.col("first")))
-    per = again.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set(F.struct("unit", "words", F.col("first.doc_id").alias("first_doc")))).alias("u"))
-    return per.mapInArrow(lambda b: _long_runs(b, min_words), "doc_id long, rid long, gone array<struct<unit: int, first_doc: long>>")
+    # a seed and a unit of one digest are different things
+    key = ["digest", F.expr("words = 0").alias("seed")]
+    first = stash.put(units.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    again = units.withColumn("seed", F.expr("words = 0")).join(first, ["digest", "seed"]).filter(~place.eqNullSafe(F.col("first")))
+    if spans:
+        again = stash.put(again.select("doc_id", "rid", "unit", "words", "first"))
+    per = again.filter("words > 0").groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set(F.struct("unit", "words", F.col("first.doc_id").alias("first_doc")))).alias("u"))
+    gone = per.mapInArrow(lambda b: _long_runs(b, min_words), "doc_id long, rid long, gone array<struct<unit: int, first_doc: long>>").filter(F.size("gone") > 0)
+    if not spans:
+        return gone.withColumn("spans", F.lit(None).cast(PIECES))
+    found = _exact(again.filter("words = 0"), texts).select(F.col("doc_id").alias("s_doc"), F.col("rid").alias("s_rid"), "spans")
+    both = gone.join(found, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("rid") == F.col("s_rid")), "full")
+    # a null doc_id is told from a missing side by the text hash, which is never null
+    return both.select(F.when(F.col("rid").isNotNull(), F.col("doc_id")).otherwise(F.col("s_doc")).alias("doc_id"), F.coalesce("rid", "s_rid").alias("rid"), "gone", "spans")
+
+
+def _exact(seeds: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, rid, spans) of the spans around repeated seeds that stand at their first occurrences too."""
+    pairs = seeds.groupBy("doc_id", "rid", F.col("first.doc_id").alias("f_doc"), F.col("first.rid").alias("f_rid")).agg(F.collect_set(F.struct(F.col("unit").alias("at"), F.col("first.unit").alias("f_at"))).alias("seeds"))
+    early = texts.select(F.col("doc_id").alias("e_doc"), F.col("rid").alias("e_rid"), F.col("text").alias("early"))
+    late = texts.select(F.col("doc_id").alias("l_doc"), F.col("rid").alias("l_rid"), F.col("text").alias("late"))
+    joined = pairs.join(early, F.col("f_doc").eqNullSafe(F.col("e_doc")) & (F.col("f_rid") == F.col("e_rid")))
+    joined = joined.join(late, F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("rid") == F.col("l_rid")))
+    found = joined.select("doc_id", "rid", "f_doc", F.expr("doc_id <=> f_doc and rid = f_rid").alias("same"), "seeds", "early", "late").mapInArrow(_matched, f"doc_id long, rid long, spans {PIECES}")
+    pieces = found.select("doc_id", "rid", F.explode("spans").alias("x"))
+    return pieces.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set("x")).alias("spans"))
+
+
+def _words(text: str) -> list[bytes]:
+    """Lower-case words; bytes are split at the white space of WORDS and no other."""
+    return text.lower().encode().split()
+
+
+def shared_spans(late: str, words: list[bytes], others: list[bytes], seeds: list[tuple[int, int]], same: bool) -> list[tuple[int, int]]:
+    """(start, end) of the spans of the later text that hold a seed and stand in the earlier one, given the words of both."""
+    out, done = [], {}
+    for at, there in sorted(seeds):
+        shift = at - there
+        if at < done.get(shift, 0) or (same and shift < SPAN_WORDS):
+            continue
+        low, high = at, at
+        while low > 0 and low > shift and words[low - 1] == others[low - 1 - shift]:
+            low -= 1
+        while high < len(words) and high - shift < len(others) and words[high] == others[high - shift]:
+            high += 1
+        done[shift] = high
+        if high - low >= SPAN_WORDS:
+            out.append((low, high))
+    if not out:
+        return []
+    places = [m.span() for m in WORDS.finditer(late)]
+    return [(places[a][0], places[b - 1][1]) for a, b in out]
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_doc", pa.int64())]))
+    for batch in (x for b in batches for x in slices([b], "late")):
+        spans, before, words = [], None, []
+        for k in range(batch.num_rows):
+            f_doc, same, seeds, early, late = (batch.column(c)[k].as_py() for c in ("f_doc", "same", "seeds", "early", "late"))
+            if late != before:  # rows of a document follow one another
+                before, words = late, _words(late)
+            found = shared_spans(late, words, words if same else _words(early), [(x["at"], x["f_at"]) for x in seeds], same)
+            spans.append([{"start": a, "end": b, "first_doc": f_doc} for a, b in found])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(spans, kind)], ["doc_id", "rid", "spans"])
 
 
 def _long_runs(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -104,55 +215,63 @@ def _long_runs(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(gone, kind)], ["doc_id", "rid", "gone"])
 
 
-def without(text: str, gone: dict[int, int | None]) -> tuple[str, list[tuple[int, int, int | None]]]:
-    """A text without the units given, and (start, end, first_doc) of what went."""
-    lines: list[list | None] = [[line, 0, 0] for line in text.split("\n")]  # text, units, units gone
-    base = [0]
-    for line, _, _ in lines:
-        base.append(base[-1] + len(line) + 1)
-    cuts: dict[int, list[tuple[int, int]]] = {}
-    removed = []
-    for k, (line, start, end, _) in enumerate(units_of(text)):
-        lines[line][1] += 1
-        if k in gone:
-            lines[line][2] += 1
-            cuts.setdefault(line, []).append((start - base[line], end - base[line]))
-            removed.append((start, end, gone[k]))
-    out = []
-    for number, (line, units, less) in enumerate(lines):
-        if less and less == units:
-            continue
-        at, parts = 0, []
-        for start, end in cuts.get(number, ()):
-            parts.append(line[at:start])
-            at = BLANKS.match(line, end).end()
-        out.append("".join([*parts, line[at:]]).strip("\x20\x09") if less else line)
+def merged(pieces: list[tuple[int, int, int | None]]) -> list[tuple[int, int, int | None]]:
+    """The pieces in order, without what an earlier or longer one holds."""
+    out, at = [], 0
+    for start, end, first in sorted(pieces, key=lambda x: (x[0], -x[1])):
+        if end > at:
+            out.append((max(start, at), end, first))
+            at = end
+    return out
+
+
+def without(text: str, gone: dict[int, int | None], spans: list[tuple[int, int, int | None]] = ()) -> tuple[str, list[tuple[int, int, int | None]]]:
+    """A text without the units and spans given, and (start, end, first_doc) of what went."""
+    units = [(start, end, gone[k]) for k, (_, start, end, _) in enumerate(units_of(text)) if k in gone]
+    removed = merged([*units, *spans])
+    out, base, k = [], 0, 0
+    for line in text.split("\n"):
+        stop, at, parts = base + len(line), 0, []
+        while k < len(removed) and removed[k][1] <= base:
+            k += 1
+        here = k
+        while here < len(removed) and removed[here][0] < stop:
+            parts.append(line[at : max(removed[here][0] - base, at)])
+            at = BLANKS.match(line, min(removed[here][1], stop) - base).end()
+            here += 1
+        left = "".join([*parts, line[at:]])
+        if not parts:
+            out.append(line)
+        elif WORDS.search(left):
+            out.append(left.strip("\x20\x09"))
+        base = stop + 1
     return "\n".join(out), removed
 
 
-CLEANED = "text string, removed array<struct<start: long, end: long, first_doc: long>>"
+CLEANED = f"text string, removed {PIECES}"
 
 
-def _cleaned(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+def _cleaned(texts: pd.Series, gone: pd.Series, spans: pd.Series) -> pd.DataFrame:
     rows = []
-    for text, units in zip(texts, gone, strict=True):
-        if text is None or units is None or not len(units):
+    for text, units, more in zip(texts, gone, spans, strict=True):
+        units, more = ([] if x is None else x for x in (units, more))
+        if text is None or not len(units) + len(more):
             rows.append((text, []))
         else:
-            clean, removed = without(text, {int(u["unit"]): u["first_doc"] for u in units})
+            clean, removed = without(text, {int(u["unit"]): u["first_doc"] for u in units}, [(int(x["start"]), int(x["end"]), x["first_doc"]) for x in more])
             rows.append((clean, [{"start": a, "end": b, "first_doc": d} for a, b, d in removed]))
     return pd.DataFrame(rows, columns=["text", "removed"])
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, spans: bool = False) -> DataFrame:
     """All rows with repeated passages taken out of `text`, and `removed` and `n_removed` beside them."""
-    gone = repeats(docs, min_words).filter(F.size("gone") > 0).select(F.col("doc_id").alias("g_doc"), F.col("rid").alias("g_rid"), "gone")
+    gone = repeats(docs, min_words, spans).select(F.col("doc_id").alias("g_doc"), F.col("rid").alias("g_rid"), "gone", "spans")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("j_doc"), F.xxhash64("text").alias("j_rid"))
     joined = rows.join(gone, F.col("j_doc").eqNullSafe(F.col("g_doc")) & (F.col("j_rid") == F.col("g_rid")), "left")
     # only texts that lose something go to Python
-    touched = F.when(F.col("gone").isNotNull(), F.col("row.text").cast("string"))
-    cleaned = joined.withColumn("c", F.pandas_udf(_cleaned, CLEANED)(touched, F.col("gone")))
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.col("c.text"))
+    touched = F.when(F.col("g_rid").isNotNull(), F.col("row.text").cast("string"))
+    cleaned = joined.withColumn("c", F.pandas_udf(_cleaned, CLEANED)(touched, F.col("gone"), F.col("spans")))
+    text = F.when(F.col("g_rid").isNull(), F.col("row.text")).otherwise(F.col("c.text"))
     own = ("text", "removed", "n_removed")
     columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c == "text" or c not in own]
     return cleaned.select(*columns, F.col("c.removed").alias("removed"), F.size("c.removed").cast("long").alias("n_removed"))

@@ -21,7 +21,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), spans=True).select(
         "doc_id", "text", "n_removed", F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), " ").alias("removed")
     )
 

@@ -158,6 +158,24 @@ def test_line_dedup_keeps_the_first_and_offsets(spark, awkward, none):
     assert out.filter("text is null").count() == 1 and line_dedup.dedup_lines(none).count() == 0
 
 
+def test_spans_are_found_whatever_surrounds_them(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"é{rng.randrange(10**6)}" + rng.choice(["", "", ".", ","]) for _ in range(n)]
+    passages = [words(55) for _ in range(30)]
+    docs = [(k, " ".join([*words(20 + k), *p, *words(9)])) for k, p in enumerate(passages)]
+    for k, p in enumerate(passages):
+        docs.append((100 + k, " ".join(words(7)) + "\n" + " ".join([*words(30 - k), *p[:20]]).upper() + "\n" + " ".join([*p[20:], *words(11)])))
+    docs += [(None, docs[0][1]), (200, " ".join(["so"] * 49)), (201, " ".join(["so"] * 49)), (202, None), (203, "la " * 200)]
+    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spans=True).collect()}
+    text = dict(docs)
+    for k, p in enumerate(passages):
+        r, before = rows[100 + k], text[100 + k].split()
+        assert rows[k]["text"] == text[k] and [x["first_doc"] for x in r["removed"]] == [k]
+        assert text[100 + k][r["removed"][0]["start"] : r["removed"][0]["end"]].lower().split() == p
+        assert r["text"].split() == before[: 7 + 30 - k] + before[-11:]
+    assert len(rows) == len(docs) and rows[None]["text"] == "" and rows[202]["text"] is None and rows[200]["text"] == text[200]
+
+
 # --- decontamination ---
 
 
