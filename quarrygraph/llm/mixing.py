@@ -172,9 +172,17 @@ def draw(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS,
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words, repeats counted), one row a document."""
-    rows, _, _ = draw(docs.select("doc_id", "source", "text"), **options)
-    return rows.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("row.source").alias("source"), "copies")
+    """doc_id, source, size, source_size, target, taken (words, repeats counted), copies and their shards, one row a document.
+
+    Copies are those that the dealt blocks take, so they are the rows of `mix`; shards has one for each copy.
+    """
+    rows, _, blocks = draw(docs.select("doc_id", "source", "text"), **options)
+    dealt = blocks.groupBy("b_s", "digit").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("dealt"))
+    rows = rows.withColumn("own", F.shiftright("key", BITS * (LEVELS - 1)))
+    joined = rows.join(F.broadcast(dealt), F.col("s").eqNullSafe(F.col("b_s")) & (F.col("own") == F.col("digit")), "left")
+    shards = F.transform(F.filter("dealt", lambda x: x["pass"] < F.col("copies")), lambda x: x["shard"])
+    out = joined.withColumn("shards", F.coalesce(shards, F.array().cast("array<int>"))).withColumn("copies", F.size("shards"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("row.source").alias("source"), "copies", "shards")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

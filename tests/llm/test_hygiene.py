@@ -275,6 +275,14 @@ def test_mixture_meets_its_targets(spark, sf, awkward, none):
     assert mixing.mixture(awkward).count() == len(AWKWARD) and mixing.mixture(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mixture_tells_the_shards_of_the_mix(spark):
+    docs = spark.range(12).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 2)).alias("source"), F.repeat(F.lit("w "), 2_000_000).alias("text"))
+    want = sorted((r["doc_id"], r["copy"], r["shard"]) for r in mixing.mix(docs).select("doc_id", "copy", "shard").collect())
+    rows = mixing.mixture(docs).collect()
+    assert sorted((r["doc_id"], k, shard) for r in rows for k, shard in enumerate(r["shards"])) == want
+    assert len({shard for _, _, shard in want}) > 1 and all(r["copies"] == len(r["shards"]) and r["taken"] == r["size"] * r["copies"] for r in rows)
+
+
 # --- token counts ---
 
 
