@@ -1,4 +1,4 @@
-"""Session helpers of the library: tables and cut lineage."""
+"""Session helpers of the library: tables, the shared folder, and cut lineage."""
 
 from __future__ import annotations
 
@@ -11,14 +11,24 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut by a reliable checkpoint in the shared folder.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a temporary one is set only
-    where none is named, as in tests.
+    Without that setting a temporary folder serves a local session, as in tests. A cluster's
+    machines don't see each other's temporary folders, so there the setting is required.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        folder = getattr(shared_dir, "local", None) or tempfile.mkdtemp(prefix="quarrygraph-")
+        shared_dir.local = folder
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame with its lineage cut by a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrygraph-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
