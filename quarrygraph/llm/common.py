@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-import ctypes
 import itertools
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,49 +12,50 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(shared_dir, "local", None) or tempfile.mkdtemp(prefix="quarrygraph-")
-        shared_dir.local = folder
-    return folder
-
-
 class Stash:
-    """Tables written to the shared folder to cut lineage; `drop` removes those no longer read."""
+    """Tables written to the shared folder to cut lineage.
+
+    `drop` removes one that is no longer read. The rest back results that may still be read, so
+    they go with the application: their folder is deleted when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
         self.count = 0
 
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def put(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         self.count += 1
-        path = f"{self.base}/{self.count}"
-        df.write.option("compression", compression).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._stash_path = path
+        name = f"{self.base}/{self.count}"
+        df.write.option("compression", compression).parquet(name)
+        if self.count == 1:
+            path, fs = self._path(self.base)
+            fs.deleteOnExit(path)
+        out = self.spark.read.schema(df.schema).parquet(name)
+        out._stash_path = name
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._stash_path)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        with contextlib.suppress(Exception):  # a file that stays costs disk, not results
-            fs.delete(path, True)
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            path, fs = self._path(df._stash_path)
+            with contextlib.suppress(Exception):  # a file that stays costs disk, not results
+                fs.delete(path, True)
 
 
 def release_memory() -> None:
     """Gives memory that a task's arrays have left free back to the machine, which several workers share."""
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # other C libraries do without
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def task_place() -> Iterator[tuple[int, int]]:
@@ -75,7 +74,9 @@ def connected_components(edges: DataFrame, stash: Stash) -> DataFrame:
 
     Alternates large-star and small-star rounds, which shrink any component to a star in a
     logarithmic number of rounds. A node's neighbours are only ever reduced with min, so a
-    node with very many neighbours is pre-aggregated and never gathered in one task.
+    node with very many neighbours is pre-aggregated and never gathered in one task. The minima are
+    written before edges are joined to them: both sides of the join are then plain exchanges, of
+    which adaptive execution splits the centre of a large star over many tasks.
     Nodes without edges do not appear; an empty input gives an empty result.
     """
     def ordered(df: DataFrame) -> DataFrame:
@@ -85,15 +86,14 @@ def connected_components(edges: DataFrame, stash: Stash) -> DataFrame:
     size, digest = _state(current)
     while size:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = ordered(both.filter("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-                        .union(low.select(F.col("k").alias("a"), F.col("m").alias("b"))))
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        small = ordered(large.join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-                        .union(least.select(F.col("k").alias("a"), F.col("m").alias("b"))))
-        following = stash.put(small)
+        low = stash.put(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")))
+        large = stash.put(ordered(both.filter("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+                                  .union(low.select(F.col("k").alias("a"), F.col("m").alias("b")))))
+        least = stash.put(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"))
+        following = stash.put(ordered(large.join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+                                      .union(least.select(F.col("k").alias("a"), F.col("m").alias("b")))))
         new_size, new_digest = _state(following)
-        stash.drop(current)
+        stash.drop(current, low, large, least)
         current = following
         if (new_size, new_digest) == (size, digest):
             break

@@ -8,15 +8,18 @@ start and end anywhere in the text.
 
 Texts are compared in lower case with runs of other characters than letters and digits as one
 space (bytes beyond ASCII are kept). The budget of an item of m bytes is the lesser of
-max_error * m and m // MIN_PIECE - 1, so that pieces never get shorter than MIN_PIECE bytes.
+max_error * m and m // MIN_PIECE - 1, so that pieces never get shorter than MIN_PIECE bytes. An item
+of fewer than MIN_ITEM bytes is a piece of its own: it is met where it stands unchanged, between
+the edges of words, and its matches are marked `short`, since a few common letters prove little.
 
 Documents are only scanned, never shuffled. The benchmark is sent to tasks in blocks of at most
 BLOCK_BYTES (or one item), each block with a scan of its own, so its size is not limited.
 
-Defined cases: null and blank texts hold nothing; items of fewer than MIN_ITEM bytes, null and
-blank ones among them, are no evidence and are left out; repeated items are reported each; rows
-of a repeated or null doc_id are reported each; several hits of an item in a text give one row
-with the least distance, the first of those.
+Defined cases: null and blank texts hold nothing; items that are null or without letters and digits
+can't stand in a text; repeated items are reported each; rows of a repeated or null doc_id are
+reported each; several hits of an item in a text give one row with the least distance, the first of
+those; a text of any length is searched whole; an empty table, of either kind, gives no matches;
+other columns play no part in `leaks` and are all kept by `without_leaks`.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ from .textpack import BLOCK, BYTE, MIX, buffer_of, powers, slices
 MAX_ERROR = 0.06
 MIN_PIECE = 15
 MIN_ITEM = 24
-BLOCK_BYTES = 2 << 20
+KEPT_MASKS = 2_000
+BLOCK_BYTES = 16 << 20
 BITS = np.uint64(64 - 20)
 
 KEPT = np.zeros(256, dtype=bool)
@@ -61,66 +65,38 @@ class Pieces:
 
     def __init__(self, items: list[tuple], max_error: float):
         texts, offsets = normalised(pa.array([t for _, t in items], pa.large_string()))
-        self.items = []
-        keys, owner, starts = [], [], []
+        self.items = []  # (item id, bytes, budget, length of a piece)
+        self.masks: dict[int, dict[int, int]] = {}
+        made: dict[int, list[tuple]] = {}  # by the number of bytes that are hashed
         up, _ = powers()
         for (item, _), a, b in zip(items, offsets[:-1], offsets[1:], strict=True):
             body = texts[a:b].tobytes().rstrip(b" ")
             m = len(body)
-            if m < MIN_ITEM:
+            if not m:
                 continue
-            budget = max(0, min(int(max_error * m), m // MIN_PIECE - 1))
+            budget = 0 if m < MIN_ITEM else max(0, min(int(max_error * m), m // MIN_PIECE - 1))
             length = m // (budget + 1)
+            head = min(length, MIN_PIECE)
             raw = np.frombuffer(body, np.uint8)
-            masks: dict[int, int] = {}
-            for i, c in enumerate(body):
-                masks[c] = masks.get(c, 0) | 1 << i
             for j in range(budget + 1):
-                part = raw[j * length : j * length + MIN_PIECE]
-                keys.append((BYTE[part] * up[:MIN_PIECE]).sum(dtype=np.uint64))
-                owner.append(len(self.items))
-                starts.append(j * length)
-            self.items.append((item, body, budget, length, masks))
-        keys = np.array(keys, dtype=np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owner, self.starts = keys[order], np.array(owner, dtype=np.int64)[order], np.array(starts, dtype=np.int64)[order]
-        self.filter = np.zeros(1 << 20, dtype=bool)
-        self.filter[((self.keys * MIX[2]) >> BITS).astype(np.int64)] = True
-
-    def positions(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions at which the first bytes of some piece stand, and their hashes."""
-        up, down = powers()
-        found, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        step = BLOCK - MIN_PIECE
-        for base in range(0, max(0, len(data) - MIN_PIECE + 1), step):
-            part = data[base : base + BLOCK]
-            total = np.zeros(len(part) + 1, dtype=np.uint64)
-            np.cumsum(BYTE[part] * up[: len(part)], out=total[1:])
-            n = min(step, len(part) - MIN_PIECE + 1)
-            if n <= 0:
-                break
-            key = (total[MIN_PIECE : MIN_PIECE + n] - total[:n]) * down[:n]
-            at = np.flatnonzero(self.filter[((key * MIX[2]) >> BITS).astype(np.int64)])
-            found.append(at + base)
-            hashes.append(key[at])
-        return np.concatenate(found), np.concatenate(hashes)
+                part = raw[j * length : j * length + head]
+                made.setdefault(head, []).append(((BYTE[part] * up[:head]).sum(dtype=np.uint64), len(self.items), j * length))
+            self.items.append((item, body, budget, length))
+        self.heads = {head: Heads(head, rows) for head, rows in made.items()}
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, low diagonal, high diagonal) of verified piece hits, merged when near."""
-        at, key = self.positions(data)
-        a, b = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-        n = b - a
-        if not n.sum():
-            return
-        position = np.repeat(at, n)
-        entry = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        doc = np.searchsorted(offsets, position, "right") - 1
         raw = data.tobytes()
         rows = []
-        for p, e, d in zip(position.tolist(), entry.tolist(), doc.tolist(), strict=True):
-            o, s = int(self.owner[e]), int(self.starts[e])
-            _, body, _, length, _ = self.items[o]
-            if p + length <= offsets[d + 1] and raw[p : p + length] == body[s : s + length]:
+        for heads in self.heads.values():
+            for p, o, s in heads.found(data):
+                _, body, _, length = self.items[o]
+                if raw[p : p + length] != body[s : s + length]:
+                    continue
+                d = int(np.searchsorted(offsets, p, "right")) - 1
+                begin, end = int(offsets[d]), int(offsets[d + 1])
+                if p + length > end or (len(body) < MIN_ITEM and not ((p == begin or raw[p - 1] == 32) and (p + length == end or raw[p + length] == 32))):
+                    continue
                 rows.append((d, o, p - s))
         rows.sort()
         i = 0
@@ -133,23 +109,65 @@ class Pieces:
             yield d, o, low, high
             i = j
 
-    def matches(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, object, int, int, int]]:
-        """(document, item id, distance, start, end) of the best match of each item in each text."""
+    def masks_of(self, o: int) -> dict[int, int]:
+        """Where each byte stands in an item; made for items that come to be verified."""
+        if o not in self.masks:
+            if len(self.masks) >= KEPT_MASKS:
+                self.masks.clear()
+            masks: dict[int, int] = {}
+            for i, c in enumerate(self.items[o][1]):
+                masks[c] = masks.get(c, 0) | 1 << i
+            self.masks[o] = masks
+        return self.masks[o]
+
+    def matches(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, object, int, int, int, bool]]:
+        """(document, item id, distance, start, end, short) of the best match of each item in each text."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for d, o, low, high in self.hits(data, offsets):
-            _, body, budget, _, masks = self.items[o]
+            _, body, budget, _ = self.items[o]
             begin, end = int(offsets[d]), int(offsets[d + 1])
             m = len(body)
             if low >= begin and data[low : low + m].tobytes() == body and low + m <= end:
                 distance, stop = 0, low + m
             else:
                 a, b = max(begin, low - budget), min(end, high + m + budget)
-                distance, stop = myers(masks, m, data[a:b].tobytes())
+                distance, stop = myers(self.masks_of(o), m, data[a:b].tobytes())
                 stop += a
-            if distance <= budget and ((d, o) not in best or (distance, stop) < (best[d, o][0], best[d, o][2])):
+            if distance <= budget and ((d, o) not in best or (distance, stop - begin) < (best[d, o][0], best[d, o][2])):
                 best[d, o] = (distance, max(begin, stop - m) - begin, stop - begin) if distance else (0, stop - m - begin, stop - begin)
         for (d, o), (distance, start, stop) in sorted(best.items()):
-            yield d, self.items[o][0], distance, start, stop
+            yield d, self.items[o][0], distance, start, stop, len(self.items[o][1]) < MIN_ITEM
+
+
+class Heads:
+    """Rolling hashes of the first bytes of pieces, all of one length."""
+
+    def __init__(self, length: int, rows: list[tuple]):
+        self.length = length
+        keys = np.array([r[0] for r in rows], dtype=np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.owner, self.starts = (np.array([r[k] for r in rows], dtype=np.int64)[order] for k in (1, 2))
+        self.filter = np.zeros(1 << 20, dtype=bool)
+        self.filter[((self.keys * MIX[2]) >> BITS).astype(np.int64)] = True
+
+    def found(self, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(position, item, start of the piece in it) wherever the hash of some piece's head stands."""
+        up, down = powers()
+        step = BLOCK - self.length
+        for base in range(0, max(0, len(data) - self.length + 1), step):
+            part = data[base : base + BLOCK]
+            n = min(step, len(part) - self.length + 1)
+            if n <= 0:
+                break
+            total = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(BYTE[part] * up[: len(part)], out=total[1:])
+            key = (total[self.length : self.length + n] - total[:n]) * down[:n]
+            at = np.flatnonzero(self.filter[((key * MIX[2]) >> BITS).astype(np.int64)])
+            a, b = np.searchsorted(self.keys, key[at], "left"), np.searchsorted(self.keys, key[at], "right")
+            for p, low, high in zip((at + base).tolist(), a.tolist(), b.tolist(), strict=True):
+                for e in range(low, high):
+                    yield p, int(self.owner[e]), int(self.starts[e])
 
 
 def myers(masks: dict[int, int], m: int, text: bytes) -> tuple[int, int]:
@@ -184,9 +202,9 @@ def blocks_of(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tu
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR) -> DataFrame:
-    """(doc_id, item_id, distance, start, end): each item that a document holds within its budget."""
+    """(doc_id, item_id, distance, start, end, short): each item that a document holds within its budget."""
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, distance long, start long, end long"
+    schema = "doc_id long, item_id long, distance long, start long, end long, short boolean"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = spark.createDataFrame([], schema)
     for items in blocks_of(benchmark):
@@ -197,8 +215,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR) -
             for batch in slices(batches, "text"):
                 ids = batch.column("doc_id").to_pylist()
                 found = [(ids[d], *rest) for d, *rest in pieces.matches(*normalised(batch.column("text")))]
-                columns = list(zip(*found, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "distance", "start", "end"])
+                columns = list(zip(*found, strict=True)) or [()] * 6
+                kinds = [*[pa.int64()] * 5, pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "distance", "start", "end", "short"])
 
         out = out.union(texts.mapInArrow(run, schema))
     return out

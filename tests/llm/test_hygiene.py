@@ -203,7 +203,7 @@ def test_myers_equals_dynamic_programming():
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(5)
     words = [f"{a}{b}" for a in ("th", "on", "er", "in", "at") for b in ("ea", "st", "nd", "ly", "ou")]
-    items = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(12)] + [(98, "short"), (99, None)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(12)] + [(97, "What is two plus two?"), (98, "short"), (99, None), (100, "?!")]
     docs = []
     for d in range(60):
         text = [rng.choice(words) for _ in range(40)]
@@ -213,20 +213,25 @@ def test_leaks_equal_brute_force(spark):
                 body[rng.randrange(len(body))] = rng.choice("abcxyz")
             text.insert(rng.randrange(40), "".join(body).upper() if d % 2 else "".join(body) + ".")
         docs.append((d, " ".join(text)))
-    docs += [(100, None), (101, ""), (None, items[0][1])]
+    docs += [(100, None), (101, ""), (None, items[0][1]), (102, "Q: what is TWO plus two. A: four"), (103, "somewhat is two plus twofold, shorter")]
     norm = lambda t: re.sub("[^a-z0-9]+", " ", (t or "").lower()).strip()
     want = set()
     for d, t in docs:
         for i, s in items:
             p = norm(s)
-            if len(p) >= decontaminate.MIN_ITEM:
+            if 0 < len(p) < decontaminate.MIN_ITEM:
+                if f" {p} " in f" {norm(t)} ":
+                    want.add((d, i, 0))
+            elif p:
                 budget = max(0, min(int(decontaminate.MAX_ERROR * len(p)), len(p) // decontaminate.MIN_PIECE - 1))
                 dist = edit_distance(p, norm(t))
                 if dist <= budget:
                     want.add((d, i, dist))
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.leaks(df, bench).collect()}
-    assert got == want and len(want) > 10
+    assert got == want and len(want) > 10 and (102, 97, 0) in want and not any(d == 103 for d, _, _ in want)
+    long = spark.createDataFrame([(104, "x" * 70_000 + " short " + "y" * 600_000)], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df.union(long), bench).filter("short").collect()} >= {(102, 97), (104, 98)}
     left = {r["doc_id"] for r in decontaminate.without_leaks(df, bench).collect()}
     assert left == {d for d, _ in docs} - {d for d, _, _ in want}
 
