@@ -8,22 +8,29 @@ Training learns from labelled rows whose crc32(doc_id as text) mod 5 is not 0:
    term's edit limit; states are made when first reached and shared by all words. A second pass
    counts how misspelt forms divide, and terms whose misspellings stand in clean texts as well
    (common in inflected languages) are matched exactly only.
-3. Each match is weighed by the window of words around it: less inside quotation marks or after a
-   verb of report, more beside an address to the reader. A logistic model over the weighed sums of
-   exact and of misspelt matches gives the score.
-
-At most about MAX_LABELLED labelled rows are used, chosen by a hash of doc_id; they are few enough
-to be broadcast as ids, so documents are scanned and never shuffled. The lexicon holds at most
-MAX_TERMS terms. Every document is scored over its whole text.
+3. The words in the windows around matches are counted by label in the same pass. Their log odds are
+   the cues of context: reporting and quoting words speak against abuse, words of address for it,
+   as far as the labels say so.
+4. A logistic model weighs each text's matches: exact and misspelt ones, inside and outside
+   quotation marks apart, the strongest one, and the sum of the cues around them.
+
+Words are cut at [\\x20\\x09-\\x0D]+ everywhere, in training as in scoring; case and marks at their
+edges don't count. At most about MAX_LABELLED labelled rows train, chosen by a hash of doc_id; they
+are few enough to be broadcast as ids, so documents are scanned and never shuffled. The lexicon and the
+cues come from these rows alone and need a share of them as support, so they are bounded too. Every
+document is scored over its whole text.
 
 Defined cases: null and empty texts have no match and get the score of such texts; rows of a null
-doc_id count as not held out and never train; a doc_id labelled twice counts as toxic if one label
-says so; labels that are null are left out; without labelled toxic rows all scores are 0.
+doc_id count as not held out and never train; repeated rows train and are scored as often as they
+stand; a doc_id labelled twice counts as toxic if one label says so; labels that are null are left
+out; without labelled toxic rows, or without documents, all scores are 0; a text of any length is
+scored whole; `score` returns its own columns only, `without_toxic` all of the input's.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,15 +45,16 @@ from .common import Stash, release_memory
 from .textpack import buffer_of, slices, span_hashes, word_counts, word_spans
 
 MAX_LABELLED = 20_000
-MAX_TERMS = 2_000
 MIN_SUPPORT, SUPPORT_SHARE = 3, 0.004  # a term stands in so many toxic texts, and in this share of them
 MIN_ODDS = 2.5
 WINDOW = 5
+CUE_SUPPORT, CUE_PRIOR = 5, 5.0  # a cue stands around matches in so many texts; its odds are drawn to 0 by as many more
+FEATURES = 6
 KNOWN_WORDS = 200_000  # answers a task keeps at hand
+KNOWN_STATES = 100_000  # states of the automaton a task keeps at hand
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’‚‹›…–—¡¿"
 OPENING, CLOSING = "\"“„«‘‹", "\"”“»’›"
-REPORT = frozenset("said says say called calls wrote writes word words term quote quoted quotes says dit dito mot sagte wort dijo palabra".split())
-ADDRESS = frozenset("you your you're youre u ur yourself tu te vous toi du dich dein ihr tú usted eres".split())
 
 
 def edit_limit(term: str) -> int:
@@ -74,6 +82,10 @@ class Automaton:
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], limit)
             self.terms[node] = term
+        self._begin()
+
+    def _begin(self) -> None:
+        """Forgets all states but the first; they are made anew as words reach them."""
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.moves: list[dict[str, int]] = []
@@ -115,6 +127,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term within its limit and the edits between, or None."""
+        if len(self.states) > KNOWN_STATES:
+            self._begin()
         state = self.start
         for c in word:
             following = self.moves[state].get(c)
@@ -130,23 +144,15 @@ def bare(word: str) -> str:
     return word.lower().strip(EDGE)
 
 
-def context_weight(tokens: list[str], at: int) -> float:
-    """Weight of the match at tokens[at]; tokens are the raw words of its window."""
-    before, after = tokens[:at], tokens[at + 1 :]
+def quoted(tokens: list[str], at: int) -> bool:
+    """Whether tokens[at] stands between an opening mark before it and a closing one after it."""
     opened = next((i for i in range(at, -1, -1) if tokens[i][:1] in OPENING and tokens[i]), None)
-    closed = next((i for i in range(at, len(tokens)) if tokens[i].rstrip(".,;:!?")[-1:] in CLOSING and tokens[i].rstrip(".,;:!?")), None)
-    ended = [t.rstrip(".,;:!?") for t in tokens[opened or 0 : at]]
-    if ended and len(ended[0]) == 1:
-        ended[0] = ""  # the opening mark itself
-    shut = opened is not None and any(t and t[-1] in CLOSING for t in ended)
-    weight = 1.0
-    if opened is not None and closed is not None and not shut:
-        weight *= 0.3
-    elif any(bare(t) in REPORT for t in before[-2:]):
-        weight *= 0.5
-    if any(bare(t) in ADDRESS for t in before[-3:] + after[:2]):
-        weight *= 1.5
-    return weight
+    ends = [t.rstrip(".,;:!?") for t in tokens]
+    if opened is None or not any(t and t[-1] in CLOSING for t in ends[at:]):
+        return False
+    if len(ends[opened]) == 1 and opened < at:
+        ends[opened] = ""  # the opening mark itself
+    return not any(t and t[-1] in CLOSING for t in ends[opened:at])
 
 
 class Matcher:
@@ -157,8 +163,8 @@ class Matcher:
         self.shortest = max(1, min((len(t) - e for t, e in terms.items()), default=1))
         self.known: dict[bytes, tuple[str, int] | None] = {}
 
-    def find(self, column: pa.Array) -> Iterator[tuple[int, str, int, float]]:
-        """(document, term, edits, context weight) of each match."""
+    def find(self, column: pa.Array) -> Iterator[tuple[int, str, int, list[str], int]]:
+        """(document, term, edits, raw words of the window, place in it) of each match."""
         data, offsets = buffer_of(column)
         starts, ends = word_spans(data, offsets)
         if not self.automaton.limit or not len(starts):
@@ -183,22 +189,33 @@ class Matcher:
             d = int(np.searchsorted(edge, w, "right")) - 1
             a, b = max(int(edge[d]), w - WINDOW), min(int(edge[d + 1]), w + WINDOW + 1)
             tokens = [raw[starts[k] : ends[k]].decode("utf-8", "replace") for k in range(a, b)]
-            yield d, *hits[i], context_weight(tokens, w - a)
+            yield d, *hits[i], tokens, w - a
+
+
+def cues_of(tokens: list[str], at: int) -> set[str]:
+    """The words around a match."""
+    return {w for w in map(bare, [*tokens[:at], *tokens[at + 1 :]]) if w}
 
 
 @dataclass
 class Model:
     terms: dict[str, int] = field(default_factory=dict)
     weights: dict[str, float] = field(default_factory=dict)
+    cues: dict[str, float] = field(default_factory=dict)
     coefficients: tuple[float, ...] = ()
 
     def features(self, matcher: Matcher, column: pa.Array) -> np.ndarray:
-        """Sums of exact and of misspelt matches, each match times its term's odds and its context."""
-        sums = np.zeros((len(column), 3))
-        for d, term, edits, weight in matcher.find(column):
-            sums[d, 1 if edits else 0] += weight * self.weights.get(term, 1.0)
-            sums[d, 2] = max(sums[d, 2], weight / (1 + edits))
-        sums[:, :2] = np.log1p(sums[:, :2])
+        """Log sums of the odds of exact and misspelt matches, outside quotes and inside; the strongest; the mean of cues."""
+        sums = np.zeros((len(column), FEATURES))
+        found = np.zeros(len(column))
+        for d, term, edits, tokens, at in matcher.find(column):
+            weight = self.weights.get(term, 1.0)
+            sums[d, (1 if edits else 0) + (2 if quoted(tokens, at) else 0)] += weight
+            sums[d, 4] = max(sums[d, 4], weight / (1 + edits))
+            sums[d, 5] += sum(self.cues.get(w, 0.0) for w in sorted(cues_of(tokens, at)))
+            found[d] += 1
+        sums[:, :4] = np.log1p(sums[:, :4])
+        sums[:, 5] /= np.maximum(found, 1)
         return sums
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -238,13 +255,14 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     classes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = classes.get(1, 0), sum(classes.values()) - classes.get(1, 0)
     if not toxic:
+        stash.drop(rows)
         return Model()
 
     def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for pdf in frames:
             for text, label in zip(pdf.text, pdf.toxic, strict=True):
-                counts[label == 1].update({w for w in map(bare, set(text.split())) if len(w) >= 3})
+                counts[label == 1].update({w for w in map(bare, set(WORDS.findall(text))) if len(w) >= 3})
         for label in (0, 1):
             for start in range(0, len(counts[label]), 100_000):
                 part = list(counts[label].items())[start : start + 100_000]
@@ -252,37 +270,47 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
     per = rows.mapInPandas(words, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    lexicon = per.filter(F.col("t") >= max(MIN_SUPPORT, math.ceil(SUPPORT_SHARE * toxic))).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), F.desc("t"), "term").limit(MAX_TERMS).collect()
+    lexicon = per.filter(F.col("t") >= max(MIN_SUPPORT, math.ceil(SUPPORT_SHARE * toxic))).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS).orderBy("term").collect()
     if not lexicon:
+        stash.drop(rows)
         return Model()
     weights = {r["term"]: float(r["odds"]) for r in lexicon}
     trial = {t: edit_limit(t) for t in weights}
 
-    def misspelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, counts = Matcher(trial), Counter()
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many texts of each label hold a misspelt form of a term (edits), or a word beside some match (cue)."""
+        matcher, out = Matcher(trial), Counter()
         for batch in slices(batches, "text"):
             label = batch.column("toxic").to_pylist()
-            counts.update({(term, d, label[d]) for d, term, edits, _ in matcher.find(batch.column("text")) if edits})
-        out = Counter()
-        for (term, _, label), _n in counts.items():
-            out[term, int(label == 1)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int32()), pa.array(list(out.values()), pa.int64())], ["term", "toxic", "n"])
-
-    forms: dict[str, list[int]] = {}
-    for r in rows.mapInArrow(misspelt, "term string, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n")).collect():
-        forms.setdefault(r["term"], [0, 0])[r["toxic"]] += r["n"]
-    doubtful = {t for t, (c, x) in forms.items() if c and math.log((x + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1)) < MIN_ODDS}
-    model = Model({t: 0 if t in doubtful else e for t, e in trial.items()}, weights)
+            seen = set()
+            for d, term, edits, tokens, at in matcher.find(batch.column("text")):
+                seen.update(("cue", w, d) for w in cues_of(tokens, at))
+                if edits:
+                    seen.add(("edits", term, d))
+            out.update((kind, word, int(label[d] == 1)) for kind, word, d in seen)
+        keys = list(out)
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)), pa.array([k[2] for k in keys], pa.int32()), pa.array([out[k] for k in keys], pa.int64())], ["kind", "word", "toxic", "n"])
+
+    of = lambda label: F.sum(F.when(F.col("toxic") == label, F.col("n")).otherwise(0))
+    counted = rows.mapInArrow(around, "kind string, word string, toxic int, n long").groupBy("kind", "word").agg(of(0).alias("c"), of(1).alias("t"))
+    counted = counted.filter((F.col("kind") == "edits") | (F.col("c") + F.col("t") >= CUE_SUPPORT)).collect()
+    doubtful = {r["word"] for r in counted if r["kind"] == "edits" and r["c"] and math.log((r["t"] + 0.5) / (toxic + 1)) - math.log((r["c"] + 0.5) / (clean + 1)) < MIN_ODDS}
+    beside = [r for r in counted if r["kind"] == "cue"]
+    share = sum(r["t"] for r in beside) / max(1, sum(r["t"] + r["c"] for r in beside))
+    cues = {r["word"]: math.log((r["t"] + CUE_PRIOR * share + 0.01) / (r["c"] + CUE_PRIOR * (1 - share) + 0.01)) - math.log((share + 0.01) / (1 - share + 0.01)) for r in beside}
+    model = Model({t: 0 if t in doubtful else e for t, e in trial.items()}, weights, cues)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.terms)
         for batch in slices(batches, "text"):
             x = model.features(matcher, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x[:, k]) for k in range(FEATURES))], ["toxic", *names])
 
-    measured = rows.mapInArrow(measure, "toxic int, a double, b double, c double").toPandas()  # at most about max_labelled rows of numbers
-    measured = measured.sort_values(["toxic", "a", "b", "c"])
-    model.coefficients = _fit(measured[["a", "b", "c"]].to_numpy(), (measured.toxic == 1).to_numpy(float))
+    names = [f"f{k}" for k in range(FEATURES)]
+    measured = rows.mapInArrow(measure, "toxic int, " + ", ".join(f"{n} double" for n in names)).toPandas()  # at most about max_labelled rows of numbers
+    measured = measured.sort_values(["toxic", *names])
+    model.coefficients = _fit(measured[names].to_numpy(), (measured.toxic == 1).to_numpy(float))
+    stash.drop(rows)
     return model
 
 

@@ -422,24 +422,84 @@ def test_automaton_equals_edit_distance():
     terms = {"".join(rng.choice("abc") for _ in range(rng.randint(3, 9))): rng.randint(0, 2) for _ in range(12)}
     machine = toxicity.Automaton(terms)
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            previous, row = row, [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(previous[j] + 1, row[j - 1] + 1, previous[j - 1] + (x != y)))
-        return row[-1]
-
     for _ in range(2000):
         word = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 10)))
         best = min(((distance(word, t), t) for t, e in terms.items() if distance(word, t) <= e), default=None)
         assert machine.match(word) == (best and best[::-1])
 
 
-def test_context_tells_quotation_from_abuse():
-    assert toxicity.context_weight("he said “ you idiot ” yesterday".split(), 4) < 1
-    assert toxicity.context_weight("you idiot".split(), 1) > 1 == toxicity.context_weight("an idiot here".split(), 1)
-    assert toxicity.context_weight("the word idiot means".split(), 2) < 1
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        previous, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(previous[j] + 1, row[j - 1] + 1, previous[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_quotation_marks_are_paired():
+    assert toxicity.quoted("he said “ you idiot ” yesterday".split(), 4) and toxicity.quoted('the word "idiot" means'.split(), 2)
+    assert not toxicity.quoted("you idiot".split(), 1) and not toxicity.quoted('a "quoted" thing, you idiot'.split(), 4) and not toxicity.quoted('you idiot "yes"'.split(), 1)
+
+
+def brute_toxicity(text, model):
+    """The score of one text, words cut and compared one by one with every term."""
+    w = WORD.findall(text or "")
+    if not model.coefficients:
+        return 0.0
+    x, found = [0.0] * toxicity.FEATURES, 0
+    for i, raw in enumerate(w):
+        word = raw.lower().strip(toxicity.EDGE)
+        near = min(((distance(word, t), t) for t, e in model.terms.items() if distance(word, t) <= e), default=None)
+        if near is None:
+            continue
+        low = max(0, i - toxicity.WINDOW)
+        window = w[low : i + toxicity.WINDOW + 1]
+        weight, found = model.weights[near[1]], found + 1
+        x[(near[0] > 0) + 2 * toxicity.quoted(window, i - low)] += weight
+        x[4] = max(x[4], weight / (1 + near[0]))
+        x[5] += sum(model.cues.get(c, 0.0) for c in {v.lower().strip(toxicity.EDGE) for k, v in enumerate(window) if k != i - low} - {""})
+    x = [math.log1p(v) for v in x[:4]] + [x[4], x[5] / max(1, found)]
+    return 1 / (1 + math.exp(-(model.coefficients[0] + sum(a * b for a, b in zip(model.coefficients[1:], x, strict=True)))))
+
+
+@pytest.mark.parametrize("joint", [" ", "\u00a0", "\u0085"])
+def test_toxicity_equals_brute_force_and_cuts_words_alike(spark, joint):
+    rng = random.Random(12)
+    plain = [f"{a}{b}{c}" for a in ("mor", "tal", "ven", "sul") for b in ("an", "ir", "ob") for c in ("da", "ke", "", "st")]
+    bad = ["blargface", "snotbucket", "grumplord"]
+    docs, labels = [], []
+    for d in range(200):
+        words = [rng.choice(plain) for _ in range(30)]
+        if d % 2:
+            term = rng.choice(bad)
+            words[7] = term if d % 3 else term.replace("o", "0", 1)
+        elif d == 50:
+            words[6:9] = ["said", f'"{rng.choice(bad)}"', "calmly"]
+        docs.append((d, joint.join(words[:20]) + " " + " ".join(words[20:])))
+        labels.append((d, d % 2))
+    docs += [(1000, None), (1001, ""), (1001, ""), (None, docs[1][1]), (1002, " ".join(plain * 3000) + " blargfacee")]
+    df, lf = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(df, lf)
+    rows = toxicity.score(df, model).collect()
+    got = collections.Counter((r["doc_id"], round(r["score"], 9)) for r in rows)
+    assert got == collections.Counter((d, round(brute_toxicity(t if d != 1002 else t[-200:], model), 9)) for d, t in docs)
+    if joint == " ":
+        assert len({"blargface", "grumplord", "snotbucket"} & set(model.terms)) >= 2
+    wrong = [r["doc_id"] for r in rows if r["doc_id"] is not None and r["doc_id"] < 200 and r["predicted"] != r["doc_id"] % 2]
+    assert len(wrong) <= (4 if joint == " " else 100)
+    clean = [r for r in rows if r["doc_id"] is not None and r["doc_id"] < 200 and r["doc_id"] % 2 == 0]
+    assert sum(r["predicted"] for r in clean) <= 4
+
+
+def test_automaton_forgets_states_without_changing_answers(monkeypatch):
+    rng = random.Random(2)
+    terms = {"".join(rng.choice("abc") for _ in range(6)): 2 for _ in range(20)}
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    want = [toxicity.Automaton(terms).match(w) for w in words]
+    monkeypatch.setattr(toxicity, "KNOWN_STATES", 5)
+    machine = toxicity.Automaton(terms)
+    assert [machine.match(w) for w in words] == want and len(machine.states) < 100
 
 
 def test_toxicity_on_held_out_rows(spark, awkward, none):
@@ -455,6 +515,8 @@ def test_toxicity_on_held_out_rows(spark, awkward, none):
     assert toxicity.score(awkward, model).count() == len(AWKWARD) and toxicity.score(none, model).count() == 0
     assert toxicity.without_toxic(awkward, model).columns == awkward.columns
     assert {r["score"] for r in toxicity.score(awkward, toxicity.train(awkward, labels.limit(0))).collect()} == {0.0}
+    twice = toxicity.train(docs.union(docs), labels.union(labels))  # rows given twice train twice, with the same words
+    assert set(twice.terms) >= set(model.terms) and toxicity.score(docs.union(docs), model).count() == 2000
 
 
 # --- quality ---
