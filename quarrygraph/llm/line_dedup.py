@@ -1,34 +1,33 @@
-"""Substring dedup by line hashing: of each repeated passage, only the earliest occurrence stays.
-
-Units are cut within lines at the ends of clauses, short clauses running on until a unit has
-UNIT_WORDS words, because passages are also pasted into the middle of paragraphs and sentences, and
-a changed word should cost no more than its clause; a unit never crosses a line.
-A unit is normalised (lower case, runs of white space as one space) and hashed. Digests are grouped
-over the whole corpus with count and min, which are combined before the shuffle, so that a line in
-a third of all documents moves one row a task. The digests found twice are written before units are
-joined to them: both sides of the join are then plain exchanges, whose hot partitions adaptive
-execution splits. The earliest occurrence, ranked by (doc_id, text hash, place), is kept. The other occurrences are repeats, and a run of repeats that follow one
-another in a document, blank lines aside, goes if it holds at least `min_words` words: passages are
-found whether they stand on one line, over many or within one, and short common sentences in
-otherwise new text stay. A digest has 64 bits; a chance collision is one unit, too short to go.
-
-With `spans`, passages are also found whatever surrounds them. Runs of SEED words are hashed, and the
-least hash of each SPAN_WORDS - SEED + 1 runs is a seed, so that any SPAN_WORDS words in a row give the
-same seed wherever they stand. A repeated seed is laid on its first occurrence and the match extended
-word by word on both sides, over clauses and lines; it goes if it reaches SPAN_WORDS
-words. Within one document a span counts if it starts that many words after its first occurrence.
-
-Offsets are code points of the original text. A line all of whose units go is left out with its break.
-
-Defined cases: a null text stays null and has nothing removed; blank lines are never units; a
-null doc_id ranks last; rows repeated whole are one document given several times and come out
-alike; a text all of whose lines go becomes ''. The result keeps all rows and columns, with `text`
-replaced; columns of the input that are called `removed` or `n_removed` give way.
+"""Substring dedup by line hashing: of each repeated line or passage, only the earliest occurrence stays.
+
+Lines are the units. A line is normalised (lower case, runs of white space as one blank, no blanks at
+its ends), cut and hashed to 128 bits by JVM expressions. Digests are grouped over the whole
+corpus with count and min, which are combined before the shuffle, so that a line in a third of all
+documents moves one row a task. The digests found twice are written before units are joined to
+them: both sides of the join are then plain exchanges, whose hot partitions adaptive execution
+splits. The earliest occurrence, ranked by (doc_id, text hash, place), is kept; every other one
+goes, whatever its length, within a text as well as between texts.
+
+Passages are also pasted into the middle of lines. With `spans`, they are found whatever surrounds
+them. Runs of SEED words are hashed, and the least hash of each SPAN_WORDS - SEED + 1 runs is a
+seed, so that any SPAN_WORDS words in a row give the same seed wherever they stand. Seeds are units
+beside the lines. A repeated seed is laid on its first occurrence and the match extended word by
+word on both sides, over lines; it goes if it reaches SPAN_WORDS words. Seeds amid lines that go
+anyway are left out, so the texts of a group of copies are never brought together. Within one
+document a span counts if it starts that many words after its first occurrence.
+
+Offsets are code points of the original text. A line that goes whole goes with its break.
+
+Defined cases: a null text stays null and has nothing removed; blank lines are never units and
+stay; a null doc_id ranks last; rows repeated whole are one document given several times and come
+out alike; a text all of whose lines go becomes ''; a text of any length is cut and hashed whole; an
+empty table gives no rows. The result keeps all rows and columns, with `text` replaced, and has
+`removed` and `n_removed` beside them; those two of the input give way, unless other names are
+given for the new ones.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -36,33 +35,30 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stash
 from .textpack import MIX, buffer_of, finish, slices, span_hashes, word_counts, word_spans
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-CLAUSE = re.compile(r"(?<=[.!?,;:])[\x20\x09\x0B-\x0D]+")
 BLANKS = re.compile(r"[\x20\x09]*")
-MIN_WORDS = 25
-UNIT_WORDS = 6
 SPAN_WORDS, SEED = 50, 12
-UNITS = "doc_id long, rid long, unit int, words int, digest long"
-
-
-def units_of(text: str) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(line, start, end, normalised words) of each unit of a text, in order."""
-    base = 0
-    for number, line in enumerate(text.split("\n")):
-        start, words = 0, []
-        for gap in [*CLAUSE.finditer(line), None]:
-            end = gap.start() if gap else len(line)
-            words = WORDS.findall(line[start:end].lower())
-            if words and (gap is None or len(words) >= UNIT_WORDS):
-                yield number, base + start, base + end, words
-                start = gap.end() if gap else end
-        base += len(line) + 1
+PIECES = "array<struct<start: long, end: long, first_doc: long>>"
+UNIT = ["doc_id", "rid", "seed", "unit", "low", "high", "digest", "check"]
+
+
+def normal_lines(text: str) -> Column:
+    """The lines of a text that aren't blank, normalised, as an array."""
+    plain = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " ")
+    return F.filter(F.split(F.trim(F.regexp_replace(plain, r"\x20?\n\x20?", "\n")), "\n"), lambda x: x != "")
+
+
+def line_units(texts: DataFrame) -> DataFrame:
+    """UNIT rows of lines; a unit is the number of the line among those that aren't blank."""
+    lines = texts.select("doc_id", "rid", F.posexplode(normal_lines("text")).alias("unit", "line"))
+    none = F.lit(0)
+    return lines.select("doc_id", "rid", F.lit(False).alias("seed"), "unit", none.alias("low"), none.alias("high"), F.xxhash64("line").alias("digest"), F.xxhash64(F.lit(1), "line").alias("check"))
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -76,7 +72,7 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def seeds_of(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, place of its first word in the text, and digest of each seed, given the words' hashes and their number by text."""
+    """Text, place of its first word in all texts, and digest of each seed, given the words' hashes and their number by text."""
     window = SPAN_WORDS - SEED + 1
     n = len(hashes) - SEED + 1
     if n < window:
@@ -91,64 +87,59 @@ def seeds_of(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     least[np.arange(len(least)) + SPAN_WORDS > ends[owner[: len(least)]]] = 0  # over the end of a text
     edge = np.zeros(window - 1, dtype=np.uint64)
     at = np.flatnonzero(_sliding(np.concatenate((edge, least, edge)), window, np.maximum) == runs)
-    return owner[at], at - (ends - counts)[owner[at]], runs[at].view(np.int64)
-
+    return owner[at], at, runs[at].view(np.int64)
 
-def _units(batches: Iterator[pa.RecordBatch], spans: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows of units; a seed has 0 words, and the place of its first word as its unit."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-    names = ["doc_id", "rid", "unit", "words", "digest"]
 
-    def out(columns):
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+def seed_units(texts: DataFrame) -> DataFrame:
+    """UNIT rows of seeds: unit is the place of the first word; low and high are the lines before and after those it touches."""
 
-    for batch in slices(batches, "text"):
-        columns: list[list] = [[] for _ in names]
-        if spans:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
             data, offsets = buffer_of(pc.utf8_lower(batch.column("text")))
             starts, ends = word_spans(data, offsets)
-            of, at, digests = seeds_of(span_hashes(data, starts, ends), word_counts(starts, offsets))
-            yield out([batch.column("doc_id").take(pa.array(of)), batch.column("rid").take(pa.array(of)), at.astype(np.int32), np.zeros(len(at), np.int32), digests])
-        for doc, rid, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text")), strict=True):
-            found = [words for _, _, _, words in units_of(text or "")]
-            digests = [hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest() for words in found]
-            n = len(found)
-            for column, values in zip(columns, ([doc] * n, [rid] * n, range(n), map(len, found), np.frombuffer(b"".join(digests), "<i8").tolist()), strict=True):
-                column.extend(values)
-            if len(columns[0]) >= 50_000:
-                yield out(columns)
-                columns = [[] for _ in names]
-        yield out(columns)
-
-
-PIECES = "array<struct<start: long, end: long, first_doc: long>>"
-
-
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, spans: bool = False) -> DataFrame:
-    """(doc_id, rid, gone, spans) with the units that go as array<struct<unit, first_doc>>, and spans by code points."""
+            counts = word_counts(starts, offsets)
+            of, at, digests = seeds_of(span_hashes(data, starts, ends), counts)
+            if not len(at):
+                continue
+            first = np.cumsum(counts) - counts
+            breaks = np.searchsorted(np.flatnonzero(data == 10), starts)
+            new = np.concatenate(([0], (breaks[1:] != breaks[:-1]).astype(np.int64)))
+            new[first[first < len(new)]] = 0
+            line = np.cumsum(new)  # of each word, among lines that aren't blank
+            base = line[first[of]]
+            last = line[first[of] + counts[of] - 1] - base
+            columns = [
+                batch.column("doc_id").take(pa.array(of)), batch.column("rid").take(pa.array(of)), pa.array(np.ones(len(at), bool)), pa.array((at - first[of]).astype(np.int32)),
+                pa.array(np.maximum(line[at] - base - 1, 0).astype(np.int32)), pa.array(np.minimum(line[at + SEED - 1] - base + 1, last).astype(np.int32)), pa.array(digests), pa.array(np.zeros(len(at), np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, UNIT)
+
+    return texts.select("doc_id", "rid", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, rid long, seed boolean, unit int, low int, high int, digest long, check long")
+
+
+def repeats(docs: DataFrame, spans: bool, stash: Stash) -> DataFrame:
+    """(doc_id, rid, gone, spans): the lines that go as array<struct<unit, first_doc>>, and spans by code points."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text"))
-    units = texts.mapInArrow(lambda b: _units(b, spans), UNITS)
-    stash = Stash(docs.sparkSession)
+    units = stash.put(line_units(texts).union(seed_units(texts)) if spans else line_units(texts), "zstd")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "unit")
-    # a seed and a unit of one digest are different things
-    key = ["digest", F.expr("words = 0").alias("seed")]
-    first = stash.put(units.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    again = units.withColumn("seed", F.expr("words = 0")).join(first, ["digest", "seed"]).filter(~place.eqNullSafe(F.col("first")))
-    if spans:
-        again = stash.put(again.select("doc_id", "rid", "unit", "words", "first"))
-    per = again.filter("words > 0").groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set(F.struct("unit", "words", F.col("first.doc_id").alias("first_doc")))).alias("u"))
-    gone = per.mapInArrow(lambda b: _long_runs(b, min_words), "doc_id long, rid long, gone array<struct<unit: int, first_doc: long>>").filter(F.size("gone") > 0)
+    key = ["seed", "digest", "check"]
+    first = stash.put(units.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "zstd")
+    again = units.join(first, key).filter(~place.eqNullSafe(F.col("first")))
+    line = F.when(~F.col("seed"), F.struct("unit", F.col("first.doc_id").alias("first_doc")))
+    sown = F.when(F.col("seed"), F.struct(F.col("unit").alias("at"), F.col("first.unit").alias("there"), F.col("first.doc_id").alias("f_doc"), F.col("first.rid").alias("f_rid"), "low", "high"))
+    per = stash.put(again.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(line)).alias("gone"), F.collect_set(sown).alias("seeds")), "zstd")
+    lines = F.transform("gone", lambda x: x["unit"])
+    alone = F.filter("seeds", lambda x: F.size(F.array_except(F.sequence(x["low"], x["high"]), lines)) > 0)
     if not spans:
-        return gone.withColumn("spans", F.lit(None).cast(PIECES))
-    found = _exact(again.filter("words = 0"), texts).select(F.col("doc_id").alias("s_doc"), F.col("rid").alias("s_rid"), "spans")
-    both = gone.join(found, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("rid") == F.col("s_rid")), "full")
-    # a null doc_id is told from a missing side by the text hash, which is never null
-    return both.select(F.when(F.col("rid").isNotNull(), F.col("doc_id")).otherwise(F.col("s_doc")).alias("doc_id"), F.coalesce("rid", "s_rid").alias("rid"), "gone", "spans")
+        return per.select("doc_id", "rid", "gone", F.lit(None).cast(PIECES).alias("spans"))
+    pairs = per.select("doc_id", "rid", F.explode(alone).alias("s")).groupBy("doc_id", "rid", "s.f_doc", "s.f_rid").agg(F.collect_list(F.struct("s.at", "s.there")).alias("seeds"))
+    found = _exact(pairs, texts).select(F.col("doc_id").alias("s_doc"), F.col("rid").alias("s_rid"), "spans")
+    both = per.join(found, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("rid") == F.col("s_rid")), "left")
+    return both.select("doc_id", "rid", "gone", "spans").filter((F.size("gone") > 0) | F.col("spans").isNotNull())
 
 
-def _exact(seeds: DataFrame, texts: DataFrame) -> DataFrame:
+def _exact(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, rid, spans) of the spans around repeated seeds that stand at their first occurrences too."""
-    pairs = seeds.groupBy("doc_id", "rid", F.col("first.doc_id").alias("f_doc"), F.col("first.rid").alias("f_rid")).agg(F.collect_set(F.struct(F.col("unit").alias("at"), F.col("first.unit").alias("f_at"))).alias("seeds"))
     early = texts.select(F.col("doc_id").alias("e_doc"), F.col("rid").alias("e_rid"), F.col("text").alias("early"))
     late = texts.select(F.col("doc_id").alias("l_doc"), F.col("rid").alias("l_rid"), F.col("text").alias("late"))
     joined = pairs.join(early, F.col("f_doc").eqNullSafe(F.col("e_doc")) & (F.col("f_rid") == F.col("e_rid")))
@@ -192,29 +183,11 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f_doc, same, seeds, early, late = (batch.column(c)[k].as_py() for c in ("f_doc", "same", "seeds", "early", "late"))
             if late != before:  # rows of a document follow one another
                 before, words = late, _words(late)
-            found = shared_spans(late, words, words if same else _words(early), [(x["at"], x["f_at"]) for x in seeds], same)
+            found = shared_spans(late, words, words if same else _words(early), [(x["at"], x["there"]) for x in seeds], same)
             spans.append([{"start": a, "end": b, "first_doc": f_doc} for a, b in found])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(spans, kind)], ["doc_id", "rid", "spans"])
 
 
-def _long_runs(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("unit", pa.int32()), ("first_doc", pa.int64())]))
-    for batch in batches:
-        gone = []
-        for units in batch.column("u").to_pylist():
-            kept, run, words = [], [], 0
-            for x in [*units, None]:
-                if run and (x is None or x["unit"] != run[-1]["unit"] + 1):
-                    if words >= min_words:
-                        kept += run
-                    run, words = [], 0
-                if x is not None:
-                    run.append(x)
-                    words += x["words"]
-            gone.append([{k: x[k] for k in ("unit", "first_doc")} for x in kept])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(gone, kind)], ["doc_id", "rid", "gone"])
-
-
 def merged(pieces: list[tuple[int, int, int | None]]) -> list[tuple[int, int, int | None]]:
     """The pieces in order, without what an earlier or longer one holds."""
     out, at = [], 0
@@ -225,10 +198,22 @@ def merged(pieces: list[tuple[int, int, int | None]]) -> list[tuple[int, int, in
     return out
 
 
+def line_places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the lines that aren't blank, without the blanks at their ends."""
+    out, base = [], 0
+    for line in text.split("\n"):
+        body = line.strip("\x20\x09\x0b\x0c\x0d")
+        if body:
+            start = base + line.index(body)
+            out.append((start, start + len(body)))
+        base += len(line) + 1
+    return out
+
+
 def without(text: str, gone: dict[int, int | None], spans: list[tuple[int, int, int | None]] = ()) -> tuple[str, list[tuple[int, int, int | None]]]:
-    """A text without the units and spans given, and (start, end, first_doc) of what went."""
-    units = [(start, end, gone[k]) for k, (_, start, end, _) in enumerate(units_of(text)) if k in gone]
-    removed = merged([*units, *spans])
+    """A text without the lines and spans given, and (start, end, first_doc) of what went."""
+    lines = [(start, end, gone[k]) for k, (start, end) in enumerate(line_places(text)) if k in gone]
+    removed = merged([*lines, *spans])
     out, base, k = [], 0, 0
     for line in text.split("\n"):
         stop, at, parts = base + len(line), 0, []
@@ -263,15 +248,15 @@ def _cleaned(texts: pd.Series, gone: pd.Series, spans: pd.Series) -> pd.DataFram
     return pd.DataFrame(rows, columns=["text", "removed"])
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, spans: bool = False) -> DataFrame:
-    """All rows with repeated passages taken out of `text`, and `removed` and `n_removed` beside them."""
-    gone = repeats(docs, min_words, spans).select(F.col("doc_id").alias("g_doc"), F.col("rid").alias("g_rid"), "gone", "spans")
+def dedup_lines(docs: DataFrame, spans: bool = True, removed: str = "removed", n_removed: str = "n_removed", stash: Stash | None = None) -> DataFrame:
+    """All rows with repeated lines and passages taken out of `text`, and what was removed, and how many pieces, beside them."""
+    stash = stash or Stash(docs.sparkSession)
+    gone = repeats(docs, spans, stash).select(F.col("doc_id").alias("g_doc"), F.col("rid").alias("g_rid"), "gone", "spans")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("j_doc"), F.xxhash64("text").alias("j_rid"))
     joined = rows.join(gone, F.col("j_doc").eqNullSafe(F.col("g_doc")) & (F.col("j_rid") == F.col("g_rid")), "left")
     # only texts that lose something go to Python
     touched = F.when(F.col("g_rid").isNotNull(), F.col("row.text").cast("string"))
     cleaned = joined.withColumn("c", F.pandas_udf(_cleaned, CLEANED)(touched, F.col("gone"), F.col("spans")))
     text = F.when(F.col("g_rid").isNull(), F.col("row.text")).otherwise(F.col("c.text"))
-    own = ("text", "removed", "n_removed")
-    columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c == "text" or c not in own]
-    return cleaned.select(*columns, F.col("c.removed").alias("removed"), F.size("c.removed").cast("long").alias("n_removed"))
+    columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in (removed, n_removed)]
+    return cleaned.select(*columns, F.col("c.removed").alias(removed), F.size("c.removed").cast("long").alias(n_removed))

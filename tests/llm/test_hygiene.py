@@ -102,60 +102,71 @@ def test_jaccard_join_on_awkward_rows(awkward, none):
 # --- line dedup ---
 
 
-def brute_dedup(docs):
-    """Texts after removal, by one pass over all units in rank order."""
+def brute_lines(docs):
+    """(start, end, first doc) of the lines that go, by one pass over all lines in rank order."""
     first, out = {}, {}
     for d, text in sorted(docs):
-        units = list(line_dedup.units_of(text))
-        repeat = [first.setdefault(" ".join(w), (d, k)) != (d, k) for k, (_, _, _, w) in enumerate(units)]
-        gone, k = set(), 0
-        while k < len(units):
-            run = []
-            while k < len(units) and repeat[k]:
-                run.append(k)
-                k += 1
-            if sum(len(units[i][3]) for i in run) >= line_dedup.MIN_WORDS:
-                gone |= set(run)
-            k += 1
-        out[d] = (len(gone), [(units[i][1], units[i][2]) for i in sorted(gone)])
+        gone, base = [], 0
+        for line in text.split("\n"):
+            words = WORD.findall(line)
+            if words:
+                earlier = first.setdefault(tuple(w.lower() for w in words), (d, base))
+                start = base + line.index(words[0])
+                if earlier != (d, base):
+                    gone.append((start, base + line.rindex(words[-1]) + len(words[-1]), earlier[0]))
+            base += len(line) + 1
+        out[d] = gone
     return out
 
 
 def test_line_dedup_equals_brute_force(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    out = line_dedup.dedup_lines(spark.read.parquet(f"{sf}/documents.parquet").repartition(3)).collect()
-    assert {r["doc_id"]: (r["n_removed"], [(x["start"], x["end"]) for x in r["removed"]]) for r in out} == brute_dedup(docs)
+    out = line_dedup.dedup_lines(spark.read.parquet(f"{sf}/documents.parquet").repartition(3), spans=False).collect()
+    want = brute_lines(docs)
+    assert {r["doc_id"]: [(x["start"], x["end"], x["first_doc"]) for x in r["removed"]] for r in out} == want
     text = dict(docs)
+    assert sum(map(len, want.values())) > 50
     for r in out:
-        if not r["n_removed"]:
-            assert r["text"] == text[r["doc_id"]]
-        else:  # what went stands at its offsets, what stays is all the rest
-            gone = "".join(text[r["doc_id"]][x["start"] : x["end"]] for x in r["removed"])
-            assert collections.Counter((r["text"] + gone).replace(" ", "").replace("\n", "")) == collections.Counter(text[r["doc_id"]].replace(" ", "").replace("\n", ""))
-
-
-def test_units():
-    cut = lambda t: [(a, b, " ".join(w)) for _, a, b, w in line_dedup.units_of(t)]
-    assert cut("") == cut(" \n\t") == []
-    assert cut("One two. three Four five six! Seven.\n x") == [(0, 29, "one two. three four five six!"), (30, 36, "seven."), (37, 39, "x")]
+        assert r["n_removed"] == len(r["removed"])
+        whole, gone = text[r["doc_id"]], [(x["start"], x["end"]) for x in r["removed"]]
+        if not gone:
+            assert r["text"] == whole
+        else:  # what stays is every other line, unchanged
+            kept, base = [], 0
+            for line in whole.split("\n"):
+                if not any(base <= a and b <= base + len(line) for a, b in gone):
+                    kept.append(line)
+                base += len(line) + 1
+            assert r["text"] == "\n".join(kept)
+
+
+def test_short_lines_go_from_all_documents_but_the_first(spark):
+    licence = "Licensed under terms that all of these documents repeat, word for word."
+    docs = [(k, f"own words {k}\n  {licence.upper() if k % 2 else licence}\t\r\nmore of {k}") for k in range(50)]
+    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert rows[0]["text"] == docs[0][1] and rows[0]["n_removed"] == 0
+    for k in range(1, 50):
+        assert rows[k]["text"] == f"own words {k}\nmore of {k}"
+        assert [(docs[k][1][x["start"] : x["end"]].lower(), x["first_doc"]) for x in rows[k]["removed"]] == [(licence.lower(), 0)]
 
 
 def test_line_dedup_keeps_the_first_and_offsets(spark, awkward, none):
     passage = " ".join(f"p{i}" for i in range(60))
     split = "\n".join(" ".join(f"s{k}x{i}" for i in range(10)) for k in range(6))
-    inline = " ".join(f"I{k} {' '.join(f'i{k}x{i}' for i in range(12))}." for k in range(6))
-    docs = [(3, f"x\n{passage.upper()}\nshort"), (1, f"{passage}\nshort"), (2, f"head\n\n{split}\ntail"), (4, split), (5, f"new  {passage}"), (6, passage), (6, passage), (7, f"A start. {inline} and an end"), (8, f"other words here {inline} more")]
-    rows = {}
-    for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect():
-        rows.setdefault(r["doc_id"], []).append(r)
-    assert rows[1][0]["text"] == docs[1][1] and rows[3][0]["text"] == "x"
-    assert [(x["start"], x["end"], x["first_doc"]) for x in rows[3][0]["removed"]] == [(2, 2 + len(passage), 1), (3 + len(passage), 8 + len(passage), 1)]
-    assert rows[2][0]["n_removed"] == 0 and rows[4][0]["text"] == "" and rows[4][0]["n_removed"] == 6
-    assert rows[5][0]["n_removed"] == 0 and [r["text"] for r in rows[6]] == ["", ""]
-    assert rows[7][0]["n_removed"] == 0 and rows[8][0]["text"] == docs[8][1].split(" I1")[0] + " more"
-    out = line_dedup.dedup_lines(awkward)
-    assert out.count() == len(AWKWARD) and set(awkward.columns) <= set(out.columns)
+    docs = [(3, f"x\n{passage.upper()}\n\nshort"), (1, f"{passage}\nshort"), (2, f"head\n\n{split}\ntail"), (4, split), (5, f"new  {passage}"), (6, passage), (6, passage), (7, "twice\nonce\n twice")]
+    for spans in (False, True):
+        rows = {}
+        for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), spans=spans).collect():
+            rows.setdefault(r["doc_id"], []).append(r)
+        assert rows[1][0]["text"] == docs[1][1] and rows[3][0]["text"] == ("x" if spans else "x\n")
+        assert [(x["start"], x["end"], x["first_doc"]) for x in rows[3][0]["removed"]] == ([(2, 9 + len(passage), 1)] if spans else [(2, 2 + len(passage), 1), (4 + len(passage), 9 + len(passage), 1)])
+        assert rows[2][0]["n_removed"] == 0 and rows[4][0]["text"] == "" and rows[4][0]["n_removed"] == 6
+        assert rows[5][0]["text"] == ("new" if spans else docs[4][1]) and [r["text"] for r in rows[6]] == ["", ""]
+        assert rows[7][0]["text"] == "twice\nonce"
+    out = line_dedup.dedup_lines(awkward, removed="gone", n_removed="n_gone")
+    assert out.count() == len(AWKWARD) and out.columns == [*awkward.columns, "gone", "n_gone"] and {r["removed"] for r in out.collect()} == {"x"}
     assert out.filter("text is null").count() == 1 and line_dedup.dedup_lines(none).count() == 0
+    assert dict(line_dedup.dedup_lines(awkward).dtypes)["removed"].startswith("array")
 
 
 def test_spans_are_found_whatever_surrounds_them(spark):
@@ -166,7 +177,7 @@ def test_spans_are_found_whatever_surrounds_them(spark):
     for k, p in enumerate(passages):
         docs.append((100 + k, " ".join(words(7)) + "\n" + " ".join([*words(30 - k), *p[:20]]).upper() + "\n" + " ".join([*p[20:], *words(11)])))
     docs += [(None, docs[0][1]), (200, " ".join(["so"] * 49)), (201, " ".join(["so"] * 49)), (202, None), (203, "la " * 200)]
-    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spans=True).collect()}
+    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     text = dict(docs)
     for k, p in enumerate(passages):
         r, before = rows[100 + k], text[100 + k].split()
