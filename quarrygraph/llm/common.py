@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -105,3 +105,27 @@ def connected_components(edges: DataFrame, stash: Stash) -> DataFrame:
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return row[0], int(row[1] or 0)
+
+
+#: The most rows of a table that `offer` sends to every task.
+OFFERED = 100_000
+
+
+def offer(df: DataFrame) -> DataFrame:
+    """The frame marked for a broadcast if it has few rows; a larger one is joined by a shuffle.
+
+    Meant for narrow tables with a row a source, a block or a token set: 100,000 rows are some MB.
+    """
+    return F.broadcast(df) if df.limit(OFFERED + 1).count() <= OFFERED else df
+
+
+def numbered(df: DataFrame, order: list[str], name: str, stash: Stash) -> DataFrame:
+    """The rows with their place, from 0, in a total order, without bringing them all into one task.
+
+    Rows are range-partitioned and sorted; a partition's places begin after the rows of those before.
+    """
+    sort = [F.col(c).asc_nulls_last() for c in order]
+    placed = stash.put(df.repartitionByRange(partitions(df.sparkSession), *sort).sortWithinPartitions(*sort).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))  # a row a partition
+    sizes = sizes.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return placed.join(F.broadcast(sizes), "part").withColumn(name, F.col("before") + F.col("place") - F.col("first")).drop("part", "first", "before", "place")

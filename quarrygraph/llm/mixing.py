@@ -2,25 +2,28 @@
 
 A document's size is its number of words. A source's target is its share, by weight, of
 `share` times all sizes; no target exceeds `cap` times its source's size, and what a capped source
-leaves is shared again by weight. Each source is permuted by a hash and cut into blocks. Full
-passes take all blocks; the last pass takes blocks in order until the target is met. The block
-where it is met is found by radix selection on the hash, a level of 1024 digits at a time, from
-sums that are pre-aggregated, so no source is ever sorted or gathered whole. What then lacks is
-filled with the largest documents that still fit, a few at most, and with one that goes over if
-that comes nearer.
+leaves is shared again by weight. Each source is permuted by a hash and cut into blocks of about
+`words_per_block` words. Full passes take all blocks; the last pass takes blocks in order until the
+target is met. The place where it is met is found by radix selection on the hash, a level of 1024
+digits at a time, from sums that are pre-aggregated, so no source is ever sorted or gathered whole.
+What then lacks is filled with the largest documents that still fit, a few at most, and with one
+that goes over if that comes nearer; these belong to the last block.
 
 The blocks drawn are dealt to output shards by a splitting tree: at each node the vector of block
 quotas by source is divided between both halves of the shards by a multivariate hypergeometric
-draw, which keeps all quotas exact. A source's permuted blocks go to the shards in that order, so
-shards are disjoint, and rows are put in random order within a shard.
+draw, which keeps all quotas exact. The tree is drawn for groups of sources first, and then within
+each group, in tasks, for its sources. A source's permuted blocks go to the shards in that order, so
+shards are disjoint, and rows are put in random order within a shard. A document is taken as often
+as the blocks dealt hold it.
 
-Only sums by source pass through the driver; their number is bounded by `MAX_SOURCES`, beyond
-which the operator refuses to start. All draws depend on the data and `seed` alone.
+Sizes, targets, cuts, quotas and blocks are tables with rows by source; the driver reads sums and
+one row a group of GROUP sources. All draws depend on the data and `seed` alone.
 
 Defined cases: null or blank text has size 0 and is taken once with each pass over its block; a
-null source is a source of its own, the last; rows repeated whole are separate documents; an
-empty table gives no rows; a source of size 0 has target 0. Columns of the input are kept by
-`mix`; those called copy, shard or shuffle_key give way.
+null source is a source of its own, the last; rows that are alike in doc_id, source and text are
+documents of their own, told apart by a running number; an empty table gives no rows; a source of
+size 0 has target 0 and is passed over once; texts of any length are counted whole. Columns of the
+input are kept by `mix`; those called copy, shard or shuffle_key give way.
 """
 
 from __future__ import annotations
@@ -32,167 +35,202 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, numbered, offer
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
-MAX_SOURCES = 500
-BITS = 10
-LEVELS = 6
+BITS, LEVELS = 10, 6
+KEY = BITS * LEVELS
 SETTLED = 10_000
-FILLS = 6
-BLOCKS = 1 << BITS
-
-
-def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
-    """Each source's target. Sources by code point, null last, take the weights in turn."""
-    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    out: dict[str | None, float] = {}
-    left, active = share * sum(sizes.values()), list(order)
-    while active:
-        total = sum(weight[s] for s in active)
-        over = [s for s in active if left * weight[s] / total > cap * sizes[s]]
-        if not over:
-            return out | {s: left * weight[s] / total for s in active}
-        for s in over:
-            out[s] = cap * sizes[s]
-        left -= sum(out[s] for s in over)
-        active = [s for s in active if s not in out]
-    return out
+FILLS = 5
+GROUP = 1_000
+BLOCK_BITS = 24
+WORDS_PER_SHARD, WORDS_PER_BLOCK = 20_000_000, 200_000
 
 
-def splitting_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """(source, shard) block counts whose rows sum to the quotas."""
-    out = np.zeros((len(quotas), shards), dtype=np.int64)
+def splitting_tree(quotas: np.ndarray, totals: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """(source, shard) block counts whose rows sum to the quotas and whose columns sum to the totals of the shards."""
+    out = np.zeros((len(quotas), len(totals)), dtype=np.int64)
+    upto = np.concatenate(([0], np.cumsum(totals)))
 
     def split(vector: np.ndarray, first: int, n: int) -> None:
         if n == 1:
             out[:, first] = vector
             return
         left = n // 2
-        half = rng.multivariate_hypergeometric(vector, int(vector.sum()) * left // n, method="marginals")
+        half = rng.multivariate_hypergeometric(vector, int(upto[first + left] - upto[first]), method="marginals")
         split(half, first, left)
         split(vector - half, first + left, n - left)
 
-    split(np.asarray(quotas, dtype=np.int64), 0, shards)
+    split(np.asarray(quotas, dtype=np.int64), 0, len(totals))
     return out
 
 
-def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    """Each row's source, size and key, a hash of 60 bits that permutes its source."""
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 4)
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("s"), size.alias("size"), key.alias("key"))
-
+def keyed(docs: DataFrame, seed: int, stash: Stash) -> DataFrame:
+    """The rows, as `row`, with source s and a key of 60 bits that permutes the source and differs between equal rows."""
+    same = ["d", "s", "rid"]
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), F.col("source").cast("string").alias("s"), F.xxhash64(F.col("text").cast("string")).alias("rid"))
+    several = stash.put(rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*[F.col(c).alias(f"m_{c}") for c in same]))
+    nth = F.lit(0).cast("long")
+    if not several.isEmpty():
+        alike = F.col("d").eqNullSafe(F.col("m_d")) & F.col("s").eqNullSafe(F.col("m_s")) & (F.col("rid") == F.col("m_rid"))
+        # numbered by partition first, so that a row that is very often repeated isn't gathered in one task
+        repeated = rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).join(offer(several), alike, "left_semi")
+        within = repeated.withColumn("nth", F.row_number().over(Window.partitionBy(*same, "part").orderBy("at")).cast("long"))
+        ahead = within.groupBy(*same, "part").agg(F.max("nth").alias("n"))
+        ahead = ahead.withColumn("before", F.sum("n").over(Window.partitionBy(*same).orderBy("part")) - F.col("n")).select(*[F.col(c).alias(f"a_{c}") for c in [*same, "part"]], "before")
+        here = F.col("d").eqNullSafe(F.col("a_d")) & F.col("s").eqNullSafe(F.col("a_s")) & (F.col("rid") == F.col("a_rid")) & (F.col("part") == F.col("a_part"))
+        counted = within.join(ahead, here).select("row", *same, (F.col("before") + F.col("nth") - 1).alias("nth"))
+        rows = rows.join(offer(several), alike, "left_anti").withColumn("nth", nth).union(counted)
+    else:
+        rows = rows.withColumn("nth", nth)
+    return rows.select("row", "s", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "d", "rid", "nth"), 64 - KEY).alias("key"))
+
+
+def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, stash: Stash | None = None) -> DataFrame:
+    """(s, source_size, target) from (s, size), one row a source. Sources by code point, null last, take the weights in turn.
+
+    Targets fill up like water: the level rises as sources reach their caps, until none is above.
+    """
+    stash = stash or Stash(sizes.sparkSession)
+    order = numbered(sizes.withColumn("none", F.col("s").isNull()), ["none", "s"], "at", stash)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
+    by = stash.put(order.select("s", "size", weight.alias("weight")))
+    total, weight = by.agg(F.sum("size"), F.sum("weight")).first()
+    left, over = share * (total or 0), F.lit(False)
+    while weight:
+        full = F.col("weight") * left / weight > cap * F.col("size")
+        held, full_weight, full_size = by.filter(~over).agg(F.count_if(full), F.sum(F.when(full, F.col("weight"))), F.sum(F.when(full, F.col("size")))).first()
+        if not held:
+            break
+        left, over, weight = left - cap * full_size, over | full, weight - full_weight
+    return by.select("s", F.col("size").alias("source_size"), F.when(over, cap * F.col("size")).otherwise(F.col("weight") * left / (weight or 1.0)).alias("target"))
 
-def draw(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, seed: int = 17, words_per_shard: int = 20_000_000, stash: Stash | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with their number of copies, plan by source, shard of each block).
 
-    The first has row, s, size, key, source_size, target, copies; the last s, pass, digit, shard.
-    """
-    spark = docs.sparkSession
-    stash = stash or Stash(spark)
-    light = stash.put(_sized(docs.select("doc_id", "source", "text"), seed).select("s", "size", "key"))
-    totals = light.groupBy("s").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources to mix")
-    sizes = {r["s"]: int(r["size"]) for r in totals}
-    target = targets(sizes, weights, share, cap)
-    names = list(target)
-    full = {s: int(target[s] // sizes[s]) if sizes[s] else 1 for s in names}
-    rest = {s: target[s] - full[s] * sizes[s] if sizes[s] else 0.0 for s in names}
-
-    schema = "s string, source_size long, target double, passes int, rest double"
-    plan = spark.createDataFrame([(s, sizes[s], float(target[s]), full[s], float(rest[s])) for s in names], schema)
-
-    # radix selection of the key up to which the last pass takes a source
-    state = {s: (0, rest[s]) for s in names if rest[s] > 0}  # the digits found so far, words still to take
-    level = 0
-    while state and level < LEVELS:
-        shift = BITS * (LEVELS - 1 - level)
-        at = spark.createDataFrame([(s, p, r) for s, (p, r) in state.items()], "a string, head long, need double")
-        inside = light.join(at, F.col("s").eqNullSafe(F.col("a"))).filter(F.shiftright("key", shift + BITS) == F.col("head"))
+def _cuts(light: DataFrame, plan: DataFrame, stash: Stash) -> DataFrame:
+    """(s, k, filled): the largest key that the last pass takes of a source, and keys it takes beyond."""
+    state = plan.filter("rest > 0").select(F.col("s").alias("a"), F.lit(0).cast("long").alias("head"), F.col("rest").alias("need"))
+    shift = KEY
+    while shift:
+        inside = light.join(offer(state), F.col("s").eqNullSafe(F.col("a"))).filter(F.shiftright("key", shift) == F.col("head"))
+        shift -= BITS
         sums = inside.groupBy("s", "need", F.shiftright("key", shift).alias("head")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
-        w = Window.partitionBy("s").orderBy("head")
-        cut = sums.withColumn("upto", F.sum("words").over(w)).filter("upto > need and upto - words <= need").collect()
-        state = {r["s"]: (r["head"], r["need"] - (r["upto"] - r["words"])) for r in cut}
-        level += 1
-        if all(r["n"] <= SETTLED for r in cut):
+        upto = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("s").orderBy("head")))
+        state = stash.put(upto.filter("upto > need and upto - words <= need").select(F.col("s").alias("a"), "head", (F.col("need") - F.col("upto") + F.col("words")).alias("need"), "n"))
+        if (state.agg(F.max("n")).first()[0] or 0) <= SETTLED:
             break
-    shift = BITS * (LEVELS - level)
-    edge = {s: (p << shift, (p + 1) << shift, r) for s, (p, r) in state.items()}
-    # within the last digit: by key, while the words fit
-    ends = spark.createDataFrame([(s, a, b, r) for s, (a, b, r) in edge.items()], "a string, low long, high long, need double")
-    near = light.join(ends, F.col("s").eqNullSafe(F.col("a"))).filter("key >= low and key < high")
-    upto = near.groupBy("s", "key", "need").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(Window.partitionBy("s").orderBy("key"))).filter("upto <= need")
-    last = {r["s"]: (r["key"], r["need"] - r["upto"]) for r in upto.groupBy("s", "need").agg(F.max("key").alias("key"), F.max("upto").alias("upto")).collect()}
-    bound = {s: last.get(s, (a - 1, r)) for s, (a, _, r) in edge.items()}  # (largest key taken, words that still lack)
-    # sources whose rest is met by all their documents
-    for s in names:
-        if rest[s] > 0 and s not in bound:
-            bound[s] = ((1 << 60) - 1, 0.0)
-    fills: dict[str | None, list[int]] = {s: [] for s in names}
-    for turn in range(FILLS + 1):
-        need = [(s, k, g, fills[s]) for s, (k, g) in bound.items() if g >= 1]
-        if not need:
-            break
-        at = spark.createDataFrame(need, "a string, k long, gap double, filled array<long>")
-        left = light.groupBy("s", "key").agg(F.sum("size").alias("size")).join(at, F.col("s").eqNullSafe(F.col("a"))).filter("key > k and size > 0 and not array_contains(filled, key)")
-        if turn < FILLS:
-            best = left.filter("size <= gap").groupBy("s").agg(F.max(F.struct("size", "key")).alias("b")).collect()
-        else:  # a document that goes over, if that comes nearer
-            best = left.filter("size < 2 * gap").groupBy("s").agg(F.min(F.struct("size", "key")).alias("b")).collect()
-        for r in best:
-            k, g = bound[r["s"]]
-            fills[r["s"]].append(r["b"]["key"])
-            bound[r["s"]] = (k, g - r["b"]["size"])
-
-    limits = spark.createDataFrame([(s, sizes[s], float(target[s]), full[s], bound.get(s, (-1, 0.0))[0], fills[s]) for s in names], "a string, source_size long, target double, passes int, k long, filled array<long>")
+    low = F.shiftleft("head", shift)
+    near = light.join(offer(state), F.col("s").eqNullSafe(F.col("a"))).filter(F.shiftright("key", shift) == F.col("head"))
+    fits = near.withColumn("upto", F.sum("size").over(Window.partitionBy("s").orderBy("key"))).filter("upto <= need").groupBy("s").agg(F.max("key").alias("key"), F.max("upto").alias("upto"))
+    fits = fits.select(F.col("s").alias("f"), "key", "upto")
+    bound = state.join(fits, F.col("a").eqNullSafe(F.col("f")), "left").select("a", F.coalesce("key", low - 1).alias("k"), (F.col("need") - F.coalesce("upto", F.lit(0))).alias("gap"), F.expr("cast(array() as array<long>)").alias("filled"))
+    bound = stash.put(bound)
+    turn = 0
+    while turn <= FILLS:
+        left = light.join(offer(bound.filter("gap >= 1")), F.col("s").eqNullSafe(F.col("a"))).filter("key > k and size > 0 and not array_contains(filled, key)")
+        best = left.filter("size <= gap").groupBy("s").agg(F.max(F.struct("size", "key")).alias("b"))
+        if turn == FILLS:  # a document that goes over, if that comes nearer
+            best = left.filter("size < 2 * gap").groupBy("s").agg(F.min(F.struct("size", "key")).alias("b"))
+        best = stash.put(best.select(F.col("s").alias("f"), "b"))
+        turn = max(turn + 1, FILLS if best.isEmpty() else 0)
+        filled = bound.join(offer(best), F.col("a").eqNullSafe(F.col("f")), "left")
+        bound = stash.put(filled.select("a", "k", (F.col("gap") - F.coalesce("b.size", F.lit(0))).alias("gap"), F.when(F.col("b").isNull(), F.col("filled")).otherwise(F.array_append("filled", F.col("b.key"))).alias("filled")))
+    return bound.select("a", "k", "filled")
+
+
+def _block(blocks: str = "blocks"):
+    """The block of a key among a source's, which divide the keys evenly."""
+    return F.shiftright(F.shiftright("key", KEY - 31) * F.col(blocks), 31)
+
+
+def draw(light: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, seed: int = 17, words_per_shard: int = WORDS_PER_SHARD, words_per_block: int | None = None, stash: Stash | None = None) -> tuple[DataFrame, DataFrame]:
+    """(plan by source, blocks dealt), given rows of s, size and key.
+
+    The plan has a, source_size, target, passes, blocks, k, filled and last, the number of blocks of
+    the last pass; the blocks have b_s, pass, block, shard.
+    """
+    spark = light.sparkSession
+    stash = stash or Stash(spark)
+    wide = words_per_block or min(WORDS_PER_BLOCK, max(1, words_per_shard // 32))
+    sized = stash.put(targets(light.groupBy("s").agg(F.sum("size").alias("size")), weights, share, cap, stash))
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("int")
+    blocks = F.least(F.greatest(F.ceil(F.col("source_size") / wide), F.lit(1)), F.lit(1 << BLOCK_BITS)).cast("long")
+    plan = stash.put(sized.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("blocks", blocks))
+    cuts = _cuts(light, plan, stash)
+    joined = plan.join(offer(cuts), F.col("s").eqNullSafe(F.col("a")), "left")
+    taken = (F.col("k") >= 0) | (F.size("filled") > 0)
+    # a rest that no cut was found for is met by all of a source
+    last = F.when(F.col("k").isNull() & (F.col("rest") > 0), F.col("blocks")).when(taken, _block().cast("long") + 1).otherwise(0)
+    whole = F.when((F.col("rest") > 0) & F.col("k").isNull(), F.lit((1 << KEY) - 1)).otherwise(F.coalesce("k", F.lit(-1)))
+    joined = joined.withColumn("key", F.greatest(F.coalesce("k", F.lit(-1)), F.lit(0)))
+    plan = joined.select(F.col("s").alias("a"), "source_size", "target", "passes", "blocks", whole.cast("long").alias("k"), F.coalesce("filled", F.expr("cast(array() as array<long>)")).alias("filled"), F.coalesce(last, F.lit(0)).cast("long").alias("last"))
+    plan = stash.put(plan.withColumn("quota", F.col("passes") * F.col("blocks") + F.col("last")))
+
+    n, quota, words = plan.agg(F.count(F.lit(1)), F.sum("quota"), F.sum("target")).first()
+    groups = max(1, -(-n // GROUP))
+    shards = max(1, min(math.ceil((words or 0) / words_per_shard), (quota or 0) // 8, 10_000_000 // groups))
+    grouped = plan.select("a", "passes", "blocks", "quota", F.pmod(F.xxhash64("a"), F.lit(groups)).cast("int").alias("g"))
+    sums = sorted((r["g"], r["q"]) for r in grouped.groupBy("g").agg(F.sum("quota").alias("q")).collect())
+    even = np.diff(np.arange(shards + 1) * (quota or 0) // shards)
+    dealt = splitting_tree(np.array([q for _, q in sums], dtype=np.int64), even, np.random.default_rng(seed))
+    of_group = spark.createDataFrame([(g, row.tolist()) for (g, _), row in zip(sums, dealt, strict=True)], "h int, totals array<long>")
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("a", na_position="last")
+        rng = np.random.default_rng([seed, int(pdf.g.iloc[0])])
+        by = splitting_tree(pdf.quota.to_numpy(), np.asarray(pdf.totals.iloc[0]), rng)
+        frames = []
+        for (a, full), row in zip(zip(pdf.a, pdf.blocks.astype(int), strict=True), by, strict=True):
+            permuted = rng.permutation(int(row.sum()))
+            frames.append(pd.DataFrame({"b_s": a, "pass": (permuted // full).astype("int32"), "block": permuted % full, "shard": np.repeat(np.arange(len(row)), row).astype("int32")}))
+        return pd.concat(frames)
+
+    schema = "b_s string, pass int, block long, shard int"
+    blocks = grouped.join(F.broadcast(of_group), F.col("g") == F.col("h")).groupBy("g").applyInPandas(deal, schema)
+    return plan, stash.put(blocks)
+
+
+def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with their plan, `own`, the block in full passes, and `late`, that in the last pass, null if it isn't taken then."""
     more = (F.col("key") <= F.col("k")) | F.array_contains("filled", F.col("key"))
-    rows = _sized(docs, seed).join(F.broadcast(limits), F.col("s").eqNullSafe(F.col("a"))).select("row", "s", "size", "key", "source_size", "target", (F.col("passes") + more.cast("int")).alias("copies"))
-
-    # blocks by source: whole passes first, then the blocks of the last pass
-    def last_blocks(s) -> int:
-        digits = [bound[s][0], *fills[s]] if s in bound else []
-        return max((max(d, 0) >> (BITS * (LEVELS - 1))) + 1 for d in digits) if digits else 0
-
-    quotas = np.array([full[s] * BLOCKS + last_blocks(s) for s in names], dtype=np.int64)
-    wanted = math.ceil(sum(target.values()) / words_per_shard) if names else 1
-    shards = max(1, min(wanted, int(quotas.sum()) // 8))
-    rng = np.random.default_rng(seed)
-    dealt = splitting_tree(quotas, shards, rng) if names else np.zeros((0, 1), dtype=np.int64)
-    frames = []
-    for s, q, by in zip(names, quotas, dealt, strict=True):
-        permuted = rng.permutation(q)
-        frames.append(pd.DataFrame({"b_s": s, "pass": (permuted // BLOCKS).astype("int32"), "digit": (permuted % BLOCKS).astype("int64"), "shard": np.repeat(np.arange(shards), by).astype("int32")}))
-    schema = "b_s string, pass int, digit long, shard int"
-    blocks = spark.createDataFrame(pd.concat(frames), schema) if frames else spark.createDataFrame([], schema)
-    return rows, plan, blocks
-
-
-def mixture(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words, repeats counted), copies and their shards, one row a document.
+    planned = rows.join(offer(plan), F.col("s").eqNullSafe(F.col("a"))).withColumn("own", _block())
+    return planned.withColumn("late", F.when(more, F.least("own", F.col("last") - 1)))
 
-    Copies are those that the dealt blocks take, so they are the rows of `mix`; shards has one for each copy.
-    """
-    rows, _, blocks = draw(docs.select("doc_id", "source", "text"), **options)
-    dealt = blocks.groupBy("b_s", "digit").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("dealt"))
-    rows = rows.withColumn("own", F.shiftright("key", BITS * (LEVELS - 1)))
-    joined = rows.join(F.broadcast(dealt), F.col("s").eqNullSafe(F.col("b_s")) & (F.col("own") == F.col("digit")), "left")
-    shards = F.transform(F.filter("dealt", lambda x: x["pass"] < F.col("copies")), lambda x: x["shard"])
-    out = joined.withColumn("shards", F.coalesce(shards, F.array().cast("array<int>"))).withColumn("copies", F.size("shards"))
-    return out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("row.source").alias("source"), "copies", "shards")
+
+def sized(docs: DataFrame, seed: int, stash: Stash) -> DataFrame:
+    """doc_id, s, size and key of each row."""
+    rows = keyed(docs.select("doc_id", "source", "text"), seed, stash)
+    size = F.coalesce(F.regexp_count(F.col("row.text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    return stash.put(rows.select(F.col("row.doc_id").alias("doc_id"), "s", size.alias("size"), "key"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mixture(docs: DataFrame, seed: int = 17, stash: Stash | None = None, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words, repeats counted), copies and their shards, one row a document.
+
+    Copies are those that the dealt blocks hold, so they are the rows of `mix`; shards has one for each copy.
+    """
+    stash = stash or Stash(docs.sparkSession)
+    light = sized(docs, seed, stash)
+    plan, blocks = draw(light, seed=seed, stash=stash, **options)
+    numbered_blocks = plan.select(F.col("a").alias("p_s"), "passes").join(offer(blocks), F.col("p_s").eqNullSafe(F.col("b_s")))
+    full = numbered_blocks.filter(F.col("pass") < F.col("passes")).groupBy("b_s", F.col("block").alias("f_block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("f_shards")).withColumnRenamed("b_s", "f_s")
+    last = numbered_blocks.filter(F.col("pass") == F.col("passes")).select(F.col("b_s").alias("l_s"), F.col("block").alias("l_block"), F.col("shard").alias("l_shard"))
+    rows = _copies(light, plan)
+    rows = rows.join(offer(stash.put(full)), F.col("s").eqNullSafe(F.col("f_s")) & (F.col("own") == F.col("f_block")), "left").join(offer(last), F.col("s").eqNullSafe(F.col("l_s")) & (F.col("late") == F.col("l_block")), "left")
+    shards = F.concat(F.coalesce("f_shards", F.expr("cast(array() as array<int>)")), F.when(F.col("l_shard").isNotNull(), F.array("l_shard")).otherwise(F.expr("cast(array() as array<int>)")))
+    out = rows.withColumn("shards", shards).withColumn("copies", F.size("shards"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("s").alias("source"), "copies", "shards")
+
+
+def mix(docs: DataFrame, seed: int = 17, stash: Stash | None = None, **options) -> DataFrame:
     """The mixture itself: a row for each copy taken, with its shard, in random order within the shard."""
-    seed = options.get("seed", 17)
-    rows, _, blocks = draw(docs, **options)
-    own = ("copy", "shard", "shuffle_key")
-    columns = [c for c in docs.columns if c not in own]
-    taken = rows.filter("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("digit", F.shiftright("key", BITS * (LEVELS - 1)))
-    dealt = taken.join(F.broadcast(blocks), F.col("s").eqNullSafe(F.col("b_s")) & (taken["pass"] == blocks["pass"]) & (taken["digit"] == blocks["digit"]))
-    order = F.xxhash64(F.lit(seed), "shard", taken["pass"], "key")
-    out = dealt.select(*[F.col("row")[c].alias(c) for c in columns], taken["pass"].alias("copy"), "shard", order.alias("shuffle_key"))
+    stash = stash or Stash(docs.sparkSession)
+    plan, blocks = draw(sized(docs, seed, stash), seed=seed, stash=stash, **options)
+    columns = [c for c in docs.columns if c not in ("copy", "shard", "shuffle_key")]
+    rows = _copies(keyed(docs, seed, stash), plan)
+    times = F.col("passes") + F.col("late").isNotNull().cast("int")
+    taken = rows.withColumn("times", times).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    taken = taken.withColumn("in_block", F.when(F.col("copy") < F.col("passes"), F.col("own")).otherwise(F.col("late")))
+    dealt = taken.join(offer(blocks), F.col("s").eqNullSafe(F.col("b_s")) & (F.col("copy") == F.col("pass")) & (F.col("in_block") == F.col("block")))
+    out = dealt.select(*[F.col("row")[c].alias(c) for c in columns], "copy", "shard", F.xxhash64(F.lit(seed), "shard", "copy", "key").alias("shuffle_key"))
     return out.repartition("shard", F.pmod("shuffle_key", F.lit(16))).sortWithinPartitions("shard", "shuffle_key")

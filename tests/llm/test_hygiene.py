@@ -257,46 +257,79 @@ def test_leaks_on_awkward_rows(spark, awkward, none):
 # --- mixing ---
 
 
-def test_targets_fill_up_to_the_cap():
-    t = mixing.targets({"a": 100, "b": 1000, "c": 10, None: 500})
-    assert math.isclose(sum(t.values()), 1.5 * 1610) and t["a"] == 200 and t["c"] == 20 and all(t[s] <= 2 * n for s, n in {"b": 1000, None: 500}.items())
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
+def brute_targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
+    """By bisection of the level up to which targets fill."""
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    low, high = 0.0, 10.0 * (1 + sum(sizes.values()))
+    for _ in range(200):
+        level = (low + high) / 2
+        full = sum(min(cap * sizes[s], level * weight[s]) for s in order)
+        low, high = (level, high) if full < share * sum(sizes.values()) else (low, level)
+    return {s: min(cap * sizes[s], high * weight[s]) for s in order}
+
+
+def test_targets_equal_brute_force(spark):
+    rng = random.Random(4)
+    for sizes in ({"a": 100, "b": 1000, "c": 10, None: 500}, {}, {"a": 0}, {f"s{i:04d}": int(10 ** rng.uniform(0, 5)) for i in range(700)}):
+        df = spark.createDataFrame(list(sizes.items()), "s string, size long")
+        got = {r["s"]: r["target"] for r in mixing.targets(df).collect()}
+        assert got == pytest.approx(brute_targets(sizes), rel=1e-9)
 
 
 def test_splitting_tree_keeps_quotas():
     quotas = np.array([1000, 7, 0, 333])
-    dealt = mixing.splitting_tree(quotas, 7, np.random.default_rng(1))
-    assert (dealt.sum(axis=1) == quotas).all() and dealt.sum(axis=0).max() - dealt.sum(axis=0).min() <= 7
+    totals = np.array([191, 191, 191, 191, 192, 192, 192])
+    dealt = mixing.splitting_tree(quotas, totals, np.random.default_rng(1))
+    assert (dealt.sum(axis=1) == quotas).all() and (dealt.sum(axis=0) == totals).all()
 
 
-def test_mixture_meets_its_targets(spark, sf, awkward, none):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = mixing.mixture(docs).collect()
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mixture(docs.repartition(5)).collect()))
-    sizes, taken, target = collections.Counter(), collections.Counter(), {}
+def check_mixture(rows, documents):
+    sizes, taken, target, largest = collections.Counter(), collections.Counter(), {}, collections.Counter()
+    for s, text in documents:
+        n = len(WORD.findall(text or ""))
+        sizes[s] += n
+        largest[s] = max(largest[s], n)
     for r in rows:
-        assert r["taken"] in (0, r["size"], 2 * r["size"])
-        sizes[r["source"]] += r["size"]
+        assert 0 <= r["taken"] == r["size"] * r["copies"] <= 2 * max(1, r["size"]) and len(r["shards"]) == r["copies"] and r["source_size"] == sizes[r["source"]]
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
-    assert target == pytest.approx(mixing.targets(sizes))
-    largest = {s: max(r["size"] for r in rows if r["source"] == s) for s in target}
+    assert target == pytest.approx(brute_targets(sizes))
     assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in target)
-    assert sum(taken.values()) == pytest.approx(sum(target.values()), rel=0.05)
-    text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert all(r["size"] == len(WORD.findall(text[r["doc_id"]])) and r["source_size"] == sizes[r["source"]] for r in rows)
-    out = mixing.mix(docs, words_per_shard=5000)
-    assert out.count() == sum(r["copies"] for r in rows)
-    assert out.select("shard").distinct().count() > 3 and out.groupBy("doc_id", "copy").count().filter("count > 1").count() == 0
+
+
+def test_mixture_meets_its_targets(spark, sf, awkward, none):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.mixture(docs, words_per_shard=5000).collect()
+    check_mixture(rows, [(r["source"], r["text"]) for r in docs.collect()])
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mixture(docs.repartition(5), words_per_shard=5000).collect()))
+    want = sorted((r["doc_id"], k, shard) for r in rows for k, shard in enumerate(r["shards"]))
+    assert sorted((r["doc_id"], r["copy"], r["shard"]) for r in mixing.mix(docs, words_per_shard=5000).select("doc_id", "copy", "shard").collect()) == want
     assert mixing.mixture(awkward).count() == len(AWKWARD) and mixing.mixture(none).count() == 0 and mixing.mix(none).count() == 0
+    assert mixing.mix(awkward).columns == [*[c for c in awkward.columns if c != "shard"], "copy", "shard", "shuffle_key"]
+
 
+def test_mixture_takes_repeated_rows_one_by_one(spark):
+    same = [(7, "one two three four five six seven eight nine ten", "a")] * 100
+    for docs in (same, same + [(k, "w " * (k + 1), "b") for k in range(40)] + [(None, "x y", None)] * 9):
+        df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+        rows = mixing.mixture(df).collect()
+        assert len(rows) == len(docs)
+        check_mixture(rows, [(s, t) for _, t, s in docs])
+        assert sorted(map(str, rows)) == sorted(map(str, mixing.mixture(df.repartition(2)).collect()))
+        assert mixing.mix(df).count() == sum(r["copies"] for r in rows)
 
-def test_mixture_tells_the_shards_of_the_mix(spark):
-    docs = spark.range(12).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 2)).alias("source"), F.repeat(F.lit("w "), 2_000_000).alias("text"))
-    want = sorted((r["doc_id"], r["copy"], r["shard"]) for r in mixing.mix(docs).select("doc_id", "copy", "shard").collect())
-    rows = mixing.mixture(docs).collect()
-    assert sorted((r["doc_id"], k, shard) for r in rows for k, shard in enumerate(r["shards"])) == want
-    assert len({shard for _, _, shard in want}) > 1 and all(r["copies"] == len(r["shards"]) and r["taken"] == r["size"] * r["copies"] for r in rows)
+
+def test_shards_are_even_and_sources_many(spark):
+    rng = random.Random(5)
+    docs = [(k, "w " * rng.randint(1, 60), f"s{k % 700}" if k % 3 else "hot") for k in range(12_000)]
+    rows = mixing.mixture(spark.createDataFrame(docs, "doc_id long, text string, source string"), words_per_shard=20_000).collect()
+    check_mixture(rows, [(s, t) for _, t, s in docs])
+    words = collections.Counter()
+    for r in rows:
+        for shard in r["shards"]:
+            words[shard] += r["size"]
+    assert len(words) > 20 and max(words.values()) < 1.35 * min(words.values())
 
 
 # --- token counts ---
