@@ -6,7 +6,8 @@ corpus with count and min, which are combined before the shuffle, so that a line
 documents moves one row a task. The digests found twice are written before units are joined to
 them: both sides of the join are then plain exchanges, whose hot partitions adaptive execution
 splits. The earliest occurrence, ranked by (doc_id, text hash, place), is kept; every other one
-goes, whatever its length, within a text as well as between texts.
+goes, whatever its length, within a text as well as between texts. A caller that wants short lines
+left alone gives `min_words`; the others are handled as before.
 
 Passages are also pasted into the middle of lines. With `spans`, they are found whatever surrounds
 them. Runs of SEED words are hashed, and the least hash of each SPAN_WORDS - SEED + 1 runs is a
@@ -21,9 +22,9 @@ Offsets are code points of the original text. A line that goes whole goes with i
 Defined cases: a null text stays null and has nothing removed; blank lines are never units and
 stay; a null doc_id ranks last; rows repeated whole are one document given several times and come
 out alike; a text all of whose lines go becomes ''; a text of any length is cut and hashed whole; an
-empty table gives no rows. The result keeps all rows and columns, with `text` replaced, and has
-`removed` and `n_removed` beside them; those two of the input give way, unless other names are
-given for the new ones.
+empty table gives no rows. The result of `dedup_lines` keeps all rows and columns, with `text`
+replaced, and has three more; those of the input with their names give way, unless other names are
+given. `without_repeats` keeps the columns of the input as they are.
 """
 
 from __future__ import annotations
@@ -54,9 +55,11 @@ def normal_lines(text: str) -> Column:
     return F.filter(F.split(F.trim(F.regexp_replace(plain, r"\x20?\n\x20?", "\n")), "\n"), lambda x: x != "")
 
 
-def line_units(texts: DataFrame) -> DataFrame:
+def line_units(texts: DataFrame, min_words: int = 1) -> DataFrame:
     """UNIT rows of lines; a unit is the number of the line among those that aren't blank."""
     lines = texts.select("doc_id", "rid", F.posexplode(normal_lines("text")).alias("unit", "line"))
+    if min_words > 1:
+        lines = lines.filter(F.size(F.split("line", " ")) >= min_words)
     none = F.lit(0)
     return lines.select("doc_id", "rid", F.lit(False).alias("seed"), "unit", none.alias("low"), none.alias("high"), F.xxhash64("line").alias("digest"), F.xxhash64(F.lit(1), "line").alias("check"))
 
@@ -117,10 +120,11 @@ def seed_units(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "rid", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, rid long, seed boolean, unit int, low int, high int, digest long, check long")
 
 
-def repeats(docs: DataFrame, spans: bool, stash: Stash) -> DataFrame:
+def repeats(docs: DataFrame, spans: bool, min_words: int, stash: Stash) -> DataFrame:
     """(doc_id, rid, gone, spans): the lines that go as array<struct<unit, first_doc>>, and spans by code points."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text"))
-    units = stash.put(line_units(texts).union(seed_units(texts)) if spans else line_units(texts), "zstd")
+    lines = line_units(texts, min_words)
+    units = stash.put(lines.union(seed_units(texts)) if spans else lines, "zstd")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "unit")
     key = ["seed", "digest", "check"]
     first = stash.put(units.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "zstd")
@@ -233,7 +237,18 @@ def without(text: str, gone: dict[int, int | None], spans: list[tuple[int, int,
     return "\n".join(out), removed
 
 
-CLEANED = f"text string, removed {PIECES}"
+CLEANED = f"text string, removed {PIECES}, passages int"
+
+
+def _passages(text: str, removed: list[tuple[int, int, int | None]]) -> int:
+    """How many passages of SPAN_WORDS words and more went; pieces with blanks alone between them are one."""
+    runs: list[list[int]] = []
+    for start, end, _ in removed:
+        if runs and not WORDS.search(text, runs[-1][1], start):
+            runs[-1][1] = end
+        else:
+            runs.append([start, end])
+    return sum(len(WORDS.findall(text, a, b)) >= SPAN_WORDS for a, b in runs)
 
 
 def _cleaned(texts: pd.Series, gone: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -241,22 +256,37 @@ def _cleaned(texts: pd.Series, gone: pd.Series, spans: pd.Series) -> pd.DataFram
     for text, units, more in zip(texts, gone, spans, strict=True):
         units, more = ([] if x is None else x for x in (units, more))
         if text is None or not len(units) + len(more):
-            rows.append((text, []))
+            rows.append((text, [], 0))
         else:
             clean, removed = without(text, {int(u["unit"]): u["first_doc"] for u in units}, [(int(x["start"]), int(x["end"]), x["first_doc"]) for x in more])
-            rows.append((clean, [{"start": a, "end": b, "first_doc": d} for a, b, d in removed]))
-    return pd.DataFrame(rows, columns=["text", "removed"])
+            rows.append((clean, [{"start": a, "end": b, "first_doc": d} for a, b, d in removed], _passages(text, removed)))
+    return pd.DataFrame(rows, columns=["text", "removed", "passages"])
 
 
-def dedup_lines(docs: DataFrame, spans: bool = True, removed: str = "removed", n_removed: str = "n_removed", stash: Stash | None = None) -> DataFrame:
-    """All rows with repeated lines and passages taken out of `text`, and what was removed, and how many pieces, beside them."""
+def _deduped(docs: DataFrame, spans: bool, min_words: int, stash: Stash | None) -> DataFrame:
+    """Each row, as `row`, with its new text and what was removed, as `c`."""
     stash = stash or Stash(docs.sparkSession)
-    gone = repeats(docs, spans, stash).select(F.col("doc_id").alias("g_doc"), F.col("rid").alias("g_rid"), "gone", "spans")
+    gone = repeats(docs, spans, min_words, stash).select(F.col("doc_id").alias("g_doc"), F.col("rid").alias("g_rid"), "gone", "spans")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("j_doc"), F.xxhash64("text").alias("j_rid"))
     joined = rows.join(gone, F.col("j_doc").eqNullSafe(F.col("g_doc")) & (F.col("j_rid") == F.col("g_rid")), "left")
     # only texts that lose something go to Python
     touched = F.when(F.col("g_rid").isNotNull(), F.col("row.text").cast("string"))
     cleaned = joined.withColumn("c", F.pandas_udf(_cleaned, CLEANED)(touched, F.col("gone"), F.col("spans")))
     text = F.when(F.col("g_rid").isNull(), F.col("row.text")).otherwise(F.col("c.text"))
-    columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in (removed, n_removed)]
-    return cleaned.select(*columns, F.col("c.removed").alias(removed), F.size("c.removed").cast("long").alias(n_removed))
+    return cleaned.select("row", text.alias("text"), "c")
+
+
+def dedup_lines(docs: DataFrame, spans: bool = True, min_words: int = 1, removed: str = "removed", n_removed: str = "n_removed", n_passages: str = "n_passages", stash: Stash | None = None) -> DataFrame:
+    """All rows with repeated lines and passages taken out of `text`.
+
+    Beside them stand what was removed, how many pieces, and how many passages of SPAN_WORDS words and more.
+    """
+    columns = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in (removed, n_removed, n_passages)]
+    out = _deduped(docs, spans, min_words, stash)
+    return out.select(*columns, F.col("c.removed").alias(removed), F.size("c.removed").cast("long").alias(n_removed), F.col("c.passages").cast("long").alias(n_passages))
+
+
+def without_repeats(docs: DataFrame, spans: bool = True, min_words: int = 1, stash: Stash | None = None) -> DataFrame:
+    """The same with the input's columns alone; documents whose text is left without a word go."""
+    out = _deduped(docs, spans, min_words, stash).filter((F.size("c.removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -1,25 +1,30 @@
-"""Stupid-backoff scores from n-gram count tables partitioned by hash.
+"""Stupid-backoff scores computed relationally from n-gram count tables.
 
-The model is the corpus itself, each document scored by the counts of the others: a count is that
-of the whole corpus less the document's own. For a word w after context u,
+The model is the corpus itself, each document scored by the counts of the others: a count c is that
+of the whole corpus less the document's own. For a word w after a context u of up to order - 1 words,
 
     S(w | u) = c(u w) / c(u)              if c(u w) > 0
              = backoff * S(w | u')        otherwise, u' being u without its first word
     S(w)     = c(w) / N                   and 1 / (N + 1) for words of no other document
 
-Counting and joining happen in the same place. Words and word pairs that are frequent within a
-chunk of documents are hot; the counts of the HOT most frequent of either are summed first, one row
-a chunk, and sent to all tasks, so no task ever gathers the documents of a common word or pair.
-Each chunk sends its other distinct pairs by document, packed and dealt by the hash of the pair, so
-a bucket sees all counts of a pair and decides at which level each occurrence is found. What is
-still open, the count of a context found or of a word backed off to, is asked of the bucket that
-owns the word: questions are dealt by hash, joined to the count table there, and answered with sums
-by document. The order is 2. Words are told apart by 40 bits of a hash. Beside the hot counts,
-nothing is gathered on the driver but the number of bytes and of words.
-
-Defined cases: null and empty texts have 0 words, score 0 and a null perplexity; the first word of
-a text is scored as a word alone; rows repeated whole, or of one doc_id, are documents of their
-own, and copies lend each other their counts; null ids stay. Other columns are ignored.
+1. Texts are exploded into n-grams of all orders: one row for each distinct n-gram of a document, with
+   how often it stands there. Equal texts of one chunk of a task are exploded once.
+2. The count table sums the rows by n-gram, combined before the shuffle and partitioned by the
+   n-gram's hash. N-grams of a single document are dropped from it: for that document their count is 0.
+3. The exploded n-grams are joined to the count table. Both sides of the join are plain exchanges, of
+   which adaptive execution splits hot n-grams over many tasks.
+4. What was found is brought back to its document, by groups of chunks, and summed there: an n-gram
+   counts where no longer one that ends there was found, and its context divides it.
+
+An n-gram's key is a hash of 64 bits, so two different ones share a key, and their counts, with a
+chance of about n / 1.8e19 each among n. Nothing is pruned, capped or sampled, and nothing passes
+through the driver but the number of bytes and of words. The groups follow the number of words, so
+that a group stays of one size.
+
+Defined cases: null and empty texts have 0 words, score 0 and a null perplexity; the first words of a
+text have the shorter contexts that stand before them; rows repeated whole, or of one doc_id, are
+documents of their own, and copies lend each other their counts; null ids stay; a text of any
+length is scored whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,295 +35,159 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, release_memory, task_place
+from .common import Stash, partitions, task_place
 from .textpack import LOWER, MIX, buffer_of, finish, slices, span_hashes, word_counts, word_spans
 
 BACKOFF = 0.4
-BYTES_PER_BUCKET = 8 << 20
-HOT, HOT_IN_CHUNK = 20_000, 64
-WORDS_PER_CHUNK = 500_000
-FORTY = np.uint64((1 << 40) - 1)
-POSTINGS, SUMS, QUESTIONS, COUNTS, DOCUMENTS = range(5)
-NAMES = ["kind", "bucket", "chunk", "a", "b", "c", "d", "e"]
-PACKED = "kind int, bucket int, chunk long, a binary, b binary, c binary, d binary, e binary"
-
-
-def _pack(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a).tobytes()
-
-
-def _planes(values: np.ndarray, width: int = 4) -> bytes:
-    """Unsigned values of `width` bytes, bytes of equal weight next to one another, compressed: most are small counts."""
-    return zstandard.ZstdCompressor(level=1).compress(_pack(np.ascontiguousarray(values).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T))
-
-
-def _values(planes: bytes, width: int = 4) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(planes), np.uint8).reshape(width, -1)
-    out = np.zeros((raw.shape[1], 8), dtype=np.uint8)
-    out[:, :width] = raw.T
-    return out.view(np.int64).reshape(-1)
-
-
-def _steps(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted pairs as differences, the minor ones anew with each major; both stay small where values repeat."""
-    same = np.concatenate(([False], major[1:] == major[:-1]))
-    return np.diff(major, prepend=major[:0].dtype.type(0)), np.where(same, minor - np.concatenate((minor[:1], minor[:-1])), minor)
-
-
-def _walked(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The inverse of _steps."""
-    first = np.flatnonzero(np.concatenate(([True], major[1:] != 0)))
-    total = np.cumsum(minor)
-    before = np.repeat(total[first] - minor[first], np.diff(np.concatenate((first, [len(minor)]))))
-    return np.cumsum(major), total - before
-
-
-def _by(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each value of target with the places where it stands, in order."""
-    if not len(target):
-        return
-    order = np.argsort(target.astype(np.uint16) if target.max() < 1 << 16 else target, kind="stable")
-    start = np.flatnonzero(np.concatenate(([True], target[order][1:] != target[order][:-1])))
-    for a, b in zip(start, [*start[1:], len(order)], strict=True):
-        yield int(target[order[a]]), order[a:b]
-
-
-def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """The number of each row's group of equal keys, and how many groups there are."""
-    mixed = np.zeros(len(keys[0]), dtype=np.uint64)
-    for k, key in enumerate(keys):
-        mixed += finish(key.astype(np.uint64) + MIX[10 + k]) * MIX[20 + k]
-    distinct, back = np.unique(mixed, return_inverse=True)
-    return back, len(distinct)
-
-
-def _total(group: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
-    """Each row's sum of weights over its group."""
-    return np.bincount(group, weights, minlength=n)[group]
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(chunk id, doc ids, words of each, word ids, owner of each word)."""
-    ids, counts, hashes, total = [], [], [], 0
-    place = task_place()
-
-    def out():
-        n, h = np.concatenate(counts), np.concatenate(hashes)
-        name = hashlib.blake2b(_pack(n) + _pack(h) + repr((ids, next(place))).encode(), digest_size=8).digest()
-        return int.from_bytes(name, "little", signed=True), ids, n, h, np.repeat(np.arange(len(n)), n)
-
-    for batch in slices(batches, "text"):
-        data, offsets = buffer_of(batch.column("text"))
-        data = LOWER[data]
-        starts, ends = word_spans(data, offsets)
-        ids += batch.column("doc_id").to_pylist()
-        counts.append(word_counts(starts, offsets))
-        hashes.append((span_hashes(data, starts, ends) & FORTY) | np.uint64(1))  # 0 stands before a text
-        total += len(starts)
-        if total >= WORDS_PER_CHUNK or len(ids) >= 50_000:
-            yield out()
-            ids, counts, hashes, total = [], [], [], 0
-    if ids:
-        yield out()
-
-
-def _bucket(words: np.ndarray, buckets: int) -> np.ndarray:
-    return ((words.astype(np.uint64) >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _pair(context: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """40 bits that stand for a pair of words, even so as not to be a word."""
-    return finish(context.astype(np.uint64) * MIX[3] + words.astype(np.uint64) * MIX[4]) & FORTY & ~np.uint64(1)
-
-
-def _contexts(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    context = np.concatenate((np.zeros(1, np.uint64), words[:-1]))
-    context[np.concatenate(([True], owner[1:] != owner[:-1]))] = 0
-    return context
-
-
-class Hot:
-    """Counts of hot words and pairs, by key."""
-
-    def __init__(self, rows):
-        rows = sorted(rows)
-        self.keys = np.array([r[0] for r in rows], dtype=np.int64)
-        self.counts = np.array([r[1] for r in rows], dtype=np.int64)
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        """Each key's count, 0 where it isn't hot."""
-        if not len(self.keys):
-            return np.zeros(len(keys), dtype=np.int64)
-        keys = keys.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0)
-
-
-def _hot(texts: DataFrame) -> list[tuple[int, int]]:
-    """(key, count) of the HOT most frequent words and of as many pairs, counted over all documents."""
-
-    def counted(choose):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, _, _, words, owner in _chunks(batches):
-                if len(words):
-                    context = _contexts(words, owner)
-                    keys, n = np.unique(np.concatenate([words, _pair(context, words)[context != 0]]).astype(np.int64), return_counts=True)
-                    keep = choose(keys, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(n[keep].astype(np.int64))], ["key", "n"])
-
-        return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-    often = counted(lambda _, n: n >= HOT_IN_CHUNK)
-    top = [often.filter(F.col("key") % 2 == odd).orderBy(F.desc("n"), "key").limit(HOT) for odd in (1, 0)]
-    chosen = np.array(sorted(r["key"] for r in top[0].union(top[1]).collect()), dtype=np.int64)
-    if not len(chosen):
-        return []
-    return [(r["key"], r["n"]) for r in counted(lambda keys, _: np.isin(keys, chosen)).collect()]
-
-
-def _bigrams(texts: DataFrame, buckets: int, hot) -> DataFrame:
-    """A chunk's distinct (document, context, word) by the bucket of the pair, its counts of words that aren't hot, and its documents."""
-    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
-
-    def rows(chunk, ids, n, words, owner):
-        present = np.array([i is not None for i in ids])
-        yield (DOCUMENTS, chunk % buckets, chunk, _pack(np.array([i or 0 for i in ids], dtype=np.int64)), _pack(present), _planes(n), None, None)
-        if not len(words):
-            return
-        context = _contexts(words, owner)
-        group, groups = _grouped(owner, words)
-        own_word = np.bincount(group, minlength=groups)[group]  # the document's count of the word
-        own_context = np.concatenate(([0], own_word[:-1]))
-        group, groups = _grouped(owner, context, words)
-        times = np.bincount(group, minlength=groups)
-        at = np.full(groups, len(words))
-        np.minimum.at(at, group, np.arange(len(words)))
-        distinct, each = np.unique(words, return_counts=True)
-        cold = hot.value.of(distinct) == 0
-        for b, part in _by(_bucket(distinct[cold], buckets)):
-            yield (COUNTS, b, chunk, _planes(np.diff(distinct[cold][part], prepend=np.uint64(0)), 5), _planes(each[cold][part]), None, None, None)
-        words, context, owner, own_word, own_context = words[at], context[at], owner[at], own_word[at], own_context[at]
-        pair = _pair(context, words)
-        of_pair, of_context = hot.value.of(pair), hot.value.of(context)
-        done = (of_pair > times) & (of_context > 0) & (context != 0)  # found, and both counts are at hand
-        if done.any():
-            logs = (np.log(of_pair[done] - times[done]) - np.log(np.maximum(of_context[done] - own_context[done], 1))) * times[done]
-            zero = np.zeros(int(done.sum()))
-            yield _sums(chunk, buckets, owner[done], logs, zero, zero)
-        rest = np.flatnonzero(~done)
-        for b, part in _by(_bucket(pair[rest], buckets)):
-            part = rest[part]
-            part = part[np.lexsort((owner[part], context[part], words[part]))]
-            word_steps, context_steps = _steps(words[part], context[part])
-            yield (POSTINGS, b, chunk, _planes(owner[part]), _planes(word_steps, 5), _planes(context_steps, 5), _planes(times[part]), _planes(np.concatenate((own_word[part], own_context[part]))))
+ORDER = 3
+WORDS_PER_CHUNK, WORDS_PER_GROUP = 500_000, 1_000_000
+#: A document is a chunk and its place in it. Of level 0 there is one row a document, with its words as times, the
+#: ids of its copies, and how many have none as suffix; of others one row a distinct n-gram.
+NAMES = ["chunk", "doc", "level", "key", "times", "copies", "own", "suffix", "context", "ids"]
+EXPLODED = "chunk long, doc int, level int, key long, times int, copies int, own int, suffix int, context int, ids array<long>"
+
+
+def _distinct(owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For (owner, key) of each place: the number of its pair within the owner, the places of the pairs, and how often each stands."""
+    if not len(keys):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    order = np.lexsort((keys, owner))
+    o, k = owner[order], keys[order]
+    new = np.concatenate(([True], (o[1:] != o[:-1]) | (k[1:] != k[:-1])))
+    pair, first = np.cumsum(new) - 1, order[new]
+    by = np.argsort(first)  # pairs as they first stand, which owners follow
+    rank = np.empty(len(first), np.int64)
+    rank[by] = np.arange(len(first))
+    number = np.empty(len(keys), np.int64)
+    number[order] = rank[pair] - np.searchsorted(owner[first[by]], o)
+    return number, first[by], np.bincount(pair)[by]
+
+
+def exploded(texts: DataFrame, order: int) -> DataFrame:
+    """EXPLODED rows. own numbers a document's n-grams of a level; suffix and context are the numbers of an n-gram's parts one level below."""
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 5, pa.list_(pa.int64())]
+
+    def rows(chunk: int, ids: list[list], counts: np.ndarray, words: np.ndarray):
+        n = len(counts)
+        none, copies = np.zeros(n, np.int32), np.array([len(x) for x in ids], np.int32)
+        known = [[i for i in x if i is not None] for x in ids]
+        unknown = copies - np.array([len(x) for x in known], np.int32)
+        yield [np.full(n, chunk), np.arange(n, dtype=np.int32), none, none.astype(np.int64), counts.astype(np.int32), copies, none, unknown, none, pa.array(known, kinds[-1])]
+        owner = np.repeat(np.arange(n), counts)
+        ends = np.repeat(np.cumsum(counts), counts)
+        keys, below = np.zeros(len(words), np.uint64), None
+        for level in range(1, order + 1):
+            m = max(0, len(words) - level + 1)
+            if not m:
+                return
+            keys = finish(keys[:m] * MIX[7] + words[level - 1 :] + MIX[30 + level])
+            at = np.flatnonzero(np.arange(m) + level <= ends[:m])  # places where an n-gram begins
+            number, place, times = _distinct(owner[at], keys[at])
+            here = np.zeros(len(words), np.int64)
+            here[at] = number
+            at = at[place]
+            suffix, context = (below[at + 1], below[at]) if level > 1 else (np.zeros(len(at)), np.zeros(len(at)))
+            yield [np.full(len(at), chunk), owner[at].astype(np.int32), np.full(len(at), level, np.int32), keys[at].view(np.int64), times.astype(np.int32), copies[owner[at]], here[at].astype(np.int32), suffix.astype(np.int32), context.astype(np.int32), pa.nulls(len(at), kinds[-1])]
+            below = here
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
-            for row in rows(*chunk):
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], NAMES)
-            release_memory()
-
-    return texts.mapInArrow(run, PACKED)
-
-
-def _sums(chunk: int, buckets: int, owner: np.ndarray, logs: np.ndarray, known: np.ndarray, unknown: np.ndarray) -> tuple:
-    distinct, back = np.unique(owner, return_inverse=True)
-    add = lambda v: np.bincount(back, v)
-    return (SUMS, chunk % buckets, chunk, _pack(add(logs).astype(np.float32)), _planes(add(known)), _planes(add(unknown)), _planes(np.diff(distinct, prepend=0)), None)
-
-
-def _counted(postings: DataFrame, buckets: int, backoff: float, hot) -> DataFrame:
-    """Sums of what a bucket can tell, and questions to the buckets of words that aren't hot."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [tuple(r) for r in pdf[pdf.kind != POSTINGS].itertuples(index=False)]
-        rows = list(pdf[pdf.kind == POSTINGS].itertuples())
-        if rows:
-            pairs = [_walked(_values(r.b, 5), _values(r.c, 5)) for r in rows]
-            source = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p[0]) for p in pairs])
-            word, context = (np.concatenate([p[k] for p in pairs]) for k in range(2))
-            del pairs
-            owner, times = (np.concatenate([_values(getattr(r, k)).astype(np.int32) for r in rows]) for k in ("a", "d"))
-            halves = [_values(r.e).astype(np.int32).reshape(2, -1) for r in rows]
-            own = [np.concatenate([h[k] for h in halves]) for k in (0, 1)]
-            del halves
-            others = _total(*_grouped(context, word), times) - times
-            found = (others > 0) & (context != 0)
-            # found pairs ask for their context, others for their word
-            asked, less = np.where(found, context, word), np.where(found, own[1], own[0])
-            count = hot.value.of(asked)
-            rest = np.maximum(count - less, 0)
-            known, unknown = ~found & (rest > 0), ~found & (count > 0) & (rest == 0)
-            logs = np.where(found, np.log(np.maximum(others, 1)), np.where(context != 0, np.log(backoff), 0.0))
-            logs += np.where(count > 0, np.where(found, -1.0, 1.0) * np.log(np.maximum(rest, 1)), 0.0)
-            for s, at in _by(source):
-                out.append(_sums(rows[s].chunk, buckets, owner[at], logs[at] * times[at], known[at] * times[at], unknown[at] * times[at]))
-            chunks = np.array([r.chunk for r in rows], dtype=np.int64)
-            ask = np.flatnonzero(count == 0)
-            for b, at in _by(_bucket(asked[ask], buckets)):
-                at = ask[at]
-                at = at[np.lexsort((owner[at], source[at], asked[at]))]
-                here, local = np.unique(source[at], return_inverse=True)
-                out.append((QUESTIONS, b, 0, _pack(chunks[here]), _planes(local), _planes(owner[at]), _planes(np.diff(asked[at], prepend=0), 5), _planes(np.concatenate((2 * times[at].astype(np.int64) + found[at], less[at])))))
-        release_memory()
-        return pd.DataFrame(out, columns=NAMES)
-
-    return postings.groupBy("bucket").applyInPandas(run, PACKED)
-
-
-def _answered(counted: DataFrame, buckets: int) -> DataFrame:
-    """Questions replaced with the sums of their answers; the table of counts ends here."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [tuple(r) for r in pdf[pdf.kind.isin([DOCUMENTS, SUMS])].itertuples(index=False)]
-        rows = list(pdf[pdf.kind == QUESTIONS].itertuples())
-        if rows:
-            tables = list(pdf[pdf.kind == COUNTS].itertuples())
-            names, back = np.unique(np.concatenate([np.cumsum(_values(r.a, 5)) for r in tables]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([_values(r.b) for r in tables])).astype(np.int64)
-            chunk = np.concatenate([np.frombuffer(r.a, np.int64)[_values(r.b)] for r in rows])
-            owner, asked = np.concatenate([_values(r.c) for r in rows]), np.concatenate([np.cumsum(_values(r.d, 5)) for r in rows])
-            halves = [_values(r.e).reshape(2, -1) for r in rows]
-            times, found = np.divmod(np.concatenate([h[0] for h in halves]), 2)
-            less = np.concatenate([h[1] for h in halves])
-            rest = counts[np.searchsorted(names, asked)] - less
-            logs = np.where(found == 1, -1.0, 1.0) * np.log(np.maximum(rest, 1)) * times
-            known, unknown = (found == 0) & (rest > 0), (found == 0) & (rest <= 0)
-            distinct, back = np.unique(chunk, return_inverse=True)
-            for k, at in _by(back):
-                out.append(_sums(int(distinct[k]), buckets, owner[at], logs[at], known[at] * times[at], unknown[at] * times[at]))
-        release_memory()
-        return pd.DataFrame(out, columns=NAMES)
-
-    return counted.groupBy("bucket").applyInPandas(run, PACKED)
-
-
-def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, bytes_per_bucket: int = BYTES_PER_BUCKET) -> DataFrame:
+        place = task_place()
+
+        def chunks():
+            known, ids, counts, hashes, total = {}, [], [], [], 0
+            for batch in slices(batches, "text"):
+                data, offsets = buffer_of(batch.column("text"))
+                data = LOWER[data]
+                starts, ends = word_spans(data, offsets)
+                per, all_words = word_counts(starts, offsets), span_hashes(data, starts, ends)
+                edge = np.concatenate(([0], np.cumsum(per)))
+                for d, doc in enumerate(batch.column("doc_id").to_pylist()):
+                    words = all_words[edge[d] : edge[d + 1]]
+                    name = hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+                    if name in known:
+                        ids[known[name]].append(doc)
+                        continue
+                    known[name] = len(ids)
+                    ids.append([doc])
+                    counts.append(len(words))
+                    hashes.append(words)
+                    total += len(words)
+                    if total >= WORDS_PER_CHUNK or len(ids) >= 20_000:
+                        yield ids, np.array(counts), np.concatenate(hashes)
+                        known, ids, counts, hashes, total = {}, [], [], [], 0
+            if ids:
+                yield ids, np.array(counts), np.concatenate(hashes)
+
+        for ids, counts, words in chunks():
+            partition, number = next(place)
+            for columns in rows(partition << 32 | number, ids, counts, words):
+                columns = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                for start in range(0, len(columns[0]), 50_000):
+                    yield pa.RecordBatch.from_arrays([c.slice(start, 50_000) for c in columns], NAMES)
+
+    return texts.mapInArrow(run, EXPLODED)
+
+
+def count_table(ngrams: DataFrame) -> DataFrame:
+    """(of, total) of the n-grams that more than one document holds, over all rows of the corpus."""
+    counted = ngrams.filter("level > 0").groupBy(F.col("key").alias("of"))
+    return counted.agg(F.sum(F.col("times").cast("long") * F.col("copies")).alias("total"), F.sum("copies").alias("documents")).filter("documents > 1").drop("documents")
+
+
+def _scores(pdf: pd.DataFrame, order: int, backoff: float, corpus: int) -> pd.DataFrame:
+    """The scores of the documents of one group, given what was found of their n-grams."""
+    chunks, chunk = np.unique(pdf.chunk.to_numpy(np.int64), return_inverse=True)
+    place = chunk << 32 | pdf.doc.to_numpy(np.int64)
+    docs = pdf.assign(place=place)[pdf.level == 0].sort_values("place")
+    words = docs.times.to_numpy(np.int64)
+    rest = corpus - words  # words of the other documents
+    logs = np.zeros(len(docs))
+    found = pdf.level.to_numpy() > 0
+    owner = np.searchsorted(docs.place.to_numpy(), place[found])
+    level, own, suffix, context, times = (pdf[c].to_numpy(np.int64)[found] for c in ("level", "own", "suffix", "context", "times"))
+    log_others = np.log(pdf.others.to_numpy(np.float64)[found])
+    longer: tuple = ()  # of the level above: the n-grams that are extended and how often, those that divide and how often
+    for n in range(order, 0, -1):
+        here = np.flatnonzero(level == n)
+        width = int(own[here].max(initial=0)) + 1
+        names = owner[here] * width + own[here]
+        by = np.argsort(names)
+        here, names = here[by], names[by]
+        extended, divides = np.zeros(len(here)), np.zeros(len(here))
+        for sums, (of, numbers, amounts) in zip((extended, divides), longer, strict=False):
+            np.add.at(sums, np.searchsorted(names, of * width + numbers), amounts)
+        ends = times[here] - extended  # where no longer n-gram was found
+        logs += np.bincount(owner[here], (ends - divides) * log_others[here], minlength=len(docs))
+        missed = np.maximum(words - n + 1, 0) - np.bincount(owner[here], times[here], minlength=len(docs))
+        if n > 1:
+            logs += missed * np.log(backoff)
+            longer = ((owner[here], suffix[here], times[here]), (owner[here], context[here], ends))
+        else:
+            known = np.bincount(owner[here], ends, minlength=len(docs))
+            logs -= known * np.log(np.maximum(rest, 1)) + missed * np.log(rest + 1.0)
+    rows = [(x, k) for k, held in enumerate(docs.ids) for x in map(int, held)]
+    rows += [(None, k) for k, n in enumerate(docs.suffix) for _ in range(n)]
+    at = np.array([k for _, k in rows], dtype=np.int64)
+    return pd.DataFrame({"doc_id": pd.Series([x for x, _ in rows], dtype="Int64"), "n_words": words[at], "score": logs[at]})
+
+
+def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, stash: Stash | None = None) -> DataFrame:
     """doc_id, n_words, score (sum of natural logs), mean_log, perplexity of each row."""
     spark = docs.sparkSession
-    size, words = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))), F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")))).first()
-    size, words = size or 0, words or 0
-    buckets = int(max(min(partitions(spark), 1 + size // 500_000), -(-size // bytes_per_bucket)))
-
-    def finished(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf.kind == DOCUMENTS].iloc[0]
-        ids, present, n = np.frombuffer(own.a, np.int64), np.frombuffer(own.b, bool), _values(own.c)
-        logs, known, unknown = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
-        held = pdf[pdf.kind == SUMS]
-        for r in sorted(held.itertuples(), key=lambda r: (r.a, r.b)):
-            at = np.cumsum(_values(r.d))
-            logs[at] += np.frombuffer(r.a, np.float32)
-            known[at] += _values(r.b)
-            unknown[at] += _values(r.c)
-        score = logs - known * np.log(np.maximum(words - n, 1)) - unknown * np.log(words - n + 1.0)
-        mean = np.divide(score, n, out=np.full(len(n), np.nan), where=n > 0)
-        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64") if present.all() else pd.Series([int(i) if p else None for i, p in zip(ids, present, strict=True)], dtype="Int64"), "n_words": n, "score": score, "mean_log": mean, "perplexity": np.exp(-mean)})
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hot = spark.sparkContext.broadcast(Hot(_hot(texts)))
-    done = _answered(_counted(_bigrams(texts, buckets, hot), buckets, backoff, hot), buckets).groupBy("chunk").applyInPandas(finished, "doc_id long, n_words long, score double, mean_log double, perplexity double")
-    return done.select("doc_id", "n_words", "score", *(F.when(F.col("n_words") > 0, F.col(c)).alias(c) for c in ("mean_log", "perplexity")))
+    stash = stash or Stash(spark)
+    corpus = docs.agg(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
+    groups = int(max(min(partitions(spark), 1 + corpus // 100_000), -(-corpus // WORDS_PER_GROUP)))
+    ngrams = exploded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), order)
+    counts = stash.put(count_table(ngrams), "zstd")
+    # a document's own row takes part under a key of its own
+    rows = ngrams.withColumn("key", F.when(F.col("level") > 0, F.col("key")).otherwise(F.xxhash64("chunk", "doc"))).drop("copies")
+    others = (F.col("total") - F.col("times")).cast("double")
+    found = rows.join(counts, F.col("key") == F.col("of"), "left").filter((F.col("level") == 0) | (others > 0))
+    found = found.select("chunk", "doc", "level", "times", "own", "suffix", "context", "ids", others.alias("others"), F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int").alias("part"))
+    scored = found.groupBy("part").applyInPandas(lambda pdf: _scores(pdf, order, backoff, corpus), "doc_id long, n_words long, score double")
+    mean = F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words"))
+    return scored.select("doc_id", "n_words", "score", mean.alias("mean_log"), F.exp(-mean).alias("perplexity"))

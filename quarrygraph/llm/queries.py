@@ -22,7 +22,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
-        "doc_id", "text", "n_removed", F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), " ").alias("removed")
+        "doc_id", "text", "n_passages", "n_removed", F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), " ").alias("removed")
     )
 
 
@@ -50,7 +50,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.backoff_scores(table(spark, sf_dir, "documents"))
+    rows = lm_scoring.backoff_scores(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_log", 6).alias("mean_log"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,33 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.x = d.doc_i
 """
 
 
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x), c AS (SELECT x, min(y) AS c FROM r GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id <= coalesce(c, vec_id) AS kept FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.x = vec_id
+"""
+
+_GRAMS = "".join(
+    f""", g{n} AS (SELECT r, i, array_to_string(w[i - {n - 1}:i], ' ') AS g, array_to_string(w[i - {n - 1}:i - 1], ' ') AS u FROM p WHERE i >= {n}),
+o{n} AS (SELECT r, g, count(*) AS n FROM g{n} GROUP BY ALL), x{n} AS (SELECT r, g, sum(n) OVER (PARTITION BY g) - n AS c FROM o{n})"""
+    for n in (1, 2, 3)
+)
+OP8_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w){_GRAMS},
+t AS (SELECT sum(len(w)) AS t FROM w),
+s AS (SELECT g1.r, sum(CASE WHEN x3.c > 0 THEN ln(x3.c / u3.c) ELSE CASE WHEN g1.i >= 3 THEN ln(0.4) ELSE 0 END + CASE WHEN x2.c > 0 THEN ln(x2.c / u2.c)
+    ELSE CASE WHEN g1.i >= 2 THEN ln(0.4) ELSE 0 END + CASE WHEN x1.c > 0 THEN ln(x1.c / (t - len(w.w))) ELSE -ln(t - len(w.w) + 1) END END END) AS s
+  FROM g1 CROSS JOIN t JOIN w ON w.r = g1.r JOIN x1 ON x1.r = g1.r AND x1.g = g1.g
+  LEFT JOIN g2 ON g2.r = g1.r AND g2.i = g1.i LEFT JOIN x2 ON x2.r = g2.r AND x2.g = g2.g LEFT JOIN x1 u2 ON u2.r = g2.r AND u2.g = g2.u
+  LEFT JOIN g3 ON g3.r = g1.r AND g3.i = g1.i LEFT JOIN x3 ON x3.r = g3.r AND x3.g = g3.g LEFT JOIN x2 u3 ON u3.r = g3.r AND u3.g = g3.u GROUP BY g1.r)
+SELECT doc_id, len(w) AS n_words, round(coalesce(s, 0), 4) AS score, CASE WHEN len(w) > 0 THEN round(s / len(w), 6) END AS mean_log FROM w LEFT JOIN s USING (r)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -96,4 +124,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_jaccard_join": OP3_SQL,
+        "op6_embedding_dedup": OP6_SQL,
+        "op8_lm_scoring": OP8_SQL,
     }

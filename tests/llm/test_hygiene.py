@@ -164,7 +164,8 @@ def test_line_dedup_keeps_the_first_and_offsets(spark, awkward, none):
         assert rows[5][0]["text"] == ("new" if spans else docs[4][1]) and [r["text"] for r in rows[6]] == ["", ""]
         assert rows[7][0]["text"] == "twice\nonce"
     out = line_dedup.dedup_lines(awkward, removed="gone", n_removed="n_gone")
-    assert out.count() == len(AWKWARD) and out.columns == [*awkward.columns, "gone", "n_gone"] and {r["removed"] for r in out.collect()} == {"x"}
+    assert line_dedup.without_repeats(awkward).dtypes == awkward.dtypes and {r["n_passages"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).filter("doc_id in (3, 4, 5)").collect()} == {1}
+    assert out.count() == len(AWKWARD) and out.columns == [*awkward.columns, "gone", "n_gone", "n_passages"] and {r["removed"] for r in out.collect()} == {"x"}
     assert out.filter("text is null").count() == 1 and line_dedup.dedup_lines(none).count() == 0
     assert dict(line_dedup.dedup_lines(awkward).dtypes)["removed"].startswith("array")
 
@@ -425,37 +426,45 @@ def test_embedding_dedup_on_awkward_rows(spark):
 # --- language model ---
 
 
-def brute_scores(docs):
-    words = [[w for w in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] for _, t in docs]
-    uni, bi = collections.Counter(), collections.Counter()
-    for w in words:
-        uni.update(w)
-        bi.update(zip(w, w[1:], strict=False))
-    total, out = sum(uni.values()), []
-    for (d, _), w in zip(docs, words, strict=True):
-        u, b, n, s = collections.Counter(w), collections.Counter(zip(w, w[1:], strict=False)), len(w), 0.0
-        for k, x in enumerate(w):
-            pair = (w[k - 1], x) if k else None
-            if pair and bi[pair] - b[pair] > 0:
-                s += math.log((bi[pair] - b[pair]) / (uni[pair[0]] - u[pair[0]]))
-                continue
-            s += math.log(0.4) if k else 0.0
-            c = uni[x] - u[x]
-            s += math.log(c / (total - n)) if c else -math.log(total - n + 1)
-        out.append((d, n, s))
+def brute_scores(docs, order):
+    """Word by word, from counts of tuples."""
+    texts = [[w for w in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] for _, t in docs]
+    grams = lambda w: collections.Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    all_counts = collections.Counter()
+    for w in texts:
+        all_counts.update(grams(w))
+    total, out = sum(map(len, texts)), []
+    for (d, _), w in zip(docs, texts, strict=True):
+        own, s = grams(w), 0.0
+        for i in range(len(w)):
+            for n in range(min(order, i + 1), 0, -1):
+                g = tuple(w[i - n + 1 : i + 1])
+                c = all_counts[g] - own[g]
+                if n == 1:
+                    s += math.log(c / (total - len(w))) if c else -math.log(total - len(w) + 1)
+                elif c:
+                    s += math.log(c / (all_counts[g[:-1]] - own[g[:-1]]))
+                    break
+                else:
+                    s += math.log(0.4)
+        out.append((d, len(w), s))
     return out
 
 
-def test_scores_equal_brute_force(spark, sf, awkward, none):
-    for df in (spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), awkward.select("doc_id", "text")):
-        docs = [tuple(r) for r in df.collect()]
-        key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
-        got = sorted(((r["doc_id"], r["n_words"], r["score"]) for r in lm_scoring.backoff_scores(df.repartition(3), bytes_per_bucket=100_000).collect()), key=key)
-        for a, b in zip(got, sorted(brute_scores(docs), key=key), strict=True):
-            assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-5, abs=1e-4)
-    assert lm_scoring.backoff_scores(none).count() == 0
-    twice = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
-    assert lm_scoring.backoff_scores(twice.union(twice)).count() == 2
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_scores_equal_brute_force(spark, order, awkward, none, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "WORDS_PER_CHUNK", 2_000)
+    rng = random.Random(order)
+    texts = [" ".join(rng.choice("the a cat dog sat ran on mat and then".split()) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    docs = [*enumerate(texts), (7, texts[7]), (None, texts[8]), (None, None), *[(1000 + k, texts[9].upper()) for k in range(40)], (1 << 60, texts[9]), *[(r[0], r[1]) for r in AWKWARD if r[0] != 8], (8, " ".join(f"w{i % 97}" for i in range(5_000)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[2], 5))
+    got = sorted(((r["doc_id"], r["n_words"], r["score"]) for r in lm_scoring.backoff_scores(df, order).collect()), key=key)
+    for a, b in zip(got, sorted(brute_scores(docs, order), key=key), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9, abs=1e-7)
+    if order == 2:
+        assert lm_scoring.backoff_scores(none).count() == 0 and lm_scoring.backoff_scores(awkward).count() == len(AWKWARD)
+        assert lm_scoring.backoff_scores(spark.createDataFrame([(1, "a b c")] * 2, "doc_id long, text string")).count() == 2
 
 
 # --- toxicity ---
