@@ -15,6 +15,10 @@ from quarrygraph.llm import decontaminate, jaccard_join, line_dedup, mixing, tox
 from quarrygraph.llm.common import table
 
 
+#: Words from which on a repeated line goes from the texts of the corpus.
+LINE_WORDS = 25
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on the labelled ones among them, doesn't reject."""
     return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -32,10 +36,12 @@ def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that stand in an earlier document; texts left blank go."""
-    deduped = line_dedup.dedup_lines(docs, spans=True)
-    kept = deduped.filter((F.col("n_removed") == 0) | F.col("text").rlike(mixing.WORD))
-    return kept.select(docs.columns)
+    """Texts without lines and passages that stand earlier; texts left blank go.
+
+    Repeated lines of fewer than LINE_WORDS words are left alone here: a text that shares no more than
+    a short line with others is a clean one, and stays as it is. (The operator and its query take them too.)
+    """
+    return line_dedup.without_repeats(docs, min_words=LINE_WORDS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
