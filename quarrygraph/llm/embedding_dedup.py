@@ -6,6 +6,8 @@ vectors before it in that order, by cosine in double precision. Links of all pas
 Rows are ranked by a range-partitioned sort and cut into blocks of ranks, each with the window
 that reaches back over its edge, so no label and no group is ever held by one task.
 
+Equal vectors of a label form one class, which takes part once and counts as often as it has members.
+
 Windows alone would lose links of crowds, whatever else stands between them. The first bits of a code,
 about as many as leave CROWD vectors a prefix where codes spread evenly, name its bucket in the
 pass. A bucket that a window can't span is compared whole, block by block, so every pair that
@@ -18,7 +20,8 @@ of up to CROWD vectors is one bucket, and exact.
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite components, and a
 vector whose label is null, links with nothing and is kept; vectors of different lengths do not
 link; repeated rows of one vec_id are one vector with one row each in the result, the first by
-content standing for them; null ids give rows of their own with null component.
+content standing for them; null ids give rows of their own with null component; an empty table gives
+no rows; columns other than vec_id, embedding and label are ignored.
 """
 
 from __future__ import annotations
@@ -44,11 +47,13 @@ def planes(dim: int, number: int, seed: int = 11) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, v (double array) of the vectors that can link, one row an id."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id, label, v and its 128-bit digest (h, g) of the vectors that can link, one row an id; floats stay floats."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding").cast(kind if kind == "array<float>" else "array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull())
     rows = rows.filter((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).filter(F.exists("v", lambda x: x != 0.0))
-    return rows.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("s")).select("vec_id", F.col("s.label").cast("string").alias("label"), "s.v")
+    rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("s")).select("vec_id", F.col("s.label").cast("string").alias("label"), "s.v")
+    return rows.select("vec_id", "label", "v", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g"))
 
 
 def _unit(v: pd.Series) -> np.ndarray:
@@ -94,13 +99,13 @@ IN = ["pass", "label", "dim", "bucket"]
 
 
 def _crowds(placed: DataFrame, rows: DataFrame, passes: int, window: int, stash: Stash) -> tuple[DataFrame, DataFrame]:
-    """(members of the buckets that windows can't span, vec_id and v with `crowds`, its bucket in each pass or -1)."""
+    """(members of the buckets that windows can't span, vec_id, v and m with `crowds`, its bucket in each pass or -1)."""
     crowded = placed.groupBy(*IN).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > window).drop("m")
     members = stash.put(placed.join(crowded, IN).select(*IN, "vec_id"))
     of_pass = [F.coalesce(F.max(F.when(F.col("pass") == p, F.col("bucket"))), F.lit(-1).cast("long")) for p in range(passes)]
     crowds = members.groupBy("vec_id").agg(F.array(*of_pass).alias("crowds"))
     nowhere = F.array_repeat(F.lit(-1).cast("long"), passes)
-    return members, stash.put(rows.select("vec_id", "v").join(crowds, "vec_id", "left").withColumn("crowds", F.coalesce("crowds", nowhere)))
+    return members, stash.put(rows.select("vec_id", "v", "m").join(crowds, "vec_id", "left").withColumn("crowds", F.coalesce("crowds", nowhere)))
 
 
 def _shared(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -110,7 +115,7 @@ def _shared(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def window_pairs(placed: DataFrame, rows: DataFrame, threshold: float, window: int) -> DataFrame:
-    """(src, dst) of the links that windows show, but for those within crowds."""
+    """(src, dst, m_src, m_dst) of the links that windows show, but for those within crowds."""
     ranked = _ranked(placed)
     block = F.floor(F.col("rank") / BLOCK)
     tail = ranked.filter(F.col("rank") % BLOCK >= BLOCK - window)
@@ -119,7 +124,7 @@ def window_pairs(placed: DataFrame, rows: DataFrame, threshold: float, window: i
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
-        ids, rank = pdf.vec_id.to_numpy(), pdf["rank"].to_numpy()
+        ids, rank, m = pdf.vec_id.to_numpy(), pdf["rank"].to_numpy(), pdf.m.to_numpy()
         crowds = np.stack(pdf.crowds)
         own = rank // BLOCK == key[0]
         found = []
@@ -135,11 +140,12 @@ def window_pairs(placed: DataFrame, rows: DataFrame, threshold: float, window: i
                 near = (j < i) & (i - j <= window) & own[at[i]]
                 i, j = at[i[near]], at[j[near]]
                 apart = _shared(crowds[i], crowds[j]) == crowds.shape[1]
-                found.append(pd.DataFrame({"src": ids[i[apart]], "dst": ids[j[apart]]}))
-        return pd.concat(found) if found else pd.DataFrame({"src": [], "dst": []})
+                i, j = i[apart], j[apart]
+                i, j = np.where(ids[i] > ids[j], i, j), np.where(ids[i] > ids[j], j, i)
+                found.append(pd.DataFrame({"src": ids[i], "dst": ids[j], "m_src": m[i], "m_dst": m[j]}))
+        return pd.concat(found) if found else pd.DataFrame({"src": [], "dst": [], "m_src": [], "m_dst": []})
 
-    pairs = joined.groupBy("block").applyInPandas(compare, "src long, dst long")
-    return pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    return joined.groupBy("block").applyInPandas(compare, "src long, dst long, m_src long, m_dst long").distinct()
 
 
 def _forest(linked: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:
@@ -161,7 +167,7 @@ def _forest(linked: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[tuple[
 
 
 def crowd_links(members: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """(src, dst, n) of what crowds link: the number of links of src where dst is null, and pairs that connect its groups."""
+    """(src, dst, n) of what crowds link: the number of vectors that src links with where dst is null, and pairs that connect its groups."""
     crowds = members.join(rows.select("vec_id", F.col("crowds")[0].alias("before")), "vec_id").withColumn("cell", F.when(F.col("pass") > 0, F.col("before")).otherwise(F.lit(-1).cast("long"))).drop("before")
     # vectors of one crowd of the first pass, a cell, have met there; small cells are mixed
     cells = crowds.groupBy(*IN, "cell").agg(F.count(F.lit(1)).alias("m")).withColumn("own", F.when(F.col("m") >= GROUP, F.col("cell")).otherwise(F.lit(-1).cast("long")))
@@ -189,7 +195,7 @@ def crowd_links(members: DataFrame, rows: DataFrame, threshold: float) -> DataFr
             a, b = i[start : start + (1 << 16)], j[start : start + (1 << 16)]
             linked[a, b] = _shared(of_one[a], of_two[b]) == key[0]
         ids, others = one.vec_id.to_numpy(), two.vec_id.to_numpy()
-        counts = [(ids, linked.sum(axis=1))] + ([] if two is one else [(others, linked.sum(axis=0))])
+        counts = [(ids, linked @ two.m.to_numpy())] + ([] if two is one else [(others, one.m.to_numpy() @ linked)])
         found = pd.DataFrame({"src": np.concatenate([c[0] for c in counts]), "dst": None, "n": np.concatenate([c[1] for c in counts])})
         pairs = _forest(linked, ids, others)
         found = pd.concat([found[found.n > 0].astype({"dst": "Int64"}), pd.DataFrame({"src": [x for x, _ in pairs], "dst": pd.array([y for _, y in pairs], dtype="Int64"), "n": 0})])
@@ -202,17 +208,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     """vec_id, n_links, component_id, kept of each row."""
     spark = vectors.sparkSession
     stash = stash or Stash(spark)
-    rows = stash.put(usable(vectors))
+    every = stash.put(usable(vectors))
+    same = ["label", "h", "g"]
+    classes = stash.put(every.groupBy(*same).agg(F.min("vec_id").alias("class"), F.count(F.lit(1)).alias("m")))
+    rows = stash.put(every.select("vec_id", "label", "v").join(classes.select("class", "m"), F.col("vec_id") == F.col("class")).drop("class"))
     placed = _placed(_coded(rows, passes), stash)
     members, rows = _crowds(placed, rows, passes, window, stash)
     pairs = stash.put(window_pairs(placed, rows, threshold, window))
     crowded = stash.put(crowd_links(members, rows, threshold))
-    component = stash.put(connected_components(pairs.union(crowded.filter("dst is not null").select("src", "dst")), stash))
-    one = F.lit(1).cast("long")
-    ends = pairs.select(F.col("src").alias("id"), one.alias("n")).union(pairs.select(F.col("dst"), one)).union(crowded.filter("dst is null").select("src", "n"))
+    component = connected_components(pairs.select("src", "dst").union(crowded.filter("dst is not null").select("src", "dst")), stash)
+    ends = pairs.select(F.col("src").alias("id"), F.col("m_dst").alias("n")).union(pairs.select("dst", "m_src")).union(crowded.filter("dst is null").select("src", "n"))
     counts = ends.groupBy("id").agg(F.sum("n").alias("n"))
-    linked = component.join(counts, F.col("node") == F.col("id"), "left").select("node", "component", "n")
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    out = ids.join(linked, F.col("vec_id") == F.col("node"), "left")
+    linked = stash.put(component.join(counts, F.col("node") == F.col("id"), "left").select("node", "component", "n"))
+    # both joins have plain exchanges, of which adaptive execution splits the members of a large class
+    of_class = every.select("vec_id", *same).join(classes, same).join(linked, F.col("class") == F.col("node"), "left")
+    n = F.coalesce("n", F.lit(0)) + F.col("m") - 1
+    found = of_class.select(F.col("vec_id").alias("id"), n.alias("n"), F.coalesce("component", "class").alias("component"))
+    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(found, F.col("vec_id") == F.col("id"), "left")
     root = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(root == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -24,7 +24,12 @@ them once a chunk and never lists their documents. Orders by frequency put them
 Defined cases: null or blank text has an empty set, n_shingles 0 and links with nothing; fewer
 words than the width give the whole sequence as one shingle; repeated rows (and rows that share a
 doc_id) are copies of each other; a null doc_id is given back in a row of its own with a null
-component and takes no part. Further columns are ignored.
+component and takes no part; texts of any length are cut whole; an empty table gives no rows.
+Further columns are ignored.
+
+Shingles are told apart by the hash of their words: 40 bits beside the number of the bucket, 64 bits
+for those that are hot; equal sets are known by 64 bits. Two different shingles of one pair of sets
+look alike with a chance of about 1e-12 or less.
 """
 
 from __future__ import annotations
@@ -41,8 +46,8 @@ from pyspark.sql import functions as F
 from .common import Stash, connected_components, partitions, release_memory, task_place
 from .textpack import finish, shingle_sets, slices
 
-TOKENS_PER_BUCKET = 4_000_000
-TOKENS_PER_CHUNK = 1_000_000
+TOKENS_PER_BUCKET = 2_000_000
+TOKENS_PER_CHUNK = 750_000
 HOT_IN_CHUNK = 64
 GROUP = 1024
 HOT_CLASS = 255

@@ -9,7 +9,7 @@ of the whole corpus less the document's own. For a word w after a context u of u
 
 1. Texts are exploded into n-grams of all orders: one row for each distinct n-gram of a document, with
    how often it stands there. Equal texts of one chunk of a task are exploded once.
-2. The count table sums the rows by n-gram, combined before the shuffle and partitioned by the
+2. The count table sums them by n-gram, combined by chunk before the shuffle and partitioned by the
    n-gram's hash. N-grams of a single document are dropped from it: for that document their count is 0.
 3. The exploded n-grams are joined to the count table. Both sides of the join are plain exchanges, of
    which adaptive execution splits hot n-grams over many tasks.
@@ -46,8 +46,8 @@ ORDER = 3
 WORDS_PER_CHUNK, WORDS_PER_GROUP = 500_000, 1_000_000
 #: A document is a chunk and its place in it. Of level 0 there is one row a document, with its words as times, the
 #: ids of its copies, and how many have none as suffix; of others one row a distinct n-gram.
-NAMES = ["chunk", "doc", "level", "key", "times", "copies", "own", "suffix", "context", "ids"]
-EXPLODED = "chunk long, doc int, level int, key long, times int, copies int, own int, suffix int, context int, ids array<long>"
+NAMES = ["chunk", "doc", "level", "key", "times", "own", "suffix", "context", "ids"]
+EXPLODED = "chunk long, doc int, level int, key long, times int, own int, suffix int, context int, ids array<long>"
 
 
 def _distinct(owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,75 +67,98 @@ def _distinct(owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return number, first[by], np.bincount(pair)[by]
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list], np.ndarray, np.ndarray]]:
+    """(chunk, ids of the copies of each text, its number of words, hashes of all words) of a task's chunks; equal texts are one."""
+    place = task_place()
+    known, ids, counts, hashes, total = {}, [], [], [], 0
+
+    def out():
+        partition, number = next(place)
+        return partition << 32 | number, ids, np.array(counts), np.concatenate(hashes)
+
+    for batch in slices(batches, "text"):
+        data, offsets = buffer_of(batch.column("text"))
+        data = LOWER[data]
+        starts, ends = word_spans(data, offsets)
+        edge, all_words = np.concatenate(([0], np.cumsum(word_counts(starts, offsets)))), span_hashes(data, starts, ends)
+        for d, doc in enumerate(batch.column("doc_id").to_pylist()):
+            words = all_words[edge[d] : edge[d + 1]]
+            name = hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+            if name in known:
+                ids[known[name]].append(doc)
+                continue
+            known[name] = len(ids)
+            ids.append([doc])
+            counts.append(len(words))
+            hashes.append(words)
+            total += len(words)
+            if total >= WORDS_PER_CHUNK or len(ids) >= 20_000:
+                yield out()
+                known, ids, counts, hashes, total = {}, [], [], [], 0
+    if ids:
+        yield out()
+
+
+def _levels(words: np.ndarray, counts: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(level, places where an n-gram begins, their texts, their keys) of a chunk's words."""
+    owner, ends = np.repeat(np.arange(len(counts)), counts), np.repeat(np.cumsum(counts), counts)
+    keys = np.zeros(len(words), np.uint64)
+    for level in range(1, order + 1):
+        m = len(words) - level + 1
+        if m <= 0:
+            return
+        keys = finish(keys[:m] * MIX[7] + words[level - 1 :] + MIX[30 + level])
+        at = np.flatnonzero(np.arange(m) + level <= ends[:m])
+        yield level, at, owner[at], keys[at].view(np.int64)
+
+
+def _batches(columns: list, kinds: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    columns = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    for start in range(0, len(columns[0]), 50_000):
+        yield pa.RecordBatch.from_arrays([c.slice(start, 50_000) for c in columns], names)
+
+
 def exploded(texts: DataFrame, order: int) -> DataFrame:
     """EXPLODED rows. own numbers a document's n-grams of a level; suffix and context are the numbers of an n-gram's parts one level below."""
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 5, pa.list_(pa.int64())]
-
-    def rows(chunk: int, ids: list[list], counts: np.ndarray, words: np.ndarray):
-        n = len(counts)
-        none, copies = np.zeros(n, np.int32), np.array([len(x) for x in ids], np.int32)
-        known = [[i for i in x if i is not None] for x in ids]
-        unknown = copies - np.array([len(x) for x in known], np.int32)
-        yield [np.full(n, chunk), np.arange(n, dtype=np.int32), none, none.astype(np.int64), counts.astype(np.int32), copies, none, unknown, none, pa.array(known, kinds[-1])]
-        owner = np.repeat(np.arange(n), counts)
-        ends = np.repeat(np.cumsum(counts), counts)
-        keys, below = np.zeros(len(words), np.uint64), None
-        for level in range(1, order + 1):
-            m = max(0, len(words) - level + 1)
-            if not m:
-                return
-            keys = finish(keys[:m] * MIX[7] + words[level - 1 :] + MIX[30 + level])
-            at = np.flatnonzero(np.arange(m) + level <= ends[:m])  # places where an n-gram begins
-            number, place, times = _distinct(owner[at], keys[at])
-            here = np.zeros(len(words), np.int64)
-            here[at] = number
-            at = at[place]
-            suffix, context = (below[at + 1], below[at]) if level > 1 else (np.zeros(len(at)), np.zeros(len(at)))
-            yield [np.full(len(at), chunk), owner[at].astype(np.int32), np.full(len(at), level, np.int32), keys[at].view(np.int64), times.astype(np.int32), copies[owner[at]], here[at].astype(np.int32), suffix.astype(np.int32), context.astype(np.int32), pa.nulls(len(at), kinds[-1])]
-            below = here
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = task_place()
-
-        def chunks():
-            known, ids, counts, hashes, total = {}, [], [], [], 0
-            for batch in slices(batches, "text"):
-                data, offsets = buffer_of(batch.column("text"))
-                data = LOWER[data]
-                starts, ends = word_spans(data, offsets)
-                per, all_words = word_counts(starts, offsets), span_hashes(data, starts, ends)
-                edge = np.concatenate(([0], np.cumsum(per)))
-                for d, doc in enumerate(batch.column("doc_id").to_pylist()):
-                    words = all_words[edge[d] : edge[d + 1]]
-                    name = hashlib.blake2b(words.tobytes(), digest_size=16).digest()
-                    if name in known:
-                        ids[known[name]].append(doc)
-                        continue
-                    known[name] = len(ids)
-                    ids.append([doc])
-                    counts.append(len(words))
-                    hashes.append(words)
-                    total += len(words)
-                    if total >= WORDS_PER_CHUNK or len(ids) >= 20_000:
-                        yield ids, np.array(counts), np.concatenate(hashes)
-                        known, ids, counts, hashes, total = {}, [], [], [], 0
-            if ids:
-                yield ids, np.array(counts), np.concatenate(hashes)
-
-        for ids, counts, words in chunks():
-            partition, number = next(place)
-            for columns in rows(partition << 32 | number, ids, counts, words):
-                columns = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                for start in range(0, len(columns[0]), 50_000):
-                    yield pa.RecordBatch.from_arrays([c.slice(start, 50_000) for c in columns], NAMES)
+        for chunk, ids, counts, words in _chunks(batches):
+            n, none = len(counts), np.zeros(len(counts), np.int32)
+            known = [[i for i in x if i is not None] for x in ids]
+            unknown = np.array([len(x) - len(y) for x, y in zip(ids, known, strict=True)], np.int32)
+            yield from _batches([np.full(n, chunk), np.arange(n, dtype=np.int32), none, none.astype(np.int64), counts.astype(np.int32), none, unknown, none, pa.array(known, kinds[-1])], kinds, NAMES)
+            below = np.zeros(len(words), np.int64)
+            for level, at, owner, keys in _levels(words, counts, order):
+                number, place, times = _distinct(owner, keys)
+                here = np.zeros(len(words), np.int64)
+                here[at] = number
+                first, m = at[place], len(place)
+                suffix, context = (below[first + 1], below[first]) if level > 1 else (np.zeros(m), np.zeros(m))
+                yield from _batches([np.full(m, chunk), *(c.astype(np.int32) for c in (owner[place], np.full(m, level))), keys[place], *(c.astype(np.int32) for c in (times, here[first], suffix, context)), pa.nulls(m, kinds[-1])], kinds, NAMES)
+                below = here
 
     return texts.mapInArrow(run, EXPLODED)
 
 
-def count_table(ngrams: DataFrame) -> DataFrame:
-    """(of, total) of the n-grams that more than one document holds, over all rows of the corpus."""
-    counted = ngrams.filter("level > 0").groupBy(F.col("key").alias("of"))
-    return counted.agg(F.sum(F.col("times").cast("long") * F.col("copies")).alias("total"), F.sum("copies").alias("documents")).filter("documents > 1").drop("documents")
+def count_table(texts: DataFrame, order: int) -> DataFrame:
+    """(of, total) of the n-grams that more than one document holds, over all rows of the corpus.
+
+    A chunk sends one row an n-gram, so the most frequent ones have as many rows as there are chunks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, counts, words in _chunks(batches):
+            copies = np.array([len(x) for x in ids])
+            for _, _, owner, keys in _levels(words, counts, order):
+                distinct, back = np.unique(keys, return_inverse=True)
+                total = np.bincount(back, copies[owner], minlength=len(distinct)).astype(np.int64)
+                _, place, _ = _distinct(owner, keys)
+                documents = np.bincount(back[place], copies[owner[place]], minlength=len(distinct)).astype(np.int64)
+                yield from _batches([distinct, total, documents], [pa.int64()] * 3, ["of", "total", "documents"])
+
+    rows = texts.mapInArrow(run, "of long, total long, documents long").repartition("of")
+    return rows.groupBy("of").agg(F.sum("total").alias("total"), F.sum("documents").alias("documents")).filter("documents > 1").drop("documents")
 
 
 def _scores(pdf: pd.DataFrame, order: int, backoff: float, corpus: int) -> pd.DataFrame:
@@ -181,10 +204,10 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF
     stash = stash or Stash(spark)
     corpus = docs.agg(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
     groups = int(max(min(partitions(spark), 1 + corpus // 100_000), -(-corpus // WORDS_PER_GROUP)))
-    ngrams = exploded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), order)
-    counts = stash.put(count_table(ngrams), "zstd")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    counts = stash.put(count_table(texts, order), "zstd")
     # a document's own row takes part under a key of its own
-    rows = ngrams.withColumn("key", F.when(F.col("level") > 0, F.col("key")).otherwise(F.xxhash64("chunk", "doc"))).drop("copies")
+    rows = exploded(texts, order).withColumn("key", F.when(F.col("level") > 0, F.col("key")).otherwise(F.xxhash64("chunk", "doc")))
     others = (F.col("total") - F.col("times")).cast("double")
     found = rows.join(counts, F.col("key") == F.col("of"), "left").filter((F.col("level") == 0) | (others > 0))
     found = found.select("chunk", "doc", "level", "times", "own", "suffix", "context", "ids", others.alias("others"), F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int").alias("part"))

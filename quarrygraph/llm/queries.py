@@ -60,7 +60,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,26 @@ n AS (SELECT x, count(*) AS n FROM l GROUP BY x), c AS (SELECT x, min(y) AS c FR
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id <= coalesce(c, vec_id) AS kept FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.x = vec_id
 """
 
+#: Rules are found by counting every set of tokens of every labelled page; of explicit rules the longest that fits is the last.
+OP10_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+k AS (SELECT *, list_sort(list_distinct(list_concat(list_concat(CASE WHEN host <> '' THEN ['host=' || host] ELSE [] END, list_transform(regexp_extract_all(host, '[a-z]+'), lambda w: 'word=' || w)),
+  list_transform(list_filter(string_split(lower(path), '/'), lambda x: x <> '' AND NOT regexp_matches(x, '[0-9]')), lambda x: 'path=' || x)))) AS t FROM h),
+b AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+m AS (SELECT page_id, bad, t FROM k JOIN b ON doc_id = page_id WHERE len(t) > 0),
+n AS (SELECT count(*) AS n, sum(bad) AS bad FROM m),
+subsets AS (SELECT page_id, bad, array_to_string(list_filter(t, lambda x, i: (mask >> (i - 1)) & 1 = 1), ' ') AS s FROM (SELECT page_id, bad, t, unnest(range(1, 1 << len(t))) AS mask FROM m)),
+good AS (SELECT s FROM subsets CROSS JOIN n GROUP BY s, n.n, n.bad HAVING sum(subsets.bad) >= ceil(greatest(0.002, 5.0 / n.n) * n.n) AND sum(subsets.bad) / count(*) >= 0.6 AND sum(subsets.bad) / count(*) / (n.bad / n.n) >= 2.0),
+all_sets AS (SELECT page_id, array_to_string(list_filter(t, lambda x, i: (mask >> (i - 1)) & 1 = 1), ' ') AS s FROM (SELECT page_id, t, unnest(range(1, 1 << len(t))) AS mask FROM k)),
+hit AS (SELECT DISTINCT page_id FROM all_sets SEMI JOIN good USING (s)),
+r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM h)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN page_id IN (SELECT page_id FROM hit) THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
+
 _GRAMS = "".join(
     f""", g{n} AS (SELECT r, i, array_to_string(w[i - {n - 1}:i], ' ') AS g, array_to_string(w[i - {n - 1}:i - 1], ' ') AS u FROM p WHERE i >= {n}),
 o{n} AS (SELECT r, g, count(*) AS n FROM g{n} GROUP BY ALL), x{n} AS (SELECT r, g, sum(n) OVER (PARTITION BY g) - n AS c FROM o{n})"""
@@ -106,6 +126,24 @@ SELECT doc_id, len(w) AS n_words, round(coalesce(s, 0), 4) AS score, CASE WHEN l
 """
 
 
+#: Sources reach their caps in the order of size by weight; the level is that of the first prefix at which the next stays below its cap.
+TARGETS_SQL = f"""
+WITH s AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '{WORD}'))) AS size FROM documents GROUP BY 1),
+w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY size / weight, source) AS k, 1.5 * sum(size::DOUBLE) OVER () AS total FROM w),
+p AS (SELECT *, (total - 2 * coalesce(sum(size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+l AS (SELECT arg_min(level, k) AS level FROM p WHERE level * weight <= 2 * size)
+SELECT source, size::BIGINT AS source_size, round(least(2.0 * size, weight * coalesce(l.level, 1e300))::DOUBLE, 6) AS target FROM p LEFT JOIN l ON true
+"""
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets by source that op4 draws to."""
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    sizes = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("s")).agg(F.sum(words).alias("size"))
+    return mixing.targets(sizes).select(F.col("s").alias("source"), "source_size", F.round("target", 6).alias("target"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -118,6 +156,7 @@ def queries() -> dict[str, Query]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_toxicity": op9_toxicity,
         "op10_url_filter": op10_url_filter,
+        "mixing_targets": mixing_targets,
     }
 
 
@@ -126,4 +165,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_jaccard_join": OP3_SQL,
         "op6_embedding_dedup": OP6_SQL,
         "op8_lm_scoring": OP8_SQL,
+        "op10_url_filter": OP10_SQL,
+        "mixing_targets": TARGETS_SQL,
     }
