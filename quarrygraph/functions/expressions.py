@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,7 +43,7 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def endpoint_path(url: Column | str) -> Column:
-    """The path family of a URL or route: no query, fragment, format, host or trailing slash; parameters and numbers as *."""
+    """The path family of a URL or route: no query, fragment, format, host or trailing slash; named parameters as *."""
     p = F.regexp_replace(_col(url), r"[?#].*$", "")
     p = F.regexp_replace(p, r"\(\.:format\)", "")
     p = F.regexp_replace(p, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")
@@ -116,18 +114,49 @@ def secret_tokens(text: Column | str) -> Column:
     return F.filter(found, lambda t: (F.length(F.regexp_replace(t, "[^0-9]", "")) >= 3) & t.rlike("[A-Za-z]"))
 
 
-def json_contains(doc: Column | str, wanted: dict) -> Column:
-    """Whether a JSON text holds every scalar leaf of `wanted` at its path."""
+def hashed_vector(text: Column | str, width: int = 64) -> Column:
+    """A text as counts of its words by hash: a stand-in where no text embedder is at hand."""
+    slot = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int"), F.lit(width))
+    slots = F.transform(F.filter(F.split(F.lower(_col(text)), "[^a-z0-9]+"), lambda w: w != ""), slot)
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
+
+
+def json_contains(doc: Column | str, wanted) -> Column:
+    """Whether a JSON text holds `wanted`: objects hold the members asked for, arrays some element for each asked for, scalars are equal."""
+    return _contains(F.try_parse_json(_col(doc)), wanted)
+
+
+def _contains(value: Column, wanted) -> Column:
+    if isinstance(wanted, dict):
+        parts = [_contains(F.try_variant_get(value, f"$['{k}']", "variant"), v) for k, v in wanted.items()]
+        return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)) & _all(parts)
+    if isinstance(wanted, list):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        held = lambda w: F.coalesce(F.exists(items, lambda x: _contains(x, w)), F.lit(False))
+        return items.isNotNull() & _all([held(w) for w in wanted])
+    if wanted is None:
+        return F.coalesce(F.is_variant_null(value), F.lit(False))
+    kind = "boolean" if isinstance(wanted, bool) else "double" if isinstance(wanted, (int, float)) else "string"
+    same = F.try_variant_get(value, "$", kind) == F.lit(float(wanted) if kind == "double" else wanted)
+    named = {"boolean": "BOOLEAN", "double": "BIGINT|DECIMAL|DOUBLE|FLOAT|INT", "string": "STRING"}[kind]
+    return F.coalesce(same & F.schema_of_variant(value).rlike(f"^(?:{named})"), F.lit(False))
+
+
+def _all(parts: list[Column]) -> Column:
     out = F.lit(True)
-    for path, value in _leaves(wanted, "$"):
-        found = F.get_json_object(_col(doc), path)
-        out = out & (found.isNull() if value is None else F.coalesce(found == F.lit(value if isinstance(value, str) else json.dumps(value)), F.lit(False)))
+    for p in parts:
+        out = out & p
     return out
 
 
-def _leaves(value, path: str):
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield from _leaves(v, f"{path}.{k}")
-    else:
-        yield path, value
+def json_has_key(doc: Column | str, key: str) -> Column:
+    return F.coalesce(F.array_contains(F.json_object_keys(_col(doc)), key), F.lit(False))
+
+
+def json_merge(left: Column | str, right: Column | str) -> Column:
+    """Two JSON objects as one, as text; the right one's members win, members are in the order of their names."""
+    kind = "map<string,variant>"
+    a, b = (F.try_variant_get(F.try_parse_json(_col(x)), "$", kind) for x in (left, right))
+    both = F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+    members = F.transform(F.array_sort(F.map_keys(both)), lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.to_json(F.try_element_at(both, k))))
+    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))

@@ -15,7 +15,9 @@ def effective(owners: DataFrame, defaults: DataFrame, masters: DataFrame, overri
     """
     w = Window.partitionBy("owner", "config_key").orderBy(F.desc("at"), F.desc("value"))
     last = overrides.filter("active").withColumn("n", F.row_number().over(w)).filter("n = 1").select("owner", "config_key", F.col("value").alias("o_value"), F.lit(True).alias("o"))
-    rows = owners.crossJoin(F.broadcast(defaults.withColumnRenamed("value", "d_value")))
+    # every owner has every key: each row is spread over the list of keys, which is one row and a configuration's size
+    keys = defaults.agg(F.collect_list(F.struct("config_key", F.col("value").alias("d_value"))).alias("keys"))
+    rows = owners.crossJoin(F.broadcast(keys)).select("owner", "grp", F.inline("keys"))
     rows = rows.join(masters.select("grp", "config_key", F.col("value").alias("m_value"), F.lit(True).alias("m")), ["grp", "config_key"], "left").join(last, ["owner", "config_key"], "left")
     value = F.when(F.col("o"), F.col("o_value")).when(F.col("m"), F.col("m_value")).otherwise(F.col("d_value"))
     source = F.when(F.col("o"), "override").when(F.col("m"), "master").otherwise("default")

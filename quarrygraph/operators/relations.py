@@ -68,11 +68,13 @@ def owners(touches: DataFrame, nodes: Sequence[str] | None = None, path_prefix:
     return per.orderBy(F.desc("commits"), "person").limit(limit)
 
 
-def summaries(rows: DataFrame, audience: str = "all", altitude: str | None = None, limit: int = 40) -> DataFrame:
+def summaries(rows: DataFrame, audience: str = "all", altitude: str | None = None, limit: int = 40, subject_key: str | None = None) -> DataFrame:
     """Cached prose for an audience, from the whole system down."""
     out = rows.filter(F.col("audience").isin(audience, "all"))
     if altitude is not None:
         out = out.filter(F.col("altitude") == altitude)
+    if subject_key is not None:
+        out = out.filter(F.col("subject_key") == subject_key)
     rank = F.when(F.col("altitude") == "system", 0).when(F.col("altitude") == "feature", 1).when(F.col("altitude") == "module", 2).otherwise(3)
     return out.orderBy(rank, "headline").limit(limit)
 
@@ -99,7 +101,56 @@ def named_in(names: DataFrame, questions: DataFrame) -> DataFrame:
     """
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]+", " "), " +", " ")), F.lit(" "))
     q = questions.select("item_id", plain.alias("q"))
-    words = q.select("item_id", "q", F.explode(F.array_distinct(F.split(F.trim("q"), " "))).alias("first"))
-    n = names.select("screen", F.lower("name").alias("name")).withColumn("first", F.split("name", " ")[0])
-    found = words.join(n, "first").withColumn("at", F.expr("locate(concat(' ', name, ' '), q)")).filter("at > 0")
+    n = names.select("screen", F.lower("name").alias("name")).distinct()
+    # a name is found by the rarest of its words, so that a word like "the" brings no questions together
+    of_name = n.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("w")).distinct()
+    rare = of_name.groupBy("w").agg(F.count(F.lit(1)).alias("held"))
+    by = of_name.join(rare, "w").groupBy("name").agg(F.min_by("w", F.struct("held", "w")).alias("rarest"))
+    words = q.select("item_id", "q", F.explode(F.array_distinct(F.split(F.trim("q"), " "))).alias("rarest"))
+    found = words.join(n.join(by, "name"), "rarest").withColumn("at", F.expr("locate(concat(' ', name, ' '), q)")).filter("at > 0")
     return found.groupBy("item_id", "screen").agg(F.min("at").alias("position"))
+
+
+def one_of_each_name(found: DataFrame, screens: DataFrame) -> DataFrame:
+    """Of screens that share a name, the one without a parameter in its route, then the shortest route; (item_id, screen, name, position)."""
+    rows = found.join(screens.select("screen", "name", "route"), "screen")
+    best = F.min_by(F.struct("screen", "position"), F.struct(F.col("route").contains(":"), F.length("route"), "screen"))
+    return rows.groupBy("item_id", "name").agg(best.alias("b")).select("item_id", "b.screen", "name", "b.position")
+
+
+def leads_to(navigations: DataFrame, declares: DataFrame, actions: DataFrame) -> DataFrame:
+    """(screen, to, via): where a screen leads, and the names of its own actions that go there, joined by ' / '.
+
+    navigations: src, dst, from screens and from actions alike; declares: screen, action; actions: action, name.
+    """
+    own = declares.join(actions, "action").select(F.col("action").alias("src"), "screen", "name")
+    clicks = navigations.join(own, "src").groupBy("screen", F.col("dst").alias("to")).agg(F.array_join(F.array_sort(F.collect_set("name")), " / ").alias("via"))
+    screens = declares.select("screen").distinct()
+    direct = navigations.join(screens, navigations["src"] == screens["screen"]).select("screen", F.col("dst").alias("to")).distinct()
+    return direct.join(clicks, ["screen", "to"], "left")
+
+
+def backend_apis(edges: DataFrame, screens: DataFrame) -> DataFrame:
+    """(screen, site, contract, handler): what a screen's calls target, and who handles it, through the routes that serve it."""
+    of = lambda kind: edges.filter(F.col("kind") == kind).select("src", "dst").distinct()
+    calls = of("ISSUES_HTTP").join(screens.select(F.col("screen").alias("src")), "src", "left_semi").select(F.col("src").alias("screen"), F.col("dst").alias("site"))
+    targets = of("TARGETS").select(F.col("src").alias("site"), F.col("dst").alias("contract"))
+    serves = of("SERVES").select(F.col("dst").alias("contract"), F.col("src").alias("route"))
+    handled = of("HANDLED_BY").select(F.col("src").alias("route"), F.col("dst").alias("handler"))
+    contracts = serves.join(handled, "route").select("contract", "handler").distinct()
+    return calls.join(targets, "site").join(contracts, "contract", "left").select("screen", "site", "contract", "handler")
+
+
+def through_features(summaries: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Summaries whose subject is one of the ids or a feature that one of them implements, each once."""
+    features = edges.filter("kind = 'IMPLEMENTS'").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("subject"))
+    return summaries.join(features.union(ids.select("id")).distinct(), "subject", "left_semi")
+
+
+def describes(documents: DataFrame, changed: DataFrame, entities: DataFrame) -> DataFrame:
+    """DESCRIBES edges (kind, src, dst) from a document to every entity in the files that its commit changed.
+
+    documents: doc, commit; changed: commit, path; entities: id, path, commit.
+    """
+    files = documents.join(changed, "commit").select("doc", "commit", "path").distinct()
+    return files.join(entities.select("id", "path", "commit"), ["commit", "path"]).select(F.lit("DESCRIBES").alias("kind"), F.col("doc").alias("src"), F.col("id").alias("dst")).distinct()

@@ -37,7 +37,7 @@ def find_entity(entities: DataFrame, query: str, kind: str | None = None, repo:
     return top.withColumn("weak", ~F.max(F.col("match_reason") == "exact_fqn").over(Window.partitionBy()))
 
 
-def list_filter(kind=None, path_prefix=None, name_prefix=None, name_contains=None, repo=None) -> Column:
+def list_filter(kind=None, path_prefix=None, name_prefix=None, name_contains=None, repo=None, subkind=None) -> Column:
     """The condition of a listing; only what is asked for takes part."""
     parts = [F.lit(True)]
     if kind is not None:
@@ -48,6 +48,8 @@ def list_filter(kind=None, path_prefix=None, name_prefix=None, name_contains=Non
         parts.append(F.lower("name").startswith(name_prefix.lower()))
     if name_contains is not None:
         parts.append(F.lower("name").contains(name_contains.lower()))
+    if subkind is not None:
+        parts.append(F.col("subkind") == subkind)
     if repo is not None:
         parts.append(F.col("repo") == repo)
     return reduce(lambda a, b: a & b, parts)
@@ -58,6 +60,11 @@ def list_entities(entities: DataFrame, order: Sequence[str] = ("name", "id"), li
     return entities.filter(list_filter(**wanted)).orderBy(*order).limit(min(limit, 500))
 
 
+def by_subkind(listed: DataFrame) -> DataFrame:
+    """(subkind, n) of the rows a listing returned."""
+    return listed.groupBy("subkind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def list_total(entities: DataFrame, limit: int = 200, **wanted) -> DataFrame:
     """One row: the exact total, how many a listing returns, and whether that is all."""
     n = entities.filter(list_filter(**wanted)).agg(F.count(F.lit(1)).alias("total"))
@@ -111,3 +118,66 @@ def clear_top(items: DataFrame, group: str, key: str, score: str, floor: float =
     pair = (F.col("s1") - F.col("s2") <= close) & clear("s2", "s3")
     kept = per.withColumn("keep", F.when(pair, 2).when(clear("s1", "s2"), 1).otherwise(0)).select(group, "keep")
     return rows.join(kept, group).filter("n <= keep").select(group, key, score, F.col("n").alias("rank"))
+
+
+#: fixed values: what the two best word hits score at least, and the floors of passages, switches and names
+WORD_LIFT, PASSAGE_FLOOR, SWITCH_FLOOR, NAME_FLOOR = 0.62, 0.45, 0.4, 0.5
+
+
+def ranked_lists(table: DataFrame, question: str, id_column: str, text: str, vector: str, query_vector, k: int) -> tuple[DataFrame, DataFrame]:
+    """(meaning, words): the 2k nearest rows and the 2k with most of the question's words, each with score and rank."""
+    words = by_words(table, [w for w in re.findall(r"[a-z0-9_]+", question.lower()) if w not in X.STOP_WORDS], 2 * k, id_column, text)
+    scored = words.withColumn("score", F.coalesce(X.cosine(vector, F.array(*[F.lit(float(x)) for x in query_vector])), F.lit(0.0)))
+    return nearest(table, query_vector, 2 * k, None, id_column, vector).select(id_column, "score", "rank"), scored.select(id_column, "score", "rank")
+
+
+def _lifted(lists: dict[str, DataFrame], id_column: str, k: int, floor: float) -> DataFrame:
+    """(id, via, score, rank): lists fused by rank; a typed key leads and is certain, the two best word hits are lifted, and what stays below the floor goes."""
+    fused = fuse(list(lists.values()), id_column)
+    every = reduce(DataFrame.unionByName, [x.select(id_column, "score", "rank", F.lit(i).alias("list"), F.lit(name).alias("via")) for i, (name, x) in enumerate(lists.items())])
+    per = every.groupBy(id_column).agg(F.min_by(F.struct("via", "score"), F.struct("list", "rank")).alias("first"), F.max((F.col("via") == "words") & (F.col("rank") <= 2)).alias("top"))
+    rows = fused.join(per, id_column).withColumn("via", F.col("first.via"))
+    order = [F.desc(F.col("via") == "key"), F.desc("fused"), F.col(id_column)]
+    best = rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    score = F.when(F.col("via") == "key", F.lit(1.0)).when(F.col("top"), F.greatest("first.score", F.lit(WORD_LIFT))).otherwise(F.col("first.score"))
+    return best.select(id_column, "via", F.round(score, 2).alias("score"), "rank").filter(F.col("score") >= floor)
+
+
+def search_switches(switches: DataFrame, overrides: DataFrame, question: str, query_vector, k: int = 6, floor: float = SWITCH_FLOOR) -> DataFrame:
+    """Configuration switches (config_key, text, vector) for a question, by typed key, words and meaning, with how they are overridden.
+
+    overrides: config_key, owner, active. The three counts are aggregated once and joined.
+    """
+    keys = sorted(set(re.findall(r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b", question.lower())))
+    typed = switches.filter(F.col("config_key").isin(keys)).select("config_key", F.lit(1.0).alias("score"), F.row_number().over(Window.orderBy("config_key")).alias("rank"))
+    meaning, words = ranked_lists(switches, question, "config_key", "text", "vector", query_vector, k)
+    found = _lifted({"key": typed, "words": words, "meaning": meaning}, "config_key", k, floor)
+    counts = overrides.groupBy("config_key").agg(F.count(F.lit(1)).alias("overrides"), F.count_if("active").alias("overrides_active"), F.countDistinct(F.when(F.col("active"), F.col("owner"))).alias("companies_active"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("overrides", "overrides_active", "companies_active")]
+    return found.join(counts, "config_key", "left").select("config_key", "via", "score", "rank", *zero)
+
+
+def search_names(names: DataFrame, owners: DataFrame, question: str, query_vector, k: int = 6, floor: float = NAME_FLOOR) -> DataFrame:
+    """Mirrored names (ref, text, vector, owner) for a question by meaning and words, with the owner's name; owners: owner, company."""
+    meaning, words = ranked_lists(names, question, "ref", "text", "vector", query_vector, k)
+    found = _lifted({"meaning": meaning, "words": words}, "ref", k, floor)
+    return found.join(names.select("ref", "text", "owner"), "ref").join(owners, "owner", "left").select("ref", "text", "company", "via", "score", "rank")
+
+
+def search_passages(passages: DataFrame, question: str, query_vector, k: int = 6, floor: float = PASSAGE_FLOOR) -> DataFrame:
+    """Passages (passage, doc_id, heading_path, text, vector) for a question: by meaning and words, one a heading of a document.
+
+    The floor holds for what meaning found; without a reranker, hits go out by their fused rank.
+    """
+    words = by_words(passages, [w for w in re.findall(r"[a-z0-9_]+", question.lower()) if w not in X.STOP_WORDS], 2 * k, "passage")
+    meaning = nearest(passages, query_vector, 3 * k, None, "passage", "vector").select("passage", "score", "rank")
+    fused = fuse([meaning, words.select("passage", "rank")], "passage").join(meaning.select("passage", "score"), "passage", "left")
+    kept = fused.filter(F.col("score").isNull() | (F.col("score") >= floor)).join(passages.select("passage", "doc_id", "heading_path", "text"), "passage")
+    one = kept.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "heading_path").orderBy(F.desc("fused"), "passage"))).filter("n = 1")
+    via = F.when(F.col("score").isNull(), "words").otherwise("meaning")
+    return one.orderBy(F.desc("fused"), "passage").limit(2 * k).select("passage", "doc_id", "heading_path", "text", "fused", "score", via.alias("via")).limit(k)
+
+
+def page(rows: DataFrame, order: Sequence[str], offset: int, size: int) -> DataFrame:
+    """Rows offset + 1 to offset + size in a total order."""
+    return rows.orderBy(*order).offset(offset).limit(size)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -15,6 +14,7 @@ from ..functions import expressions as X
 SECRET_PATH = r"(^|/)(\.env|\.env\..*|.*\.pem|id_rsa.*|.*\.key|.*\.p12|.*\.jks)$"
 LONGEST_READ = 120
 PASSAGE_WORDS, SMALL_PASSAGE = 350, 40
+EMPHASIS = str.maketrans("", "", "*_`")
 
 
 def lines(texts: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -66,46 +66,53 @@ def passages(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     return texts.select(key, "text").mapInPandas(run, f"{key} {kind}, ordinal int, heading_path string, text string, words int")
 
 
-def cut_passages(text: str) -> list[tuple[str, str, int]]:
-    """(heading path, text, words) of each passage of one document."""
-    found: list[tuple[str, str, int]] = []
-
-    def add(path: list[str], paragraphs: list[str]) -> None:
-        body = "\n\n".join(paragraphs).strip()
-        n = len(body.split())
-        if not n:
-            return
-        name = " > ".join(path)
-        if found and n < SMALL_PASSAGE and found[-1][0] == name and found[-1][2] + n <= PASSAGE_WORDS:
-            before = found.pop()
-            body, n = f"{before[1]}\n\n{body}", before[2] + n
-        found.append((name, body, n))
-
-    def close(path: list[str], body: list[str]) -> None:
-        held, n = [], 0
-        for paragraph in re.split(r"\n\s*\n", "\n".join(body)):
-            size = len(paragraph.split())
-            if held and n + size > PASSAGE_WORDS:
-                add(path, held)
-                held, n = [], 0
-            held.append(paragraph)
-            n += size
-        add(path, held)
-
-    path: list[str] = []
-    body: list[str] = []
-    fenced = False
+def sections(text: str) -> Iterator[tuple[str, list[str]]]:
+    """(heading path, paragraphs) of each section; a heading has one to four marks, and none stands between fences."""
+    path, paragraphs, open_fence = [], [[]], False
     for line in text.split("\n"):
-        if line.lstrip().startswith(("```", "~~~")):
-            fenced = not fenced
-        heading = None if fenced else re.match(r"(#{1,4})\s+(.+?)\s*#*\s*$", line)
-        if heading:
-            close(path, body)
-            path, body = [*path[: len(heading[1]) - 1], re.sub(r"[*_`]", "", heading[2]).strip()], []
-        else:
-            body.append(line)
-    close(path, body)
-    return found
+        bare = line.strip()
+        if bare[:3] in ("```", "~~~"):
+            open_fence = not open_fence
+        depth = len(line) - len(line.lstrip("#"))
+        title = line[depth:].strip().rstrip("#").strip().translate(EMPHASIS)
+        if not open_fence and 1 <= depth <= 4 and line[depth : depth + 1].isspace() and title:
+            yield " > ".join(path), ["\n".join(x) for x in paragraphs if x]
+            path, paragraphs = path[: depth - 1] + [title], [[]]
+        elif bare:
+            paragraphs[-1].append(line)
+        elif paragraphs[-1]:
+            paragraphs.append([])
+    yield " > ".join(path), ["\n".join(x) for x in paragraphs if x]
+
+
+def cut_passages(text: str) -> list[tuple[str, str, int]]:
+    """(heading path, text, words) of each passage: paragraphs of a section, as many as fit into PASSAGE_WORDS."""
+    made: list[list] = []
+    for path, paragraphs in sections(text):
+        fresh = True  # a section starts a passage, but a small one joins its predecessor of the same path
+        packed: list[list] = []
+        for paragraph in paragraphs:
+            n = len(paragraph.split())
+            if fresh or packed[-1][2] + n > PASSAGE_WORDS:
+                packed.append([path, paragraph, n])
+            else:
+                packed[-1][1] += "\n\n" + paragraph
+                packed[-1][2] += n
+            fresh = False
+        for piece in packed:
+            if made and piece[2] < SMALL_PASSAGE and made[-1][0] == path and made[-1][2] + piece[2] <= PASSAGE_WORDS:
+                made[-1][1] += "\n\n" + piece[1]
+                made[-1][2] += piece[2]
+            else:
+                made.append(piece)
+    return [(path, body.strip(), n) for path, body, n in made if n]
+
+
+#: What a name can look like: identifiers joined by namespaces, two humps, or words joined by underscores.
+NAME = "[A-Za-z_][A-Za-z0-9_]*(?:::[A-Z][A-Za-z0-9_]*)*"
+METHOD = NAME + "[#.][a-z_][A-Za-z0-9_]*[?!]?"
+CONSTANT_NAME = "^[A-Z][A-Za-z0-9_]*(?:::[A-Z][A-Za-z0-9_]*)+$|^(?:[A-Z][a-z0-9]+){2,}$"
+SNAKE_NAME = "^[a-z]+(?:_[a-z0-9]+)+$"
 
 
 def mentions(texts: DataFrame, key: str = "doc_id", most: int = 80) -> DataFrame:
@@ -114,12 +121,10 @@ def mentions(texts: DataFrame, key: str = "doc_id", most: int = 80) -> DataFrame
     Constants have two humps or a namespace, methods follow them after # or a point, and snake
     names have an underscore.
     """
-    constant = r"\b((?:[A-Z][A-Za-z0-9]*::)+[A-Z][A-Za-z0-9]*|[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)"
-    all_names = F.concat(
-        F.transform(F.regexp_extract_all("text", F.lit(constant), F.lit(1)), lambda x: F.concat(F.lit("const:"), x)),
-        F.transform(F.regexp_extract_all("text", F.lit(constant + r"[#.][a-z_][a-z0-9_]*[?!]?"), F.lit(0)), lambda x: F.concat(F.lit("method:"), x)),
-        F.transform(F.regexp_extract_all("text", F.lit(r"\b([a-z]+(?:_[a-z0-9]+)+)\b"), F.lit(1)), lambda x: F.concat(F.lit("snake:"), x)),
-    )
+    found = F.regexp_extract_all("text", F.lit(NAME), F.lit(0))
+    methods = F.filter(F.regexp_extract_all("text", F.lit(METHOD), F.lit(0)), lambda x: F.regexp_extract(x, "^[^#.]+", 0).rlike(CONSTANT_NAME))
+    named = lambda kind, names: F.transform(names, lambda x: F.concat(F.lit(kind + ":"), x))
+    all_names = F.concat(named("const", F.filter(found, lambda x: x.rlike(CONSTANT_NAME))), named("method", methods), named("snake", F.filter(found, lambda x: x.rlike(SNAKE_NAME))))
     per = texts.select(key, F.explode(all_names).alias("name")).groupBy(key, "name").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(key).orderBy(F.desc("n"), "name")
     return per.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).drop("k")
@@ -133,7 +138,9 @@ def link_mentions(named: DataFrame, entities: DataFrame, key: str = "doc_id") ->
 
 def cards(entities: DataFrame, neighbours: DataFrame) -> DataFrame:
     """(id, card, card_hash): a node's text for embedding, with the sorted names beside it (id, other)."""
-    beside = neighbours.groupBy("id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("other")), 1, 12), ", ").alias("beside"))
+    first = Window.partitionBy("id").orderBy("other")
+    few = neighbours.select("id", "other").distinct().withColumn("k", F.row_number().over(first)).filter("k <= 12")
+    beside = few.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("other")), ", ").alias("beside"))
     card = F.concat_ws(". ", F.concat_ws(" ", F.lower("kind"), "name"), X.humanize("name"), "path", "beside")
     return entities.join(beside, "id", "left").select("id", card.alias("card")).withColumn("card_hash", F.sha2("card", 256))
 

@@ -40,11 +40,17 @@ def trace(
     depth = min(max(1, depth), 6)
     commits = scope.select(F.col("commit").alias("c")).distinct()
     wanted = edges.filter((F.col("confidence") >= CONFIDENCE[confidence]) & F.col("kind").isin(list(kinds)))
-    hops = oriented(wanted.join(commits, wanted["commit"] == commits["c"], "left_semi"), kinds, direction == "reverse").persist()
-    stop = hubs(edges, hub_above).select(F.col("id").alias("hub")).persist()
+    hops = oriented(wanted.join(commits, wanted["commit"] == commits["c"], "left_semi"), kinds, direction == "reverse")
+    hops = hops.repartition("from").persist()  # laid out by the side that every level joins on
+    stop = hubs(edges, hub_above).select(F.col("id").alias("hub"))
+    stop = cut(stop)
     level = cut(hops.filter(F.col("from") == root).select(F.lit(1).alias("depth"), *hops.columns, F.array("from", "to").alias("path")))
-    levels = [level]
+    levels, rows = [level], 0
     for d in range(2, depth + 1):
+        if max_rows is not None:  # rows go out by depth first: once the limit is full, deeper levels can't show
+            rows += level.count()
+            if rows > max_rows:
+                break
         ahead = level.select("path", F.col("to").alias("at"))
         if not expand_hubs:
             ahead = ahead.join(stop, ahead["at"] == stop["hub"], "left_anti")
@@ -53,6 +59,7 @@ def trace(
         if level.isEmpty():
             break
         levels.append(level)
+    hops.unpersist()
     found = levels[0]
     for more in levels[1:]:
         found = found.union(more)
@@ -73,7 +80,7 @@ def shortest_paths(links: DataFrame, starts: DataFrame, most: int = 6) -> DataFr
     Of several shortest paths the one that is least as an array is kept. Nodes reached before are
     left out with an anti join, so a level holds new pairs only.
     """
-    links = links.select("src", "dst").distinct().persist()
+    links = cut(links.select("src", "dst").distinct())
     level = cut(starts.select(F.col("node").alias("start"), F.col("node"), F.lit(0).alias("hops"), F.array("node").alias("path")).distinct())
     seen = level
     for h in range(1, most + 1):
@@ -84,3 +91,20 @@ def shortest_paths(links: DataFrame, starts: DataFrame, most: int = 6) -> DataFr
             break
         seen = seen.union(level)
     return seen
+
+
+def best_chain(paths: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(start, node, hops, path, covered): of the shortest paths between candidates the one that meets most of them, then the longest."""
+    c = candidates.select("node").distinct()
+    ends = paths.filter("hops > 0").join(c.withColumnRenamed("node", "start"), "start", "left_semi").join(c, "node", "left_semi")
+    met = ends.select("start", "node", F.explode("path").alias("at")).join(c.withColumnRenamed("node", "at"), "at", "left_semi").groupBy("start", "node").agg(F.count(F.lit(1)).alias("covered"))
+    return ends.join(met, ["start", "node"]).orderBy(F.desc("covered"), F.desc("hops"), "path").limit(1).select("start", "node", "hops", "path", "covered")
+
+
+def depth_columns(rows: DataFrame) -> DataFrame:
+    """(id, depth, place, parent): nodes by column of their least depth; a node that just one other leads to has it as parent."""
+    from pyspark.sql import Window
+
+    nodes = rows.groupBy(F.col("dst").alias("id")).agg(F.min("depth").alias("depth"), F.countDistinct("src").alias("sources"), F.min("src").alias("source"))
+    place = F.row_number().over(Window.partitionBy("depth").orderBy("id"))
+    return nodes.select("id", "depth", place.alias("place"), F.when(F.col("sources") == 1, F.col("source")).alias("parent"))

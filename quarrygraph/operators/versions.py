@@ -54,10 +54,13 @@ def dedup_ratio(tree: DataFrame) -> DataFrame:
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows by key, the incoming ones filling in over the existing where they have a value."""
+    """Rows by key, the incoming ones filling in over the existing where they have a value.
+
+    Of several incoming rows of a key the greatest value of each column counts, whatever their order.
+    """
     key = list(key)
     rest = [c for c in existing.columns if c not in key]
-    a, b = existing.alias("a"), incoming.dropDuplicates(key).alias("b")
+    a, b = existing.alias("a"), incoming.groupBy(*key).agg(*[F.max(c).alias(c) for c in rest]).alias("b")
     joined = a.join(b, key, "full")
     return joined.select(*key, *[F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) for c in rest])
 
@@ -75,3 +78,29 @@ def activity(touches: DataFrame, now: str, months: int = 12) -> DataFrame:
     """(path, people, commits_12mo, last_commit) from touches (person, path, at)."""
     recent = F.col("at") >= F.add_months(F.lit(now).cast("timestamp"), -months)
     return touches.groupBy("path").agg(F.countDistinct(F.when(recent, F.col("person"))).alias("people"), F.count_if(recent).alias("touches"), F.max("at").alias("last_commit"))
+
+
+def audit(entities: DataFrame) -> DataFrame:
+    """(repo, kind, entities, files, blobs): what an index holds."""
+    return entities.groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("entities"), F.countDistinct("path").alias("files"), F.countDistinct("blob").alias("blobs"))
+
+
+def top_subjects(touches: DataFrame, n: int) -> DataFrame:
+    """(subject, touches, files, rank): the subjects with most touches, which are worth a summary."""
+    per = touches.groupBy("subject").agg(F.count(F.lit(1)).alias("touches"), F.countDistinct("path").alias("files"))
+    order = [F.desc("touches"), "subject"]
+    return per.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def store_summaries(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Summaries by (repo, commit, altitude, subject_key, audience), the incoming ones in place of those before."""
+    key = ["repo", "commit", "altitude", "subject_key", "audience"]
+    return existing.join(incoming.select(*key).distinct(), key, "left_anti").select(incoming.columns).unionByName(incoming)
+
+
+def merge_features(sources: DataFrame) -> DataFrame:
+    """(slug, name, origins, paths): features named by documents and folders as one, by slug; sources: name, origin, path."""
+    from ..functions.expressions import slug
+
+    rows = sources.withColumn("slug", slug("name")).filter("slug <> ''")
+    return rows.groupBy("slug").agg(F.min("name").alias("name"), F.array_sort(F.collect_set("origin")).alias("origins"), F.array_sort(F.collect_set("path")).alias("paths"))

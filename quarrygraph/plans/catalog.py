@@ -291,7 +291,7 @@ def _(spark, folder) -> DataFrame:
     vectors = read_table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id")
     seed = vectors.orderBy("doc_id").first()["embedding"]
     meaning = search.nearest(vectors, seed, k=18, id_column="doc_id").select("doc_id", "score", "rank")
-    words = search.by_words(docs, [w for w in item if w.isalpha()][:12], 12, "doc_id").select("doc_id", "rank")
+    words = search.by_words(docs, [w for w in item if w.isalpha()], 12, "doc_id").select("doc_id", "rank")
     return search.hybrid(meaning, words, "doc_id", 6, 0.2)
 
 
@@ -446,7 +446,7 @@ def _(spark, folder) -> DataFrame:
     return live.query_live(e, EVENT_COLUMNS, ["event_id", "ts", "event_type"], key="event_id", where={"event_type": ["click", "error"]}, like={"props": '"K"'}).withColumn("ts", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.regexp_replace(F.date_format("ts", ".SSSSSS"), r"\.?0+$", "")))
 
 
-@query("live_total", """SELECT count(*) AS total FROM events WHERE user_id = 5 OR contains(lower(event_type), 'sign') AND user_id = 5""")
+@query("live_total", """SELECT count(*) AS total FROM events WHERE user_id = 5""")
 def _(spark, folder) -> DataFrame:
     return live.live_total(read_table(spark, folder, "events"), EVENT_COLUMNS, where={"user_id": 5})
 
@@ -563,7 +563,12 @@ def _(spark, folder) -> DataFrame:
 
 @query("needs_context")
 def _(spark, folder) -> DataFrame:
-    return read_table(spark, folder, "conversations").filter("role = 'user'").select("conv_id", "turn", assistant.needs_context("text").alias("needs_context"), assistant.looks_like_ticket("text").alias("ticket"), assistant.wants_flow("text").alias("flow"))
+    return read_table(spark, folder, "conversations").filter("role = 'user'").select("conv_id", "turn", assistant.needs_context("text").alias("needs_context"), assistant.wants_flow("text").alias("flow"))
+
+
+@query("ticket_fields")
+def _(spark, folder) -> DataFrame:
+    return read_table(spark, folder, "conversations").filter("role = 'user'").select("conv_id", "turn", assistant.looks_like_ticket("text").alias("ticket"), assistant.parse_ticket("text").alias("fields"))
 
 
 @graph_query("role_filter", """ SELECT id, kind, NULL::VARCHAR AS path FROM entities WHERE kind = 'UI_ROUTE'""")

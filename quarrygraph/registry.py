@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog
+from .plans import answers, catalog
+
+assert answers.SQL is catalog.SQL  # registered by import
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,19 +57,60 @@ def windowed_counts(rows: DataFrame, cursor: str, by: str, length: str = "1 day"
     return timed.groupBy(F.window(cursor, length).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
-def mirror(rows: DataFrame, target: str, checkpoint: str, key: str, cursor: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Runs all that is available into a table kept as one generation a batch, and stops.
+BUCKETS = 64
 
-    Each batch writes generation <batch> from the one before; a batch that is run again writes the
-    same generation again, so a restart neither loses nor doubles rows.
+
+def current(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """The mirror's rows: of each bucket its latest generation, or the latest before a number."""
+    every = spark.read.parquet(target)
+    if before is not None:
+        every = every.filter(F.col("generation") < before)
+    last = every.groupBy(F.col("bucket").alias("b")).agg(F.max("generation").alias("g"))  # a row a bucket
+    return every.join(F.broadcast(last), (F.col("bucket") == F.col("b")) & (F.col("generation") == F.col("g")), "left_semi")
+
+
+def evolved(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """Rows with the columns of both frames; those that a side lacks are null in it, for a new column is pulled anew."""
+    return rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in like.dtypes if c not in rows.columns])
+
+
+def mirror(rows: DataFrame, target: str, checkpoint: str, key: str, cursor: str, then: Callable[[DataFrame, int], None] | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """Runs all that is available into a table laid out by buckets of the key, and stops.
+
+    A batch writes a new generation of the buckets it touches and leaves the others as they are, and removes
+    the generations of these buckets that no retry can need. Run again, it reads what stood before it and writes
+    the same once more, so a restart neither loses nor doubles rows.
     """
 
     def batch(frame: DataFrame, number: int) -> None:
         spark = frame.sparkSession
-        incoming = latest(frame, key, cursor)
-        merged = incoming if number == 0 else apply_changes(spark.read.parquet(f"{target}/generation={number - 1}"), incoming, key, cursor)
-        merged.write.mode("overwrite").parquet(f"{target}/generation={number}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        incoming = latest(frame, key, cursor).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = sorted(r["bucket"] for r in incoming.select("bucket").distinct().collect())  # at most so many buckets
+        held = [int(f.getPath().getName().partition("=")[2]) for f in fs.listStatus(path) if f.getPath().getName().startswith("generation=")] if fs.exists(path) else []
+        merged = incoming
+        if any(g < number for g in held):
+            old = current(spark, target, number).filter(F.col("bucket").isin(touched)).drop("generation")
+            merged = latest(evolved(old, incoming).unionByName(evolved(incoming, old)), key, cursor)
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/generation={number}")
+        for b in touched:  # of what stood before, the newest generation serves a retry of this batch
+            stale = [g for g in held if g < number and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/generation={g}/bucket={b}"))]
+            for g in sorted(stale)[:-1]:
+                fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/generation={g}/bucket={b}"), True)
         if then:
             then(frame, number)
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def mirror_all(tables: Mapping[str, Callable[[], StreamingQuery]]) -> dict[str, str | None]:
+    """Runs the mirror of each table by itself: name to None, or to the error that stopped it. No failure stops another table."""
+    out: dict[str, str | None] = {}
+    for name, start in tables.items():
+        try:
+            start().awaitTermination()
+            out[name] = None
+        except Exception as e:  # reported to the caller, table by table
+            out[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+    return out

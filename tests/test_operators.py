@@ -301,3 +301,108 @@ def test_git_source_and_extraction_cache(spark, tmp_path):
     calls = content.new_facts(tree, got, none, "calls", "1", content.call_sites)
     assert [r["fact"] for r in calls.collect()] == ["GET /orders/*/lines"]
     assert [r["fact"] for r in content.new_facts(tree, got, none, "tables", "1", content.tables_created).collect()] == ["lines"]
+
+
+# --- guarded SQL, anchors, screens, events, JSON, sinks ---
+
+
+def test_only_single_queries_pass_the_guard(spark):
+    from quarrygraph.operators import guard
+
+    assert guard.read_only(spark, " select 1 ; ") == "select 1 " and guard.read_only(spark, "-- c\nWITH x AS (SELECT 1 AS a) SELECT * FROM x UNION SELECT 2")
+    bad = ["update t set a=1", "insert into t values (1)", "delete from t", "create table t(x int)", "drop table t", "truncate table t", "select 1; delete from t", "/* c */ update t set a=1",
+           "-- c\nupdate t set a=1", "copy t to stdout", "alter table t add column x int", "with x as (select 1) insert into t select * from x", "set a = 1", "select java_method('java.lang.System', 'exit', 1)", ""]
+    for text in bad:
+        with pytest.raises(ValueError, match="refused"):
+            guard.read_only(spark, text)
+    t = spark.range(500).withColumnRenamed("id", "n")
+    assert guard.run_sql(spark, "select n from t where n > (select min(n) from t)", {"t": t}).count() == guard.CAP + 1
+    with pytest.raises(ValueError, match="unknown table"):
+        guard.run_sql(spark, "select * from t where n in (select n from other)", {"t": t})
+    assert guard.capped(t).first().asDict() == {"row_count": 200, "capped": True} and guard.capped(t.limit(3)).first().asDict() == {"row_count": 3, "capped": False}
+
+
+def test_anchor_prefers_exact_then_similar_names(spark):
+    from quarrygraph.operators import anchor
+
+    entities = spark.createDataFrame(
+        [("be:bids#create", "HANDLER", "bids#create", "app/controllers/bids_controller.rb"), ("be:sym:BidHelper", "SYMBOL", "BidHelper", "app/helpers/bid_helper.rb"), ("t:bids", "DB_TABLE", "trade_bids", None), ("POST /bids", "HTTP_ENDPOINT", "POST /bids", "/bids")],
+        "id string, kind string, name string, path string",
+    )
+    asked = [(1, "What does BIDHELPER do?"), (2, "who calls bids#create when trade_bids changes"), (3, "open bid_helper.rb please"), (4, "what is trade_bid"), (5, "the and of"), (6, "hello moon")]
+    got = {r["item_id"]: (r["id"], r["match"]) for r in anchor.anchor(entities, spark.createDataFrame(asked, "item_id int, text string")).collect()}
+    assert got == {1: ("be:sym:BidHelper", "exact"), 2: ("t:bids", "exact"), 3: ("be:sym:BidHelper", "exact"), 4: ("t:bids", "approximate")} or got[2] == ("be:bids#create", "exact")
+    assert set(got) == {1, 2, 3, 4}
+
+
+def test_files_belong_to_screens_by_folder_and_import(spark):
+    from quarrygraph.operators import screens
+
+    files = spark.createDataFrame([("src/views/orders/list.jsx",), ("src/views/orders/new/form.jsx",), ("src/components/table.jsx",), ("src/util/money.js",), ("src/util/far.js",), ("src/views/ordersx/a.jsx",)], "path string")
+    folders = spark.createDataFrame([("src/views/orders", "orders"), ("src/views/orders/new", "new order")], "folder string, owner string")
+    imports = spark.createDataFrame([("src/views/orders/list.jsx", "src/components/table.jsx"), ("src/components/table.jsx", "src/util/money.js"), ("src/util/money.js", "src/util/far.js")], "path string, imported string")
+    got = {r["path"].split("/")[-1]: (r["owner"], r["hops"]) for r in screens.owners(files, folders, imports).collect()}
+    assert got == {"list.jsx": ("orders", 0), "form.jsx": ("new order", 0), "table.jsx": ("orders", 1), "money.js": ("orders", 2)}
+    clicks = spark.createDataFrame([("f", 5, "save"), ("f", 40, "open"), ("g", 1, "far")], "path string, line int, mark string")
+    targets = spark.createDataFrame([("f", 41, "a"), ("f", 5, "b"), ("f", 4, "c"), ("g", 82, "d"), ("g", 81, "e")], "path string, line int, target string")
+    assert {r["target"]: r["mark"] for r in screens.nearest_above(targets, clicks, "path", "line").collect()} == {"a": "open", "b": "save", "c": None, "d": None, "e": "far"}
+    owned = spark.createDataFrame([("f", "orders")], "path string, owner string")
+    goes = spark.createDataFrame([("f", 41, "new order"), ("f", 42, "orders"), ("f", 43, "nowhere")], "path string, line int, to string")
+    edges = {(r["src"], r["dst"], r["confidence"]) for r in screens.navigation_edges(owned, goes, clicks, spark.createDataFrame([("orders",), ("new order",)], "screen string")).collect()}
+    assert edges == {("orders", "new order", 0.8), ("open", "new order", 0.6)}
+
+
+def test_events_by_role(spark):
+    rows = [("context_paths", None, "a/b.rb", None), ("evidence", "SYMBOL", "app/x.rb", None), ("evidence", None, "uploads/rules.md", None), ("claim", "HTTP_CALL_SITE", None, "x"), ("token", None, None, "See `app/services/bid_service.rb:40` for the check."), ("token", None, None, "Api::V1::TradeController#quote_details then calls POST /bids.")]
+    events = spark.createDataFrame(rows, "type string, kind string, path string, text string")
+    cs = assistant.filter_events(events, "cs").collect()
+    assert [r["text"] for r in cs if r["type"] == "token"] == ["See a file for the check.", "the system then calls the API."] and len(cs) == 3 and {r["path"] for r in cs} == {None}
+    assert assistant.filter_events(events, "engineer").collect() == events.collect() and assistant.filter_events(events, "qa").count() == 5
+    names = spark.createDataFrame([("SYMBOL", "Bid#validate"), ("DB_TABLE", "trade_requests"), ("FEATURE", "Bidding"), ("ROUTE", "POST /bids")], "kind string, name string")
+    assert {(r[0], r[1]) for r in assistant.code_names(names, "cs").collect()} == {("Bid#validate", "the system"), ("trade_requests", "the database"), ("POST /bids", "the API")}
+    assert assistant.code_names(names, "engineer").count() == 0
+
+
+def test_json_and_sinks(spark):
+    doc = F.lit('{"a": [1, {"b": "x"}], "n": null, "t": true, "s": "1"}')
+    for wanted, held in (({"a": [1]}, True), ({"a": [{"b": "x"}]}, True), ({"a": [2]}, False), ({"n": None}, True), ({"t": True}, True), ({"s": 1}, False), ({"s": "1"}, True), ({"m": None}, False), ({}, True)):
+        assert one(spark, X.json_contains(doc, wanted)) is held, wanted
+    assert one(spark, X.json_has_key(doc, "n")) is True and one(spark, X.json_has_key(doc, "z")) is False
+    assert one(spark, X.json_merge(F.lit('{"a": 1, "b": 2}'), F.lit('{"b": "x", "c": [1]}'))) == '{"a":1,"b":"x","c":[1]}'
+    entities = spark.createDataFrame([("a",), ("b",)], "id string")
+    edges = spark.createDataFrame([("K", "a", "b", 1, 0.5), ("K", "a", "b", 1, 0.4), ("K", "a", "c", 1, 0.5), ("K", "b", "a", 2, 0.5)], "kind string, src string, dst string, site int, confidence double")
+    assert sorted(map(tuple, content.insert_edges(edges.filter("site = 2"), edges, entities).collect())) == [("K", "a", "b", 1, 0.4)]
+    merged = versions.merge_features(spark.createDataFrame([("Purchase Orders", "docs", "d.md"), ("purchase-orders", "folder", "app/po"), ("--", "docs", "x")], "name string, origin string, path string")).collect()
+    assert [(r["slug"], r["origins"], r["paths"]) for r in merged] == [("purchase-orders", ["docs", "folder"], ["app/po", "d.md"])]
+    log = spark.createDataFrame([("\x01Priya@x.com\x022024-01-02T03:04:05Z\n\napp/a.rb\napp/b.rb",)], "entry string")
+    assert sorted((r["person"], r["path"]) for r in content.git_log(spark, log).collect()) == [("priya@x.com", "app/a.rb"), ("priya@x.com", "app/b.rb")]
+    assert assistant.columns_for("which orders have the highest total?", {"id": "", "name": "", "total": "total|amount", "status": "status|state"}, ["name"]) == ["id", "total"]
+
+
+def test_mirror_rewrites_touched_buckets_only(spark, tmp_path):
+    from quarrygraph.streaming import sync
+
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.createDataFrame([(k, 1, "a") for k in range(200)], "k long, ts long, v string").coalesce(1).write.parquet(source)
+    run = lambda schema: sync.mirror(sync.stream(spark, source, schema), target, state, "k", "ts", buckets=8).awaitTermination()
+    run("k long, ts long, v string")
+    before = sync.current(spark, target)
+    assert before.count() == 200
+    spark.createDataFrame([(3, 2, "b"), (3, 1, "z"), (500, 1, "n")], "k long, ts long, v string").coalesce(1).write.mode("append").parquet(source)
+    run("k long, ts long, v string")
+    rows = {r["k"]: (r["v"], r["generation"]) for r in sync.current(spark, target).collect()}
+    assert len(rows) == 201 and rows[3][0] == "b" and rows[500][0] == "n"
+    assert len({k for k, (_, g) in rows.items() if g == 0}) > 100  # buckets without news stay as they were
+
+
+def test_one_failing_mirror_stops_no_other():
+    class Done:
+        def awaitTermination(self):
+            return None
+
+    def broken():
+        raise RuntimeError("no such table")
+
+    from quarrygraph.streaming import sync
+
+    assert sync.mirror_all({"a": broken, "b": Done}) == {"a": "RuntimeError: no such table", "b": None}
