@@ -2,9 +2,10 @@ import re
 
 
 import corpus_pipeline
-from quarrygraph.llm import mixing, toxicity
+from pyspark.sql import functions as F
+from quarrygraph.llm import toxicity
 
-from .test_hygiene import WORD, components, edit_distance
+from .test_hygiene import WORD, brute_targets, components, edit_distance
 
 
 def test_stages_act_on_all_their_predecessor_kept(spark, sf, tmp_path):
@@ -36,9 +37,10 @@ def test_stages_act_on_all_their_predecessor_kept(spark, sf, tmp_path):
     taken = {}
     for r in frames[5].collect():
         taken[r["source"]] = taken.get(r["source"], 0) + len(WORD.findall(r["text"] or ""))
-    for s, t in mixing.targets(sizes).items():
+    for s, t in brute_targets(sizes).items():
         assert abs(taken.get(s, 0) - t) <= largest[s] / 2 + 1
-    assert corpus_pipeline.run(spark, sf).count() == frames[5].count()
+    key = lambda f: sorted((r["doc_id"], r["copy"], r["shard"], r["text"]) for r in f.select("doc_id", "copy", "shard", "text").collect())
+    assert key(corpus_pipeline.run(spark, sf)) == key(frames[5])
 
 
 def test_stages_take_awkward_rows(spark, sf):
@@ -50,7 +52,23 @@ def test_stages_take_awkward_rows(spark, sf):
             kept = stage(spark, kept, sf)
         ids = sorted((r["doc_id"] or 0) for r in kept.collect())
         assert ids == ([0, 1, 2, 2] if frame is docs else [])
-        corpus_pipeline.mix_sources(spark, frame, sf).count()
+        mixed = corpus_pipeline.mix_sources(spark, frame, sf).collect()
+        assert {(r["doc_id"], r["text"]) for r in mixed} <= {(r[0], r[1]) for r in rows} and len(mixed) == len({(r["doc_id"], r["copy"], r["shuffle_key"]) for r in mixed})
+
+
+def test_stages_keep_columns_of_their_own_names_and_long_texts(spark, sf):
+    long = " ".join(f"w{i % 991}x{i}" for i in range(60_000))
+    passage = " ".join(f"p{i}" for i in range(80))
+    rows = [(1, long, "a", "kept", 7, 1.5), (2, f"{passage}\nown words", "a", "kept", 8, 2.5), (3, f"start {passage} of another text altogether, which has words of its own: " + " ".join(f"own{i}" for i in range(90)), "b", "kept", 9, 3.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, removed string, n_removed int, score double")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, kept, sf)
+        assert kept.dtypes == docs.dtypes
+    got = {r["doc_id"]: r for r in kept.collect()}
+    assert got[1]["text"] == long and got[2]["text"] == rows[1][1] and passage not in got[3]["text"] and {(r["removed"], r["n_removed"], r["score"]) for r in got.values()} == {r[3:] for r in rows}
+    mixed = corpus_pipeline.mix_sources(spark, kept.withColumn("shard", F.lit("x")), sf)
+    assert {"removed", "n_removed", "score", "copy", "shard", "shuffle_key"} <= set(mixed.columns) and mixed.count() > 0
 
 
 def test_pipeline_is_registered():
