@@ -130,4 +130,4 @@ def insert_edges(existing: DataFrame, incoming: DataFrame, entities: DataFrame)
     """New edges by (kind, src, dst, site) both of whose ends are entities of the graph; attributes are kept."""
     ids = entities.select("id").distinct()
     ends = incoming.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return insert_new(existing, ends, ["kind", "src", "dst", "site"])
+    return insert_new(existing, ends.select(incoming.columns), ["kind", "src", "dst", "site"])
