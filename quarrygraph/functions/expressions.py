@@ -160,3 +160,10 @@ def json_merge(left: Column | str, right: Column | str) -> Column:
     both = F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
     members = F.transform(F.array_sort(F.map_keys(both)), lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.to_json(F.try_element_at(both, k))))
     return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+
+
+def json_merge(base: Column | str, over: Column | str) -> Column:
+    """A JSON object with the members of another laid over its own; members are replaced whole. Null if either isn't an object."""
+    a, b = (F.from_json(_col(x), "map<string, variant>", {"mode": "PERMISSIVE"}) for x in (base, over))
+    kept = F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k))
+    return F.when(F.trim(_col(base)).startswith("{") & F.trim(_col(over)).startswith("{"), F.to_json(F.map_concat(kept, b)))

@@ -283,7 +283,7 @@ def columns_for(question: str, columns: Mapping[str, str], filters: Sequence[str
     return [c for c in wanted if c not in filters][:most]
 
 
-def shown(rows: DataFrame, order: Sequence[str], full_rows: int = 500, model_rows: int = 40, model_columns: int = 5) -> tuple[DataFrame, DataFrame]:
+def shown(rows: DataFrame, order: Sequence[str | Column], full_rows: int = 500, model_rows: int = 40, model_columns: int = 5) -> tuple[DataFrame, DataFrame]:
     """(what a reader gets, what a model gets) of a table: both in order, the second cut in rows and columns."""
     ordered = rows.orderBy(*order)
-    return ordered.limit(full_rows), ordered.select(rows.columns[:model_columns]).limit(model_rows) if set(order) <= set(rows.columns[:model_columns]) else ordered.limit(model_rows).select(rows.columns[:model_columns])
+    return ordered.limit(full_rows), ordered.limit(model_rows).select(rows.columns[:model_columns])

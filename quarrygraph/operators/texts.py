@@ -34,6 +34,17 @@ def readable(paths: DataFrame, column: str = "path") -> DataFrame:
     return paths.filter(~F.col(column).rlike(SECRET_PATH))
 
 
+def below(texts: DataFrame, *folders: str, column: str = "path") -> DataFrame:
+    """Texts whose path lies below one of the folders and may be read; all that may be read if none is named."""
+    out = readable(texts, column)
+    if not folders:
+        return out
+    inside = F.lit(False)
+    for f in folders:
+        inside = inside | (F.col(column) == f.rstrip("/")) | F.col(column).startswith(f.rstrip("/") + "/")
+    return out.filter(inside)
+
+
 def grep(texts: DataFrame, pattern: str, key: str = "doc_id", max_files: int = 200, max_hits: int = 40, context: int = 2) -> DataFrame:
     """Lines that hold a fixed string of three letters and more, with their neighbours.
 

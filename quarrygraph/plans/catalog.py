@@ -10,7 +10,7 @@ from ..operators import assistant, configs, live, relations, scope, search, text
 from ..session import read_table
 from ..sources import content
 from ..streaming import sync
-from .graph import GRAPH_SQL, Graph, star_graph
+from .graph import GRAPH_SQL, Graph, stored_graph
 
 QUERIES: dict[str, object] = {}
 SQL: dict[str, str] = {}
@@ -34,7 +34,7 @@ def graph_query(name: str, sql: str | None = None, recursive: bool = False):
 
     def add(f):
         head = "WITH RECURSIVE " if recursive else "WITH "
-        query(name, None if sql is None else head + GRAPH_SQL + sql)(lambda spark, folder: f(star_graph(spark, folder), spark, folder))
+        query(name, None if sql is None else head + GRAPH_SQL + sql)(lambda spark, folder: f(stored_graph(spark, folder), spark, folder))
         return f
 
     return add

@@ -7,12 +7,13 @@ a year of orders; parts are contract nodes, which belong to no commit and join i
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table
+from ..session import read_table, shared_dir
 
 #: fixed values: the closed vocabularies of the model
 NARRATIVE = ("DISPATCHES", "INVOKES", "ISSUES_HTTP", "TARGETS", "SERVES", "HANDLED_BY", "USES_SERVICE", "READS", "WRITES", "ENQUEUES", "DECLARES", "CALLS", "TRIGGERS_DEFECT")
@@ -71,6 +72,30 @@ def star_graph(spark: SparkSession, folder: str) -> Graph:
     return Graph(entities, all_edges, refs)
 
 
+_STORED: dict[tuple[str, str], Graph] = {}
+
+
+def stored_graph(spark: SparkSession, folder: str) -> Graph:
+    """The graph as tables, written once for an application: entities and edges laid out by kind, edges sorted by commit.
+
+    Scans thus read the kinds and columns that a query names, and skip row groups of other commits. The
+    tables lie in the shared folder and go when the driver ends.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        made, base = star_graph(spark, folder), f"{shared_dir(spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
+        frames = {"entities": made.entities, "edges": made.edges.sortWithinPartitions("commit"), "refs": made.refs}
+        out = {}
+        for name, df in frames.items():
+            writer = df.write.partitionBy("kind") if "kind" in df.columns else df.write
+            writer.parquet(f"{base}/{name}")
+            out[name] = spark.read.parquet(f"{base}/{name}").select(df.columns)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _STORED[key] = Graph(**out)
+    return _STORED[key]
+
+
 #: The same views as DuckDB SQL, the head of every oracle over the graph.
 GRAPH_SQL = """
 o AS (SELECT o_orderkey, o_custkey, year(o_orderdate)::INT AS "commit" FROM orders),
