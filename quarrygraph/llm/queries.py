@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, jaccard_join, line_dedup, lm_scoring, mixing, quality, token_counts, toxicity, url_filter
+from . import decontaminate, embedding_dedup, importance, jaccard_join, line_dedup, lm_scoring, mixing, periodic_runs, personal_data, quality, token_counts, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.find(table(spark, sf_dir, "documents")))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
@@ -156,6 +168,9 @@ def queries() -> dict[str, Query]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_toxicity": op9_toxicity,
         "op10_url_filter": op10_url_filter,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_importance": op12_importance,
+        "op13_personal_data": op13_personal_data,
         "mixing_targets": mixing_targets,
     }
 
