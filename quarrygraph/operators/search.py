@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from . import fulltext
 
 #: fixed values: the least name similarity, and the constant of reciprocal rank fusion
 TRIGRAM_FLOOR = 0.3
@@ -81,12 +82,11 @@ def nearest(vectors: DataFrame, query, k: int = 10, where: Column | None = None,
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_column)))
 
 
-def by_words(docs: DataFrame, question_tokens: Sequence[str], k: int, id_column: str, column: str = "text") -> DataFrame:
-    """The k rows that hold most of the question's stemmed words, with rank; rows without any are no hits."""
-    wanted = F.array(*[X.stem(F.lit(w)) for w in question_tokens]) if question_tokens else F.expr("cast(array() as array<string>)")
-    hits = docs.withColumn("hits", F.size(F.array_intersect(X.tokens(column), F.array_distinct(wanted)))).filter("hits > 0")
-    top = hits.orderBy(F.desc("hits"), id_column).limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hits"), id_column)))
+def by_words(docs: DataFrame, question_tokens: Sequence[str], k: int, id_column: str, column: str = "text", every: bool = False) -> DataFrame:
+    """The k rows that answer the question's words best by cover density, with hits (their score) and rank; rows without any (or, on request, all) are no hits."""
+    best = fulltext.top(fulltext.inverted(docs, id_column, column), question_tokens, k, every)
+    found = best.select(F.col("id").alias("found_id"), F.col("score").alias("hits"), "rank")  # k rows
+    return docs.join(F.broadcast(found), docs[id_column] == found["found_id"]).drop("found_id")
 
 
 def fuse(lists: Sequence[DataFrame], id_column: str, k: int = FUSION_K) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import answers, catalog, rounds
+from .plans import answers, catalog, retrieval, rounds
 
-assert answers.SQL is catalog.SQL is rounds.SQL  # registered by import
+assert answers.SQL is catalog.SQL is retrieval.SQL is rounds.SQL  # registered by import
 
 Query = Callable[[SparkSession, str], DataFrame]
 
