@@ -8,14 +8,16 @@ that reaches back over its edge, so no label and no group is ever held by one ta
 
 Equal vectors of a label form one class, which takes part once and counts as often as it has members.
 
-Windows alone would lose links of crowds, whatever else stands between them. The first bits of a code,
-about as many as leave CROWD vectors a prefix where codes spread evenly, name its bucket in the
-pass. A bucket that a window can't span is compared whole, block by block, so every pair that
-shares a bucket in some pass is compared, however many vectors are near and whether they link. A
+Windows alone would lose links of crowds, of which more vectors stand together than a window spans. The
+first bits of a code, about as many as leave WINDOW / 4 vectors a prefix where codes spread evenly, tell the
+density at a place of the order; where more than a window share them, there is a crowd. Its bucket, of all
+vectors with the same first bits, about as many as leave CROWD vectors a prefix, is compared whole, block by
+block, so every pair that shares the bucket of a crowd in some pass is compared, however many vectors are near
+and whether they link. Where there is no crowd, whatever the size of a label, windows alone do the work. A
 pair is counted in the first such pass only, and those whose first pass is sure to be an earlier
 one are not brought together again where a block can tell. Only counts per vector and a spanning
 forest leave a block, so a large group of near copies never turns into all of its pairs. A label
-of up to CROWD vectors is one bucket, and exact.
+of no more vectors than a window is compared whole by its windows.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite components, and a
 vector whose label is null, links with nothing and is kept; vectors of different lengths do not
@@ -62,11 +64,11 @@ def _unit(v: pd.Series) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _coded(rows: DataFrame, passes: int) -> DataFrame:
-    """A row for each pass with the vector's code and bucket in it."""
+def _coded(rows: DataFrame, passes: int, window: int) -> DataFrame:
+    """A row for each pass with the vector's code in it, and the code's first bits: few as bucket, more as near."""
     sizes = rows.groupBy("label", F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
-    depth = F.least(F.greatest(F.ceil(F.log2(F.col("n") / CROWD)), F.lit(0)), F.lit(BITS)).cast("int")
-    sized = rows.withColumn("dim", F.size("v")).join(sizes.select("label", "dim", depth.alias("depth")), ["label", "dim"]).select("vec_id", "label", "v", "depth")
+    depth = lambda most: F.least(F.greatest(F.ceil(F.log2(F.col("n") / most)), F.lit(0)), F.lit(BITS)).cast("int")
+    sized = rows.withColumn("dim", F.size("v")).join(sizes.select("label", "dim", depth(CROWD).alias("depth"), depth(window / 4).alias("deep")), ["label", "dim"]).select("vec_id", "label", "v", "depth", "deep")
 
     def run(frames):
         for pdf in frames:
@@ -75,16 +77,16 @@ def _coded(rows: DataFrame, passes: int) -> DataFrame:
                 for p in range(passes):
                     bits = unit @ planes(int(dim), p) > 0
                     code = (bits.astype(np.int64) << np.arange(BITS - 1, -1, -1)).sum(axis=1)
-                    yield pd.DataFrame({"pass": p, "label": part.label, "dim": int(dim), "code": code, "vec_id": part.vec_id, "bucket": code >> (BITS - part.depth.to_numpy(np.int64))})
+                    yield pd.DataFrame({"pass": p, "label": part.label, "dim": int(dim), "code": code, "vec_id": part.vec_id, "bucket": code >> (BITS - part.depth.to_numpy(np.int64)), "near": code >> (BITS - part.deep.to_numpy(np.int64))})
 
-    return sized.mapInPandas(run, "pass int, label string, dim int, code long, vec_id long, bucket long")
+    return sized.mapInPandas(run, "pass int, label string, dim int, code long, vec_id long, bucket long, near long")
 
 
 def _placed(coded: DataFrame, stash: Stash) -> DataFrame:
     """The codes in the order of their passes, with partition and place in it."""
     n = partitions(coded.sparkSession)
     order = ["pass", "label", "dim", "code", "vec_id"]
-    placed = coded.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*order, "bucket", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    placed = coded.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*order, "bucket", "near", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
     return stash.put(placed)
 
 
@@ -99,8 +101,8 @@ IN = ["pass", "label", "dim", "bucket"]
 
 
 def _crowds(placed: DataFrame, rows: DataFrame, passes: int, window: int, stash: Stash) -> tuple[DataFrame, DataFrame]:
-    """(members of the buckets that windows can't span, vec_id, v and m with `crowds`, its bucket in each pass or -1)."""
-    crowded = placed.groupBy(*IN).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > window).drop("m")
+    """(members of the buckets that hold a crowd, vec_id, v and m with `crowds`, its bucket in each pass or -1)."""
+    crowded = placed.groupBy(*IN, "near").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > window).select(*IN).distinct()
     members = stash.put(placed.join(crowded, IN).select(*IN, "vec_id"))
     of_pass = [F.coalesce(F.max(F.when(F.col("pass") == p, F.col("bucket"))), F.lit(-1).cast("long")) for p in range(passes)]
     crowds = members.groupBy("vec_id").agg(F.array(*of_pass).alias("crowds"))
@@ -212,7 +214,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     same = ["label", "h", "g"]
     classes = stash.put(every.groupBy(*same).agg(F.min("vec_id").alias("class"), F.count(F.lit(1)).alias("m")))
     rows = stash.put(every.select("vec_id", "label", "v").join(classes.select("class", "m"), F.col("vec_id") == F.col("class")).drop("class"))
-    placed = _placed(_coded(rows, passes), stash)
+    placed = _placed(_coded(rows, passes, window), stash)
     members, rows = _crowds(placed, rows, passes, window, stash)
     pairs = stash.put(window_pairs(placed, rows, threshold, window))
     crowded = stash.put(crowd_links(members, rows, threshold))

@@ -12,10 +12,12 @@ left alone gives `min_words`; the others are handled as before.
 Passages are also pasted into the middle of lines. With `spans`, they are found whatever surrounds
 them. Runs of SEED words are hashed, and the least hash of each SPAN_WORDS - SEED + 1 runs is a
 seed, so that any SPAN_WORDS words in a row give the same seed wherever they stand. Seeds are units
-beside the lines. A repeated seed is laid on its first occurrence and the match extended word by
-word on both sides, over lines; it goes if it reaches SPAN_WORDS words. Seeds amid lines that go
-anyway are left out, so the texts of a group of copies are never brought together. Within one
-document a span counts if it starts that many words after its first occurrence.
+beside the lines. A seed is wanted if it stands again somewhere amid words that don't go with their lines
+anyway; so the texts of a group of copies give no more than their seeds. Of each text that holds a
+wanted seed, all windows of SPAN_WORDS words whose seed it is are hashed to 128 bits and grouped with min
+like the lines. A window goes unless it is the earliest of its kind, whatever other texts share of it,
+and windows that overlap are one span. Within one document a window counts if it starts
+SPAN_WORDS words or more after its first occurrence. Texts are joined to their own seeds once; no pair of texts is ever made.
 
 Offsets are code points of the original text. A line that goes whole goes with its break.
 
@@ -36,7 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stash
@@ -74,27 +76,33 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return values
 
 
-def seeds_of(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, place of its first word in all texts, and digest of each seed, given the words' hashes and their number by text."""
-    window = SPAN_WORDS - SEED + 1
+def _least_runs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each run of SEED words, and the least in each window of SPAN_WORDS words; 0 for a window over the end of a text."""
     n = len(hashes) - SEED + 1
-    if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(hashes) < SPAN_WORDS:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     runs = np.zeros(n, dtype=np.uint64)
     for k in range(SEED):
         runs += hashes[k : k + n] * MIX[k]
     runs = finish(runs)
-    ends = np.cumsum(counts)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    least = _sliding(runs, window, np.minimum)
-    least[np.arange(len(least)) + SPAN_WORDS > ends[owner[: len(least)]]] = 0  # over the end of a text
+    least = _sliding(runs, SPAN_WORDS - SEED + 1, np.minimum)
+    least[np.arange(len(least)) + SPAN_WORDS > np.repeat(np.cumsum(counts), counts)[: len(least)]] = 0
+    return runs, least
+
+
+def seeds_of(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place of its first word in all texts, and digest of each seed, given the words' hashes and their number by text."""
+    runs, least = _least_runs(hashes, counts)
+    if not len(runs):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    window = SPAN_WORDS - SEED + 1
     edge = np.zeros(window - 1, dtype=np.uint64)
     at = np.flatnonzero(_sliding(np.concatenate((edge, least, edge)), window, np.maximum) == runs)
-    return owner[at], at, runs[at].view(np.int64)
+    return np.repeat(np.arange(len(counts)), counts)[at], at, runs[at].view(np.int64)
 
 
 def seed_units(texts: DataFrame) -> DataFrame:
-    """UNIT rows of seeds: unit is the place of the first word; low and high are the lines before and after those it touches."""
+    """UNIT rows of seeds: unit is the place of the first word; low and high are the first and last lines that windows around it touch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -109,11 +117,11 @@ def seed_units(texts: DataFrame) -> DataFrame:
             new = np.concatenate(([0], (breaks[1:] != breaks[:-1]).astype(np.int64)))
             new[first[first < len(new)]] = 0
             line = np.cumsum(new)  # of each word, among lines that aren't blank
-            base = line[first[of]]
-            last = line[first[of] + counts[of] - 1] - base
+            base, last = first[of], first[of] + counts[of] - 1
+            low, high = np.maximum(at + SEED - SPAN_WORDS, base), np.minimum(at + SPAN_WORDS - 1, last)
             columns = [
                 batch.column("doc_id").take(pa.array(of)), batch.column("rid").take(pa.array(of)), pa.array(np.ones(len(at), bool)), pa.array((at - first[of]).astype(np.int32)),
-                pa.array(np.maximum(line[at] - base - 1, 0).astype(np.int32)), pa.array(np.minimum(line[at + SEED - 1] - base + 1, last).astype(np.int32)), pa.array(digests), pa.array(np.zeros(len(at), np.int64)),
+                pa.array((line[low] - line[base]).astype(np.int32)), pa.array((line[high] - line[base]).astype(np.int32)), pa.array(digests), pa.array(np.zeros(len(at), np.int64)),
             ]
             yield pa.RecordBatch.from_arrays(columns, UNIT)
 
@@ -130,66 +138,66 @@ def repeats(docs: DataFrame, spans: bool, min_words: int, stash: Stash) -> DataF
     first = stash.put(units.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "zstd")
     again = units.join(first, key).filter(~place.eqNullSafe(F.col("first")))
     line = F.when(~F.col("seed"), F.struct("unit", F.col("first.doc_id").alias("first_doc")))
-    sown = F.when(F.col("seed"), F.struct(F.col("unit").alias("at"), F.col("first.unit").alias("there"), F.col("first.doc_id").alias("f_doc"), F.col("first.rid").alias("f_rid"), "low", "high"))
+    sown = F.when(F.col("seed"), F.struct("digest", "low", "high"))
     per = stash.put(again.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(line)).alias("gone"), F.collect_set(sown).alias("seeds")), "zstd")
-    lines = F.transform("gone", lambda x: x["unit"])
-    alone = F.filter("seeds", lambda x: F.size(F.array_except(F.sequence(x["low"], x["high"]), lines)) > 0)
     if not spans:
         return per.select("doc_id", "rid", "gone", F.lit(None).cast(PIECES).alias("spans"))
-    pairs = per.select("doc_id", "rid", F.explode(alone).alias("s")).groupBy("doc_id", "rid", "s.f_doc", "s.f_rid").agg(F.collect_list(F.struct("s.at", "s.there")).alias("seeds"))
-    found = _exact(pairs, texts).select(F.col("doc_id").alias("s_doc"), F.col("rid").alias("s_rid"), "spans")
-    both = per.join(found, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("rid") == F.col("s_rid")), "left")
+    lines = F.transform("gone", lambda x: x["unit"])
+    alone = F.filter("seeds", lambda x: F.size(F.array_except(F.sequence(x["low"], x["high"]), lines)) > 0)
+    wanted = stash.put(per.select(F.explode(alone).alias("s")).select(F.col("s.digest").alias("wanted")).distinct())
+    found = _spans(units.filter("seed").join(wanted, F.col("digest") == F.col("wanted")), texts, stash).select(F.col("doc_id").alias("s_doc"), F.col("rid").alias("s_rid"), "spans")
+    both = per.select("doc_id", "rid", "gone").join(found, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("rid") == F.col("s_rid")), "left")
     return both.select("doc_id", "rid", "gone", "spans").filter((F.size("gone") > 0) | F.col("spans").isNotNull())
 
 
-def _exact(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, rid, spans) of the spans around repeated seeds that stand at their first occurrences too."""
-    early = texts.select(F.col("doc_id").alias("e_doc"), F.col("rid").alias("e_rid"), F.col("text").alias("early"))
-    late = texts.select(F.col("doc_id").alias("l_doc"), F.col("rid").alias("l_rid"), F.col("text").alias("late"))
-    joined = pairs.join(early, F.col("f_doc").eqNullSafe(F.col("e_doc")) & (F.col("f_rid") == F.col("e_rid")))
-    joined = joined.join(late, F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("rid") == F.col("l_rid")))
-    found = joined.select("doc_id", "rid", "f_doc", F.expr("doc_id <=> f_doc and rid = f_rid").alias("same"), "seeds", "early", "late").mapInArrow(_matched, f"doc_id long, rid long, spans {PIECES}")
-    pieces = found.select("doc_id", "rid", F.explode("spans").alias("x"))
-    return pieces.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set("x")).alias("spans"))
-
-
-def _words(text: str) -> list[bytes]:
-    """Lower-case words; bytes are split at the white space of WORDS and no other."""
-    return text.lower().encode().split()
-
-
-def shared_spans(late: str, words: list[bytes], others: list[bytes], seeds: list[tuple[int, int]], same: bool) -> list[tuple[int, int]]:
-    """(start, end) of the spans of the later text that hold a seed and stand in the earlier one, given the words of both."""
-    out, done = [], {}
-    for at, there in sorted(seeds):
-        shift = at - there
-        if at < done.get(shift, 0) or (same and shift < SPAN_WORDS):
-            continue
-        low, high = at, at
-        while low > 0 and low > shift and words[low - 1] == others[low - 1 - shift]:
-            low -= 1
-        while high < len(words) and high - shift < len(others) and words[high] == others[high - shift]:
-            high += 1
-        done[shift] = high
-        if high - low >= SPAN_WORDS:
-            out.append((low, high))
-    if not out:
-        return []
-    places = [m.span() for m in WORDS.finditer(late)]
-    return [(places[a][0], places[b - 1][1]) for a, b in out]
-
-
-def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_doc", pa.int64())]))
-    for batch in (x for b in batches for x in slices([b], "late")):
-        spans, before, words = [], None, []
+def _spans(seeds: DataFrame, texts: DataFrame, stash: Stash) -> DataFrame:
+    """(doc_id, rid, spans): the words that windows of SPAN_WORDS words around wanted seeds hold and that stand earlier."""
+    held = seeds.groupBy(F.col("doc_id").alias("h_doc"), F.col("rid").alias("h_rid")).agg(F.collect_set("digest").alias("seeds"))
+    once = texts.dropDuplicates(["doc_id", "rid"])
+    joined = once.join(held, F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("rid") == F.col("h_rid"))).select("doc_id", "rid", "text", "seeds")
+    windows = stash.put(joined.mapInArrow(_windows, "doc_id long, rid long, high long, low long, at int, start int, end int"), "zstd")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "at")
+    first = stash.put(windows.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "zstd")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("rid") == F.col("first.rid"))
+    again = windows.join(first, ["high", "low"]).filter(~own | (F.col("at") >= F.col("first.at") + SPAN_WORDS))
+    order = Window.partitionBy("doc_id", "rid").orderBy("at")
+    apart = F.coalesce(F.col("at") >= F.lag("at").over(order) + SPAN_WORDS, F.lit(True)).cast("int")
+    runs = again.withColumn("apart", apart).withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = runs.groupBy("doc_id", "rid", "run").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.min_by("first.doc_id", "at").alias("first_doc"))
+    return pieces.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first_doc"))).alias("spans"))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two digests, the place of the first word, and the code points of each window whose seed is one of its text's wanted ones."""
+    for batch in slices(batches, "text"):
+        data, offsets = buffer_of(pc.utf8_lower(batch.column("text")))
+        starts, ends = word_spans(data, offsets)
+        counts = word_counts(starts, offsets)
+        hashes = span_hashes(data, starts, ends)
+        _, least = _least_runs(hashes, counts)
+        first = np.cumsum(counts) - counts
+        wanted = np.zeros(len(least), dtype=bool)
         for k in range(batch.num_rows):
-            f_doc, same, seeds, early, late = (batch.column(c)[k].as_py() for c in ("f_doc", "same", "seeds", "early", "late"))
-            if late != before:  # rows of a document follow one another
-                before, words = late, _words(late)
-            found = shared_spans(late, words, words if same else _words(early), [(x["at"], x["there"]) for x in seeds], same)
-            spans.append([{"start": a, "end": b, "first_doc": f_doc} for a, b in found])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(spans, kind)], ["doc_id", "rid", "spans"])
+            part = slice(first[k], min(first[k] + counts[k], len(least)))
+            wanted[part] = np.isin(least[part], batch.column("seeds")[k].values.to_numpy().view(np.uint64))
+        at = np.flatnonzero(wanted & (least > 0))
+        if not len(at):
+            continue
+        of = np.searchsorted(first + counts, at, "right")
+        high, low = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        for k in range(SPAN_WORDS):
+            high = high * MIX[60] + hashes[at + k]
+            low = (low ^ hashes[at + k]) * MIX[61]
+        plain, edges = buffer_of(batch.column("text"))  # lower case may change the length of a text, not its words
+        opens, closes = word_spans(plain, edges)
+        points = np.concatenate(([0], np.cumsum((plain & 0xC0) != 0x80)))
+        base = points[edges[of]]
+        columns = [points[opens[at]] - base, points[closes[at + SPAN_WORDS - 1]] - base]
+        for k in range(0, len(at), 50_000):
+            here = slice(k, k + 50_000)
+            ids = [batch.column(c).take(pa.array(of[here])) for c in ("doc_id", "rid")]
+            numbers = [pa.array((at - first[of])[here].astype(np.int32)), *(pa.array(c[here].astype(np.int32)) for c in columns)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(finish(high)[here].view(np.int64)), pa.array(finish(low)[here].view(np.int64)), *numbers], ["doc_id", "rid", "high", "low", "at", "start", "end"])
 
 
 def merged(pieces: list[tuple[int, int, int | None]]) -> list[tuple[int, int, int | None]]:

@@ -45,7 +45,7 @@ SETTLED = 10_000
 FILLS = 5
 GROUP = 1_000
 BLOCK_BITS = 24
-WORDS_PER_SHARD, WORDS_PER_BLOCK = 20_000_000, 200_000
+WORDS_PER_SHARD, WORDS_PER_BLOCK, LEAST_SHARDS = 20_000_000, 200_000, 16
 
 
 def splitting_tree(quotas: np.ndarray, totals: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -143,16 +143,18 @@ def _block(blocks: str = "blocks"):
     return F.shiftright(F.shiftright("key", KEY - 31) * F.col(blocks), 31)
 
 
-def draw(light: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, seed: int = 17, words_per_shard: int = WORDS_PER_SHARD, words_per_block: int | None = None, stash: Stash | None = None) -> tuple[DataFrame, DataFrame]:
+def draw(light: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, seed: int = 17, words_per_shard: int | None = None, words_per_block: int | None = None, stash: Stash | None = None) -> tuple[DataFrame, DataFrame]:
     """(plan by source, blocks dealt), given rows of s, size and key.
 
     The plan has a, source_size, target, passes, blocks, k, filled and last, the number of blocks of
-    the last pass; the blocks have b_s, pass, block, shard.
+    the last pass; the blocks have b_s, pass, block, shard. Shards hold WORDS_PER_SHARD words, or a
+    LEAST_SHARDS-th of a smaller mixture, so that every mixture is drawn to several shards.
     """
     spark = light.sparkSession
     stash = stash or Stash(spark)
-    wide = words_per_block or min(WORDS_PER_BLOCK, max(1, words_per_shard // 32))
     sized = stash.put(targets(light.groupBy("s").agg(F.sum("size").alias("size")), weights, share, cap, stash))
+    words_per_shard = words_per_shard or min(WORDS_PER_SHARD, max(1, math.ceil((sized.agg(F.sum("target")).first()[0] or 0) / LEAST_SHARDS)))
+    wide = words_per_block or min(WORDS_PER_BLOCK, max(1, words_per_shard // 32))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("int")
     blocks = F.least(F.greatest(F.ceil(F.col("source_size") / wide), F.lit(1)), F.lit(1 << BLOCK_BITS)).cast("long")
     plan = stash.put(sized.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("blocks", blocks))

@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from quarrygraph.llm import importance, periodic_runs, personal_data, queries
+from quarrygraph.llm import embedding_dedup, importance, line_dedup, periodic_runs, personal_data, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 997}x{i}" for i in range(60_000))
@@ -316,3 +316,95 @@ def test_personal_data_of_odd_rows(odd, none):
 def test_personal_data_is_native(spark, sf):
     plan = queries.op13_personal_data(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- shared spans, windows and shards ---
+
+
+def brute_spans(docs, span=50):
+    """The word places of each text that a window of `span` words covers which stands earlier, in another text or that far before."""
+    seen, out = {}, {}
+    for d, text in docs:
+        words = [w.lower() for w in WORD.findall(text)]
+        gone = set()
+        for a in range(len(words) - span + 1):
+            first = seen.setdefault(tuple(words[a : a + span]), (d, a))
+            if first[0] != d or a >= first[1] + span:
+                gone |= set(range(a, a + span))
+        out[d] = gone
+    return out
+
+
+def test_every_repeated_span_goes_whatever_earlier_texts_share(spark):
+    rng = random.Random(1)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    docs, spans = [], []
+    for k in range(300):
+        span = [word() for _ in range(60)]
+        cut = rng.randrange(16)
+        shared = span[cut : cut + 45]
+        for part, text in enumerate((shared, span, span)):
+            docs.append((part * 1000 + k, " ".join([*(word() for _ in range(rng.randrange(5, 40))), *text, *(word() for _ in range(rng.randrange(5, 40)))])))
+        spans.append(" ".join(span))
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    text = dict(docs)
+    for k, span in enumerate(spans):
+        assert out[k]["text"] == text[k] and out[1000 + k]["text"] == text[1000 + k]
+        (piece,) = out[2000 + k]["removed"]
+        assert text[2000 + k][piece["start"] : piece["end"]] == span and piece["first_doc"] == 1000 + k
+
+
+def test_spans_equal_brute_force(spark):
+    rng = random.Random(9)
+    pool = [[f"{k}x{i}" for i in range(70)] for k in range(6)]
+    docs = []
+    for d in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            p, a = rng.choice(pool), rng.randrange(40)
+            parts += p[a : a + rng.randrange(20, 70)] + [f"own{d}e{rng.random()}"]
+        docs.append((d, "xİ " + " ".join(parts)))  # a letter whose lower case is longer
+    docs.append((500, " ".join(pool[0] + pool[0])))
+    want = brute_spans(docs)
+    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    met = 0
+    for d, text in docs:
+        places = [m.span() for m in WORD.finditer(text)]
+        got = {i for i, (a, b) in enumerate(places) for x in rows[d]["removed"] if x["start"] <= a and b <= x["end"]}
+        assert got == want[d], d
+        met += len(got)
+    assert met > 1000
+
+
+def test_windows_alone_find_planted_pairs(spark):
+    import numpy as np
+
+    from quarrygraph.llm.common import Stash
+
+    rng = np.random.default_rng(5)
+    one = rng.standard_normal((1500, 32))
+    two = one + 0.19 * rng.standard_normal((1500, 32))
+    cosine = (one * two).sum(1) / np.linalg.norm(one, axis=1) / np.linalg.norm(two, axis=1)
+    keep = cosine >= embedding_dedup.THRESHOLD
+    vectors = [(int(i), v.astype("float32").tolist(), 1) for i, v in enumerate(one)] + [(int(i) + 5000, v.astype("float32").tolist(), 1) for i, v in enumerate(two) if keep[i]]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    stash = Stash(spark)
+    rows = stash.put(embedding_dedup.usable(frame).select("vec_id", "label", "v").withColumn("m", F.lit(1).cast("long")))
+    placed = embedding_dedup._placed(embedding_dedup._coded(rows, embedding_dedup.PASSES, embedding_dedup.WINDOW), stash)
+    crowded, _ = embedding_dedup._crowds(placed, rows, embedding_dedup.PASSES, embedding_dedup.WINDOW, stash)
+    assert crowded.count() <= 0.1 * placed.count()  # few places are dense by chance
+    members, rows = embedding_dedup._crowds(placed, rows, embedding_dedup.PASSES, 10**9, stash)
+    assert members.count() == 0  # nothing is compared but windows
+    found = {(r["dst"], r["src"]) for r in embedding_dedup.window_pairs(placed, rows, embedding_dedup.THRESHOLD, embedding_dedup.WINDOW).collect()}
+    planted = {(int(i), int(i) + 5000) for i in np.flatnonzero(keep)}
+    assert len(planted) > 700 and len(found & planted) >= 0.99 * len(planted)
+    linked = {r["vec_id"] for r in embedding_dedup.near_duplicates(frame).filter("n_links > 0").collect()}
+    assert len(linked & {x for p in planted for x in p}) >= 0.99 * 2 * len(planted)
+
+
+def test_the_registered_mixture_has_several_shards(spark, sf):
+    rows = queries.op4_mixing(spark, sf).collect()
+    shards = {x for r in rows for x in r["shards"]}
+    assert len(shards) >= 4
+    words = [sum(r["size"] for r in rows for x in r["shards"] if x == s) for s in sorted(shards)]
+    assert min(words) > 0
