@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +63,7 @@ BUCKETS = 64
 
 def current(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
     """The mirror's rows: of each bucket its latest generation, or the latest before a number."""
-    every = spark.read.parquet(target)
+    every = spark.read.option("mergeSchema", "true").parquet(target)
     if before is not None:
         every = every.filter(F.col("generation") < before)
     last = every.groupBy(F.col("bucket").alias("b")).agg(F.max("generation").alias("g"))  # a row a bucket
@@ -70,20 +71,21 @@ def current(spark: SparkSession, target: str, before: int | None = None) -> Data
 
 
 def evolved(rows: DataFrame, like: DataFrame) -> DataFrame:
-    """Rows with the columns of both frames; those that a side lacks are null in it, for a new column is pulled anew."""
+    """Rows with the columns of both frames; those that a side lacks are null in it until it is pulled anew."""
     return rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in like.dtypes if c not in rows.columns])
 
 
-def mirror(rows: DataFrame, target: str, checkpoint: str, key: str, cursor: str, then: Callable[[DataFrame, int], None] | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+def mirror(rows: DataFrame, target: str, checkpoint: str, key: str, cursor: str, then: Callable[[DataFrame, int], None] | None = None, buckets: int = BUCKETS, base: int = 0) -> StreamingQuery:
     """Runs all that is available into a table laid out by buckets of the key, and stops.
 
     A batch writes a new generation of the buckets it touches and leaves the others as they are, and removes
     the generations of these buckets that no retry can need. Run again, it reads what stood before it and writes
-    the same once more, so a restart neither loses nor doubles rows.
+    the same once more, so a restart neither loses nor doubles rows. Of rows of one key and cursor the incoming one
+    stands, since the source may have more columns than it had. Generations are numbered from `base` on.
     """
 
     def batch(frame: DataFrame, number: int) -> None:
-        spark = frame.sparkSession
+        spark, number = frame.sparkSession, base + number
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         incoming = latest(frame, key, cursor).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
@@ -92,7 +94,8 @@ def mirror(rows: DataFrame, target: str, checkpoint: str, key: str, cursor: str,
         merged = incoming
         if any(g < number for g in held):
             old = current(spark, target, number).filter(F.col("bucket").isin(touched)).drop("generation")
-            merged = latest(evolved(old, incoming).unionByName(evolved(incoming, old)), key, cursor)
+            sides = [evolved(x, y).withColumn("turn", F.struct(cursor, F.lit(i).alias("side"))) for i, (x, y) in enumerate(((old, incoming), (incoming, old)))]
+            merged = latest(sides[0].unionByName(sides[1]), key, "turn").drop("turn")
         merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/generation={number}")
         for b in touched:  # of what stood before, the newest generation serves a retry of this batch
             stale = [g for g in held if g < number and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/generation={g}/bucket={b}"))]
@@ -104,6 +107,31 @@ def mirror(rows: DataFrame, target: str, checkpoint: str, key: str, cursor: str,
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def fingerprint(schema: StructType) -> str:
+    """Names and types of a schema, whatever their order."""
+    return hashlib.sha256("\n".join(sorted(f"{f.name} {f.dataType.simpleString()}" for f in schema)).encode()).hexdigest()
+
+
+def pulled(rows: DataFrame, target: str, state: str, key: str, cursor: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """The mirror of a source whose columns may change: new ones make it pull every row once more.
+
+    Beside the offsets of a pull stands the schema that it was made with. Rows of another schema begin a new pull,
+    from the first offset on and with generations after all that stand, so each row is written again with the columns it
+    has now. The note of the new pull is written before it starts; stopped midway, it goes on where it was.
+    """
+    spark = rows.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    notes, now = f"{state}/schemas", fingerprint(rows.schema)
+    fs = path(notes).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    pulls = spark.read.schema("pull int, schema string, base int").json(notes).orderBy("pull").collect() if fs.exists(path(notes)) else []  # a row a change of schema
+    if not pulls or pulls[-1]["schema"] != now:
+        held = [int(f.getPath().getName().partition("=")[2]) for f in fs.listStatus(path(target)) if f.getPath().getName().startswith("generation=")] if fs.exists(path(target)) else []
+        pulls.append({"pull": len(pulls), "schema": now, "base": max(held, default=-1) + 1})
+        spark.createDataFrame([pulls[-1]], "pull int, schema string, base int").coalesce(1).write.mode("append").json(notes)
+    last = pulls[-1]
+    return mirror(rows, target, f"{state}/pull-{last['pull']}", key, cursor, buckets=buckets, base=last["base"])
+
+
 def mirror_all(tables: Mapping[str, Callable[[], StreamingQuery]]) -> dict[str, str | None]:
     """Runs the mirror of each table by itself: name to None, or to the error that stopped it. No failure stops another table."""
     out: dict[str, str | None] = {}
