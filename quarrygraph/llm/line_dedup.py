@@ -13,11 +13,13 @@ Passages are also pasted into the middle of lines. With `spans`, they are found
 them. Runs of SEED words are hashed, and the least hash of each SPAN_WORDS - SEED + 1 runs is a
 seed, so that any SPAN_WORDS words in a row give the same seed wherever they stand. Seeds are units
 beside the lines. A seed is wanted if it stands again somewhere amid words that don't go with their lines
-anyway; so the texts of a group of copies give no more than their seeds. Of each text that holds a
-wanted seed, all windows of SPAN_WORDS words whose seed it is are hashed to 128 bits and grouped with min
-like the lines. A window goes unless it is the earliest of its kind, whatever other texts share of it,
-and windows that overlap are one span. Within one document a window counts if it starts
-SPAN_WORDS words or more after its first occurrence. Texts are joined to their own seeds once; no pair of texts is ever made.
+anyway; so the texts of a group of copies give no more than their seeds. Each text that holds a
+wanted seed is read once more for its stretches: the windows of SPAN_WORDS words in a row that have this
+seed. A stretch that equals an earlier one goes whole, by group and min like the lines. Of the rest, the first
+stretches of their kinds, windows are told apart by hash and grouped in the same way, if their seed has more than one
+kind of stretch at all. So a window goes unless it is the earliest of its kind, whatever other texts
+share of it; windows that overlap are one span. Within one document a window counts if it starts
+SPAN_WORDS words or more after its first occurrence. Texts are joined to their own seeds; no pair of texts is ever made.
 
 Offsets are code points of the original text. A line that goes whole goes with its break.
 
@@ -48,6 +50,7 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BLANKS = re.compile(r"[\x20\x09]*")
 SPAN_WORDS, SEED = 50, 12
 PIECES = "array<struct<start: long, end: long, first_doc: long>>"
+SPANS = "array<struct<low: int, high: int, first_doc: long>>"
 UNIT = ["doc_id", "rid", "seed", "unit", "low", "high", "digest", "check"]
 
 
@@ -129,7 +132,7 @@ def seed_units(texts: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, spans: bool, min_words: int, stash: Stash) -> DataFrame:
-    """(doc_id, rid, gone, spans): the lines that go as array<struct<unit, first_doc>>, and spans by code points."""
+    """(doc_id, rid, gone, spans): the lines that go as array<struct<unit, first_doc>>, and spans by words."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text"))
     lines = line_units(texts, min_words)
     units = stash.put(lines.union(seed_units(texts)) if spans else lines, "zstd")
@@ -141,7 +144,7 @@ def repeats(docs: DataFrame, spans: bool, min_words: int, stash: Stash) -> DataF
     sown = F.when(F.col("seed"), F.struct("digest", "low", "high"))
     per = stash.put(again.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(line)).alias("gone"), F.collect_set(sown).alias("seeds")), "zstd")
     if not spans:
-        return per.select("doc_id", "rid", "gone", F.lit(None).cast(PIECES).alias("spans"))
+        return per.select("doc_id", "rid", "gone", F.lit(None).cast(SPANS).alias("spans"))
     lines = F.transform("gone", lambda x: x["unit"])
     alone = F.filter("seeds", lambda x: F.size(F.array_except(F.sequence(x["low"], x["high"]), lines)) > 0)
     wanted = stash.put(per.select(F.explode(alone).alias("s")).select(F.col("s.digest").alias("wanted")).distinct())
@@ -151,24 +154,37 @@ def repeats(docs: DataFrame, spans: bool, min_words: int, stash: Stash) -> DataF
 
 
 def _spans(seeds: DataFrame, texts: DataFrame, stash: Stash) -> DataFrame:
-    """(doc_id, rid, spans): the words that windows of SPAN_WORDS words around wanted seeds hold and that stand earlier."""
+    """(doc_id, rid, spans): by words, what windows of SPAN_WORDS words around wanted seeds hold and what stands earlier."""
     held = seeds.groupBy(F.col("doc_id").alias("h_doc"), F.col("rid").alias("h_rid")).agg(F.collect_set("digest").alias("seeds"))
     once = texts.dropDuplicates(["doc_id", "rid"])
     joined = once.join(held, F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("rid") == F.col("h_rid"))).select("doc_id", "rid", "text", "seeds")
-    windows = stash.put(joined.mapInArrow(_windows, "doc_id long, rid long, high long, low long, at int, start int, end int"), "zstd")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "at")
-    first = stash.put(windows.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "zstd")
+    stretches = stash.put(joined.mapInArrow(_stretches, "doc_id long, rid long, at int, seed long, windows array<long>"), "zstd")
+    place = lambda at: F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", F.col(at).alias("at"))
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("rid") == F.col("first.rid"))
-    again = windows.join(first, ["high", "low"]).filter(~own | (F.col("at") >= F.col("first.at") + SPAN_WORDS))
-    order = Window.partitionBy("doc_id", "rid").orderBy("at")
-    apart = F.coalesce(F.col("at") >= F.lag("at").over(order) + SPAN_WORDS, F.lit(True)).cast("int")
-    runs = again.withColumn("apart", apart).withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    pieces = runs.groupBy("doc_id", "rid", "run").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.min_by("first.doc_id", "at").alias("first_doc"))
-    return pieces.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first_doc"))).alias("spans"))
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two digests, the place of the first word, and the code points of each window whose seed is one of its text's wanted ones."""
+    close = own & (F.col("at") < F.col("first.at") + SPAN_WORDS)
+
+    named = stretches.withColumn("kind", F.xxhash64("windows"))
+    kinds = stash.put(named.groupBy("seed", "kind").agg(F.min(place("at")).alias("first")), "zstd")
+    placed = named.join(kinds, ["seed", "kind"])
+    whole = placed.filter(~close).select("doc_id", "rid", "at", (F.col("at") + F.size("windows")).alias("to"), "first")
+    apart = stash.put(placed.filter(close & (F.col("at") > F.col("first.at"))).select("seed").distinct())  # periodic within a text
+    several = kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed").union(apart).distinct()
+    firsts = placed.filter(close).join(several, "seed", "left_semi")
+    windows = firsts.select("doc_id", "rid", "seed", F.col("at").alias("begin"), F.posexplode("windows").alias("nth", "window")).select("doc_id", "rid", "seed", "window", (F.col("begin") + F.col("nth")).alias("at"))
+    first = stash.put(windows.groupBy("seed", "window").agg(F.min(place("at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "zstd")
+    single = windows.join(first, ["seed", "window"]).filter(~close).select("doc_id", "rid", "at", (F.col("at") + 1).alias("to"), "first")
+
+    again = whole.union(single).select("doc_id", "rid", "at", "to", F.col("first.doc_id").alias("first_doc"))
+    order = Window.partitionBy("doc_id", "rid").orderBy("at", "to")
+    reach = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1)) + SPAN_WORDS - 1
+    runs = again.withColumn("new", F.coalesce(F.col("at") >= reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = runs.groupBy("doc_id", "rid", "run").agg(F.min("at").alias("low"), (F.max("to") + SPAN_WORDS - 1).alias("high"), F.min_by("first_doc", "at").alias("first_doc"))
+    return pieces.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_list(F.struct("low", "high", "first_doc"))).alias("spans"))
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The place of the first word, the seed and the windows' hashes of each stretch whose seed is one of its text's wanted ones."""
+    most = SPAN_WORDS - SEED + 1
     for batch in slices(batches, "text"):
         data, offsets = buffer_of(pc.utf8_lower(batch.column("text")))
         starts, ends = word_spans(data, offsets)
@@ -183,21 +199,21 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(wanted & (least > 0))
         if not len(at):
             continue
-        of = np.searchsorted(first + counts, at, "right")
-        high, low = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        values = np.zeros(len(at), np.uint64)
         for k in range(SPAN_WORDS):
-            high = high * MIX[60] + hashes[at + k]
-            low = (low ^ hashes[at + k]) * MIX[61]
-        plain, edges = buffer_of(batch.column("text"))  # lower case may change the length of a text, not its words
-        opens, closes = word_spans(plain, edges)
-        points = np.concatenate(([0], np.cumsum((plain & 0xC0) != 0x80)))
-        base = points[edges[of]]
-        columns = [points[opens[at]] - base, points[closes[at + SPAN_WORDS - 1]] - base]
-        for k in range(0, len(at), 50_000):
-            here = slice(k, k + 50_000)
-            ids = [batch.column(c).take(pa.array(of[here])) for c in ("doc_id", "rid")]
-            numbers = [pa.array((at - first[of])[here].astype(np.int32)), *(pa.array(c[here].astype(np.int32)) for c in columns)]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(finish(high)[here].view(np.int64)), pa.array(finish(low)[here].view(np.int64)), *numbers], ["doc_id", "rid", "high", "low", "at", "start", "end"])
+            values = (values ^ hashes[at + k]) * MIX[61]
+        values = finish(values).view(np.int64)
+        of = np.searchsorted(first + counts, at, "right")
+        new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (least[at[1:]] != least[at[:-1]]) | (of[1:] != of[:-1])))
+        run = np.flatnonzero(new)
+        since = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+        edges = np.flatnonzero(since % most == 0)  # a word after word run of one seed is cut, as in a text that repeats a word
+        bounds = pa.array(np.append(edges, len(at)).astype(np.int32))
+        windows = pa.ListArray.from_arrays(bounds, pa.array(values))
+        for k in range(0, len(edges), 5_000):
+            here = slice(k, k + 5_000)
+            ids = [batch.column(c).take(pa.array(of[edges[here]])) for c in ("doc_id", "rid")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array((at - first[of])[edges[here]].astype(np.int32)), pa.array(least[at[edges[here]]].view(np.int64)), windows.slice(k, 5_000)], ["doc_id", "rid", "at", "seed", "windows"])
 
 
 def merged(pieces: list[tuple[int, int, int | None]]) -> list[tuple[int, int, int | None]]:
@@ -266,7 +282,9 @@ def _cleaned(texts: pd.Series, gone: pd.Series, spans: pd.Series) -> pd.DataFram
         if text is None or not len(units) + len(more):
             rows.append((text, [], 0))
         else:
-            clean, removed = without(text, {int(u["unit"]): u["first_doc"] for u in units}, [(int(x["start"]), int(x["end"]), x["first_doc"]) for x in more])
+            places = [m.span() for m in WORDS.finditer(text)] if len(more) else []
+            spans_of = [(places[x["low"]][0], places[x["high"] - 1][1], x["first_doc"]) for x in more]
+            clean, removed = without(text, {int(u["unit"]): u["first_doc"] for u in units}, spans_of)
             rows.append((clean, [{"start": a, "end": b, "first_doc": d} for a, b, d in removed], _passages(text, removed)))
     return pd.DataFrame(rows, columns=["text", "removed", "passages"])
 
