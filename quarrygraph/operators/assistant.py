@@ -218,43 +218,6 @@ def run_summary(results: DataFrame, by: str) -> DataFrame:
     return results.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("passes"), F.round(F.avg("seconds"), 6).alias("mean"), F.round(F.percentile("seconds", F.lit(0.5)), 6).alias("median"))
 
 
-def template_layout(document: str | None) -> dict:
-    """The layout of one template's JSON: form pages, a sheet of column groups, flat fields, or empty."""
-    try:
-        value = json.loads(document) if document else None
-    except ValueError:
-        value = None
-    if isinstance(value, list):
-        buckets = (("page_headers", "creator"), ("page_response_headers", "participant"), ("aggregate_level_questions", "aggregate"))
-        pages = []
-        for i, page in enumerate(p for p in value if isinstance(p, Mapping)):
-            names = [(q.get("name") or "", side) for b, side in buckets for q in page.get(b) or [] if isinstance(q, Mapping)]
-            pages.append((page.get("order") if isinstance(page.get("order"), (int, float)) else i + 1, page.get("name") or f"Page {i + 1}", names))
-        pages.sort(key=lambda p: p[0])
-        return {"layout": "form", "groups": [p[1] for p in pages], "widgets": [n for p in pages for n, _ in p[2]]}
-    if isinstance(value, Mapping):
-        first = lambda w: (w.get("priority") if isinstance(w.get("priority"), (int, float)) else 1e9)
-        groups = [(k, sorted((w for w in v if isinstance(w, Mapping)), key=first)) for k, v in value.items() if isinstance(v, list)]
-        groups = sorted((g for g in groups if g[1]), key=lambda g: g[0] != "inline_components")
-        if any(isinstance(v, list) for v in value.values()):
-            return {"layout": "sheet", "groups": [g[0] for g in groups], "widgets": [w.get("name") or "" for _, ws in groups for w in ws]}
-        fields = sorted(((k, v) for k, v in value.items() if isinstance(v, Mapping) and {"input_type", "key_attribute", "configuration"} & set(v)), key=lambda kv: first(kv[1]))
-        if fields:
-            return {"layout": "fields", "groups": ["fields"], "widgets": [v.get("name") or k.replace("_", " ") for k, v in fields]}
-    return {"layout": "empty", "groups": [], "widgets": []}
-
-
-def template_layouts(templates: DataFrame, key: str = "id", column: str = "widgets") -> DataFrame:
-    """(key, layout, groups, widgets) of each template."""
-
-    def run(frames):
-        for pdf in frames:
-            found = [template_layout(x) for x in pdf[column]]
-            yield pd.DataFrame({key: pdf[key], "layout": [f["layout"] for f in found], "groups": [f["groups"] for f in found], "widgets": [f["widgets"] for f in found]})
-
-    return templates.select(key, column).mapInPandas(run, f"{key} {dict(templates.dtypes)[key]}, layout string, groups array<string>, widgets array<string>")
-
-
 def valid_flow(steps: DataFrame, links: DataFrame) -> DataFrame:
     """(flow, src, dst) links between known steps; a flow without any is chained by the order of its steps."""
     known = steps.select("flow", F.col("step").alias("s"))

@@ -158,22 +158,28 @@ def _(g: Graph, spark, folder) -> DataFrame:
     return relations.backend_apis(g.edges.filter("commit = 1997"), rich)
 
 
-NAV = """WITH RECURSIVE nav AS (SELECT DISTINCT lpad(s_nationkey::VARCHAR, 2, '0') AS src, lpad(c_nationkey::VARCHAR, 2, '0') AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
+NAV_LINKS = """WITH RECURSIVE nav AS (SELECT DISTINCT lpad(s_nationkey::VARCHAR, 2, '0') AS src, lpad(c_nationkey::VARCHAR, 2, '0') AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
   WHERE c_nationkey = (s_nationkey * 3 + 1) % 25 OR c_nationkey = (s_nationkey + 5) % 25),
-r(start, node, hops, path) AS (SELECT DISTINCT src, src, 0, [src] FROM nav UNION SELECT r.start, nav.dst, r.hops + 1, list_append(r.path, nav.dst) FROM r JOIN nav ON nav.src = r.node WHERE r.hops < 6 AND NOT list_contains(r.path, nav.dst)),
+r(start, node, hops, path) AS (SELECT DISTINCT src, src, 0, [src] FROM nav UNION SELECT r.start, nav.dst, r.hops + 1, list_append(r.path, nav.dst) FROM r JOIN nav ON nav.src = r.node WHERE r.hops < 6 AND NOT list_contains(r.path, nav.dst))"""
+NAV = NAV_LINKS + """,
 best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY hops, path) = 1),
 c AS (SELECT unnest(['00', '05', '01', '10', '16', '21']) AS node)
 SELECT start, node, hops, array_to_string(path, '>') AS path, len(list_filter(path, lambda x: x IN ('00', '05', '01', '10', '16', '21'))) AS covered FROM best WHERE hops > 0 AND start IN (SELECT node FROM c) AND node IN (SELECT node FROM c)
 ORDER BY covered DESC, hops DESC, best.path LIMIT 1"""
 
 
-@query("screen_journey", NAV)
-def _(spark, folder) -> DataFrame:
+def nav_links(spark, folder) -> DataFrame:
+    """(src, dst) from nations of suppliers to some nations of the customers that they serve."""
     t = {n: read_table(spark, folder, n) for n in ("orders", "lineitem", "customer", "supplier")}
     rows = t["orders"].join(t["lineitem"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("c_custkey") == F.col("o_custkey")).join(t["supplier"], F.col("s_suppkey") == F.col("l_suppkey"))
     rows = rows.filter((F.col("c_nationkey") == (F.col("s_nationkey") * 3 + 1) % 25) | (F.col("c_nationkey") == (F.col("s_nationkey") + 5) % 25))
     name = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
-    links = rows.select(name("s_nationkey").alias("src"), name("c_nationkey").alias("dst")).distinct()
+    return rows.select(name("s_nationkey").alias("src"), name("c_nationkey").alias("dst")).distinct()
+
+
+@query("screen_journey", NAV)
+def _(spark, folder) -> DataFrame:
+    links = nav_links(spark, folder)
     wanted = spark.createDataFrame([(n,) for n in ("00", "05", "01", "10", "16", "21")], "node string")
     found = trace.shortest_paths(links, wanted.join(links, wanted["node"] == links["src"], "left_semi"))
     return trace.best_chain(found, wanted).withColumn("path", F.array_join("path", ">"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import assistant, runs, texts
+from ..operators import assistant, layouts, runs, texts
 from ..session import read_table
 from ..sources import content
 from .catalog import SQL, query
@@ -130,7 +130,7 @@ def _(spark, folder) -> DataFrame:
     form = '[{"page_headers": [{"name": "%s"}], "order": 2}, {"name": "First", "page_response_headers": [{"name": "%s"}], "order": 1}]'
     fields = '{"unit_price": {"input_type": "x", "priority": 9}, "n": {"name": "%s", "configuration": {}, "priority": 3}, "title": "t"}'
     doc = F.when(F.col("p_partkey") % 4 == 0, F.format_string(sheet, "p_type", "p_name", "p_brand")).when(F.col("p_partkey") % 4 == 1, F.format_string(form, "p_name", "p_type")).when(F.col("p_partkey") % 4 == 2, F.format_string(fields, "p_name")).otherwise("{]")
-    found = assistant.template_layouts(p.select(F.col("p_partkey").alias("id"), doc.alias("widgets")))
+    found = layouts.template_layouts(p.select(F.col("p_partkey").alias("id"), doc.alias("widgets")))
     return found.withColumn("groups", F.array_join("groups", ",")).withColumn("widgets", F.array_join("widgets", ","))
 
 

@@ -201,15 +201,14 @@ def test_chats(spark):
 
 
 def test_templates(spark):
-    layout = assistant.template_layout
-    assert layout(None)["layout"] == layout("{bad")["layout"] == "empty"
-    sheet = layout('{"price": [{"name": "p"}], "inline_components": [{"name": "b", "priority": 2}, {"name": "a", "priority": 1}]}')
-    assert sheet == {"layout": "sheet", "groups": ["inline_components", "price"], "widgets": ["a", "b", "p"]}
-    form = layout('[{"order": 2, "name": "B", "page_headers": [{"name": "q"}]}, {"order": 1, "name": "A"}]')
-    assert form["groups"] == ["A", "B"] and form["widgets"] == ["q"]
-    assert layout('{"unit_price": {"input_type": 1}}')["widgets"] == ["unit price"]
-    rows = assistant.template_layouts(spark.createDataFrame([(1, None), (2, '{"k": [{"name": "x"}]}')], "id int, widgets string")).collect()
-    assert {r["id"]: r["layout"] for r in rows} == {1: "empty", 2: "sheet"}
+    from quarrygraph.operators import layouts
+
+    docs = [None, "{bad", '{"price": [{"name": "p"}], "inline_components": [{"name": "b", "priority": 2}, {"name": "a", "priority": 1}]}', '[{"order": 2, "name": "B", "page_headers": [{"name": "q"}]}, {"order": 1, "name": "A"}]',
+            '{"unit_price": {"input_type": 1}}', '{"k": [{"name": "x"}]}']
+    rows = {r["id"]: r for r in layouts.template_layouts(spark.createDataFrame(list(enumerate(docs)), "id int, widgets string")).collect()}
+    assert rows[0]["layout"] == rows[1]["layout"] == "empty"
+    assert (rows[2]["layout"], rows[2]["groups"], rows[2]["widgets"]) == ("sheet", ["inline_components", "price"], ["a", "b", "p"])
+    assert rows[3]["groups"] == ["A", "B"] and rows[3]["widgets"] == ["q"] and rows[4]["widgets"] == ["unit price"] and rows[5]["layout"] == "sheet"
 
 
 def test_flows(spark):
