@@ -153,15 +153,6 @@ def json_has_key(doc: Column | str, key: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(_col(doc)), key), F.lit(False))
 
 
-def json_merge(left: Column | str, right: Column | str) -> Column:
-    """Two JSON objects as one, as text; the right one's members win, members are in the order of their names."""
-    kind = "map<string,variant>"
-    a, b = (F.try_variant_get(F.try_parse_json(_col(x)), "$", kind) for x in (left, right))
-    both = F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
-    members = F.transform(F.array_sort(F.map_keys(both)), lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.to_json(F.try_element_at(both, k))))
-    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
-
-
 def json_merge(base: Column | str, over: Column | str) -> Column:
     """A JSON object with the members of another laid over its own; members are replaced whole. Null if either isn't an object."""
     a, b = (F.from_json(_col(x), "map<string, variant>", {"mode": "PERMISSIVE"}) for x in (base, over))

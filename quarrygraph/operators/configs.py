@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: keys that stand in one row while owners are spread over them
+CHUNK = 1_000
+
 
 def effective(owners: DataFrame, defaults: DataFrame, masters: DataFrame, overrides: DataFrame) -> DataFrame:
     """(owner, config_key, value, source) of each owner and key.
@@ -15,15 +20,34 @@ def effective(owners: DataFrame, defaults: DataFrame, masters: DataFrame, overri
     """
     w = Window.partitionBy("owner", "config_key").orderBy(F.desc("at"), F.desc("value"))
     last = overrides.filter("active").withColumn("n", F.row_number().over(w)).filter("n = 1").select("owner", "config_key", F.col("value").alias("o_value"), F.lit(True).alias("o"))
-    # every owner has every key: each row is spread over the list of keys, which is one row and a configuration's size
-    keys = defaults.agg(F.collect_list(F.struct("config_key", F.col("value").alias("d_value"))).alias("keys"))
-    rows = owners.crossJoin(F.broadcast(keys)).select("owner", "grp", F.inline("keys"))
+    # every owner has every key: an owner meets the keys by chunks of about CHUNK, so no row holds them all
+    chunks = max(1, -(-defaults.count() // CHUNK))
+    part = F.pmod(F.xxhash64("config_key"), F.lit(chunks)).cast("int")
+    keys = defaults.groupBy(part.alias("chunk")).agg(F.collect_list(F.struct("config_key", F.col("value").alias("d_value"))).alias("keys"))
+    rows = owners.select("owner", "grp", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).join(keys, "chunk").select("owner", "grp", F.inline("keys"))
     rows = rows.join(masters.select("grp", "config_key", F.col("value").alias("m_value"), F.lit(True).alias("m")), ["grp", "config_key"], "left").join(last, ["owner", "config_key"], "left")
     value = F.when(F.col("o"), F.col("o_value")).when(F.col("m"), F.col("m_value")).otherwise(F.col("d_value"))
     source = F.when(F.col("o"), "override").when(F.col("m"), "master").otherwise("default")
     return rows.select("owner", "grp", "config_key", value.alias("value"), source.alias("source"))
 
 
+def chosen(values: DataFrame, about: DataFrame, keys_like: str | None = None, keys: Sequence[str] | None = None, only: str | None = None) -> DataFrame:
+    """The effective values of the keys asked for, by owner and key.
+
+    about: config_key, name, description. `keys_like` is a part of any of the three, in any case; `keys` are whole ones; `only` is
+    `on`, `off` or `overrides`, and anything else asks for all.
+    """
+    named = about.select("config_key", "name", "description")
+    if keys_like is not None:
+        text = keys_like.lower()
+        named = named.filter(F.lower("config_key").contains(text) | F.coalesce(F.lower("name").contains(text), F.lit(False)) | F.coalesce(F.lower("description").contains(text), F.lit(False)))
+    if keys is not None:
+        named = named.filter(F.col("config_key").isin(list(keys)))
+    wanted = {"on": F.lower("value").isin("true", "on"), "off": F.lower("value").isin("false", "off"), "overrides": F.col("source") == "override"}
+    rows = values.filter(wanted[only]) if only in wanted else values
+    return rows.join(named, "config_key").orderBy("owner", "config_key")
+
+
 def agree_differ(values: DataFrame) -> DataFrame:
     """(config_key, owners, distinct_values, agrees) over the owners compared."""
     n = values.agg(F.countDistinct("owner").alias("all_owners"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -64,6 +65,20 @@ def live_total(table: DataFrame, allowed: Sequence[str], **filters) -> DataFrame
     return table.filter(conditions(allowed, **filters)).agg(F.count(F.lit(1)).alias("total"))
 
 
+#: fixed value: words of a question that asks for a whole set
+WHOLE = r"(?i)\b(all|every|which|how many|list|each)\b"
+LARGEST_SET = 500
+
+
+def completed(question: str, table: DataFrame, allowed: Sequence[str], limit: int = 50, **options) -> DataFrame:
+    """query_live for a question: one that asks for all rows gets them all, up to LARGEST_SET, where the limit would cut them."""
+    filters = {k: v for k, v in options.items() if k in ("where", "like", "contains", "not_null")}
+    if re.search(WHOLE, question) and limit < LARGEST_SET:
+        held = table.filter(conditions(allowed, **filters)).limit(LARGEST_SET + 1).count()
+        limit = LARGEST_SET if limit < held <= LARGEST_SET else limit
+    return query_live(table, allowed, limit=limit, **options)
+
+
 def freshness(table: DataFrame, by: str, cursor: str) -> DataFrame:
     """(by, rows_total, last_run) of each group."""
     return table.groupBy(by).agg(F.count(F.lit(1)).alias("rows_total"), F.max(cursor).alias("last_run"))

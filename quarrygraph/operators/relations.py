@@ -32,11 +32,12 @@ def coverage_totals(status: DataFrame) -> DataFrame:
     return status.agg(n("joined").alias("joined"), n("called_not_served").alias("called_but_not_served"), n("served_not_called").alias("served_but_not_called"))
 
 
-def family(entities: DataFrame, edges: DataFrame, scope: DataFrame, prefix: str, limit: int = 60) -> DataFrame:
+def family(entities: DataFrame, edges: DataFrame, scope: DataFrame, prefix: str, limit: int = 60, method: str | None = None) -> DataFrame:
     """Contract nodes under a path with their callers, and their servers with handlers, as sorted lists.
 
-    Lists are aggregated before they are joined; handlers are taken in scope.
+    Lists are aggregated before they are joined; handlers are taken in scope. With a method, nodes of that method alone.
     """
+    entities = entities if method is None else entities.filter(F.col("method") == method)
     here = edges.join(scope.select("commit").distinct(), "commit", "left_semi")
     ends = entities.filter((F.col("kind") == "HTTP_ENDPOINT") & F.col("path").startswith(prefix)).select("id", "name", "path")
     calls = here.filter("kind = 'TARGETS'").groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("src")).alias("callers"))
@@ -57,6 +58,19 @@ def unresolved_callers(entities: DataFrame, edges: DataFrame, scope: DataFrame,
     return here.join(ends, "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("calls"))
 
 
+def possible_callers(sites: DataFrame, callers: DataFrame, prefix: str, most: int = 30) -> DataFrame:
+    """(path, line, raw, why): call sites that could not be resolved and may call a path family all the same.
+
+    sites: path, line, raw, resolution; callers: path, of the family's known callers. First come sites whose source holds the
+    family's last segment, then sites beside known callers, `most` of each by place, and each once.
+    """
+    open_ = sites.filter("resolution = 'AMBIGUOUS'").select("path", "line", "raw")
+    last = [p for p in prefix.split("/") if p][-1:] or [prefix]
+    named = open_.filter(F.lower("raw").contains(last[0].lower())).orderBy("path", "line").limit(most).withColumn("why", F.lit("names_path"))
+    beside = open_.join(callers.select("path").distinct(), "path", "left_semi").orderBy("path", "line").limit(most).withColumn("why", F.lit("same_file"))
+    return named.union(beside.join(named.select("path", "line"), ["path", "line"], "left_anti").select(named.columns)).orderBy(F.col("why") != "names_path", "path", "line")
+
+
 def owners(touches: DataFrame, nodes: Sequence[str] | None = None, path_prefix: str | None = None, limit: int = 10) -> DataFrame:
     """People by the commits in which they touched code: touches has person, node, path, commits, last_commit."""
     rows = touches

@@ -119,24 +119,24 @@ def cut_passages(text: str) -> list[tuple[str, str, int]]:
     return [(path, body.strip(), n) for path, body, n in made if n]
 
 
-#: What a name can look like: identifiers joined by namespaces, two humps, or words joined by underscores.
-NAME = "[A-Za-z_][A-Za-z0-9_]*(?:::[A-Z][A-Za-z0-9_]*)*"
-METHOD = NAME + "[#.][a-z_][A-Za-z0-9_]*[?!]?"
-CONSTANT_NAME = "^[A-Z][A-Za-z0-9_]*(?:::[A-Z][A-Za-z0-9_]*)+$|^(?:[A-Z][a-z0-9]+){2,}$"
-SNAKE_NAME = "^[a-z]+(?:_[a-z0-9]+)+$"
+#: What names look like: a namespace or two humps, a member behind one of these, or words joined by underscores.
+CONSTANT = r"(?:[A-Z]\w*+(?:::[A-Z]\w*+)++|(?:[A-Z][a-z0-9]++){2,})(?!\w)"
+MEMBER = r"[#.][a-z_]\w*+[?!]?"
+NAMED = rf"(?<![\w:])({CONSTANT}(?:{MEMBER})?)"
+SNAKE = r"(?<!\w)([a-z]++(?:_[a-z0-9]++)++)(?!\w)"
 
 
 def mentions(texts: DataFrame, key: str = "doc_id", most: int = 80) -> DataFrame:
     """(key, name, n): identifiers a text names, the most frequent first, at most 80 of a text.
 
     Constants have two humps or a namespace, methods follow them after # or a point, and snake
-    names have an underscore.
+    names have an underscore. A method names its constant too. Texts that bear no sign of any are passed over at once.
     """
-    found = F.regexp_extract_all("text", F.lit(NAME), F.lit(0))
-    methods = F.filter(F.regexp_extract_all("text", F.lit(METHOD), F.lit(0)), lambda x: F.regexp_extract(x, "^[^#.]+", 0).rlike(CONSTANT_NAME))
-    named = lambda kind, names: F.transform(names, lambda x: F.concat(F.lit(kind + ":"), x))
-    all_names = F.concat(named("const", F.filter(found, lambda x: x.rlike(CONSTANT_NAME))), named("method", methods), named("snake", F.filter(found, lambda x: x.rlike(SNAKE_NAME))))
-    per = texts.select(key, F.explode(all_names).alias("name")).groupBy(key, "name").agg(F.count(F.lit(1)).alias("n"))
+    found = F.regexp_extract_all("text", F.lit(NAMED), F.lit(1))
+    constants = F.transform(found, lambda x: F.concat(F.lit("const:"), F.regexp_extract(x, "^[^#.]+", 0)))
+    methods = F.transform(F.filter(found, lambda x: x.rlike("[#.]")), lambda x: F.concat(F.lit("method:"), x))
+    snakes = F.transform(F.regexp_extract_all("text", F.lit(SNAKE), F.lit(1)), lambda x: F.concat(F.lit("snake:"), x))
+    per = texts.filter(F.col("text").rlike("[a-z0-9][A-Z]|::|_")).select(key, F.explode(F.concat(constants, methods, snakes)).alias("name")).groupBy(key, "name").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(key).orderBy(F.desc("n"), "name")
     return per.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).drop("k")
 

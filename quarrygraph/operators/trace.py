@@ -13,6 +13,9 @@ from ..session import cut
 #: Edge kinds that point towards the contract from its server side; execution runs against them.
 OPPOSED = frozenset({"SERVES"})
 
+#: paths of a level that are sent to every task: some hundred bytes each
+FRONTIER = 10_000
+
 
 def hubs(edges: DataFrame, above: int = HUB_IN_DEGREE) -> DataFrame:
     """(id, in_degree) of nodes with more incoming edges than `above`, over all commits and kinds."""
@@ -41,7 +44,7 @@ def trace(
     commits = scope.select(F.col("commit").alias("c")).distinct()
     wanted = edges.filter((F.col("confidence") >= CONFIDENCE[confidence]) & F.col("kind").isin(list(kinds)))
     hops = oriented(wanted.join(commits, wanted["commit"] == commits["c"], "left_semi"), kinds, direction == "reverse")
-    hops = hops.repartition("from").persist()  # laid out by the side that every level joins on
+    hops = hops.persist()
     stop = hubs(edges, hub_above).select(F.col("id").alias("hub"))
     stop = cut(stop)
     level = cut(hops.filter(F.col("from") == root).select(F.lit(1).alias("depth"), *hops.columns, F.array("from", "to").alias("path")))
@@ -54,6 +57,8 @@ def trace(
         ahead = level.select("path", F.col("to").alias("at"))
         if not expand_hubs:
             ahead = ahead.join(stop, ahead["at"] == stop["hub"], "left_anti")
+        if level.limit(FRONTIER + 1).count() <= FRONTIER:  # a small frontier goes to the hops; a large one is shuffled with them
+            ahead = F.broadcast(ahead)
         level = hops.join(ahead, hops["from"] == ahead["at"]).filter(~F.array_contains("path", F.col("to")))
         level = cut(level.select(F.lit(d).alias("depth"), *hops.columns, F.array_append("path", F.col("to")).alias("path")))
         if level.isEmpty():

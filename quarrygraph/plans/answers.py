@@ -247,11 +247,13 @@ def _(spark, folder) -> DataFrame:
     return texts.link_mentions(named.withColumn("name", F.concat(F.lit("snake:"), F.col("name"))), p.select(F.col("p_partkey").alias("id"), F.split("p_name", " ")[0].alias("name")))
 
 
-@query("unknown_paths", r"""WITH m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[a-z]{1,4})', 1))) AS path FROM documents) SELECT * FROM m WHERE NOT (path LIKE '%.com' OR path LIKE '%.org')""")
+@query("unknown_paths", r"""WITH n AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,12}') AS w FROM documents), k AS (SELECT DISTINCT 'src/app/' || w[1] || '/' || w[2] || '.rb' AS known FROM n WHERE len(w) >= 3 AND doc_id % 2 = 0)
+SELECT doc_id, 'app/' || w[1] || '/' || w[2] || '.rb' AS path FROM n WHERE len(w) >= 3 AND NOT EXISTS (SELECT 1 FROM k WHERE known = 'src/app/' || w[1] || '/' || w[2] || '.rb') UNION ALL SELECT doc_id, 'lib/' || w[3] || '.js' FROM n WHERE len(w) >= 3""")
 def _(spark, folder) -> DataFrame:
-    docs = read_table(spark, folder, "documents")
-    known = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"((?:[\w.-]+/)+[\w.-]+\.[a-z]{1,4})"), F.lit(1))).alias("path")).filter("path like '%.com' or path like '%.org'")
-    return texts.known_paths_only(docs, known)
+    docs = read_table(spark, folder, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,12})")).alias("w")).filter("size(w) >= 3")
+    said = docs.select("doc_id", F.format_string("see app/%s/%s.rb, and lib/%s.js as well.", F.get("w", F.lit(0)), F.get("w", F.lit(1)), F.get("w", F.lit(2))).alias("text"))
+    known = docs.filter("doc_id % 2 = 0").select(F.format_string("src/app/%s/%s.rb", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("path"))
+    return texts.known_paths_only(said, known)
 
 
 # --- events, JSON, evaluation ---
@@ -318,7 +320,3 @@ SQL["company_mentions"] = r"""WITH w AS (SELECT item_id, list_filter(regexp_spli
 g AS (SELECT DISTINCT item_id, lower(array_to_string(w[i:i + k - 1], ' ')) AS phrase FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT item_id, w, unnest([1, 2, 3, 4]) AS k FROM w)) WHERE regexp_matches(w[i], '^[A-Z]')),
 s AS (SELECT DISTINCT item_id AS owner, lower(array_to_string(n[1:k], ' ')) AS phrase FROM (SELECT item_id, n, unnest([1, 2, 3, 4]) AS k FROM w))
 SELECT item_id, owner FROM (SELECT DISTINCT item_id, owner FROM g JOIN s USING (phrase)) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY owner) <= 6"""
-SQL["mentions_top"] = f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{texts.NAME}') AS f, regexp_extract_all(text, '{texts.METHOD}') AS m FROM documents),
-n AS (SELECT doc_id, unnest(list_concat(list_concat(list_transform(list_filter(f, lambda x: regexp_matches(x, '{texts.CONSTANT_NAME}')), lambda x: 'const:' || x), list_transform(list_filter(f, lambda x: regexp_matches(x, '{texts.SNAKE_NAME}')), lambda x: 'snake:' || x)),
-  list_transform(list_filter(m, lambda x: regexp_matches(regexp_extract(x, '^[^#.]+'), '{texts.CONSTANT_NAME}')), lambda x: 'method:' || x))) AS name FROM t)
-SELECT doc_id, name, count(*) AS n FROM n GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, name) <= 80"""

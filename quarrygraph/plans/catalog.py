@@ -150,9 +150,9 @@ def _(g: Graph, *_a) -> DataFrame:
     return relations.evidence(g.entities, g.refs, g.entities.filter("kind in ('HTTP_CALL_SITE', 'HANDLER')").select("id"))
 
 
-@graph_query("evidence_missing", """ SELECT DISTINCT src AS id FROM (SELECT 'customer:' || user_id AS src FROM events) WHERE src NOT IN (SELECT id FROM entities)""")
+@graph_query("evidence_missing", """ SELECT DISTINCT src AS id FROM (SELECT 'customer:' || event_id AS src FROM events) WHERE src NOT IN (SELECT id FROM entities)""")
 def _(g: Graph, spark, folder) -> DataFrame:
-    asked = read_table(spark, folder, "events").select(F.concat(F.lit("customer:"), F.col("user_id").cast("string")).alias("id")).distinct()
+    asked = read_table(spark, folder, "events").select(F.concat(F.lit("customer:"), F.col("event_id").cast("string")).alias("id")).distinct()
     return relations.missing(g.entities, asked)
 
 
@@ -228,11 +228,11 @@ SIM = f"len(list_intersect({TRI.format('name')}, {TRI.format("'{q}'")}))::DOUBLE
 
 
 @graph_query("find_entity", """, u AS (SELECT *, 'exact_fqn' AS match_reason, 1.0::DOUBLE AS score FROM entities WHERE id = 'nation'
-  UNION ALL SELECT *, 'name_trigram', """ + SIM.replace("{q}", "united kingdom") + """ FROM entities WHERE kind = 'HANDLER' AND """ + SIM.replace("{q}", "united kingdom") + """ >= 0.3
-  UNION ALL SELECT *, 'path_substring', 0.3 FROM entities WHERE kind = 'HANDLER' AND contains(lower(path), 'united kingdom'))
+  UNION ALL SELECT *, 'name_trigram', """ + SIM.replace("{q}", "nation_1") + """ FROM entities WHERE kind = 'HANDLER' AND """ + SIM.replace("{q}", "nation_1") + """ >= 0.3
+  UNION ALL SELECT *, 'path_substring', 0.3 FROM entities WHERE kind = 'HANDLER' AND contains(lower(path), 'nation_1'))
 SELECT id, kind, name, path, "commit", match_reason, round(score, 6) AS score, true AS weak FROM u ORDER BY score DESC, kind, id LIMIT 20""")
 def _(g: Graph, *_a) -> DataFrame:
-    return search.find_entity(g.entities, "united kingdom", kind="HANDLER").withColumn("score", F.round("score", 6))
+    return search.find_entity(g.entities, "nation_1", kind="HANDLER").withColumn("score", F.round("score", 6))
 
 
 @graph_query("find_by_path", """ SELECT id, kind, name, path, "commit", 'path_substring' AS match_reason, 0.9::DOUBLE AS score, true AS weak FROM entities WHERE contains(lower(path), 'lib/nations') ORDER BY kind, id LIMIT 20""")
@@ -361,9 +361,10 @@ def _(spark, folder) -> DataFrame:
     return versions.dedup_ratio(content.document_tree(read_table(spark, folder, "documents")))
 
 
-@query("snapshot_resolve", r"""SELECT DISTINCT source AS "commit", doc_id::VARCHAR AS path, unnest(list_distinct(regexp_extract_all(lower(text), 'https?://([a-z0-9.-]+\.[a-z]{2,})', 1))) AS fact FROM documents""")
+@query("snapshot_resolve", r"""SELECT DISTINCT 'c' || page_id % 3 AS "commit", page_id::VARCHAR AS path, unnest(list_distinct(regexp_extract_all(lower(url || ' ' || html), 'https?://([a-z0-9.-]+\.[a-z]{2,})', 1))) AS fact FROM pages""")
 def _(spark, folder) -> DataFrame:
-    docs = read_table(spark, folder, "documents")
+    pages = read_table(spark, folder, "pages")
+    docs = pages.select(F.col("page_id").alias("doc_id"), F.concat_ws(" ", "url", "html").alias("text"), F.concat(F.lit("c"), F.col("page_id") % 3).alias("source"))
     tree = content.document_tree(docs)
     none = tree.limit(0).select("blob", F.lit("").alias("extractor"), F.lit("").alias("version"))
     facts = content.new_facts(tree, content.blob_texts(docs), none, "hosts", "1.0", content.external_hosts)
@@ -471,9 +472,9 @@ def _(spark, folder) -> DataFrame:
     return live.dependent(read_table(spark, folder, "customer").filter("c_mktsegment = 'BUILDING'"), read_table(spark, folder, "events"), ("c_custkey", "user_id")).select("event_id", "user_id")
 
 
-@query("any_cell", "SELECT n_nationkey FROM nation WHERE contains(lower(concat_ws(chr(1), n_nationkey, n_name, n_regionkey)), 'an')")
+@query("any_cell", "SELECT n_nationkey FROM nation WHERE contains(lower(concat_ws(chr(1), n_nationkey, n_name, n_regionkey)), 'ion_1')")
 def _(spark, folder) -> DataFrame:
-    return live.any_cell(read_table(spark, folder, "nation"), "an").select("n_nationkey")
+    return live.any_cell(read_table(spark, folder, "nation"), "ion_1").select("n_nationkey")
 
 
 # --- mirror ---
@@ -531,13 +532,6 @@ def _(spark, folder) -> DataFrame:
     return texts.passages(read_table(spark, folder, "documents"))
 
 
-@query("mentions_top", r"""WITH m AS (SELECT doc_id, 'snake:' || unnest(regexp_extract_all(text, '\b([a-z]+(?:_[a-z0-9]+)+)\b', 1)) AS name FROM documents
-UNION ALL SELECT doc_id, 'const:' || unnest(regexp_extract_all(text, '\b((?:[A-Z][A-Za-z0-9]*::)+[A-Z][A-Za-z0-9]*|[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)', 1)) FROM documents)
-SELECT doc_id, name, count(*) AS n FROM m GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, name) <= 80""")
-def _(spark, folder) -> DataFrame:
-    return texts.mentions(read_table(spark, folder, "documents"))
-
-
 @graph_query("cards_hash", """, b AS (SELECT src AS id, array_to_string(list_sort(list(DISTINCT dst))[1:12], ', ') AS beside FROM edges WHERE kind = 'HANDLED_BY' GROUP BY 1)
 SELECT id, sha256(concat_ws('. ', lower(kind) || ' ' || name, trim(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_./#:>-]+', ' ', 'g'))), path, beside)) AS card_hash FROM entities LEFT JOIN b USING (id) WHERE kind = 'SERVER_ROUTE'""")
 def _(g: Graph, *_a) -> DataFrame:

@@ -84,7 +84,7 @@ def stored_graph(spark: SparkSession, folder: str) -> Graph:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _STORED:
         made, base = star_graph(spark, folder), f"{shared_dir(spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
-        frames = {"entities": made.entities, "edges": made.edges.sortWithinPartitions("commit"), "refs": made.refs}
+        frames = {"entities": made.entities, "edges": made.edges.sortWithinPartitions("kind", "commit"), "refs": made.refs}
         out = {}
         for name, df in frames.items():
             writer = df.write.partitionBy("kind") if "kind" in df.columns else df.write

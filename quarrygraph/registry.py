@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import answers, catalog, code, retrieval, rounds, streams
+from .plans import answers, catalog, code, concepts, retrieval, rounds, streams
 
-assert answers.SQL is catalog.SQL is code.SQL is retrieval.SQL is rounds.SQL is streams.SQL  # registered by import
+assert answers.SQL is catalog.SQL is code.SQL is concepts.SQL is retrieval.SQL is rounds.SQL is streams.SQL  # registered by import
 
 Query = Callable[[SparkSession, str], DataFrame]
 
