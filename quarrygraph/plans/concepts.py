@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import anchor, assistant, concepts, configs, live, relations, texts
 from ..session import read_table
+from ..sources import settings
 from . import catalog
 from .answers import _root, _side, _year
 from .catalog import EFFECTIVE, SQL, graph_query, query
@@ -143,3 +144,44 @@ def _(g: Graph, spark, folder) -> DataFrame:
         rows = df.select(F.lit(part).alias("part"), "id").distinct()
         out = rows if out is None else out.union(rows)
     return out
+
+
+# --- settings, events, reports ---
+
+
+@query("tenant_companies", """WITH t(word, pattern) AS (VALUES ('acme', 'customer#00000000%'), ('big one', 'customer#0000001%'), ('big one', '%77')),
+n AS (SELECT n_nationkey AS item_id, CASE n_nationkey % 4 WHEN 0 THEN 'ACME' WHEN 1 THEN '00012' || n_nationkey % 10 WHEN 2 THEN 'the big one here' ELSE 'no' END AS name FROM nation),
+o AS (SELECT c_custkey AS owner, lower(c_name) AS company, coalesce(k, 0) AS overrides FROM customer LEFT JOIN (SELECT user_id, count(*) AS k FROM events GROUP BY 1) ON user_id = c_custkey WHERE c_acctbal > 0),
+h AS (SELECT DISTINCT item_id, owner, overrides FROM n JOIN o ON (n.name = 'ACME' AND company LIKE 'customer#00000000%') OR (starts_with(n.name, '00012') AND contains(company, n.name)) OR (n.name = 'the big one here' AND (company LIKE 'customer#0000001%' OR company LIKE '%77')))
+SELECT item_id, owner, overrides FROM h QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overrides DESC, owner) <= 12""")
+def _(spark, folder) -> DataFrame:
+    words = spark.createDataFrame([("acme", "Customer#00000000%"), ("big one", "customer#0000001%"), ("big one", "%77")], "word string, pattern string")
+    k = F.col("n_nationkey")
+    names = read_table(spark, folder, "nation").select(k.alias("item_id"), F.when(k % 4 == 0, "ACME").when(k % 4 == 1, F.concat(F.lit("00012"), k % 10)).when(k % 4 == 2, "the big one here").otherwise("no").alias("name"))
+    counts = read_table(spark, folder, "events").groupBy(F.col("user_id").alias("owner")).agg(F.count(F.lit(1)).alias("k"))
+    owners = read_table(spark, folder, "customer").select(F.col("c_custkey").alias("owner"), F.col("c_name").alias("name"), (F.col("c_acctbal") > 0).alias("active")).join(counts, "owner", "left").select("owner", "name", "active", F.coalesce("k", F.lit(0)).alias("overrides"))
+    return settings.companies(owners, words, names)
+
+
+@query("event_frames", """SELECT user_id AS run, event_id AS seq, 'event: ' || event_type || chr(10) || 'data: {"type":"' || event_type || '","text":"see a file now"}' || chr(10) || chr(10) AS frame FROM events WHERE event_type <> 'view'""")
+def _(spark, folder) -> DataFrame:
+    e = read_table(spark, folder, "events")
+    events = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", "context_paths").otherwise(F.col("event_type")).alias("type"), F.lit(None).cast("string").alias("kind"), F.lit("app/x.rb").alias("path"), F.lit("see app/models/bid.rb now").alias("text"))
+    return settings.sent(events, "product")
+
+
+@query("report_lines", """WITH r AS (SELECT o_orderkey AS id, o_orderpriority AS grp, o_orderstatus <> 'F' AS passed, o_totalprice / 1000 AS seconds FROM orders)
+SELECT '0' AS at, '# Run: ' || count(*) FILTER (passed) || ' of ' || count(*) || ' passed, median ' || CAST(round(median(seconds), 1) AS VARCHAR) || ' s' AS line FROM r UNION ALL SELECT '1 ' || grp, '| ' || grp || ' | ' || count(*) FILTER (passed) || ' | ' || count(*) || ' |' FROM r GROUP BY grp
+UNION ALL SELECT '2 ' || lpad(id::VARCHAR, 12, '0'), '- ' || id || ': links, ' || grp FROM r WHERE NOT passed""")
+def _(spark, folder) -> DataFrame:
+    o = read_table(spark, folder, "orders")
+    results = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("grp"), (F.col("o_orderstatus") != "F").alias("passed"), (F.col("o_totalprice") / 1000).alias("seconds"), F.array(F.lit("links"), "o_orderpriority").alias("failed"))
+    return settings.report_lines(results, "Run")
+
+
+@query("backfilled_texts", """SELECT DISTINCT sha1(text) AS blob, length(text) AS size FROM documents WHERE text IS NOT NULL AND sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE text IS NOT NULL AND source = 'src1')""")
+def _(spark, folder) -> DataFrame:
+    docs = read_table(spark, folder, "documents").filter("text is not null").select("source", "text", F.sha1("text").alias("blob"))
+    every = docs.groupBy("blob").agg(F.first("text").alias("text"))
+    found = settings.backfill(docs.select("blob"), docs.filter("source = 'src1'").select("blob"), lambda tree: every.join(tree, "blob", "left_semi"))
+    return found.select("blob", F.length("text").cast("long").alias("size"))

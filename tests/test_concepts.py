@@ -127,3 +127,64 @@ def test_routes_and_imports_that_source_declares(spark):
 const routes = [{ path: '/bids', exact: true, name: 'Bids' }, { path: "/x" }, { path: '/y', component: Y }]"""
     row = spark.createDataFrame([(text,)], "t string").select(screens.routes_declared(F.col("t")).alias("r"), screens.imports_of(F.col("t")).alias("i")).first()
     assert row["r"] == ["/bids Bids"] and sorted(row["i"]) == ["../b", "./a"]
+
+
+# --- settings, events, reports ---
+
+
+def test_settings_are_tables(spark, tmp_path):
+    import json
+
+    from quarrygraph.sources import settings
+
+    def put(name, value):
+        (tmp_path / name).write_text(json.dumps(value, indent=1))
+        return str(tmp_path / name)
+
+    refs = settings.refs(spark, put("refs.json", {"_comment": "x", "front": [{"ref": "main", "tenant": "t", "env": "prod"}, {"ref": "uat"}, {}], "back": []}))
+    assert {tuple(r) for r in refs.collect()} == {("front", "main", "t", "prod"), ("front", "uat", None, None)}
+    words = settings.tenants(spark, put("tenants.json", {"_comment": "x", "Acme": ["acme%", "%acme inc%"]}))
+    assert sorted(tuple(r) for r in words.collect()) == [("acme", "%acme inc%"), ("acme", "acme%")]
+    tables = settings.mirrored(spark, put("live.json", {"bids": {"key": "id", "cursor": "updated_at", "columns": ["id", "x"], "large": True}, "odd": 3, "a": {"columns": []}}))
+    assert {(r["table"], r["key"], tuple(r["columns"]), r["large"]) for r in tables.collect()} == {("bids", "id", ("id", "x"), True), ("a", None, (), False)}
+    owners = spark.createDataFrame([(1, "Acme Ltd", True, 2), (2, "The Acme Inc", True, 5), (3, "Acme gone", False, 9), (4, "Retail_one", True, 0), (5, "Retail one", True, 0)], "owner int, name string, active boolean, overrides int")
+    names = spark.createDataFrame([(1, "ACME"), (2, "acme people"), (3, "retail_one"), (4, "no"), (5, None), (6, "acmeish")], "item_id int, name string")
+    got = [(r["item_id"], r["owner"]) for r in settings.companies(owners, words, names).orderBy("item_id", F.desc("overrides")).collect()]
+    assert got == [(1, 2), (1, 1), (2, 2), (2, 1), (3, 4)]
+
+
+def test_events_go_out_by_role_and_run(spark, tmp_path):
+    from quarrygraph.sources import settings
+
+    rows = [(1, 1, "status", None, None, "reading app/models/bid.rb"), (1, 2, "context_paths", None, "app/x.rb", None), (1, 3, "claim", "HANDLER", None, "secret"), (2, 1, "done", None, None, None)]
+    frame = spark.createDataFrame(rows, "run int, seq int, type string, kind string, path string, text string")
+    frame.write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    settings.event_sink(events, "product", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = {(r["run"], r["seq"]): r["frame"] for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert got == {(1, 1): 'event: status\ndata: {"type":"status","text":"reading a file"}\n\n', (2, 1): 'event: done\ndata: {"type":"done"}\n\n'}
+    assert settings.sent(frame, "engineer").count() == 4
+
+
+def test_reports_are_written(spark, tmp_path):
+    from quarrygraph.sources import settings
+
+    results = spark.createDataFrame([(1, "a", True, 2.0, []), (2, "a", False, 4.0, ["links", "words"]), (3, "b", True, 9.0, [])], "id int, grp string, passed boolean, seconds double, failed array<string>")
+    settings.write_report(results, "Answers", str(tmp_path / "r"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "r/report")).collect()]
+    assert lines == ["# Answers: 2 of 3 passed, median 4.0 s", "| a | 1 | 2 |", "| b | 1 | 1 |", "- 2: links, words"] and spark.read.json(str(tmp_path / "r/results")).count() == 3
+
+
+def test_texts_of_earlier_commits_are_filled_in(spark):
+    from quarrygraph.sources import settings
+
+    tree = spark.createDataFrame([("x",), ("x",), ("y",), ("bin",)], "blob string")
+    texts_ = spark.createDataFrame([("x", "X"), ("y", "Y"), ("bin", "a\0b")], "blob string, text string")
+    asked = []
+
+    def read(missing):
+        asked.append(sorted(r["blob"] for r in missing.collect()))
+        return texts_.join(missing, "blob", "left_semi")
+
+    got = settings.backfill(tree, spark.createDataFrame([("y",)], "blob string"), read)
+    assert [tuple(r) for r in got.collect()] == [("x", "X")] and asked == [["bin", "x"]]
