@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import itertools
 import uuid
 from collections.abc import Iterator
@@ -56,6 +57,8 @@ class Stash:
 def release_memory() -> None:
     """Gives memory that a task's arrays have left free back to the machine, which several workers share."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library of other systems has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def task_place() -> Iterator[tuple[int, int]]:

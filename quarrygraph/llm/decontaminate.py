@@ -18,7 +18,7 @@ BLOCK_BYTES (or one item), each block with a scan of its own, so its size is not
 Defined cases: null and blank texts hold nothing; items that are null or without letters and digits
 can't stand in a text; repeated items are reported each; rows of a repeated or null doc_id are
 reported each; several hits of an item in a text give one row with the least distance, the first of
-those; a text of any length is searched whole; an empty table, of either kind, gives no matches;
+those, and of hits at one distance the first; `start` and `end` are bytes of the normalised text; a text of any length is searched whole; an empty table, of either kind, gives no matches;
 other columns play no part in `leaks` and are all kept by `without_leaks`.
 """
 

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, release_memory
 from .textpack import MIX, buffer_of, finish, slices, span_hashes, word_counts, word_spans
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -127,6 +127,7 @@ def seed_units(texts: DataFrame) -> DataFrame:
                 pa.array((line[low] - line[base]).astype(np.int32)), pa.array((line[high] - line[base]).astype(np.int32)), pa.array(digests), pa.array(np.zeros(len(at), np.int64)),
             ]
             yield pa.RecordBatch.from_arrays(columns, UNIT)
+            release_memory()
 
     return texts.select("doc_id", "rid", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, rid long, seed boolean, unit int, low int, high int, digest long, check long")
 
@@ -214,6 +215,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here = slice(k, k + 5_000)
             ids = [batch.column(c).take(pa.array(of[edges[here]])) for c in ("doc_id", "rid")]
             yield pa.RecordBatch.from_arrays([*ids, pa.array((at - first[of])[edges[here]].astype(np.int32)), pa.array(least[at[edges[here]]].view(np.int64)), windows.slice(k, 5_000)], ["doc_id", "rid", "at", "seed", "windows"])
+        release_memory()
 
 
 def merged(pieces: list[tuple[int, int, int | None]]) -> list[tuple[int, int, int | None]]:

@@ -90,16 +90,16 @@ class Shared:
 def runs_of(words: list[int], min_words: int = MIN_WORDS, min_exponent: int = MIN_EXPONENT) -> list[tuple[int, int, int]]:
     """Sorted (start, length, period) of the runs of a sequence of word numbers."""
     n, shared, found = len(words), Shared(words), set()
-    seen: dict[int, tuple[int, int]] = {}  # the leftmost stretch met of each period
+    seen: dict[int, tuple[int, int]] = {}  # the last stretch met of each period: what it holds needs no search
     for sign in (1, -1):
-        seen.clear()
         after = [n] * (n + 1)
         for i in range(n - 1, -1, -1):
             j = i + 1
             while j < n:
                 x, y = words[i], words[j]
                 if x == y:
-                    both = shared.right(i, j)
+                    start, end = seen.get(j - i, (n, n))
+                    both = end - j if start <= i and j < end else shared.right(i, j)
                     if j + both == n:
                         break  # the later suffix begins the earlier one, so it is the smaller
                     x, y = words[i + both], words[j + both]

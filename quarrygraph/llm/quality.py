@@ -13,7 +13,8 @@ their hashed features, of bounded number, are fitted on the driver. All document
 
 Defined cases: null and empty texts are scored from the empty text's measures; null labels and ids
 never train; a doc_id labelled twice has its lower grade; with labels of one grade only every
-text gets that grade, and without labels grade 0 and nothing is selected.
+text gets that grade, and without labels grade 0 and nothing is selected. Rows repeated whole are scored alike and each train
+if their id is labelled; texts of any length are read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

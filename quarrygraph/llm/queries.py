@@ -149,6 +149,23 @@ SELECT source, size::BIGINT AS source_size, round(least(2.0 * size, weight * coa
 """
 
 
+#: Checksums byte by byte from a table of 256, once for each distinct word; bytes are read from a word's hexadecimal form.
+OP12_SQL = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark),
+x AS (SELECT r, unnest(w) AS w FROM d),
+h AS (SELECT w, hex(w) AS h FROM (SELECT w FROM x UNION SELECT w FROM b)),
+k AS (SELECT w, xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: (16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1)::BIGINT), lambda c, y: xor(t[xor(c & 255, y) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS k FROM h, crc),
+s AS (SELECT k, count(*) AS s FROM x JOIN k USING (w) GROUP BY k), t AS (SELECT k, count(*) AS t FROM b JOIN k USING (w) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000) / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (k)),
+v AS (SELECT r, count(*) AS n, floor(sum(gain) / count(*))::BIGINT AS weight FROM x JOIN k USING (w) JOIN g USING (k) GROUP BY r),
+f AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT + 0.5e0) / 4294967296.0e0)))::BIGINT AS score FROM d LEFT JOIN v USING (r)),
+o AS (SELECT doc_id, n, row_number() OVER (ORDER BY score DESC, doc_id) AS o, count(*) OVER () AS all_n FROM f WHERE n >= 20)
+SELECT f.doc_id, f.n AS n_features, weight, score, CASE WHEN o <= all_n * 10 // 100 THEN o END AS rank FROM f LEFT JOIN o ON o.doc_id = f.doc_id
+"""
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sizes and targets by source that op4 draws to."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
@@ -181,5 +198,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_embedding_dedup": OP6_SQL,
         "op8_lm_scoring": OP8_SQL,
         "op10_url_filter": OP10_SQL,
+        "op12_importance": OP12_SQL,
         "mixing_targets": TARGETS_SQL,
     }

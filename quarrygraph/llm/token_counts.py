@@ -14,7 +14,8 @@ library's default. Texts with characters beyond U+024F are cut by the library's
 pre-tokeniser, others by the same pattern.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; a pre-token of any length is
-encoded whole; repeated rows and null ids are counted row by row; other columns are ignored.
+encoded whole, and so is a text; repeated rows and null ids are counted row by row; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations

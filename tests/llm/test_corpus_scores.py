@@ -408,3 +408,86 @@ def test_the_registered_mixture_has_several_shards(spark, sf):
     assert len(shards) >= 4
     words = [sum(r["size"] for r in rows for x in r["shards"] if x == s) for s in sorted(shards)]
     assert min(words) > 0
+
+
+# --- quality ---
+
+
+def plain_loss(rows, y, w, cuts, ridge=1e-5):
+    """Mean negative log likelihood of the grades, one by one, and the ridge."""
+    total = 0.0
+    for (i, v), g in zip(rows, y, strict=True):
+        score = float((w[i] * v).sum())
+        below = lambda k: 0.0 if k < 0 else 1.0 if k >= len(cuts) else 1 / (1 + math.exp(-max(-35, min(35, cuts[k] - score))))
+        total -= math.log(max(1e-12, below(g) - below(g - 1)))
+    return total / len(rows) + ridge / 2 * float((w * w).sum())
+
+
+def test_the_fit_reaches_the_optimum_of_a_plain_optimiser():
+    import numpy as np
+
+    from quarrygraph.llm import quality
+
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((300, 3))
+    truth = np.array([1.0, -0.7, 0.4])
+    y = np.digitize(base @ truth + rng.logistic(size=300), [-1.0, 0.5, 1.5])
+    rows = [(np.arange(3), b) for b in base]
+    w, cuts = quality.fit(rows, y, 4)
+
+    def loss(p):
+        return plain_loss(rows, y, p[:3], np.cumsum([p[3], math.exp(p[4]), math.exp(p[5])]))
+
+    p, rate = np.array([0.0, 0.0, 0.0, -1.0, 0.0, 0.0]), 1.0
+    for _ in range(120):  # plain descent by numeric slopes, with a step that is halved until it helps
+        slope = np.array([(loss(p + d) - loss(p - d)) / 2e-5 for d in np.eye(6) * 1e-5])
+        while loss(p - rate * slope) > loss(p) and rate > 1e-6:
+            rate /= 2
+        p, rate = p - rate * slope, rate * 1.5
+    assert abs(plain_loss(rows, y, w.astype(float), cuts) - loss(p)) < 2e-3
+    assert np.allclose(w[:3], p[:3], atol=0.08) and np.allclose(cuts, np.cumsum([p[3], math.exp(p[4]), math.exp(p[5])]), atol=0.08)
+
+
+def test_four_grades_tails_and_expected_grades_equal_brute_force(spark, odd):
+    import numpy as np
+    import pyarrow as pa
+
+    from quarrygraph.llm import quality
+
+    rng = random.Random(6)
+    kinds = [["fine", "words", "here"], ["some", "words", "there"], ["junk", "x", "here"], ["zzz", "qqq", "x"]]
+    docs = [(d, " ".join(rng.choice(kinds[d % 4]) if rng.random() < 0.8 else rng.choice(kinds[(d + 1) % 4]) for _ in range(rng.randrange(5, 30)))) for d in range(600)]
+    grades = [0, 2, 3, 7]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(d, grades[d % 4]) for d in range(600)] + [(5, 7), (None, 1), (6, None)], "doc_id long, quality int")
+    model = quality.train(frame, labels)
+    assert model.grades == grades and (np.diff(model.thresholds) > 0).all()
+    rows = quality.score(frame.union(frame.limit(20)), model, cut=0.3).collect()  # rows given twice come out alike
+    assert len(rows) == 620
+    right = 0
+    for r in rows:
+        ((index, value),) = quality.features(pa.array([dict(docs)[r["doc_id"]]]))
+        score = sum(float(model.weights[i]) * float(v) for i, v in zip(index, value, strict=True))
+        tails = [1 / (1 + math.exp(-(score - float(t)))) for t in model.thresholds]
+        expected = grades[0] + sum(t * (b - a) for t, a, b in zip(tails, grades, grades[1:]))
+        assert r["expected_grade"] == pytest.approx(expected, abs=1e-4) and r["tail_probability"] == pytest.approx(tails[-1], abs=1e-5)
+        assert r["grade"] == grades[sum(t >= 0.5 for t in tails)] and r["selected"] == (r["tail_probability"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        right += r["grade"] == grades[r["doc_id"] % 4]
+    assert right > 0.9 * 620
+    assert quality.score(odd, model).count() == len(ODD)
+
+
+def test_training_rows_stay_within_their_bound(spark):
+    from quarrygraph.llm import quality
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "good words here").otherwise("bad x").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    held = []
+    fit = quality.fit
+    quality.fit = lambda rows, *a, **k: held.append(len(rows)) or fit(rows, *a, **k)
+    try:
+        quality.train(docs, labels, max_labelled=400)
+    finally:
+        quality.fit = fit
+    assert 250 < held[0] < 550
