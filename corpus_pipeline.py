@@ -3,7 +3,9 @@
 Each stage takes the documents its predecessor kept. All but the last return the columns of
 documents; the last returns a row for each copy that the mixture takes, with copy, shard and
 shuffle_key beside the document's columns. Stages keep rows of null or empty text, except that a
-text all of whose lines repeat earlier ones goes with its document.
+text all of whose lines repeat earlier ones goes with its document. Rows repeated whole or of one doc_id are near
+duplicates, of which one document stays; texts of any length go through every stage whole; an empty table
+gives no rows, with the columns of the mixture.
 """
 
 from __future__ import annotations

@@ -311,8 +311,11 @@ def _(spark, folder) -> DataFrame:
     return versions.top_subjects(read_table(spark, folder, "part").select(F.col("p_brand").alias("subject"), F.col("p_type").alias("path")), 10)
 
 
-SQL["needs_context"] = r"""WITH q AS (SELECT conv_id, turn, trim(text, ' ') AS q FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, q <> '' AND (regexp_matches(q, '{leads}') OR len(regexp_split_to_array(q, '\s+')) <= 6 OR (len(regexp_split_to_array(q, '\s+')) <= 22 AND regexp_matches(q, '{leans}'))) AS needs_context, regexp_matches(q, '{flow}') AS flow FROM q""".replace("{leads}", assistant.LEADS).replace("{leans}", assistant.LEANS).replace("{flow}", assistant.FLOW)
+SQL["needs_context"] = r"""WITH q AS (SELECT conv_id, turn, trim(text, ' ') AS q, lower(trim(text, ' ')) AS l FROM conversations WHERE role = 'user'),
+s AS (SELECT *, len(regexp_split_to_array(q, '\s+')) AS n, ' ' || regexp_replace(l, '[^a-z0-9_]+', ' ', 'g') || ' ' AS p FROM q),
+t AS (SELECT *, len(list_filter(['and', 'also', 'what about', 'how about', 'then', 'so', 'but', 'now', 'ok', 'okay', 'next', 'same for', 'again'], lambda x: starts_with(l, x) AND NOT regexp_matches(substr(l, length(x) + 1, 1), '[a-z0-9_]'))) > 0 AS leads,
+  len(list_filter(string_split('that,this,it,its,those,these,them,same,also,too,again,above,previous,earlier,last one,the other,instead,as well,and for,what about,how about,more detail,elaborate,expand,drill,deeper,which one,the second,the first', ','), lambda x: contains(p, ' ' || x || ' '))) > 0 AS leans FROM s)
+SELECT conv_id, turn, q <> '' AND (leads OR n <= 6 OR (n <= 22 AND leans)) AS needs_context, contains(p, ' flow ') OR contains(p, ' journey ') OR contains(p, ' step ') OR contains(p, ' steps ') OR contains(p, ' walk me through ') OR contains(p, ' end to end ') OR regexp_matches(l, 'how (do|does|can) .* (get|go|move)') AS flow FROM t"""
 SQL["html_to_text"] = r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS t FROM pages),
 e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(t, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM t)
 SELECT page_id, trim(regexp_replace(t, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS text FROM e"""

@@ -30,7 +30,7 @@ class Graph:
 
 def star_graph(spark: SparkSession, folder: str) -> Graph:
     """Customers, orders, parts, suppliers, nations and regions as screens, calls, contracts, routes, handlers and symbols."""
-    t = {n: read_table(spark, folder, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    t = {n: read_table(spark, folder, n) for n in TABLES}
     orders = t["orders"].select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("commit"))
     years = orders.select("commit").distinct()
     lines = t["lineitem"].join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -72,19 +72,29 @@ def star_graph(spark: SparkSession, folder: str) -> Graph:
     return Graph(entities, all_edges, refs)
 
 
-_STORED: dict[tuple[str, str], Graph] = {}
+_STORED: dict[tuple, Graph] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def _changed(spark: SparkSession, folder: str) -> tuple[int, ...]:
+    """When each table of the graph was last written."""
+    context = spark.sparkContext
+    paths = [context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}.parquet") for n in TABLES]
+    fs = paths[0].getFileSystem(context._jsc.hadoopConfiguration())
+    return tuple(fs.getFileStatus(p).getModificationTime() for p in paths)
 
 
 def stored_graph(spark: SparkSession, folder: str) -> Graph:
-    """The graph as tables, written once for an application: entities and edges laid out by kind, edges sorted by commit.
+    """The graph as tables, written once for an application and a state of its tables: laid out by kind, edges sorted by commit.
 
-    Scans thus read the kinds and columns that a query names, and skip row groups of other commits. The
+    Scans thus read the kinds and columns that a query names, and skip row groups of other commits. Rows are
+    brought together by kind first, in partitions of even size, so a kind has few files. The
     tables lie in the shared folder and go when the driver ends.
     """
-    key = (spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, folder, _changed(spark, folder))
     if key not in _STORED:
         made, base = star_graph(spark, folder), f"{shared_dir(spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
-        frames = {"entities": made.entities, "edges": made.edges.sortWithinPartitions("kind", "commit"), "refs": made.refs}
+        frames = {"entities": made.entities.hint("rebalance", "kind"), "edges": made.edges.hint("rebalance", "kind").sortWithinPartitions("kind", "commit"), "refs": made.refs}
         out = {}
         for name, df in frames.items():
             writer = df.write.partitionBy("kind") if "kind" in df.columns else df.write
