@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import journeys, layouts, redaction
-from ..session import read_table
+from ..session import cut, read_table
 from ..sources import code, contract, knowledge
 from .answers import NAV_LINKS, nav_links
 from .catalog import SQL, query
@@ -18,11 +18,12 @@ WORDS = "SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,12}') AS w FROM
 
 def _put_together(spark, folder, *parts: str) -> DataFrame:
     """(blob, text): code put together from the first six words of each document; {0} is a word, {T0} its name as a class."""
-    docs = read_table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("blob"), F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,12})")).alias("w")).filter("size(w) >= 6")
+    docs = read_table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("blob"), F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,12})")).alias("w"))
+    docs = cut(docs.select("blob", F.slice("w", 1, 6).alias("w"))).filter("size(w) >= 6")
     text = F.lit("\n".join(parts))
     for i in range(6):
         text = F.replace(F.replace(text, F.lit(f"{{T{i}}}"), F.initcap(F.get("w", F.lit(i)))), F.lit(f"{{{i}}}"), F.get("w", F.lit(i)))
-    return docs.select("blob", text.alias("text"))
+    return cut(docs.select("blob", text.alias("text")))  # made once, whatever reads it
 
 
 NAMES = ", ".join(f"upper(w[{i + 1}][1]) || w[{i + 1}][2:] AS t{i}, w[{i + 1}] AS w{i}" for i in range(6))

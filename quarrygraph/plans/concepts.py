@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import anchor, assistant, concepts, configs, live, relations, texts
-from ..session import read_table
+from ..session import cut, read_table
 from ..sources import settings
 from . import catalog
 from .answers import _root, _side, _year
@@ -21,10 +21,11 @@ NAMED = "WITH n AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,12}'
 
 @query("mentions_top", NAMED + """SELECT doc_id, x.name AS name, x.n AS n FROM (SELECT doc_id, unnest([{'name': 'const:' || a || b, 'n': 2}, {'name': 'const:' || a || '::' || b, 'n': 2}, {'name': 'method:' || a || '::' || b || '#' || w[3], 'n': 1}, {'name': 'method:' || a || b || '.' || w[4] || '!', 'n': 1}, {'name': 'snake:' || w[3] || '_' || w[4] || '_2', 'n': 1}]) AS x FROM t)""")
 def _(spark, folder) -> DataFrame:
-    docs = read_table(spark, folder, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,12})")).alias("w")).filter("size(w) >= 4")
+    docs = read_table(spark, folder, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,12})")).alias("w"))
+    docs = cut(docs.select("doc_id", F.slice("w", 1, 4).alias("w"))).filter("size(w) >= 4")
     a, b, c, d = F.initcap(F.get("w", F.lit(0))), F.initcap(F.get("w", F.lit(1))), F.get("w", F.lit(2)), F.get("w", F.lit(3))
     said = F.format_string("%s%s is no %s::%s, see %s::%s#%s and (%s%s.%s!) or %s_%s_2, %s.", a, b, a, b, a, b, c, a, b, d, c, d, c)
-    return texts.mentions(docs.select("doc_id", said.alias("text"))).withColumn("n", F.col("n").cast("int"))
+    return texts.mentions(cut(docs.select("doc_id", said.alias("text")))).withColumn("n", F.col("n").cast("int"))
 
 
 # --- concepts ---

@@ -13,7 +13,8 @@ MODIFIERS = "private|protected|public|private_class_method|memoize|memoized|sig"
 VERBS = "GET|POST|PUT|PATCH|DELETE"
 #: how sure a call site is whose path can be read, and one whose path cannot
 READ, UNREAD = 0.95, 0.4
-WINDOW = 400
+#: characters behind a call in which its argument's end is looked for first; what is longer is looked at whole
+NEAR, WINDOW = 80, 400
 
 
 def lines(texts: DataFrame) -> DataFrame:
@@ -112,7 +113,7 @@ def call_sites(texts: DataFrame, wrapper: str = "promisifiedXHR") -> DataFrame:
     rows = rows.withColumn("line", line).withColumn("row", since)
     col = F.sum(F.length(F.substring_index("told", "\n", -1))).over(Window.partitionBy("blob", "row").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
     near = F.substring("rest", 1, WINDOW)
-    rows = rows.withColumn("col", col).withColumn("arg", F.coalesce(argument(near), argument(F.col("rest")))).filter("arg is not null")
+    rows = rows.withColumn("col", col).withColumn("arg", F.coalesce(argument(F.substring("rest", 1, NEAR)), argument(near), argument(F.col("rest")))).filter("arg is not null")
     rows = rows.withColumn("raw", F.regexp_replace("arg", r"^\s+|\s+$", "")).withColumn("shape", shape(F.col("raw")))
     inner = F.expr("substring(raw, 2, length(raw) - 2)")
     path = F.when(F.col("shape") == "LITERAL", inner).when(F.col("shape") == "TEMPLATE", F.regexp_replace(inner, r"\$\{[^}]*\}", "*"))
