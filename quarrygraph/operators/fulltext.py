@@ -29,9 +29,15 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: w != "")
 
 
-def inverted(docs: DataFrame, id_column: str, column: str = "text") -> DataFrame:
-    """(term, id, positions ascending) of every document; texts without words have no rows."""
+def inverted(docs: DataFrame, id_column: str, column: str = "text", asked: Sequence[str] | None = None) -> DataFrame:
+    """(term, id, positions ascending) of every document; texts without words have no rows.
+
+    For a question alone, words that don't begin as one of its words does are left out before they are stemmed:
+    a stem keeps its word's first two letters.
+    """
     every = docs.select(F.col(id_column).alias("id"), F.posexplode(words(column)).alias("position", "word"))
+    if asked is not None:
+        every = every.filter(F.substring("word", 1, 2).isin(sorted({t.lower()[:2] for t in asked})))
     kept = every.filter((F.length("word") > 1) & ~F.col("word").isin(X.STOP_WORDS))
     return kept.groupBy(X.stem("word").alias("term"), "id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
 

@@ -84,7 +84,7 @@ def nearest(vectors: DataFrame, query, k: int = 10, where: Column | None = None,
 
 def by_words(docs: DataFrame, question_tokens: Sequence[str], k: int, id_column: str, column: str = "text", every: bool = False) -> DataFrame:
     """The k rows that answer the question's words best by cover density, with hits (their score) and rank; rows without any (or, on request, all) are no hits."""
-    best = fulltext.top(fulltext.inverted(docs, id_column, column), question_tokens, k, every)
+    best = fulltext.top(fulltext.inverted(docs, id_column, column, question_tokens), question_tokens, k, every)
     found = best.select(F.col("id").alias("found_id"), F.col("score").alias("hits"), "rank")  # k rows
     return docs.join(F.broadcast(found), docs[id_column] == found["found_id"]).drop("found_id")
 

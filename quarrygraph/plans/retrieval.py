@@ -42,7 +42,7 @@ l AS (SELECT id, position, least(max(position) FILTER (term = 'public') OVER o,
 c AS (SELECT id, b, min(position) AS e FROM l WHERE have = 3 GROUP BY 1, 2), n AS (SELECT c.id, b, e, count(*) AS met FROM c JOIN m ON m.id = c.id AND m.position BETWEEN b AND e GROUP BY ALL)
 SELECT id AS doc_id, b::INT AS start, e::INT AS "end", met::INT AS met, round(sum(0.1e0 / (1 + e - b + 1 - met)) OVER (PARTITION BY id), 6) AS score FROM n""")
 def _(spark, folder) -> DataFrame:
-    index = fulltext.inverted(read_table(spark, folder, "documents"), "doc_id")
     asked = ["public", "license", "version"]
+    index = fulltext.inverted(read_table(spark, folder, "documents"), "doc_id", asked=asked)
     ranks = fulltext.cover_ranks(index, asked, every=True)
     return fulltext.covers(index, asked).join(ranks, "id").select(F.col("id").alias("doc_id"), "start", "end", "met", F.round("score", 6).alias("score"))
