@@ -118,7 +118,9 @@ def hashed_vector(text: Column | str, width: int = 64) -> Column:
     """A text as counts of its words by hash: a stand-in where no text embedder is at hand."""
     slot = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int"), F.lit(width))
     slots = F.transform(F.filter(F.split(F.lower(_col(text)), "[^a-z0-9]+"), lambda w: w != ""), slot)
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
+    # words are hashed once: a name within a lambda holds the slots, which would else be worked out again for each of them
+    count = lambda held, i: (F.size(held) - F.size(F.array_remove(held, i))).cast("float")
+    return F.element_at(F.transform(F.array(slots), lambda held: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: count(held, i))), 1)
 
 
 def json_contains(doc: Column | str, wanted) -> Column:
