@@ -45,30 +45,39 @@ def trace(
     wanted = edges.filter((F.col("confidence") >= CONFIDENCE[confidence]) & F.col("kind").isin(list(kinds)))
     hops = oriented(wanted.join(commits, wanted["commit"] == commits["c"], "left_semi"), kinds, direction == "reverse")
     hops = hops.persist()
-    stop = hubs(edges, hub_above).select(F.col("id").alias("hub"))
-    stop = cut(stop)
+    every = None  # the hubs of all nodes, counted only for a walk with a large frontier
+
+    def told(level: DataFrame, small: bool) -> DataFrame:
+        """A level with hub: the ends of a small one are sent to the edges, so that only edges to them are counted."""
+        nonlocal every
+        if small:
+            ends = level.select(F.col("to").alias("end")).distinct()
+            return level.join(F.broadcast(cut(hubs(edges.join(F.broadcast(ends), edges["dst"] == ends["end"], "left_semi"), hub_above).select(F.col("id").alias("hub")))), F.col("to") == F.col("hub"), "left")
+        every = every or cut(hubs(edges, hub_above).select(F.col("id").alias("hub")))
+        return level.join(every, F.col("to") == F.col("hub"), "left")
+
     level = cut(hops.filter(F.col("from") == root).select(F.lit(1).alias("depth"), *hops.columns, F.array("from", "to").alias("path")))
-    levels, rows = [level], 0
+    small = level.limit(FRONTIER + 1).count() <= FRONTIER
+    levels, rows = [told(level, small)], 0
     for d in range(2, depth + 1):
         if max_rows is not None:  # rows go out by depth first: once the limit is full, deeper levels can't show
             rows += level.count()
             if rows > max_rows:
                 break
-        ahead = level.select("path", F.col("to").alias("at"))
-        if not expand_hubs:
-            ahead = ahead.join(stop, ahead["at"] == stop["hub"], "left_anti")
-        if level.limit(FRONTIER + 1).count() <= FRONTIER:  # a small frontier goes to the hops; a large one is shuffled with them
+        ahead = levels[-1] if expand_hubs else levels[-1].filter("hub is null")
+        ahead = ahead.select("path", F.col("to").alias("at"))
+        if small:  # a small frontier goes to the hops; a large one is shuffled with them
             ahead = F.broadcast(ahead)
         level = hops.join(ahead, hops["from"] == ahead["at"]).filter(~F.array_contains("path", F.col("to")))
         level = cut(level.select(F.lit(d).alias("depth"), *hops.columns, F.array_append("path", F.col("to")).alias("path")))
         if level.isEmpty():
             break
-        levels.append(level)
+        small = level.limit(FRONTIER + 1).count() <= FRONTIER
+        levels.append(told(level, small))
     hops.unpersist()
-    found = levels[0]
+    flagged = levels[0]
     for more in levels[1:]:
-        found = found.union(more)
-    flagged = found.join(stop, found["to"] == stop["hub"], "left")
+        flagged = flagged.union(more)
     out = flagged.select("depth", "kind", F.col("from").alias("src"), F.col("to").alias("dst"), "edge_id", "commit", "confidence", "resolution", "path", F.col("hub").isNotNull().alias("dst_is_hub"))
     return out if max_rows is None else out.orderBy("depth", "kind", "src", "dst", "edge_id", "path").limit(max_rows + 1)
 
