@@ -13,7 +13,8 @@ On held-out examples each kind gets the lowest threshold whose precision there i
 added where they overlap no base span; of several that overlap one another the likeliest stays. A kind of which
 the corpus has no negative examples, as e-mail addresses may be, gets the threshold SURE.
 
-At most about SAMPLE examples of a kind and label train and calibrate the model, chosen by hash.
+All examples train and calibrate the model: those of two thirds of the rows, chosen by hash, and those of the others. Each kind and
+label weighs the same in training.
 
 Patterns are written so that no run of characters is scanned again from each of its places, and none recurses:
 possessive runs that begin where a run begins or where the last match ended give the leftmost matches of the plain
@@ -31,7 +32,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, partitions
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
@@ -55,7 +56,7 @@ WIDE = {
 }
 CONTEXT = 32
 BLOCK = 128
-SAMPLE, PRECISION, SURE, LEAST_EXAMPLES = 2_500, 0.98, 0.9, 20
+PRECISION, SURE, LEAST_EXAMPLES = 0.98, 0.9, 20
 TREES, DEPTH = 20, 4
 
 
@@ -229,36 +230,46 @@ def _labelled(rows: DataFrame) -> DataFrame:
     return out.select("row", "kind", "start", "end", "island", "base", "checked", label.alias("label"), *[f"f_{n}" for n in shape])
 
 
-def _sample(known: DataFrame, size: int) -> DataFrame:
-    """About `size` examples of each kind and label, chosen by hash, with a fold that tells the held-out ones."""
-    counts = known.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"))  # eight rows
-    share = F.pmod(F.xxhash64("row", "start", "end", "kind"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.join(F.broadcast(counts), ["kind", "label"]).filter(share * F.col("n") < size)
-    return chosen.drop("n").withColumn("fold", F.pmod(F.xxhash64("row", F.lit("fold")), F.lit(3))).repartition(4, "row", "start")
+def _floors(graded: DataFrame, precision: float, stash: Stash) -> DataFrame:
+    """(kind, floor): the least probability at which, of a kind's examples at least as likely, that share is positive.
 
-
-def accepted(rows: DataFrame, stash: Stash, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
+    graded: kind, probability, label. Examples are counted by probability; the counts are sorted by range and summed within each
+    range, over what the ranges before it hold, so no kind lies in one task.
+    """
+    counts = graded.groupBy("kind", "probability").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positive"))
+    order = [F.col("kind"), F.desc("probability")]
+    ranged = stash.put(counts.repartitionByRange(partitions(graded.sparkSession), *order).select("*", F.spark_partition_id().alias("part")))
+    sums = ranged.groupBy("kind", "part").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))  # a row a kind and range
+    earlier = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("kind", "part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "positive")])
+    within = Window.partitionBy("kind", "part").orderBy(F.desc("probability"))
+    right = (F.col("positive_before") + F.sum("positive").over(within)) / (F.col("n_before") + F.sum("n").over(within))
+    held = ranged.join(F.broadcast(before), ["kind", "part"]).select("kind", "probability", right.alias("right"))
+    return held.filter((F.col("right") >= precision) & (F.col("probability") >= 0.5)).groupBy("kind").agg(F.min("probability").alias("floor"))
+
+
+def accepted(rows: DataFrame, stash: Stash, precision: float = PRECISION) -> DataFrame:
     """row, kind, start, end, probability of the spans that the trees add to the base spans of stored rows."""
     known = stash.put(_labelled(rows))
     columns = [c for c in known.columns if c.startswith("f_")]
     assemble = VectorAssembler(inputCols=columns, outputCol="features")
-    examples = stash.put(_sample(known.filter("label is not null"), sample))
+    examples = known.filter("label is not null").withColumn("fold", F.pmod(F.xxhash64("row", F.lit("fold")), F.lit(3)))
     none = known.select("row", "kind", "start", "end", F.lit(0.0).alias("probability")).filter(F.lit(False))
     sizes = {(r["kind"], r["label"]): r["n"] for r in examples.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most eight rows
     able = [k for k in range(len(KINDS)) if sizes.get((k, 1), 0) >= LEAST_EXAMPLES]
     both = [k for k in able if sizes.get((k, 0), 0) >= LEAST_EXAMPLES]
     if not both:
         return none
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1)
-    model = trees.fit(assemble.transform(examples.filter("fold > 0")))
+    # so that no kind or label outweighs the others by its number, each has the same weight in all
+    weights = F.create_map(*[F.lit(x) for (k, label), n in sizes.items() for x in (2 * k + label, sum(sizes.values()) / len(sizes) / n)])
+    weighted = examples.filter("fold > 0").withColumn("weight", F.element_at(weights, (2 * F.col("kind") + F.col("label")).cast("int")))
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=1)
+    model = trees.fit(assemble.transform(weighted))
 
     def scored(df: DataFrame) -> DataFrame:
         return model.transform(assemble.transform(df)).withColumn("probability", vector_to_array("probability")[1])
 
-    # of the examples at least as likely, the share of positives; equal probabilities are taken together
-    held = Window.partitionBy("kind").orderBy(F.desc("probability"))
-    graded = scored(examples.filter("fold = 0")).select("kind", "probability", (F.sum("label").over(held) / F.count(F.lit(1)).over(held)).alias("right"))
-    floors = graded.filter((F.col("right") >= precision) & (F.col("probability") >= 0.5)).groupBy("kind").agg(F.min("probability").alias("floor"))
+    floors = _floors(scored(examples.filter("fold = 0")).select("kind", "probability", "label"), precision, stash)
     floors = floors.select("kind", F.when(F.col("kind").isin(both), F.col("floor")).otherwise(F.greatest("floor", F.lit(SURE))).alias("floor"))  # at most four rows
     open_ = known.filter(F.col("label").isNull() & F.col("kind").isin(able))
     likely = scored(open_).join(F.broadcast(floors), "kind").filter("probability >= floor")
