@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import journeys, layouts, redaction
-from ..session import cut, read_table
+from ..session import cut, read_table, spread
 from ..sources import code, contract, knowledge
 from .answers import NAV_LINKS, nav_links
 from .catalog import SQL, query
@@ -148,7 +148,8 @@ def _(spark, folder) -> DataFrame:
         more = F.create_map(F.lit("file"), F.lit("a/b.rb"), F.lit("say"), F.lit("in app/models/y.rb"))
         return F.struct(kind.alias("kind"), F.concat(F.lit("line "), n).alias("name"), F.lit("app/x.rb").alias("path"), more.alias("more"))
 
-    held = line.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("l_linenumber")), fact).alias("lines"))
+    # a list is collected where its rows are dealt to, in tasks that don't grow with the table
+    held = spread(line.select("l_orderkey", "l_linenumber"), "l_orderkey", line.count()).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("l_linenumber")), fact).alias("lines"))
     note = F.concat(F.lit("see app/models/order_item.rb in "), "o_orderpriority")
     facts = o.join(held, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("id"), F.struct(note.alias("note"), F.struct("lines").alias("deep")).alias("f"))
     seen = redaction.redact(facts, "product")
