@@ -39,17 +39,25 @@ def _objects(value: Column) -> Column:
     return F.filter(F.coalesce(_at(value, "$", "array<variant>"), F.array().cast("array<variant>")), _is_object)
 
 
-def widget(value: Column, fallback: Column, side: Column | None = None) -> Column:
-    """A widget of the dashboard from its definition; its settings stand in `configuration` or `config`."""
-    settings = F.coalesce(F.when(_is_object(_at(value, "$.configuration")), _at(value, "$.configuration")), F.when(_is_object(_at(value, "$.config")), _at(value, "$.config")))
+def _settings(settings: Column) -> dict[str, Column]:
+    """What a widget's settings tell of it."""
     asks = _at(settings, "$.field_type", "string")
     listed = _at(_at(settings, "$.cell_options"), "$", "array<variant>")
     options = F.slice(F.filter(F.transform(listed, lambda o: F.when(_is_object(o), _at(o, "$.value", "string")).otherwise(_at(o, "$", "string"))), lambda o: o.isNotNull()), 1, MOST_OPTIONS)
+    return {
+        "side": F.when(asks.isin("participant", "formula"), asks), "required": F.coalesce(_at(settings, "$.is_required", "boolean"), F.lit(False)),
+        "hidden": F.coalesce(_at(settings, "$.mode_type", "string") == "hidden", F.lit(False)), "prefix": _text(settings, "prefix"), "suffix": _text(settings, "suffix"),
+        "priority": _at(settings, "$.priority", "double"), "options": options,
+    }
+
+
+def widget(value: Column, fallback: Column, side: Column | None = None) -> Column:
+    """A widget of the dashboard from its definition; its settings stand in `configuration` or `config`."""
+    said = _settings(F.coalesce(F.when(_is_object(_at(value, "$.configuration")), _at(value, "$.configuration")), F.when(_is_object(_at(value, "$.config")), _at(value, "$.config"))))
     return F.struct(
         F.coalesce(_text(value, "name", "label"), fallback, _text(value, "key_attribute"), F.lit("(unnamed)")).alias("name"), _text(value, "key_attribute", "key").alias("key"), _text(value, "input_type").alias("input_type"),
-        F.coalesce(*([side] if side is not None else []), F.when(asks.isin("participant", "formula"), asks), F.lit("creator")).alias("side"), F.coalesce(_at(settings, "$.is_required", "boolean"), F.lit(False)).alias("required"),
-        F.coalesce(_at(settings, "$.mode_type", "string") == "hidden", F.lit(False)).alias("hidden"), _text(settings, "prefix").alias("prefix"), _text(settings, "suffix").alias("suffix"),
-        F.coalesce(_at(settings, "$.priority", "double"), _at(value, "$.priority", "double")).alias("priority"), options.alias("options"), F.coalesce(_at(value, "$.widget_type", "string") == "custom", F.lit(False)).alias("custom"),
+        F.coalesce(*([side] if side is not None else []), said["side"], F.lit("creator")).alias("side"), *[said[n].alias(n) for n in ("required", "hidden", "prefix", "suffix")],
+        F.coalesce(said["priority"], _at(value, "$.priority", "double")).alias("priority"), said["options"].alias("options"), F.coalesce(_at(value, "$.widget_type", "string") == "custom", F.lit(False)).alias("custom"),
     )
 
 
@@ -109,14 +117,18 @@ def with_mappings(found: DataFrame, mappings: DataFrame, key: str = "id") -> Dat
     """(key, layout, groups, source): empty templates take the widgets mapped to them, as one group of a sheet.
 
     mappings: the key, position, name, key_attribute, input_type, custom, config (JSON). A mapping is read as a widget with
-    its settings; they come by priority, then by position.
+    its settings; they come by priority, then by position. Those of templates that aren't empty go before they are read.
     """
-    text = F.to_json(F.struct("name", "key_attribute", "input_type", F.when(F.col("custom"), "custom").otherwise("default").alias("widget_type")))
-    settings = F.try_parse_json("config")
-    own = widget(F.parse_json(text), F.lit(None).cast("string"))
-    said = widget(F.parse_json(F.concat(F.lit('{"configuration": '), F.coalesce(F.to_json(settings), F.lit("{}")), F.lit("}"))), F.lit(None).cast("string"))
-    both = F.struct(*[(own if n in ("name", "key", "input_type", "custom") else said)[n].alias(n) for n in ("name", "key", "input_type", "side", "required", "hidden", "prefix", "suffix", "priority", "options", "custom")])
-    rows = mappings.select(F.col(key).alias("m_key"), "position", both.alias("w"))
+    wanted = found.filter("layout = 'empty'").select(F.col(key).alias("empty")).distinct()
+    rows = mappings.join(wanted, F.col(key) == F.col("empty"), "left_semi").select("*", F.try_parse_json("config").alias("parsed"))
+    rows = rows.select("*", F.when(_is_object(F.col("parsed")), F.col("parsed")).alias("settings"))
+    text = lambda n: F.nullif(F.col(n).cast("string"), F.lit(""))
+    said = _settings(F.col("settings"))
+    both = F.struct(
+        F.coalesce(text("name"), text("key_attribute"), F.lit("(unnamed)")).alias("name"), text("key_attribute").alias("key"), text("input_type").alias("input_type"), F.coalesce(said["side"], F.lit("creator")).alias("side"),
+        *[said[n].alias(n) for n in ("required", "hidden", "prefix", "suffix", "priority", "options")], F.coalesce("custom", F.lit(False)).alias("custom"),
+    )
+    rows = rows.select(F.col(key).alias("m_key"), "position", both.alias("w"))
     sets = rows.groupBy("m_key").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("w.priority", F.lit(1e9)).alias("p"), "position", "w"))), lambda x: x["w"]).alias("mapped"))
     joined = found.join(sets, found[key] == sets["m_key"], "left")
     use = (F.col("layout") == "empty") & F.col("mapped").isNotNull()
@@ -125,7 +137,7 @@ def with_mappings(found: DataFrame, mappings: DataFrame, key: str = "id") -> Dat
 
 
 def widget_rows(found: DataFrame, key: str = "id") -> DataFrame:
-    """One row a widget: key, layout, grp (its place), title, nth, and the widget's members."""
-    groups = found.select(key, "layout", F.posexplode("groups").alias("grp", "g"))
-    return groups.select(key, "layout", "grp", F.col("g.label").alias("title"), F.posexplode("g.widgets").alias("nth", "w")).select(key, "layout", "grp", "title", "nth", "w.*")
-
+    """One row a widget: key, layout, further columns of the templates, grp (its place), title, nth, and the widget's members."""
+    own = [key, "layout", *[c for c in found.columns if c not in (key, "layout", "groups")]]
+    groups = found.select(*own, F.posexplode("groups").alias("grp", "g"))
+    return groups.select(*own, "grp", F.col("g.label").alias("title"), F.posexplode("g.widgets").alias("nth", "w")).select(*own, "grp", "title", "nth", "w.*")

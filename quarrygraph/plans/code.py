@@ -90,7 +90,7 @@ def _(spark, folder) -> DataFrame:
     none = F.lit(None).cast("string")
     mapped = lines.select("id", F.col("s").alias("position"), F.concat(F.lit("Supplier "), "s").alias("name"), none.alias("key_attribute"), none.alias("input_type"), F.lit(False).alias("custom"), config.alias("config"))
     found = layouts.with_mappings(layouts.layouts(p.select(F.col("p_partkey").alias("id"), doc.alias("widgets"))), mapped)
-    return layouts.widget_rows(found).join(found.select("id", "source"), "id").select("id", "source", "layout", "grp", "nth", "name", "side", "required")
+    return layouts.widget_rows(found).select("id", "source", "layout", "grp", "nth", "name", "side", "required")
 
 
 # --- journeys ---
